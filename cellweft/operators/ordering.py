@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLE_PER_BUCKET = 20
-HOT_SHARE = 1024  # a key is hot above 1/1024 of all rows, so there are never more than 1023 of them
+HOT_SHARE = 1024  # fewer than this many groups can each hold 1/1024 of a table
 HOT_ROWS = 1_000_000
 
 
@@ -109,10 +109,16 @@ def key_at(df: DataFrame, order: Sequence[str], rank: Callable[[Column], Column]
     return ranked.where(F.col("_rn") == cut.select("_rank").scalar()).select(F.struct(*order)).scalar()
 
 
-def hot_keys(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than 1/1024 of all rows and more than `hot_rows` rows: at most 1023 keys."""
-    least = F.greatest(row_total(df) / HOT_SHARE, F.lit(float(hot_rows)))
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least).select(*by)
+def hot_keys(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The largest groups with more than `hot_rows` rows, or None.
+
+    A small job reads the key columns only.  At most 1023 keys come back; any group left out is smaller
+    than 1/1024 of the table, so it needs no special care.
+    """
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    found = counts.orderBy(F.desc("_n")).limit(HOT_SHARE - 1).select(*by)
+    rows = found.collect()
+    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
 def first_rows(
@@ -121,6 +127,7 @@ def first_rows(
     order: Sequence[str],
     n: int,
     name: str = "row_pos",
+    bounded: bool = False,
     hot_rows: int = HOT_ROWS,
     salts: int = 64,
 ) -> DataFrame:
@@ -128,20 +135,24 @@ def first_rows(
 
     Spark cuts each map task's share to n rows per group before the shuffle (window group limit).  A hot
     group still brings n rows from every map task to one task, so hot groups are first cut in salted
-    parts.
+    parts.  `bounded` says that no group is large, as after an earlier cut; then nothing is counted.
     """
     by = list(by)
-    hot = F.broadcast(hot_keys(df, by, hot_rows))
     whole = Window.partitionBy(*by).orderBy(*order)
+
+    def cut(rows: DataFrame) -> DataFrame:
+        ranked = rows.withColumn(name, F.row_number().over(whole).cast("bigint"))
+        return ranked.where(F.col(name) <= n).select(*df.columns, name)
+
+    hot = None if bounded else hot_keys(df, by, hot_rows)
+    if hot is None:
+        return cut(df)
+    hot = F.broadcast(hot)
     part = Window.partitionBy(*by, "_salt").orderBy(*order)
-    cold = df.join(hot, by, "left_anti").withColumn(name, F.row_number().over(whole)).where(F.col(name) <= n)
-    cut = (
+    salted = (
         df.join(hot, by, "left_semi")
         .withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
         .withColumn("_part_pos", F.row_number().over(part))
         .where(F.col("_part_pos") <= n)
-        .drop("_salt", "_part_pos")
-        .withColumn(name, F.row_number().over(whole))
-        .where(F.col(name) <= n)
     )
-    return cold.unionByName(cut).select(*df.columns, F.col(name).cast("bigint").alias(name))
+    return cut(df.join(hot, by, "left_anti")).unionByName(cut(salted))

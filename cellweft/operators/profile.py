@@ -85,12 +85,18 @@ def attach_comments(columns: DataFrame, comments: DataFrame) -> DataFrame:
     return columns.join(comments, ["table_id", "col_name"], "left").withColumn("comment", F.coalesce("comment", F.lit("")))
 
 
-def impute_mean(cells: DataFrame, columns: DataFrame) -> DataFrame:
+def impute_mean(cells: DataFrame, columns: DataFrame, bounded: bool = False) -> DataFrame:
     """Numeric nulls become the column mean, or 0 where all are null; adds `number DOUBLE`.
 
-    The mean is a partial aggregate joined back, so a column may be any size.
+    Numbers are averaged as decimals, so the mean does not depend on the order of the rows.  A column may
+    be any size: its mean is a partial aggregate joined back.  After a bounded scan (`bounded`) the mean is
+    a window, which keeps the partitioning by table and needs no join.
     """
     numeric = columns.where(F.col("dtype").isin("int64", "float64")).select(*COL)
-    numbers = cells.join(numeric, COL, "left_semi").withColumn("number", F.col("value").try_cast("double"))
-    means = numbers.groupBy(*COL).agg(F.coalesce(F.avg("number"), F.lit(0.0)).alias("mean"))
-    return numbers.join(means, COL).withColumn("number", F.coalesce("number", "mean")).drop("mean")
+    numbers = cells.join(numeric, COL, "left_semi").withColumn("_d", F.col("value").try_cast("decimal(38,10)"))
+    if bounded:
+        numbers = numbers.withColumn("_mean", F.avg("_d").over(Window.partitionBy(*COL)))
+    else:
+        numbers = numbers.join(numbers.groupBy(*COL).agg(F.avg("_d").alias("_mean")), COL)
+    number = F.coalesce(F.col("value").try_cast("double"), F.col("_mean").cast("double"), F.lit(0.0))
+    return numbers.withColumn("number", number).drop("_d", "_mean")

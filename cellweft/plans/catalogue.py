@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cellweft.plans import corpus_queries
+from cellweft.plans import corpus_queries, sampling_queries
 from cellweft.plans.registry import Query
 
-PARTS = (corpus_queries.reg,)
+PARTS = (corpus_queries.reg, sampling_queries.reg)
 
 
 def queries() -> dict[str, Query]:

@@ -289,7 +289,7 @@ def bounded_scan(spark, sf):
 )
 def stringify_cells(spark, sf):
     rows = corpus.bounded_scan(fx.supplier_rows(spark, sf), ["table_id"], fx.ITEM_ORDER, 500)
-    return corpus.stringify(fx.supplier_cells(rows), fx.supplier_columns(rows))
+    return corpus.stringify(fx.supplier_cells(rows), fx.supplier_columns(fx.supplier_rows(spark, sf)))
 
 
 @reg.query(
@@ -300,7 +300,7 @@ def stringify_cells(spark, sf):
 )
 def stringify_numeric_tables(spark, sf):
     rows = corpus.bounded_scan(fx.supplier_rows(spark, sf), ["table_id"], fx.ITEM_ORDER, 500)
-    columns = corpus.numeric_columns(fx.supplier_columns(rows))
+    columns = corpus.numeric_columns(fx.supplier_columns(fx.supplier_rows(spark, sf)))
     cells = fx.supplier_cells(rows).join(columns.select("table_id", "col_idx"), ["table_id", "col_idx"], "left_semi")
     return corpus.stringify(cells, columns, pandas_compat=True).select("table_id", "row_id", "col_idx", "value")
 
@@ -313,7 +313,7 @@ def stringify_numeric_tables(spark, sf):
 )
 def impute_mean(spark, sf):
     rows = corpus.bounded_scan(fx.supplier_rows(spark, sf), ["table_id"], fx.ITEM_ORDER, 500)
-    cells = profile.impute_mean(fx.supplier_cells(rows), fx.supplier_columns(rows))
+    cells = profile.impute_mean(fx.supplier_cells(rows), fx.supplier_columns(fx.supplier_rows(spark, sf)), bounded=True)
     return cells.select("table_id", "row_id", "col_idx", F.round("number", 4).alias("number"))
 
 
