@@ -30,17 +30,24 @@ def hashed_ids(tokens: str | Column, vocab_size: int, first_id: int = 0) -> Colu
 
 def mask_prompt_labels(ids: str | Column, prompt_len: str | Column) -> Column:
     """Labels are the ids with the prompt's part ignored."""
-    n = _col(prompt_len)
-    return F.transform(_col(ids), lambda x, i: F.when(i < n, F.lit(IGNORE_LABEL)).otherwise(x))
+    x, n = _col(ids), F.least(_col(prompt_len), F.size(_col(ids)))
+    return F.concat(F.array_repeat(F.lit(IGNORE_LABEL), n), F.slice(x, n + 1, F.size(x)))
 
 
 def interleave_placeholder(pieces: str | Column, bos_id: int | None = None) -> Column:
     """Join id arrays of the pieces of a prompt with the placeholder id, keeping one leading BOS id."""
-    p = _col(pieces)
-    if bos_id is not None:
+
+    def join(p: Column) -> Column:
+        if bos_id is None:
+            return F.flatten(F.transform(p, lambda x, i: F.when(i > 0, F.concat(F.array(F.lit(PLACEHOLDER_ID)), x)).otherwise(x)))
         starts = F.coalesce(F.get(F.get(p, F.lit(0)), F.lit(0)) == bos_id, F.lit(False))
-        p = F.transform(p, lambda x, i: F.when(starts & (i > 0), F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1)))).otherwise(x))
-    return F.flatten(F.transform(p, lambda x, i: F.when(i > 0, F.concat(F.array(F.lit(PLACEHOLDER_ID)), x)).otherwise(x)))
+        rest = lambda x: F.when(starts, F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1)))).otherwise(x)
+        return F.flatten(
+            F.transform(p, lambda x, i: F.when(i > 0, F.concat(F.array(F.lit(PLACEHOLDER_ID)), rest(x))).otherwise(x))
+        )
+
+    # as an element of an array the pieces are computed once per row, not once per piece
+    return F.get(F.transform(F.array(_col(pieces)), join), F.lit(0))
 
 
 def truncate_ids(ids: str | Column, max_len: int) -> Column:

@@ -82,17 +82,19 @@ def rename_identifiers(query: str | Column, tables: str | Column, columns: str |
 
     Quoted text, numbers and keywords stay.
     """
-    tokens = F.regexp_extract_all(_col(query), F.lit(TOKEN), F.lit(0))
-
     def look_up(mapping: Column, word: Column) -> Column:
         return F.coalesce(F.get(F.filter(mapping, lambda e: e["k"] == word), F.lit(0))["v"], word)
 
-    def rename(word: Column, i: Column) -> Column:
-        qualifies = F.coalesce(F.get(tokens, i + 1) == ".", F.lit(False))
-        renamed = F.when(qualifies, look_up(_col(tables), word)).otherwise(look_up(_col(columns), word))
-        return F.when(F.lower(word).isin(KEYWORDS), word).otherwise(renamed)
+    def rename_all(tokens: Column) -> Column:
+        def rename(word: Column, i: Column) -> Column:
+            qualifies = F.coalesce(F.get(tokens, i + 1) == ".", F.lit(False))
+            renamed = F.when(qualifies, look_up(_col(tables), word)).otherwise(look_up(_col(columns), word))
+            return F.when(F.lower(word).isin(KEYWORDS), word).otherwise(renamed)
+
+        return F.array_join(F.transform(tokens, rename), "")
 
-    return F.array_join(F.transform(tokens, rename), "")
+    # as an element of an array the token list is computed once per row, not once per token
+    return F.get(F.transform(F.array(F.regexp_extract_all(_col(query), F.lit(TOKEN), F.lit(0))), rename_all), F.lit(0))
 
 
 def strip_placeholders(text: str | Column) -> Column:

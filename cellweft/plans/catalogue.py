@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cellweft.plans import corpus_queries, sampling_queries, text_queries
+from cellweft.plans import corpus_queries, sampling_queries, scoring_queries, text_queries
 from cellweft.plans.registry import Query
 
-PARTS = (corpus_queries.reg, sampling_queries.reg, text_queries.reg)
+PARTS = (corpus_queries.reg, sampling_queries.reg, text_queries.reg, scoring_queries.reg)
 
 
 def queries() -> dict[str, Query]:

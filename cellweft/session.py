@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -30,3 +30,13 @@ def use_checkpoints(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cellweft-ckpt-"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread an input with fewer splits than there are cores before a step that is heavy per row.
+
+    A small file is one split, which would leave all but one core idle.  Large inputs have splits enough
+    and are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
