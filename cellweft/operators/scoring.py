@@ -57,9 +57,10 @@ def paired_nodes(items: DataFrame, gold: str = "gold", pred: str = "pred") -> Da
     maybe = "\"(" + "|".join(SET_LINKS) + ")\":\\s*\\{"
     linked = F.coalesce(F.rlike(gold, F.lit(maybe)), F.lit(False)) | F.coalesce(F.rlike(pred, F.lit(maybe)), F.lit(False))
     level = items.select(*keep, linked.alias("linked"), F.lit("").alias("path"), F.col(gold).alias("_g"), F.col(pred).alias("_p"))
-    nodes = None
-    while nodes is None or not level.isEmpty():
-        nodes = level if nodes is None else nodes.unionByName(level)
+    # one job counts the links of a text, which bounds the depth; only for long texts each level is tried
+    most = items.agg(F.max(F.greatest(*[F.coalesce(F.regexp_count(c, F.lit(maybe)), F.lit(0)) for c in (gold, pred)]))).first()[0] or 0
+    nodes = level
+    for depth in range(1, most + 1):
         links = [
             F.struct(F.lit(k).alias("k"), F.get_json_object("_g", f"$.{k}").alias("g"), F.get_json_object("_p", f"$.{k}").alias("p"))
             for k in SET_LINKS
@@ -70,6 +71,9 @@ def paired_nodes(items: DataFrame, gold: str = "gold", pred: str = "pred") -> Da
             .select(*keep, "linked", "path", F.explode(children).alias("c"))
             .select(*keep, "linked", F.concat("path", F.lit("/"), "c.k").alias("path"), F.col("c.g").alias("_g"), F.col("c.p").alias("_p"))
         )
+        if depth > 3 and level.isEmpty():
+            break
+        nodes = nodes.unionByName(level)
     return nodes.select(*keep, "linked", "path", parse_query("_g").alias("gold"), parse_query("_p").alias("pred"))
 
 

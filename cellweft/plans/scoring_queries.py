@@ -491,7 +491,9 @@ _LONG = """long AS (SELECT level, 'count' AS metric, CAST(n AS DOUBLE) AS value
     + " FROM long GROUP BY 1",
 )
 def score_report(spark, sf):
-    report = scoring.score_report(_counts(spark, sf), _partials(spark, sf))
+    # two summaries read the item scores
+    scored = leveled_scores(spark, sf).persist()
+    report = scoring.score_report(scoring.score_counts(scored), scoring.partial_averages(scoring.component_suite(scored)))
     return report.select("metric", *[F.round(c, 6).alias(c) for c in scoring.LEVELS])
 
 
