@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for written tables: in the cluster's shared folder, or in a scratch one where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared}/cellweft-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="cellweft-")
