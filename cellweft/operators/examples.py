@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cellweft.functions import sequences as seq
 from cellweft.operators.ordering import with_position
+from cellweft.session import use_checkpoints
 
 
 def example_columns(examples: DataFrame, columns: DataFrame, key: str, tables: str = "path_csvs") -> DataFrame:
@@ -51,9 +52,14 @@ def placeholder_column_check(
 
 
 def vocabulary(texts: DataFrame, text: str) -> DataFrame:
-    """Words with an id by falling frequency, from 0; words are counted before anything is numbered."""
+    """Words with an id by falling frequency, from 0.
+
+    The word counts are checkpointed, since numbering them reads them several times and they are far
+    smaller than the texts.
+    """
+    use_checkpoints(texts.sparkSession)
     counts = texts.select(F.explode(seq.words(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    keyed = counts.withColumn("_neg", -F.col("n"))
+    keyed = counts.withColumn("_neg", -F.col("n")).checkpoint()
     return with_position(keyed, ["_neg", "word"], name="_p").select("word", "n", (F.col("_p") - 1).cast("int").alias("id"))
 
 

@@ -207,4 +207,4 @@ def embed_cells_hook(spark, sf):
     UNION ALL SELECT CAST(id + 102 AS INTEGER), word FROM vocab""",
 )
 def special_token_rows(spark, sf):
-    return emb.special_token_rows(spark, examples.vocabulary(fx.load(spark, sf, "documents"), "text"))
+    return emb.special_token_rows(spark, examples.vocabulary(fx.documents(spark, sf), "text"))

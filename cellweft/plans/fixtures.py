@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweft.operators.corpus import COLUMNS_SCHEMA, to_cells, union_cells
+from cellweft.session import spread
 
 # table: (db_id, row id, [(source column, kind, shown name, blank where)])
 DATABASE = {
@@ -103,6 +104,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items, the one large table; a small file is one split and is spread over the cores."""
+    return spread(load(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, which cost much per row."""
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def _spark_text(name: str, kind: str, blank: str | None) -> Column:
     col = F.col(name)
     if kind == "float":
@@ -136,7 +147,7 @@ def database_tables(spark: SparkSession) -> DataFrame:
 def database_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_cells(
         [
-            to_cells(load(spark, sf_dir, t), t, F.expr(row), [_spark_text(n, k, b) for n, k, _, b in cols])
+            to_cells(lines(spark, sf_dir) if t == "lineitem" else load(spark, sf_dir, t), t, F.expr(row), [_spark_text(n, k, b) for n, k, _, b in cols])
             for t, (_, row, cols) in DATABASE.items()
         ]
     )
@@ -196,7 +207,7 @@ ITEM_SHOWN = [
 
 def supplier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items, where the items of one supplier are one table."""
-    return load(spark, sf_dir, "lineitem").withColumn("table_id", F.concat(F.lit("supplier_"), F.col("l_suppkey").cast("string")))
+    return lines(spark, sf_dir).withColumn("table_id", F.concat(F.lit("supplier_"), F.col("l_suppkey").cast("string")))
 
 
 def supplier_columns(rows: DataFrame) -> DataFrame:

@@ -101,11 +101,12 @@ PRED_JSON = f"CASE WHEN NOT lost THEN {_json_query('kp', 'al', 'p', 'plink', Tru
 
 
 def items(spark, sf):
+    """The items, kept once made: their JSON costs more to make than to score."""
     orders = spread(fx.load(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     base = spark.sql(BASE.replace("FROM orders", "FROM {orders}"), orders=orders)
     return base.select(
         ITEM, "session", "db_id", F.expr(GOLD_JSON).alias("gold"), F.expr(PRED_JSON).alias("pred"), (F.col(ITEM) % 4 != 0).cast("int").alias("exec")
-    )
+    ).persist()
 
 
 def kmaps(spark):
@@ -126,14 +127,11 @@ def scores(spark, sf):
     return scoring.item_scores(nodes(spark, sf), ITEM)
 
 
-KEPT = ("session", "turn_id", "hardness", "exec")
-
-
 def leveled_scores(spark, sf):
-    """Item scores with difficulty and turn, which travel with the item from the start."""
-    turned = sampling.label_turns(items(spark, sf), ["session"], [ITEM])
-    rows = turned.withColumn("_q", scoring.parse_query("gold")).withColumn("hardness", scoring.hardness_level("_q")).drop("_q")
-    return scoring.item_scores(nodes(spark, sf, rows), ITEM, KEPT)
+    """Item scores with difficulty and turn.  Turns are numbered on narrow rows, without the queries."""
+    rows = items(spark, sf).select(ITEM, "session", "exec", scoring.parse_query("gold").alias("q"))
+    hard = rows.select(ITEM, "session", "exec", scoring.hardness_level("q").alias("hardness"))
+    return sampling.label_turns(hard, ["session"], [ITEM]).join(scores(spark, sf), ITEM)
 
 
 # --- the same in SQL -------------------------------------------------------------------------------

@@ -486,7 +486,7 @@ def _supervised(spark, sf):
     f"SELECT doc_id, array_to_string({_ids_sql('text')}, ' ') AS ids, len({_WORDS.format('text')}) AS n_ids FROM documents",
 )
 def hashed_ids(spark, sf):
-    docs = fx.load(spark, sf, "documents").select("doc_id", _encode(F.col("text")).alias("ids"))
+    docs = fx.documents(spark, sf).select("doc_id", _encode(F.col("text")).alias("ids"))
     return docs.select("doc_id", seq.id_text("ids").alias("ids"), F.size("ids").cast("bigint").alias("n_ids"))
 
 
@@ -585,7 +585,7 @@ _CUT = f"list_filter(list_transform([{', '.join(map(str, _STOP))}], lambda s: li
     SELECT doc_id, array_to_string(CASE WHEN len({_CUT}) > 0 THEN ids[1:list_min({_CUT}) - 1] ELSE ids END, ' ') AS ids FROM d""",
 )
 def cut_at_stop(spark, sf):
-    docs = fx.load(spark, sf, "documents").select("doc_id", _encode(F.col("text")).alias("ids"))
+    docs = fx.documents(spark, sf).select("doc_id", _encode(F.col("text")).alias("ids"))
     return docs.select("doc_id", seq.id_text(seq.cut_at_stop("ids", _STOP)).alias("ids"))
 
 
@@ -595,7 +595,7 @@ _VOCAB_SQL = f"""words AS (SELECT doc_id, unnest({_WORDS.format("text")}) AS wor
 
 @reg.query("vocabulary", f"WITH {_VOCAB_SQL} SELECT * FROM vocab")
 def vocabulary(spark, sf):
-    return examples.vocabulary(fx.load(spark, sf, "documents"), "text")
+    return examples.vocabulary(fx.documents(spark, sf), "text")
 
 
 @reg.query(
@@ -604,7 +604,7 @@ def vocabulary(spark, sf):
     SELECT doc_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids FROM words JOIN vocab USING (word) GROUP BY 1) t USING (doc_id)""",
 )
 def tokenise_by_vocabulary(spark, sf):
-    docs = fx.load(spark, sf, "documents").select("doc_id", "text")
+    docs = fx.documents(spark, sf)
     ids = examples.tokenise_by_vocabulary(docs, "doc_id", "text", examples.vocabulary(docs, "text"))
     return ids.select("doc_id", seq.id_text("ids").alias("ids"))
 
@@ -618,7 +618,7 @@ def _word_lengths(texts):
     "SELECT doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w: length(w)), ' ') AS ids FROM documents",
 )
 def tokenise_hook(spark, sf):
-    docs = fx.load(spark, sf, "documents").select("doc_id", "text")
+    docs = fx.documents(spark, sf)
     return examples.tokenise(docs, "text", _word_lengths).select("doc_id", seq.id_text("ids").alias("ids"))
 
 
@@ -641,17 +641,17 @@ _WORD_SQL = "SELECT doc_id, len(string_split(text, ' ')) AS n_words FROM documen
 
 @reg.query("batched_map", _WORD_SQL)
 def batched_map(spark, sf):
-    docs = fx.load(spark, sf, "documents").select("doc_id", "text")
+    docs = fx.documents(spark, sf)
     return examples.batched_map(docs, _lengths, "doc_id bigint, n_words bigint")
 
 
 @reg.query("chunked_apply", _WORD_SQL)
 def chunked_apply(spark, sf):
-    docs = fx.load(spark, sf, "documents").select("doc_id", "text")
+    docs = fx.documents(spark, sf)
     return examples.chunked_apply(docs, _lengths, "doc_id bigint, n_words bigint", 16)
 
 
 @reg.query("flatten_results", f"SELECT doc_id, unnest({_WORDS.format('text')}) AS result FROM documents")
 def flatten_results(spark, sf):
-    docs = fx.load(spark, sf, "documents").select("doc_id", seq.words("text").alias("w"))
+    docs = fx.documents(spark, sf).select("doc_id", seq.words("text").alias("w"))
     return examples.flatten_results(docs, "w", ["doc_id"])
