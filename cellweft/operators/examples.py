@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweft.functions import sequences as seq
+from cellweft.operators.joins import join_small
 from cellweft.operators.ordering import with_position
 from cellweft.session import use_checkpoints
 
@@ -16,7 +17,7 @@ from cellweft.session import use_checkpoints
 def example_columns(examples: DataFrame, columns: DataFrame, key: str, tables: str = "path_csvs") -> DataFrame:
     """All columns of all tables of an example, in table order and then column order."""
     listed = examples.select(key, F.posexplode(tables).alias("table_pos", "table_id"))
-    return listed.join(columns, "table_id")
+    return join_small(listed, columns, "table_id")
 
 
 def column_sequence(listed: DataFrame, key: str) -> DataFrame:
@@ -36,9 +37,9 @@ def placeholder_column_check(
     examples: DataFrame, table_widths: DataFrame, key: str, placeholder: str, text: str = "instruction"
 ) -> DataFrame:
     """Examples whose number of placeholders differs from the number of columns of their tables."""
+    named = examples.select(key, F.explode("path_csvs").alias("table_id"))
     widths = (
-        examples.select(key, F.explode("path_csvs").alias("table_id"))
-        .join(table_widths.select("table_id", "n_cols"), "table_id")
+        join_small(named, table_widths.select("table_id", "n_cols"), "table_id")
         .groupBy(key)
         .agg(F.sum("n_cols").alias("n_columns"))
     )
@@ -112,7 +113,7 @@ def token_stats(cells: DataFrame, columns: DataFrame, count: Callable[[Column],
     kinds = columns.select("table_id", "col_idx", F.col("dtype").isin("int64", "float64").alias("_num"))
     tokens = F.when(F.col("_num"), 1).otherwise(count(F.coalesce("value", F.lit("nan"))))
     return (
-        cells.join(kinds, ["table_id", "col_idx"])
+        join_small(cells, kinds, ["table_id", "col_idx"])
         .groupBy("table_id", "col_idx")
         .agg(F.max(tokens).alias("max_tokens"), F.sum(tokens).cast("bigint").alias("n_tokens"))
     )

@@ -12,6 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweft.operators.joins import join_small
+from cellweft.operators.ordering import with_position
+
 _U = "struct<agg:string,col:string,distinct:boolean>"
 _V = f"struct<op:string,u1:{_U},u2:{_U}>"
 _C = f"struct<neg:boolean,op:string,val:{_V},val1:string,val2:string,sub1:string,sub2:string>"
@@ -236,7 +239,7 @@ def normalise(nodes: DataFrame, kmaps: DataFrame | None = None) -> DataFrame:
     out = nodes.withColumn("gold", blank_values("gold")).withColumn("pred", blank_values("pred"))
     if kmaps is None:
         return out
-    joined = out.join(kmaps, "db_id", "left").withColumn(
+    joined = join_small(out, kmaps, "db_id", "left").withColumn(
         "kmap", F.coalesce("kmap", F.array().cast("array<struct<k:string,v:string>>"))
     )
     for side in ("gold", "pred"):
@@ -366,7 +369,7 @@ def with_key_map(nodes: DataFrame, kmaps: DataFrame) -> DataFrame:
     """Add the foreign-key map of each node's database and the tables in FROM of both queries."""
     maps = kmaps.select("db_id", as_map("kmap").alias("kmap"))
     return (
-        nodes.join(maps, "db_id", "left")
+        join_small(nodes, maps, "db_id", "left")
         .withColumn("gold_from", table_ids("gold"))
         .withColumn("pred_from", table_ids("pred"))
     )
@@ -587,8 +590,6 @@ def result_set_match(pred: DataFrame, gold: DataFrame, keep_distinct: bool = Tru
     Rows are counted per value on each side; `keep_distinct=False` compares sets, and with `order` the
     position of a row counts too.
     """
-    from cellweft.operators.ordering import with_position
-
     names = pred.columns
     sides = []
     for df, p in ((pred, 1), (gold, 0)):

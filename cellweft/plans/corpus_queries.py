@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellweft.operators import corpus, describe, ordering, profile
+from cellweft.operators.joins import join_small
 from cellweft.plans import fixtures as fx
 from cellweft.plans.registry import Registry
 
@@ -67,7 +68,7 @@ def classify_tables(spark, sf):
 def numeric_columns(spark, sf):
     cells, columns = _cells_columns(spark, sf)
     numeric = corpus.numeric_columns(columns).select("table_id", "col_idx", "col_name")
-    return cells.join(F.broadcast(numeric), ["table_id", "col_idx"]).groupBy(*numeric.columns).agg(F.count("value").alias("n_values"))
+    return join_small(cells, numeric, ["table_id", "col_idx"]).groupBy(*numeric.columns).agg(F.count("value").alias("n_values"))
 
 
 @reg.query(
