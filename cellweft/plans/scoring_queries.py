@@ -457,7 +457,8 @@ PARTIAL_SQL = """means AS (SELECT coalesce(l.hardness, 'all') AS level, componen
 
 
 def _counts(spark, sf):
-    return scoring.score_counts(leveled_scores(spark, sf))
+    # levels and sessions are two summaries of the item scores
+    return scoring.score_counts(leveled_scores(spark, sf).persist())
 
 
 def _partials(spark, sf):
