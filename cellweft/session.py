@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,11 +25,23 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by spark.checkpoint.dir.
+
+    Where none is named, tables written on the way go beside the warehouse's tables, which every executor
+    must reach as well; the setting is then made, so that one session uses one folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cellweft-work"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def use_checkpoints(spark: SparkSession) -> None:
-    """Point checkpoint() at the cluster's shared folder, or at a scratch one where none is named."""
+    """Point checkpoint() at the shared folder, unless the cluster has done so."""
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cellweft-ckpt-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -44,6 +55,5 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder for written tables: in the cluster's shared folder, or in a scratch one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/cellweft-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="cellweft-")
+    """A new folder for written tables, in the shared folder."""
+    return f"{shared_folder(spark)}/cellweft-{uuid.uuid4().hex}"
