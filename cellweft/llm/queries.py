@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweft.llm import sharding
+from cellweft.llm import bpe, sharding, token_files
 from cellweft.llm.common import documents
 from cellweft.plans.registry import Registry
 
 reg = Registry()
 
 
+@reg.query("op3_token_files")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@reg.query("op7_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 @reg.query("op9_sharding")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(documents(spark, sf_dir), 40)
