@@ -6,18 +6,79 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweft.llm import bpe, sharding, token_files
+from cellweft.llm import bpe, chat, licenses, sharding, token_files
 from cellweft.llm.common import documents
 from cellweft.plans.registry import Registry
 
 reg = Registry()
 
 
+@reg.query(
+    "op1_chat_formatting",
+    r"""
+    WITH turns AS (
+      SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+      UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+    )
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      sum(length(role) + 2 * length(text) - length(translate(text, '\<>', '')) + 16)::BIGINT AS formatted_chars,
+      1 AS rank
+    FROM turns GROUP BY conv_id
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turns = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.format_conversations(turns.unionByName(extra))
+
+
 @reg.query("op3_token_files")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _license_sql() -> str:
+    def values(rows: tuple, first: int, is_base: str) -> str:
+        return ", ".join(f"({first + i}, '{phrase}', '{label}', {is_base})" for i, (phrase, label) in enumerate(rows))
+
+    listed = values(licenses.BASE, 0, "true") + ", " + values(licenses.TEMPLATES, len(licenses.BASE), "false")
+    return rf"""
+    WITH list(template, phrase, label, is_base) AS (VALUES {listed}),
+    parts AS (SELECT *, string_split(phrase, ' ') AS p FROM list),
+    known AS (SELECT template, label, is_base, len(p) - 1 AS total, i - 1 AS tpos, p[i] || ' ' || p[i + 1] AS gram
+              FROM parts, unnest(range(1, len(p))) AS t(i)),
+    w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    hits AS (SELECT doc_id, k.*, pos - 1 AS pos, pos - 1 - k.tpos AS diagonal
+             FROM (SELECT doc_id, i AS pos, w[i] || ' ' || w[i + 1] AS gram FROM w, unnest(range(1, len(w))) AS t(i)) g JOIN known k USING (gram)),
+    places AS (SELECT doc_id, template, label, diagonal FROM hits WHERE is_base
+               GROUP BY ALL HAVING count(DISTINCT tpos) = any_value(total)),
+    base AS (SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, list(DISTINCT label) AS labels
+             FROM places GROUP BY doc_id),
+    steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER l <= {licenses.NEAR} THEN 0 ELSE 1 END AS fresh
+              FROM hits WHERE NOT is_base WINDOW l AS (PARTITION BY doc_id, template ORDER BY diagonal, tpos)),
+    islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal, tpos) AS island FROM steps),
+    spans AS (SELECT doc_id, label, count(DISTINCT tpos) / any_value(total) AS coverage FROM islands
+              GROUP BY doc_id, template, label, island HAVING coverage >= {licenses.ENOUGH}),
+    extra AS (SELECT doc_id, list(DISTINCT label) AS labels, max(coverage) AS coverage FROM spans GROUP BY doc_id)
+    SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+      last_word::BIGINT AS last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+      array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(extra.labels, [])))), ',') AS labels,
+      CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(coverage, 0.0) END::DOUBLE AS score
+    FROM w LEFT JOIN base USING (doc_id) LEFT JOIN extra USING (doc_id)
+    """
+
+
+@reg.query("op5_license_scan", _license_sql())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 @reg.query("op7_bpe")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
