@@ -21,3 +21,17 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def grouped(batches, n_keys: int):
+    """Lists of rows (tuples) with equal first n_keys columns, from batches sorted by them; a group may span batches."""
+    held, key = [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:n_keys] != key:
+                if held:
+                    yield held
+                held, key = [], row[:n_keys]
+            held.append(row)
+    if held:
+        yield held

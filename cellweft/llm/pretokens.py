@@ -130,12 +130,17 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def token_hashes(data: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each token's bytes, from one running sum over all bytes."""
+    """A 64-bit hash of each token's bytes."""
+    return span_hashes(data, marks[:-1], marks[1:])
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, from one running sum over all bytes."""
     up, down = _powers(max(20, int(len(data)).bit_length()))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        own = (sums[marks[1:]] - sums[marks[:-1]]) * down[marks[:-1]]
+        own = (sums[ends] - sums[starts]) * down[starts]
         own ^= own >> np.uint64(32)
         own *= np.uint64(0xD6E8FEB86659FD93)
         own ^= own >> np.uint64(29)

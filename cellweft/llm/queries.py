@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweft.llm import bpe, chat, licenses, sharding, token_files
+from cellweft.llm import bpe, chat, jaccard_join, licenses, sharding, token_files
 from cellweft.llm.common import documents
 from cellweft.plans.registry import Registry
 
@@ -90,3 +90,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version"
     )
+
+
+@reg.query("op10_jaccard_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_texts(documents(spark, sf_dir)).drop("own", "group")
