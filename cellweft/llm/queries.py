@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweft.llm import bpe, chat, jaccard_join, licenses, sharding, token_files
+from cellweft.llm import bpe, chat, jaccard_join, language_id, licenses, sharding, token_files
 from cellweft.llm.common import documents
 from cellweft.plans.registry import Registry
 
@@ -42,6 +42,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@reg.query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir)).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def _license_sql() -> str:
     def values(rows: tuple, first: int, is_base: str) -> str:
         return ", ".join(f"({first + i}, '{phrase}', '{label}', {is_base})" for i, (phrase, label) in enumerate(rows))
