@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweft.llm import bpe, chat, jaccard_join, language_id, licenses, sharding, token_files
+from cellweft.llm import bpe, chat, decontamination, jaccard_join, language_id, licenses, sharding, suffix_dedup, token_files
 from cellweft.llm.common import documents
 from cellweft.plans.registry import Registry
 
@@ -37,6 +37,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(turns.unionByName(extra))
 
 
+@reg.query("op2_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")).drop("own")
+
+
 @reg.query("op3_token_files")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -89,6 +94,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+@reg.query("op8_suffix_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
 @reg.query("op9_sharding")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(documents(spark, sf_dir), 40)
