@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweft.llm import bpe, chat, decontamination, jaccard_join, language_id, licenses, sharding, suffix_dedup, token_files
+from cellweft.llm import bpe, chat, decontamination, jaccard_join, language_id, licenses, nearest, sharding, suffix_dedup, token_files
 from cellweft.llm.common import documents
 from cellweft.plans.registry import Registry
 
@@ -89,6 +89,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+@reg.query("op6_nearest")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(documents(spark, sf_dir, "embeddings"))
+
+
 @reg.query("op7_bpe")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
