@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellweft.operators.joins import join_small
 from cellweft.operators.ordering import first_rows, with_position
 
 COLUMNS_SCHEMA = "table_id string, col_idx int, col_name string, dtype string"
@@ -45,12 +46,14 @@ def columns_of(spark: SparkSession, tables: dict[str, DataFrame], skip: Sequence
     return spark.createDataFrame(rows, COLUMNS_SCHEMA)
 
 
-def to_cells(df: DataFrame, table_id: str | Column, row_id: str | Column, values: Sequence[Column | str]) -> DataFrame:
-    """Unpivot one wide table: a narrow step, no shuffle."""
+def to_cells(
+    df: DataFrame, table_id: str | Column, row_id: str | Column, values: Sequence[Column | str], numbers: Sequence[int] | None = None
+) -> DataFrame:
+    """Unpivot one wide table: a narrow step, no shuffle.  `numbers` gives the col_idx of each value, else 0, 1, ..."""
     table = F.lit(table_id) if isinstance(table_id, str) else table_id
     cells = F.array(
         *[
-            F.struct(F.lit(i).alias("col_idx"), (F.col(v) if isinstance(v, str) else v).cast("string").alias("value"))
+            F.struct(F.lit(numbers[i] if numbers else i).alias("col_idx"), (F.col(v) if isinstance(v, str) else v).cast("string").alias("value"))
             for i, v in enumerate(values)
         ]
     )
@@ -67,18 +70,24 @@ def union_cells(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def table_sizes(cells: DataFrame, columns: DataFrame) -> DataFrame:
-    """Rows and columns per table.  Rows are counted on the first column only."""
-    rows = cells.where("col_idx = 0").groupBy("table_id").agg(F.count(F.lit(1)).alias("n_rows"))
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each wide table, before any unpivot: no column is read.  Empty tables have no row here."""
+    return union_cells(
+        [df.select(F.lit(name).alias("table_id")).groupBy("table_id").agg(F.count(F.lit(1)).alias("n_rows")) for name, df in tables.items()]
+    )
+
+
+def table_sizes(rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """Rows and columns per table, from row counts and declared columns."""
     cols = columns.groupBy("table_id").agg(F.count(F.lit(1)).alias("n_cols"))
     return cols.join(rows, "table_id", "left").select(
         "table_id", F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"), F.col("n_cols").cast("bigint").alias("n_cols")
     )
 
 
-def filter_by_size(tables: DataFrame, min_rows: int = 10, min_cols: int = 3, scan_bound: int = 200) -> DataFrame:
-    """Tables with enough rows and columns; rows count only up to the scan bound."""
-    return tables.where((F.least("n_rows", F.lit(scan_bound)) >= min_rows) & (F.col("n_cols") >= min_cols))
+def filter_by_size(tables: DataFrame, min_rows: int = 10, min_cols: int = 3) -> DataFrame:
+    """Tables with enough rows and columns."""
+    return tables.where((F.col("n_rows") >= min_rows) & (F.col("n_cols") >= min_cols))
 
 
 def is_non_semantic_name(name: str | Column) -> Column:
@@ -135,9 +144,9 @@ def stringify(cells: DataFrame, columns: DataFrame, pandas_compat: bool = False)
         (F.bool_and(F.col("dtype").isin("int64", "float64")) & F.bool_or(F.col("dtype") == "float64")).alias("_upcast")
     )
     ints = columns.select("table_id", "col_idx", (F.col("dtype") == "int64").alias("_int"))
+    traits = ints.join(kinds, "table_id")
     return (
-        cells.join(kinds, "table_id")
-        .join(ints, ["table_id", "col_idx"])
+        join_small(cells, traits, ["table_id", "col_idx"])
         .withColumn(
             "value",
             F.coalesce(F.when(F.col("_upcast") & F.col("_int"), F.concat("value", F.lit(".0"))).otherwise(F.col("value")), F.lit("nan")),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cellweft.functions import vectors as vec
 from cellweft.functions.sequences import words
+from cellweft.operators.joins import join_small
 
 TEMPERATURE = 0.07
 POOL_FLOOR = 1e-9
@@ -52,7 +53,7 @@ def drop_zero_vectors(df: DataFrame, vector: str = "vector") -> DataFrame:
 
 def add_name_vector(cells: DataFrame, names: DataFrame) -> DataFrame:
     """Add the vector of a column's name to each cell vector: names(table_id, col_idx, name_vector)."""
-    joined = cells.join(names, ["table_id", "col_idx"])
+    joined = join_small(cells, names, ["table_id", "col_idx"])
     return joined.withColumn("vector", vec.add_vectors("vector", "name_vector")).drop("name_vector")
 
 
@@ -66,14 +67,15 @@ def semantic_vs_isolated(in_table: DataFrame, isolated: DataFrame) -> DataFrame:
 
 def cosine_by_width(similarities: DataFrame, widths: int = WIDTHS) -> DataFrame:
     """Mean similarity per table, then per number of columns; tables with mean 0 are not counted, and a
-    width without tables shows 0."""
+    width without tables shows 0.  Widths run from 0 to `widths - 1`, or to the widest table."""
     tables = similarities.groupBy("table_id").agg(
         F.avg("similarity").alias("m"), F.count(F.lit(1)).alias("n_cols")
     )
     by_width = tables.groupBy("n_cols").agg(
         F.coalesce(F.try_divide(F.sum("m"), F.count_if(F.col("m") != 0)), F.lit(0.0)).alias("similarity")
     )
-    all_widths = similarities.sparkSession.range(widths).withColumnRenamed("id", "n_cols")
+    top = by_width.agg(F.greatest(F.max("n_cols"), F.lit(widths - 1)).alias("top"))
+    all_widths = top.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"))).alias("n_cols"))
     return all_widths.join(by_width, "n_cols", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
@@ -125,10 +127,14 @@ def contrastive_loss(batches: DataFrame, temperature: float = TEMPERATURE) -> Da
 
 
 def running_loss_mean(metrics: DataFrame, step: str, value: str, log_interval: int) -> DataFrame:
-    """Mean of a metric over each full block of `log_interval` steps; steps count from 1."""
+    """Mean of a metric over each block of `log_interval` steps; steps count from 1.
+
+    A block with gaps counts as long as it is over: only the last block, if its last step is missing, is left out.
+    """
     block = F.floor((F.col(step) - 1) / log_interval).cast("bigint")
-    means = metrics.groupBy(block.alias("block")).agg(F.avg(value).alias("mean_value"), F.count(F.lit(1)).alias("n"))
-    return means.where(F.col("n") == log_interval).drop("n")
+    last = metrics.agg(F.max(step)).first()[0] or 0
+    means = metrics.groupBy(block.alias("block")).agg(F.avg(value).alias("mean_value"))
+    return means.where((F.col("block") + 1) * log_interval <= last)
 
 
 def native_vector(dim: int) -> Callable[[Column], Column]:

@@ -7,12 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweft.operators.joins import join_small
 from cellweft.operators.ordering import first_rows, with_position
 
-ALL_PAIRS = 3000  # the whole list of pairs ends here
-WIDTH_PAIRS = 20  # pairs of different tables per width
-GRAM = 3
-
 
 def _partners(i: Column, n: Column, first: int, limit: int) -> Column:
     """Right partners of row i of n when pairs (i, j), j >= i + first, are listed in order up to `limit`.
@@ -24,7 +21,7 @@ def _partners(i: Column, n: Column, first: int, limit: int) -> Column:
     return F.when((before < limit) & (i + first <= last), F.sequence(i + first, last))
 
 
-def pair_all(tables: DataFrame, key: str, limit: int = ALL_PAIRS) -> DataFrame:
+def pair_all(tables: DataFrame, key: str, limit: int) -> DataFrame:
     """Pairs (i <= j) in order of the key; the list holds `limit` pairs at most."""
     # the first `limit` tables hold every pair that can be kept, so these windows see a bounded input
     head = tables.select(key).orderBy(key).limit(limit)
@@ -38,7 +35,7 @@ def pair_all(tables: DataFrame, key: str, limit: int = ALL_PAIRS) -> DataFrame:
     return left.join(right, "j").select("left_id", "right_id")
 
 
-def pair_same_width(tables: DataFrame, seed: int, limit: int = WIDTH_PAIRS) -> DataFrame:
+def pair_same_width(tables: DataFrame, seed: int, limit: int) -> DataFrame:
     """Per width: the first `limit` pairs of different tables, and as many random tables paired with
     themselves."""
     head = first_rows(tables.select("table_id", "n_cols"), ["n_cols"], ["table_id"], limit + 1, name="_pos")
@@ -69,27 +66,23 @@ def pair_same_width(tables: DataFrame, seed: int, limit: int = WIDTH_PAIRS) -> D
 def resolve_table_name(keys: DataFrame, names: DataFrame, scope: Sequence[str] = ("db_id",)) -> DataFrame:
     """keys(scope, key) to names(scope, name): an equal name first, else the first name holding the key.
 
-    Names are cut at their first dot and case is ignored.  Holding is found through an equi-join on short
-    pieces of the names and then checked; `tier` is `equal`, `contains` or `missing`.
+    Names are cut at their first dot and case is ignored.  Names are cut into all pieces of the lengths that
+    keys have, each piece keeps its first name, and keys meet pieces as a whole; `tier` is `equal`, `contains` or `missing`.
     """
     scope = list(scope)
     low = names.select(*scope, F.substring_index("name", ".", 1).alias("name")).withColumn("low", F.lower("name"))
     wanted = keys.select(*scope, "key").distinct().withColumn("low", F.lower("key"))
     equal = wanted.join(low, [*scope, "low"]).groupBy(*scope, "key").agg(F.min("name").alias("equal_name"))
     rest = wanted.join(equal, [*scope, "key"], "left_anti")
-    piece = F.substring(F.col("low"), 1, GRAM)
-    starts = F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1)))
-    pieces = F.array_distinct(
-        F.flatten(F.transform(starts, lambda p: F.array(*[F.substring(F.col("low"), p, F.lit(k)) for k in range(GRAM + 1)])))
-    )
-    parts = low.select(*scope, "name", F.col("low").alias("low_name"), F.explode(pieces).alias("piece"))
-    held = (
-        rest.withColumn("piece", piece)
-        .join(parts, [*scope, "piece"])
-        .where(F.contains("low_name", "low"))
-        .groupBy(*scope, "key")
-        .agg(F.min("name").alias("held_name"))
+    # pieces of the lengths that keys have, so that a key meets the names that hold it and no others
+    lengths = rest.groupBy(*scope).agg(F.collect_set(F.length("low")).alias("lengths"))
+    of_length = lambda k: F.transform(
+        F.when(F.length("low") >= k, F.sequence(F.lit(1), F.length("low") - k + 1)), lambda p: F.substr("low", p, k)
     )
+    pieces = F.array_distinct(F.flatten(F.transform("lengths", lambda k: F.coalesce(of_length(k), F.array().cast("array<string>")))))
+    parts = join_small(low, lengths, scope).select(*scope, "name", F.explode(pieces).alias("low"))
+    first = parts.groupBy(*scope, "low").agg(F.min("name").alias("held_name"))
+    held = rest.join(first, [*scope, "low"]).select(*scope, "key", "held_name")
     found = keys.join(equal, [*scope, "key"], "left").join(held, [*scope, "key"], "left")
     return found.select(
         *keys.columns,

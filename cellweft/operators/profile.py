@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweft.operators.joins import join_small
+
 COL = ["table_id", "col_idx"]
 SHORTEN_AT = 80
 
@@ -97,6 +99,6 @@ def impute_mean(cells: DataFrame, columns: DataFrame, bounded: bool = False) ->
     if bounded:
         numbers = numbers.withColumn("_mean", F.avg("_d").over(Window.partitionBy(*COL)))
     else:
-        numbers = numbers.join(numbers.groupBy(*COL).agg(F.avg("_d").alias("_mean")), COL)
+        numbers = join_small(numbers, numbers.groupBy(*COL).agg(F.avg("_d").alias("_mean")), COL)
     number = F.coalesce(F.col("value").try_cast("double"), F.col("_mean").cast("double"), F.lit(0.0))
     return numbers.withColumn("number", number).drop("_d", "_mean")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweft.functions.text import pick, strip_answer_fence
+from cellweft.operators.joins import join_small
 
 HEADER = "Database schema:\n{schema}\n"
 
@@ -94,7 +95,7 @@ def build_prompt(
     templates: Mapping = TEMPLATES,
 ) -> DataFrame:
     """Add `instruction` to examples.  `schema(db_id, schema_text)` is joined by db_id where it is given."""
-    df = examples if schema is None else examples.join(schema, "db_id")
+    df = examples if schema is None else join_small(examples, schema, "db_id")
     filled = {name: F.col(c) for name, c in fields.items()}
     filled["schema"] = F.col("schema_text")
     return df.withColumn("instruction", choose_template(task, filled, keys, seed, templates))
@@ -108,7 +109,7 @@ def build_text2sql(examples: DataFrame, schema: DataFrame, keys: Sequence[str],
 
 def build_recall(examples: DataFrame, schema: DataFrame, keys: Sequence[str], seed: int | None = None) -> DataFrame:
     """Tables and columns a question needs; an example with one table gets the wording for one table."""
-    df = examples.join(schema, "db_id")
+    df = join_small(examples, schema, "db_id")
     fields = {"question": F.col("question"), "schema": F.col("schema_text")}
     one = choose_template("recall_one_table", fields, keys, seed)
     many = choose_template("recall", fields, keys, seed)

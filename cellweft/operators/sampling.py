@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweft.operators.joins import join_small
 from cellweft.operators.ordering import first_rows, hash_key, key_at, row_total, with_position
 
 
@@ -26,7 +27,7 @@ def sample_rows(
     if bounded:
         keyed = rows.withColumn("_over", (F.count(F.lit(1)).over(Window.partitionBy(*by)) > n))
     else:
-        keyed = rows.join(rows.groupBy(*by).agg(over.alias("_over")), by)
+        keyed = join_small(rows, rows.groupBy(*by).agg(over.alias("_over")), by)
     keyed = keyed.withColumn("_rnd", F.when(F.col("_over"), hash_key(seed, *by, pos)).otherwise(""))
     return first_rows(keyed, by, ["_rnd", pos], n, name="sample_pos", bounded=bounded, **kw).drop("_over", "_rnd")
 

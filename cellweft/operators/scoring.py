@@ -53,13 +53,15 @@ def paired_nodes(items: DataFrame, gold: str = "gold", pred: str = "pred") -> Da
     one place), and both parsed queries.
 
     Children are found on the text, level by level until there are none; each query is then parsed once.
-    The children of a pair are the pairs under the same link, so nothing is joined.
+    The children of a pair are the pairs under the same link, so nothing is joined.  `gold_from` and `pred_from`
+    are the tables of the outermost queries: they decide about foreign keys in the nested ones, too.
     """
     keep = [c for c in items.columns if c not in (gold, pred)]
-    # one cheap look at each text; an item that only seems to have links is handled rightly, too
-    maybe = "\"(" + "|".join(SET_LINKS) + ")\":\\s*\\{"
-    linked = F.coalesce(F.rlike(gold, F.lit(maybe)), F.lit(False)) | F.coalesce(F.rlike(pred, F.lit(maybe)), F.lit(False))
-    level = items.select(*keep, linked.alias("linked"), F.lit("").alias("path"), F.col(gold).alias("_g"), F.col(pred).alias("_p"))
+    maybe = "\"(" + "|".join(SET_LINKS) + ")\"\\s*:\\s*\\{"
+    linked = reduce(lambda a, b: a | b, [F.get_json_object(c, f"$.{k}").isNotNull() for c in (gold, pred) for k in SET_LINKS])
+    root = [table_ids(parse_query(c)).alias(f"{side}_from") for c, side in ((gold, "gold"), (pred, "pred"))]
+    level = items.select(*keep, linked.alias("linked"), F.lit("").alias("path"), F.col(gold).alias("_g"), F.col(pred).alias("_p"), *root)
+    keep = [*keep, "gold_from", "pred_from"]
     # one job counts the links of a text, which bounds the depth; only for long texts each level is tried
     most = items.agg(F.max(F.greatest(*[F.coalesce(F.regexp_count(c, F.lit(maybe)), F.lit(0)) for c in (gold, pred)]))).first()[0] or 0
     nodes = level
@@ -101,16 +103,30 @@ def _n(array: Column) -> Column:
 
 
 def condition_flags(q: str) -> dict[str, Column]:
-    """Per query: does it use OR, LIKE, a sub-query operand, arithmetic, an aggregate?"""
+    """Per query: does it use OR, LIKE, a sub-query operand, arithmetic, an aggregate?
+
+    Arithmetic and aggregates count wherever a value stands: SELECT, conditions, GROUP BY and ORDER BY.
+    """
     c = F.col(q)
     conds = _all_conds(c)
-    return {
+    values = F.array_compact(
+        F.concat(
+            F.coalesce(F.transform(c["select"], lambda s: s["val"]), F.array().cast(f"array<{_V}>")),
+            F.transform(conds, lambda x: x["val"]),
+            F.coalesce(c["order_by"], F.array().cast(f"array<{_V}>")),
+        )
+    )
+    units = F.array_compact(
+        F.concat(F.flatten(F.transform(values, lambda v: F.array(v["u1"], v["u2"]))), F.coalesce(c["group_by"], F.array().cast(f"array<{_U}>")))
+    )
+    flags = {
         "has_or": F.array_contains(_all_links(c), "or"),
         "has_like": F.exists(conds, lambda x: x["op"] == "like"),
         "has_sql": F.exists(conds, lambda x: x["sub1"].isNotNull() | x["sub2"].isNotNull()),
-        "has_op": F.exists(F.coalesce(c["select"], F.array().cast(f"array<struct<agg:string,val:{_V}>>")), lambda x: x["val"]["op"] != "none"),
-        "has_agg": F.exists(F.coalesce(c["select"], F.array().cast(f"array<struct<agg:string,val:{_V}>>")), lambda x: x["agg"] != "none"),
+        "has_op": F.exists(values, lambda v: v["op"] != "none"),
+        "has_agg": F.exists(c["select"], lambda x: x["agg"] != "none") | F.exists(units, lambda u: u["agg"] != "none"),
     }
+    return {name: F.coalesce(flag, F.lit(False)) for name, flag in flags.items()}
 
 
 def nested_queries(q: str) -> Column:
@@ -122,7 +138,25 @@ def nested_queries(q: str) -> Column:
 
 # --- normal form -----------------------------------------------------------------------------------
 
-_LITERAL = r'"val[12]":"(?:\\.|[^"\\])*",?'
+_LITERAL = r'"val[12]":(?:"(?:\\.|[^"\\])*"|-?[0-9][0-9.eE+-]*|true|false)'
+_NOTHING = r'"[a-z_0-9]+":null'
+
+
+def normal_text(query: Column) -> Column:
+    """A nested query as canonical JSON: fields in one order, no spaces, no literals, no empty fields.
+
+    Equal text means an equal query.  Inside a text value a quote is escaped, so the patterns meet fields only.
+    """
+    text = F.to_json(F.try_parse_json(query))
+    for field in (_LITERAL, _NOTHING):
+        text = F.regexp_replace(F.regexp_replace(text, "," + field, ""), field + ",?", "")
+    return F.coalesce(text, query)
+
+
+def representative(name: Column, mapping: Column, tables: Column) -> Column:
+    """The representative of a column's foreign-key group, if the column's table is in FROM; else the column."""
+    in_from = F.array_contains(tables, F.concat(F.substring_index(name, ".", 1), F.lit("__")))
+    return F.coalesce(F.when(in_from, F.try_element_at(mapping, name)), name)
 
 
 def blank_values(q: str | Column) -> Column:
@@ -131,7 +165,7 @@ def blank_values(q: str | Column) -> Column:
     nothing = F.lit(None).cast("string")
 
     def blank(x: Column) -> Column:
-        subs = [F.when(x[k].isNotNull(), F.regexp_replace(x[k], _LITERAL, "")).alias(k) for k in ("sub1", "sub2")]
+        subs = [F.when(x[k].isNotNull(), normal_text(x[k])).alias(k) for k in ("sub1", "sub2")]
         return F.struct(x["neg"].alias("neg"), x["op"].alias("op"), x["val"].alias("val"), nothing.alias("val1"), nothing.alias("val2"), *subs)
 
     def clause(name: str) -> Column:
@@ -198,15 +232,12 @@ def table_ids(q: str | Column) -> Column:
 
 def canonicalise_keys(q: str | Column, kmap: str, from_ids: str) -> Column:
     """Columns in a foreign-key group become the group's representative if their table is in FROM, and the
-    distinct flags go.  `from_ids` is a column made by table_ids before."""
+    distinct flags go.  `kmap` is a map, `from_ids` the tables of the outermost query."""
     c = F.col(q) if isinstance(q, str) else q
     mapping, tables = F.col(kmap), F.col(from_ids)
 
     def unit(u: Column) -> Column:
-        col = u["col"]
-        in_from = F.array_contains(tables, F.concat(F.substring_index(col, ".", 1), F.lit("__")))
-        found = F.try_element_at(F.filter(mapping, lambda e: e["k"] == col), F.lit(-1))["v"]
-        new = F.coalesce(F.when(in_from, found), col)
+        new = representative(u["col"], mapping, tables)
         return F.when(u.isNotNull(), F.struct(u["agg"].alias("agg"), new.alias("col"), F.lit(None).cast("boolean").alias("distinct")))
 
     def value(v: Column) -> Column:
@@ -239,11 +270,9 @@ def normalise(nodes: DataFrame, kmaps: DataFrame | None = None) -> DataFrame:
     out = nodes.withColumn("gold", blank_values("gold")).withColumn("pred", blank_values("pred"))
     if kmaps is None:
         return out
-    joined = join_small(out, kmaps, "db_id", "left").withColumn(
-        "kmap", F.coalesce("kmap", F.array().cast("array<struct<k:string,v:string>>"))
-    )
+    joined = with_key_map(out, kmaps)
     for side in ("gold", "pred"):
-        joined = joined.withColumn("_from", table_ids(side)).withColumn(side, canonicalise_keys(side, "kmap", "_from")).drop("_from")
+        joined = joined.withColumn(side, canonicalise_keys(side, "kmap", f"{side}_from"))
     return joined.drop("kmap")
 
 
@@ -327,10 +356,7 @@ def _texts(side: str, kmap: str | None, from_ids: str) -> dict[str, Column]:
     q = F.col(side)
 
     def column(name: Column) -> Column:
-        if kmap is None:
-            return name
-        in_from = F.array_contains(F.col(from_ids), F.concat(F.substring_index(name, ".", 1), F.lit("__")))
-        return F.coalesce(F.when(in_from, F.try_element_at(F.col(kmap), name)), name)
+        return name if kmap is None else representative(name, F.col(kmap), F.col(from_ids))
 
     def unit(u: Column) -> Column:
         return F.concat(u["agg"], F.lit(":"), column(u["col"]))
@@ -339,7 +365,7 @@ def _texts(side: str, kmap: str | None, from_ids: str) -> dict[str, Column]:
         return F.concat_ws(" ", v["op"], unit(v["u1"]), F.when(v["u2"].isNotNull(), unit(v["u2"])))
 
     def cond(c: Column) -> Column:
-        subs = [F.when(c[k].isNotNull(), F.regexp_replace(c[k], _LITERAL, "")) for k in ("sub1", "sub2")]
+        subs = [F.when(c[k].isNotNull(), normal_text(c[k])) for k in ("sub1", "sub2")]
         return F.concat_ws("|", c["neg"].cast("string"), c["op"], value(c["val"]), *[F.coalesce(x, F.lit("-")) for x in subs])
 
     none = F.array().cast("array<string>")
@@ -366,13 +392,8 @@ def as_map(mapping: str | Column) -> Column:
 
 
 def with_key_map(nodes: DataFrame, kmaps: DataFrame) -> DataFrame:
-    """Add the foreign-key map of each node's database and the tables in FROM of both queries."""
-    maps = kmaps.select("db_id", as_map("kmap").alias("kmap"))
-    return (
-        join_small(nodes, maps, "db_id", "left")
-        .withColumn("gold_from", table_ids("gold"))
-        .withColumn("pred_from", table_ids("pred"))
-    )
+    """Add the foreign-key map of each node's database."""
+    return join_small(nodes, kmaps.select("db_id", as_map("kmap").alias("kmap")), "db_id", "left")
 
 
 def node_components(nodes: DataFrame) -> DataFrame:
@@ -571,7 +592,7 @@ def partial_averages(components: DataFrame) -> DataFrame:
 
 
 def score_report(counts: DataFrame, partials: DataFrame) -> DataFrame:
-    """Metric by level.  A level without items shows 0."""
+    """Metric by level, then the turn section: metric by turn.  A level or turn without items shows 0."""
     rows = counts.select(
         "level", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("value")) for m, c in (("count", "n"), ("execution", "exec"), ("exact match", "exact"))]))
     ).unionByName(
@@ -580,8 +601,15 @@ def score_report(counts: DataFrame, partials: DataFrame) -> DataFrame:
             F.inline(F.array(*[F.struct(F.concat(F.col("component"), F.lit(f" {m}")).alias("metric"), F.col(m).alias("value")) for m in ("acc", "rec", "f1")])),
         )
     )
-    wide = rows.groupBy("metric").pivot("level", list(LEVELS)).agg(F.first("value"))
-    return wide.select("metric", *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(c) for c in LEVELS])
+    wide = rows.groupBy("metric").pivot("level", [*LEVELS, *TURNS]).agg(F.first("value"))
+    # sessions have no components: both means are 0, which makes F1 1
+    empty = {"joint_all": F.when(F.endswith("metric", F.lit(" f1")), 1.0).otherwise(0.0)}
+    by_turn = F.col("metric").isin("count", "execution", "exact match")
+    return wide.select(
+        "metric",
+        *[F.coalesce(F.col(f"`{c}`"), empty.get(c, F.lit(0.0))).alias(c) for c in LEVELS],
+        *[F.when(by_turn, F.coalesce(F.col(f"`{c}`"), F.lit(0.0))).alias(c) for c in TURNS],
+    )
 
 
 def result_set_match(pred: DataFrame, gold: DataFrame, keep_distinct: bool = True, order: list[str] | None = None) -> DataFrame:

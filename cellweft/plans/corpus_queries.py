@@ -17,17 +17,21 @@ def _cells_columns(spark, sf):
     return fx.database_cells(spark, sf), fx.database_columns(spark)
 
 
+def _sizes(spark, sf):
+    return corpus.table_sizes(fx.database_counts(spark, sf), fx.database_columns(spark))
+
+
 @reg.query("table_sizes", DB + " SELECT table_id, n_rows, n_cols FROM sizes")
 def table_sizes(spark, sf):
-    return corpus.table_sizes(*_cells_columns(spark, sf))
+    return _sizes(spark, sf)
 
 
 @reg.query(
     "filter_by_size",
-    DB + " SELECT table_id, n_rows, n_cols FROM sizes WHERE least(n_rows, 200) >= 10 AND n_cols >= 3",
+    DB + " SELECT table_id, n_rows, n_cols FROM sizes WHERE n_rows >= 10 AND n_cols >= 3",
 )
 def filter_by_size(spark, sf):
-    return corpus.filter_by_size(corpus.table_sizes(*_cells_columns(spark, sf)))
+    return corpus.filter_by_size(_sizes(spark, sf))
 
 
 _NON_SEM = " OR ".join(f"regexp_matches(col_name, '{p}')" for p in corpus.NON_SEMANTIC_NAMES)
@@ -35,14 +39,11 @@ _NON_SEM = " OR ".join(f"regexp_matches(col_name, '{p}')" for p in corpus.NON_SE
 
 @reg.query(
     "is_non_semantic_name",
-    DB + f""" SELECT p.table_id, p.col_name, ({_NON_SEM}) AS non_semantic, p.n_distinct FROM profiles p""",
+    DB + f""" SELECT c.table_id, c.col_name, ({_NON_SEM}) AS non_semantic, s.n_rows FROM cols c JOIN sizes s USING (table_id)""",
 )
 def is_non_semantic_name(spark, sf):
-    cells, columns = _cells_columns(spark, sf)
-    profiles = profile.profile_columns(profile.value_groups(cells), columns)
-    return profiles.select(
-        "table_id", "col_name", corpus.is_non_semantic_name("col_name").alias("non_semantic"), "n_distinct"
-    )
+    columns = fx.database_columns(spark).join(fx.database_counts(spark, sf), "table_id")
+    return columns.select("table_id", "col_name", corpus.is_non_semantic_name("col_name").alias("non_semantic"), "n_rows")
 
 
 @reg.query(
@@ -51,12 +52,11 @@ def is_non_semantic_name(spark, sf):
     + f""" SELECT c.table_id, CAST(sum(CASE WHEN {_NON_SEM} THEN 1 ELSE 0 END) AS BIGINT) AS n_non_semantic,
     any_value(s.n_rows) AS n_rows,
     CASE WHEN 2 * sum(CASE WHEN {_NON_SEM} THEN 1 ELSE 0 END) >= count(*) THEN 'non_semantic' ELSE 'semantic' END AS cls
-    FROM cols c JOIN sizes s USING (table_id) WHERE least(s.n_rows, 200) >= 10 AND s.n_cols >= 3 GROUP BY 1""",
+    FROM cols c JOIN sizes s USING (table_id) WHERE s.n_rows >= 10 AND s.n_cols >= 3 GROUP BY 1""",
 )
 def classify_tables(spark, sf):
-    cells, columns = _cells_columns(spark, sf)
-    sized = corpus.filter_by_size(corpus.table_sizes(cells, columns)).select("table_id", "n_rows")
-    return corpus.classify_tables(columns).join(sized, "table_id").select("table_id", "n_non_semantic", "n_rows", "cls")
+    sized = corpus.filter_by_size(_sizes(spark, sf)).select("table_id", "n_rows")
+    return corpus.classify_tables(fx.database_columns(spark)).join(sized, "table_id").select("table_id", "n_non_semantic", "n_rows", "cls")
 
 
 @reg.query(
@@ -66,7 +66,7 @@ def classify_tables(spark, sf):
     JOIN cells x USING (table_id, col_idx) WHERE c.dtype IN ('int64', 'float64') GROUP BY ALL""",
 )
 def numeric_columns(spark, sf):
-    cells, columns = _cells_columns(spark, sf)
+    cells, columns = fx.database_cells(spark, sf, ("int", "float")), fx.database_columns(spark)
     numeric = corpus.numeric_columns(columns).select("table_id", "col_idx", "col_name")
     return join_small(cells, numeric, ["table_id", "col_idx"]).groupBy(*numeric.columns).agg(F.count("value").alias("n_values"))
 
@@ -286,21 +286,21 @@ def bounded_scan(spark, sf):
 
 @reg.query(
     "stringify_cells",
-    f"WITH {fx.SUPPLIER_SQL} SELECT table_id, row_id, col_idx, coalesce(value, 'nan') AS value FROM cells",
+    f"WITH {fx.SUPPLIER_ALL_SQL} SELECT table_id, row_id, col_idx, coalesce(value, 'nan') AS value FROM cells",
 )
 def stringify_cells(spark, sf):
-    rows = corpus.bounded_scan(fx.supplier_rows(spark, sf), ["table_id"], fx.ITEM_ORDER, 500)
+    rows = fx.supplier_numbered(spark, sf)
     return corpus.stringify(fx.supplier_cells(rows), fx.supplier_columns(fx.supplier_rows(spark, sf)))
 
 
 @reg.query(
     "stringify_numeric_tables",
-    f"""WITH {fx.SUPPLIER_SQL} SELECT table_id, row_id, col_idx,
+    f"""WITH {fx.SUPPLIER_ALL_SQL} SELECT table_id, row_id, col_idx,
     coalesce(CASE WHEN dtype = 'int64' THEN value || '.0' ELSE value END, 'nan') AS value FROM cells
     WHERE dtype IN ('int64', 'float64')""",
 )
 def stringify_numeric_tables(spark, sf):
-    rows = corpus.bounded_scan(fx.supplier_rows(spark, sf), ["table_id"], fx.ITEM_ORDER, 500)
+    rows = fx.supplier_numbered(spark, sf)
     columns = corpus.numeric_columns(fx.supplier_columns(fx.supplier_rows(spark, sf)))
     cells = fx.supplier_cells(rows).join(columns.select("table_id", "col_idx"), ["table_id", "col_idx"], "left_semi")
     return corpus.stringify(cells, columns, pandas_compat=True).select("table_id", "row_id", "col_idx", "value")
@@ -308,13 +308,13 @@ def stringify_numeric_tables(spark, sf):
 
 @reg.query(
     "impute_mean",
-    f"""WITH {fx.SUPPLIER_SQL} SELECT table_id, row_id, col_idx,
+    f"""WITH {fx.SUPPLIER_ALL_SQL} SELECT table_id, row_id, col_idx,
     round(coalesce(TRY_CAST(value AS DECIMAL(18,2)), CAST(avg(TRY_CAST(value AS DECIMAL(18,2))) OVER (PARTITION BY table_id, col_idx) AS DOUBLE), 0), 4) AS number
     FROM cells WHERE dtype IN ('int64', 'float64')""",
 )
 def impute_mean(spark, sf):
-    rows = corpus.bounded_scan(fx.supplier_rows(spark, sf), ["table_id"], fx.ITEM_ORDER, 500)
-    cells = profile.impute_mean(fx.supplier_cells(rows), fx.supplier_columns(fx.supplier_rows(spark, sf)), bounded=True)
+    rows = fx.supplier_numbered(spark, sf)
+    cells = profile.impute_mean(fx.supplier_cells(rows), fx.supplier_columns(fx.supplier_rows(spark, sf)))
     return cells.select("table_id", "row_id", "col_idx", F.round("number", 4).alias("number"))
 
 

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweft.operators.corpus import COLUMNS_SCHEMA, to_cells, union_cells
+from cellweft.operators.corpus import COLUMNS_SCHEMA, row_counts, to_cells, union_cells
+from cellweft.operators.ordering import with_position
 from cellweft.session import spread
 
 # table: (db_id, row id, [(source column, kind, shown name, blank where)])
@@ -144,13 +145,19 @@ def database_tables(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(db, t) for t, (db, _, _) in DATABASE.items()], "db_id string, table_id string")
 
 
-def database_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return union_cells(
-        [
-            to_cells(lines(spark, sf_dir) if t == "lineitem" else load(spark, sf_dir, t), t, F.expr(row), [_spark_text(n, k, b) for n, k, _, b in cols])
-            for t, (_, row, cols) in DATABASE.items()
-        ]
-    )
+def database_cells(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = tuple(DTYPES)) -> DataFrame:
+    """Cells of all columns, or of those of some kinds, which are then the only ones read."""
+    parts = []
+    for t, (_, row, cols) in DATABASE.items():
+        wanted = {i: _spark_text(n, k, b) for i, (n, k, _, b) in enumerate(cols) if k in kinds}
+        if wanted:
+            rows = lines(spark, sf_dir) if t == "lineitem" else load(spark, sf_dir, t)
+            parts.append(to_cells(rows, t, F.expr(row), list(wanted.values()), list(wanted)))
+    return union_cells(parts)
+
+
+def database_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return row_counts({t: load(spark, sf_dir, t) for t in DATABASE})
 
 
 def _columns_sql() -> str:
@@ -210,6 +217,11 @@ def supplier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).withColumn("table_id", F.concat(F.lit("supplier_"), F.col("l_suppkey").cast("string")))
 
 
+def supplier_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All supplier rows with their position `row_pos` in the table."""
+    return with_position(supplier_rows(spark, sf_dir), ITEM_ORDER, by=["table_id"], name="row_pos")
+
+
 def supplier_columns(rows: DataFrame) -> DataFrame:
     """Declared columns of the supplier tables: every table of this corpus has the same ones."""
     declared = F.array(
@@ -230,9 +242,13 @@ _SHOWN_SQL = " UNION ALL ".join(
     f"SELECT table_id, row_pos AS row_id, {i} AS col_idx, '{n}' AS col_name, '{DTYPES[k]}' AS dtype, {_sql_text(n, k, b)} AS value FROM scanned"
     for i, (n, k, b) in enumerate(ITEM_SHOWN)
 )
-SUPPLIER_SQL = f"""scanned AS MATERIALIZED (SELECT * FROM (SELECT 'supplier_' || CAST(l_suppkey AS VARCHAR) AS table_id, *,
-  row_number() OVER (PARTITION BY l_suppkey ORDER BY {", ".join(ITEM_ORDER)}) AS row_pos FROM lineitem) WHERE row_pos <= 500),
+_NUMBERED_SQL = f"""SELECT 'supplier_' || CAST(l_suppkey AS VARCHAR) AS table_id, *,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY {", ".join(ITEM_ORDER)}) AS row_pos FROM lineitem"""
+# the first 500 rows of each table, for the queries whose feature is that bound
+SUPPLIER_SQL = f"""scanned AS MATERIALIZED (SELECT * FROM ({_NUMBERED_SQL}) WHERE row_pos <= 500),
 cells AS MATERIALIZED ({_SHOWN_SQL})"""
+# whole tables
+SUPPLIER_ALL_SQL = f"""scanned AS MATERIALIZED ({_NUMBERED_SQL}), cells AS MATERIALIZED ({_SHOWN_SQL})"""
 
 
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

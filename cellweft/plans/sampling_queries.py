@@ -10,6 +10,7 @@ from cellweft.plans.registry import Registry
 
 reg = Registry()
 SUP = "WITH " + fx.SUPPLIER_SQL
+ALL = "WITH " + fx.SUPPLIER_ALL_SQL
 
 
 def _scanned(spark, sf):
@@ -22,9 +23,9 @@ SAMPLED_SQL = """sampled AS MATERIALIZED (SELECT * FROM (SELECT table_id, row_po
   FROM (SELECT table_id, row_pos, count(*) OVER (PARTITION BY table_id) AS n FROM scanned)) WHERE sample_pos <= 200)"""
 
 
-@reg.query("sample_rows", f"{SUP}, {SAMPLED_SQL} SELECT * FROM sampled")
+@reg.query("sample_rows", f"{ALL}, {SAMPLED_SQL} SELECT * FROM sampled")
 def sample_rows(spark, sf):
-    return sampling.sample_rows(_scanned(spark, sf), 200, 7, bounded=True).select("table_id", "row_pos", "sample_pos")
+    return sampling.sample_rows(fx.supplier_numbered(spark, sf), 200, 7).select("table_id", "row_pos", "sample_pos")
 
 
 def _ranked_sql(seed: int) -> str:
@@ -50,13 +51,13 @@ def permute_columns(spark, sf):
 
 @reg.query(
     "truncate_random",
-    f"""{SUP}, {PERMUTED_SQL}, kept AS (SELECT * FROM (SELECT table_id, row_pos, row_number() OVER (PARTITION BY table_id
+    f"""{ALL}, {PERMUTED_SQL}, kept AS (SELECT * FROM (SELECT table_id, row_pos, row_number() OVER (PARTITION BY table_id
       ORDER BY md5('3|' || table_id || '|' || CAST(row_pos AS VARCHAR)), row_pos) AS new_row FROM scanned) WHERE new_row <= 50)
     SELECT table_id, k.row_pos, k.new_row, p.src_idx AS col_idx, p.pos AS new_col, c.value FROM kept k JOIN permuted p USING (table_id)
     JOIN cells c ON c.table_id = k.table_id AND c.row_id = k.row_pos AND c.col_idx = p.src_idx WHERE p.pos < 4""",
 )
 def truncate_random(spark, sf):
-    rows, cols = sampling.truncate_random(_scanned(spark, sf), fx.supplier_columns(fx.supplier_rows(spark, sf)), 50, 4, 3, bounded=True)
+    rows, cols = sampling.truncate_random(fx.supplier_numbered(spark, sf), fx.supplier_columns(fx.supplier_rows(spark, sf)), 50, 4, 3)
     places = rows.select("table_id", F.col("row_pos"), "new_row")
     cells = fx.supplier_cells(rows).withColumnRenamed("row_id", "row_pos")
     return cells.join(places, ["table_id", "row_pos"]).join(cols, ["table_id", "col_idx"]).select(
@@ -156,12 +157,12 @@ def limited_eval(spark, sf):
 
 @reg.query(
     "split_anchor_shuffled",
-    f"""{SUP}, {SAMPLED_SQL} SELECT table_id, row_pos, CASE WHEN sample_pos <= h THEN 'anchor' ELSE 'shuffled' END AS half,
+    f"""{ALL}, {SAMPLED_SQL} SELECT table_id, row_pos, CASE WHEN sample_pos <= h THEN 'anchor' ELSE 'shuffled' END AS half,
     CASE WHEN sample_pos <= h THEN sample_pos ELSE sample_pos - h END AS half_pos FROM (
     SELECT *, max(sample_pos) OVER (PARTITION BY table_id) // 2 AS h FROM sampled)""",
 )
 def split_anchor_shuffled(spark, sf):
-    rows = sampling.sample_rows(_scanned(spark, sf), 200, 7, bounded=True)
+    rows = sampling.sample_rows(fx.supplier_numbered(spark, sf), 200, 7)
     return sampling.split_anchor_shuffled(rows).select("table_id", "row_pos", "half", "half_pos")
 
 
@@ -174,7 +175,7 @@ def split_anchor_shuffled(spark, sf):
     SELECT a.table_id AS left_id, b.table_id AS right_id FROM r a JOIN r b ON a.i <= b.i ORDER BY a.i, b.i LIMIT 3000""",
 )
 def pair_all(spark, sf):
-    return pairs.pair_all(fx.order_tables(spark, sf), "table_id")
+    return pairs.pair_all(fx.order_tables(spark, sf), "table_id", 3000)
 
 
 @reg.query(
@@ -188,7 +189,7 @@ def pair_all(spark, sf):
       r.i = CAST('0x' || substr(md5('17|' || CAST(n.n_cols AS VARCHAR) || '|' || CAST(n.k AS VARCHAR)), 1, 8) AS BIGINT) % n.n + 1""",
 )
 def pair_same_width(spark, sf):
-    return pairs.pair_same_width(fx.order_tables(spark, sf), 17)
+    return pairs.pair_same_width(fx.order_tables(spark, sf), 17, 20)
 
 
 @reg.query(
@@ -223,8 +224,8 @@ ORDER_COLS = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
 
 def _order_grid(spark, sf):
     """The orders of each customer on a fixed grid."""
-    rows = corpus.bounded_scan(fx.order_rows(spark, sf), ["table_id"], ["o_orderkey"], 500)
-    kept = rows.where(F.col("row_pos") <= MAX_ROW)
+    rows = fx.order_rows(spark, sf)
+    kept = corpus.bounded_scan(rows, ["table_id"], ["o_orderkey"], MAX_ROW)
     cells = corpus.to_cells(kept, F.col("table_id"), F.col("row_pos") - 1, ORDER_COLS).withColumnsRenamed(
         {"row_id": "row_pos", "col_idx": "col_pos"}
     )
@@ -299,11 +300,11 @@ def pad_permutation(spark, sf):
 
 @reg.query(
     "align_permuted_columns",
-    f"""{SUP}, {PERMUTED_SQL}, anchor AS (SELECT table_id, col_idx, max(value) AS top FROM cells GROUP BY 1, 2)
+    f"""{ALL}, {PERMUTED_SQL}, anchor AS (SELECT table_id, col_idx, max(value) AS top FROM cells GROUP BY 1, 2)
     SELECT p.table_id, p.pos, p.src_idx AS col_idx, a.top FROM permuted p JOIN anchor a ON a.table_id = p.table_id AND a.col_idx = p.src_idx""",
 )
 def align_permuted_columns(spark, sf):
-    rows = _scanned(spark, sf)
+    rows = fx.supplier_numbered(spark, sf)
     anchor = fx.supplier_cells(rows).groupBy("table_id", "col_idx").agg(F.max("value").alias("top"))
     permuted = sampling.permute_columns(fx.supplier_columns(fx.supplier_rows(spark, sf)), 3)
     return grid.align_permuted_columns(anchor, permuted).select("table_id", "pos", "col_idx", "top")

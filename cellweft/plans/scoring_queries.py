@@ -80,12 +80,16 @@ def _json_query(k: str, al: str, lit: str, link: str, flip: bool) -> str:
     col = lambda x: _json_col(x, al)
     select = _list(True, n["select"], f"""'{{"agg":"' || {_agg(k)} || '","val":' || {_json_val(col(f"({k} + i) % 4"))} || '}}'""")
     select = f"'[' || array_join({f'reverse({select})' if flip else select}, ',') || ']'"
-    sub = f"""CASE WHEN {k} % 7 = 0 AND i = 0 THEN ',"sub1":{{"where":{{"conds":[{{"op":"=","val1":"{lit}"}}]}}}}' ELSE ',"val1":"{lit}"' END"""
+    # the prediction has another number, another field order and spaces
+    inner = '{{"where" : {{"conds":[{{"val1" : 6, "op":"="}}]}}}}' if flip else '{{"where":{{"conds":[{{"op":"=","val1":5}}]}}}}'
+    inner = inner.replace("{{", "{").replace("}}", "}")
+    colon = " : " if flip else ":"
+    sub = f"""CASE WHEN {k} % 7 = 0 AND i = 0 THEN ',"sub1":{inner}' ELSE ',"val1":"{lit}"' END"""
     cond = f"""'{{"neg":' || {_s(_neg(k))} || ',"op":"' || {_op(k)} || '","val":' || {_json_val(col("i"))} || {sub} || '}}'"""
     having = f"""'{{"neg":false,"op":">","val":' || {_json_val(col("i"))} || ',"val1":"{lit}"}}'"""
     link_text = f"""'"' || {_link(k)} || '"'"""
     deep = f"""CASE WHEN {k} % 33 = 0 THEN ',"intersect":{{"select":[{{"agg":"none","val":' || {_json_val(f"'__orders.c' || {_s(f'{k} % 3')} || '__'")} || '}}]}}' ELSE '' END"""
-    nested = f"""CASE WHEN {k} % 11 = 0 THEN ',"' || {link} || '":{{"select":[{{"agg":"none","val":' || {_json_val(f"'__orders.c' || {_s(f'{k} % 4')} || '__'")} || '}}],"tables":[{{"kind":"table_unit","id":"__orders__"}}]' || {deep} || '}}' ELSE '' END"""
+    nested = f"""CASE WHEN {k} % 11 = 0 THEN ',"' || {link} || '"{colon}{{"select":[{{"agg":"none","val":' || {_json_val(f"'__orders.c' || {_s(f'{k} % 4')} || '__'")} || '}}],"tables":[{{"kind":"table_unit","id":"__orders__"}}]' || {deep} || '}}' ELSE '' END"""
     return f"""'{{"distinct":false,"select":' || {select}
      || ',"tables":' || {_json_list(n["tables"], """'{"kind":"table_unit","id":"' || CASE i WHEN 0 THEN '__orders__' ELSE '__customer__' END || '"}'""")}
      || ',"where":{{"conds":' || {_json_list(n["where"], cond)} || ',"links":' || {_json_list(n["links"], link_text)} || '}}'
@@ -323,7 +327,7 @@ def json_example_parse(spark, sf):
 
 @reg.query(
     "blank_values",
-    f"""WITH base AS ({BASE}) SELECT question_id, CAST(0 AS INTEGER) AS n_literals, CASE WHEN kg % 7 = 0 AND kg % 4 > 0 THEN '{{"where":{{"conds":[{{"op":"=",}}]}}}}' ELSE '' END AS sub FROM base""",
+    f"""WITH base AS ({BASE}) SELECT question_id, CAST(0 AS INTEGER) AS n_literals, CASE WHEN kg % 7 = 0 AND kg % 4 > 0 THEN '{{"where":{{"conds":[{{"op":"="}}]}}}}' ELSE '' END AS sub FROM base""",
 )
 def blank_values(spark, sf):
     q = items(spark, sf).select(ITEM, scoring.blank_values(scoring.parse_query("gold")).alias("q"))
@@ -486,14 +490,16 @@ _LONG = """long AS (SELECT level, 'count' AS metric, CAST(n AS DOUBLE) AS value
 @reg.query(
     "score_report",
     f"{SC}, {COUNTS_SQL}, {PARTIAL_SQL}, {_LONG} SELECT metric, "
-    + ", ".join(f"CAST(round(coalesce(max(value) FILTER (WHERE level = '{c}'), 0), 6) AS DOUBLE) AS \"{c}\"" for c in scoring.LEVELS)
+    + ", ".join(f"CAST(round(coalesce(max(value) FILTER (WHERE level = '{c}'), 0), 6) AS DOUBLE) AS \"{c}\"" for c in scoring.LEVELS if c != "joint_all")
+    + """, CAST(round(coalesce(max(value) FILTER (WHERE level = 'joint_all'), CASE WHEN metric LIKE '% f1' THEN 1 ELSE 0 END), 6) AS DOUBLE) AS joint_all, """
+    + ", ".join(f"""CASE WHEN metric IN ('count', 'execution', 'exact match') THEN CAST(round(coalesce(max(value) FILTER (WHERE level = '{c}'), 0), 6) AS DOUBLE) END AS "{c}\"""" for c in scoring.TURNS)
     + " FROM long GROUP BY 1",
 )
 def score_report(spark, sf):
     # two summaries read the item scores
     scored = leveled_scores(spark, sf).persist()
     report = scoring.score_report(scoring.score_counts(scored), scoring.partial_averages(scoring.component_suite(scored)))
-    return report.select("metric", *[F.round(c, 6).alias(c) for c in scoring.LEVELS])
+    return report.select("metric", *[F.round(f"`{c}`", 6).alias(c) for c in (*scoring.LEVELS, *scoring.TURNS)])
 
 
 _GOLD_Q = "SELECT o_custkey, o_orderpriority FROM orders"

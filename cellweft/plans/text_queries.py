@@ -315,7 +315,7 @@ def build_title(spark, sf):
 
 
 # one random row of each supplier table, its values as a list, and one of its columns
-ROW_PICK_SQL = f"""{fx.SUPPLIER_SQL}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY table_id
+ROW_PICK_SQL = f"""{fx.SUPPLIER_ALL_SQL}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY table_id
     ORDER BY md5('31|' || table_id || '|' || CAST(row_pos AS VARCHAR)), row_pos) AS k FROM (SELECT DISTINCT table_id, row_pos FROM scanned)) WHERE k = 1),
   picked AS (SELECT table_id, '[' || string_agg(coalesce(value, 'nan'), ', ' ORDER BY col_idx) || ']' AS row_text,
     max(CASE WHEN col_idx = want THEN coalesce(value, 'nan') END) AS cell_value, max(CASE WHEN col_idx = want THEN col_name END) AS col_name,
@@ -324,9 +324,8 @@ ROW_PICK_SQL = f"""{fx.SUPPLIER_SQL}, one AS (SELECT * FROM (SELECT *, row_numbe
 
 
 def _row_pick(spark, sf):
-    rows = fx.supplier_rows(spark, sf)
-    scanned = corpus.bounded_scan(rows, ["table_id"], fx.ITEM_ORDER, 500).withColumn("_rnd", hash_key(31, "table_id", "row_pos"))
-    one = first_rows(scanned, ["table_id"], ["_rnd", "row_pos"], 1, name="_k", bounded=True)
+    scanned = fx.supplier_numbered(spark, sf).withColumn("_rnd", hash_key(31, "table_id", "row_pos"))
+    one = first_rows(scanned, ["table_id"], ["_rnd", "row_pos"], 1, name="_k")
     values = F.array(*[F.coalesce(fx._spark_text(n, k, b), F.lit("nan")) for n, k, b in fx.ITEM_SHOWN])
     names = F.array(*[F.lit(n) for n, _, _ in fx.ITEM_SHOWN])
     want = tx.pick(5, ["table_id"], len(fx.ITEM_SHOWN))
@@ -374,13 +373,12 @@ _ROW = "CAST(o_orderkey AS STRING) || ', ' || o_orderstatus || ', ' || o_orderpr
 @reg.query(
     "build_row_summary",
     f"""WITH r AS (SELECT o_custkey, string_agg({_ROW}, '; ' ORDER BY o_orderkey) AS rows_text, 'table customer_' || CAST(o_custkey AS STRING) AS schema_text
-      FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k <= 3 GROUP BY 1)
+      FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) GROUP BY 1)
     SELECT o_custkey, {_template_sql("row_summary", {"rows": "rows_text"}, "CAST(o_custkey AS STRING)", 12)} AS instruction FROM r""",
 )
 def build_row_summary(spark, sf):
     orders = fx.load(spark, sf, "orders").select("o_custkey", "o_orderkey", F.expr(_ROW).alias("t"))
-    few = first_rows(orders, ["o_custkey"], ["o_orderkey"], 3)
-    lists = few.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "t"))).alias("r"))
+    lists = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "t"))).alias("r"))
     texts = lists.select(
         "o_custkey",
         F.array_join(F.transform("r", lambda x: x["t"]), "; ").alias("rows_text"),

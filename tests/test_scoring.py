@@ -182,3 +182,46 @@ def test_block_means_of_a_stream(spark, tmp_path):
     assert query_.awaitTermination(120)
     got = spark.read.parquet(f"{tmp_path}/out").orderBy("block_start").collect()
     assert [r.mean_value for r in got][:3] == [4.5, 14.5, 24.5] and all(r.n == 10 for r in got)
+
+
+def _exact(spark, gold, pred, maps=None):
+    nodes = scoring.paired_nodes(spark.createDataFrame([(1, "d", gold, pred)], "q int, db_id string, gold string, pred string"))
+    nodes = nodes if maps is None else scoring.with_key_map(nodes, maps)
+    return scoring.item_scores(nodes, "q").first()["exact"]
+
+
+_WHERE = '{{"where":{{"conds":[{{"neg":false,"op":"=","val":{{"op":"none","u1":{{"agg":"none","col":"__t.a__"}}}},"sub1":{}}}]}}}}'
+
+
+@pytest.mark.parametrize(
+    ("gold", "pred", "exact"),
+    [
+        ('{"where":{"conds":[{"op":"=","val1":5}]}}', '{"where":{"conds":[{"op":"=","val1":6}]}}', 1),
+        ('{"where":{"conds":[{"op":"=","val1":"a,\\"b"}]}}', '{"where": {"conds": [{"val1": -1.5, "op": "="}]}}', 1),
+        ('{"limit_rows":3,"distinct":true}', '{"distinct":true,"union":null,"limit_rows":3}', 1),
+        ('{"where":{"conds":[{"op":"=","val1":5}]}}', '{"where":{"conds":[{"op":">","val1":5}]}}', 0),
+    ],
+)
+def test_nested_queries_are_compared_by_content(spark, gold, pred, exact):
+    assert _exact(spark, _WHERE.format(gold), _WHERE.format(pred)) == exact
+
+
+def test_links_with_spaces_count(spark):
+    query = '{{"select":[],"union" : {{"select":[{{"agg":"none","val":{{"op":"none","u1":{{"agg":"none","col":"{}"}}}}}}]}}}}'
+    assert _exact(spark, query.format("__t.a__"), query.format("__t.b__")) == 0
+    assert _exact(spark, query.format("__t.a__"), query.format("__t.a__")) == 1
+
+
+def test_nested_queries_use_the_outermost_from(spark):
+    side = '{{"tables":[{{"kind":"table_unit","id":"__x__"}}],"union":{{"tables":[{{"kind":"table_unit","id":"__t__"}},{{"kind":"table_unit","id":"__u__"}}],"select":[{{"agg":"none","val":{{"op":"none","u1":{{"agg":"none","col":"{}"}}}}}}]}}}}'
+    maps = spark.createDataFrame([("d", [("__t.a__", "__t.a__"), ("__u.a__", "__t.a__")])], "db_id string, kmap array<struct<k:string,v:string>>")
+    assert _exact(spark, side.format("__t.a__"), side.format("__u.a__"), maps) == 0
+    outer = side.replace('"__x__"', '"__t__"}},{{"kind":"table_unit","id":"__u__"')
+    assert _exact(spark, outer.format("__t.a__"), outer.format("__u.a__"), maps) == 1
+
+
+def test_arithmetic_and_aggregates_outside_select(spark):
+    query = '{"order_by":[{"op":"-","u1":{"agg":"max","col":"__t.a__"},"u2":{"agg":"none","col":"__t.b__"}}]}'
+    row = spark.createDataFrame([(query,)], "q string").select(scoring.parse_query("q").alias("q"))
+    flags = row.select(*[c.alias(k) for k, c in scoring.condition_flags("q").items()]).first().asDict()
+    assert flags == {"has_or": False, "has_like": False, "has_sql": False, "has_op": True, "has_agg": True}
