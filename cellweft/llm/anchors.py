@@ -49,7 +49,7 @@ def find(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 #: Bytes that are looked at in one go; a longer text is taken in pieces that overlap by LENGTH - 1.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 
 def slices(texts: list[bytes]):

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from cellweft.llm import anchors
 from cellweft.llm import pretokens as pt
 from cellweft.llm.anchors import LENGTH
-from cellweft.llm.common import stored
+from cellweft.llm.common import grouped, stored
 
 #: Bytes of stretches that share a transform; an anchor's stretches stay together.
-CHUNK = 1 << 18
+CHUNK = 1 << 15
 #: Bits of the sketch that says which anchors occur more than once: 16 per such anchor, from and up to these.
 LEAST_BITS, MOST_BITS = 16, 30
 #: Text bytes per bucket of the count.
@@ -54,13 +54,15 @@ def shared_prefixes(text: np.ndarray, order: np.ndarray, length: int = LENGTH) -
     precedes, so c's interval is parted at first(c) + occ(c, z).
     """
     n = len(text)
-    symbols, code = np.unique(text, return_inverse=True)
-    last = code[order - 1]
+    count = np.bincount(text)
+    symbols = np.flatnonzero(count)
+    code = np.zeros(len(count), np.int64)
+    code[symbols] = np.arange(len(symbols))
+    first = np.cumsum(count[symbols]) - count[symbols]
     occ = np.zeros((n + 1, len(symbols)), np.int32)
-    occ[np.arange(1, n + 1), last] = 1
+    occ[0] = first
+    occ[np.arange(1, n + 1), code[text[order - 1]]] = 1
     np.cumsum(occ, axis=0, out=occ)
-    first = np.concatenate([[0], np.cumsum(occ[n])[:-1]]).astype(np.int32)
-    occ += first
     parted = np.zeros(n + 1, bool)
     parted[first] = parted[n] = True
     new = np.flatnonzero(parted[:n])
@@ -71,7 +73,9 @@ def shared_prefixes(text: np.ndarray, order: np.ndarray, length: int = LENGTH) -
         if not len(reached):
             break
         parted[reached] = True
-        new = np.unique(reached)
+        fresh = np.zeros(n, bool)
+        fresh[reached] = True
+        new = np.flatnonzero(fresh)
     return parted[:n]
 
 
@@ -217,14 +221,16 @@ def _removed(batches):
         runs = (starts[row] + head - edge[row]) * 64 + tail - head + 1
         return pa.RecordBatch.from_arrays([pa.array(docs[row]), pa.array(sums[row]), pa.array(runs)], ["doc_id", "crc", "run"])
 
-    held, size, last = [], 0, None
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != last and size >= CHUNK:
-                yield of(held)
-                held, size = [], 0
-            held.append(row)
-            size, last = size + len(row[1]), row[0]
+    held, size = [], 0
+    for rows in grouped(batches, 1):
+        docs = np.frombuffer(b"".join(r[2] for r in rows), np.int64)
+        if (docs == docs[0]).all():
+            continue  # one document repeats itself, or the sketch was wrong
+        held += rows
+        size += sum(len(r[1]) for r in rows)
+        if size >= CHUNK:
+            yield of(held)
+            held, size = [], 0
     if held:
         yield of(held)
 
