@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import regex
 
 OTHER, LETTER, DIGIT, SPACE = range(4)
@@ -160,7 +161,9 @@ def distinct(data: np.ndarray, marks: np.ndarray, hashes: np.ndarray) -> tuple[n
     Tokens are grouped by hash, then compared byte for byte with the first of their group.  Should two
     strings ever share a hash, every token becomes a kind of its own.
     """
-    _, place, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    kind, found = pd.factorize(hashes)
+    place = np.empty(len(found), np.int64)
+    place[kind[::-1]] = np.arange(len(hashes) - 1, -1, -1)
     starts, lengths = marks[:-1], np.diff(marks)
     if (lengths != lengths[place][kind]).any() or (gather(data, starts[place][kind], lengths) != data[marks[0] : marks[-1]]).any():
         return np.arange(len(starts)), np.arange(len(starts))

@@ -163,7 +163,8 @@ class LibraryEncoder:
             got = self.tokenizer.encode([k.decode() for k in new], is_pretokenized=True, add_special_tokens=False)
             ids = np.array(got.ids, np.uint32)
             sizes = np.bincount(np.array(got.word_ids, np.int64), minlength=len(new))
-            self.known.update(zip(new, np.split(ids, np.cumsum(sizes)[:-1]), strict=True))
+            ends = np.cumsum(sizes).tolist()
+            self.known.update(zip(new, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
         found = [self.known[k] for k in kinds]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         per_token = sizes[kind]
