@@ -56,11 +56,12 @@ def first_map(sizes: dict[int, int], shards: int, slots: int = SLOTS) -> dict[in
     return out
 
 
-def rebalance(current: dict[int, int], sizes: dict[int, int], shards: int) -> dict[int, int]:
+def rebalance(current: dict[int, int], sizes: dict[int, int], shards: int, slack: float = 0.01) -> dict[int, int]:
     """The map edited for another number of shards.
 
     Slots of shards that no longer exist go to the lightest ones.  Then the heaviest shard gives the lightest
-    its largest slot that narrows their gap, until no slot does.  All other slots stay.
+    its largest slot that narrows their gap, until the gap is slack times the mean or no slot narrows it.  All
+    other slots stay.
     """
     load = dict.fromkeys(range(shards), 0)
     held: dict[int, set[int]] = {s: set() for s in range(shards)}
@@ -82,7 +83,7 @@ def rebalance(current: dict[int, int], sizes: dict[int, int], shards: int) -> di
         heavy, light = max(load, key=lambda s: (load[s], -s)), min(load, key=lambda s: (load[s], s))
         gap = load[heavy] - load[light]
         fits = [v for v in held[heavy] if 0 < 2 * sizes.get(v, 0) <= gap]
-        if not fits:
+        if not fits or gap * shards <= slack * sum(load.values()):
             break
         vslot = max(fits, key=lambda v: (sizes[v], -v))
         held[heavy].remove(vslot)
