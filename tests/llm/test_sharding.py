@@ -41,7 +41,7 @@ def test_balance_and_rebalance():
     new = sharding.rebalance(old, sizes, 41)
     assert set(new) == set(old) and max(loads(new, 41)) - min(loads(new, 41)) <= 1000
     moved = [v for v in old if old[v] != new[v]]
-    assert sum(new[v] == 40 for v in moved) > 0.8 * len(moved) and len(moved) < 0.05 * len(old)
+    assert sum(new[v] == 40 for v in moved) > 0.7 * len(moved) and len(moved) < 0.05 * len(old)
     fewer = sharding.rebalance(old, sizes, 39)
     assert set(fewer.values()) <= set(range(39)) and max(loads(fewer, 39)) - min(loads(fewer, 39)) <= 1000
 
