@@ -48,8 +48,11 @@ def read_vectors(spark: SparkSession, path: str, db_id: str | None = None) -> Da
 
 
 def write_predictions(predictions: DataFrame, out: str, key: str = "question_id") -> None:
-    """Records as JSON, and predictions and gold as text lines in the same order."""
-    ordered = predictions.orderBy(key)
+    """Records as JSON, and predictions and gold as text lines in the same order.
+
+    Rows that share a key are ordered by what they say, so line n of both files is the same record.
+    """
+    ordered = predictions.orderBy(key, "pred", "gold", "db_id")
     predictions.write.mode("overwrite").json(f"{out}/model_output")
     ordered.select(one_line("pred").alias("value")).write.mode("overwrite").text(f"{out}/pred")
     ordered.select(format_gold_line("gold", "db_id").alias("value")).write.mode("overwrite").text(f"{out}/gold")
@@ -59,8 +62,11 @@ def resume_or_compute(todo: DataFrame, store: str, key: str, compute: Callable[[
     """Stored results, after the missing ones were computed and added."""
     spark = todo.sparkSession
     try:
-        missing = todo.join(spark.read.parquet(store).select(key), key, "left_anti")
-    except AnalysisException:  # nothing stored yet
-        missing = todo
+        stored = spark.read.parquet(store)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = None
+    missing = todo if stored is None else todo.join(stored.select(key), key, "left_anti")
     compute(missing).write.mode("append").parquet(store)
     return spark.read.parquet(store)

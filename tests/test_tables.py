@@ -5,6 +5,7 @@ import sqlite3
 import numpy as np
 from pyspark.sql import functions as F
 
+import pytest
 from cellweft.operators import corpus, describe, grid, pairs, profile
 from cellweft.sources import stores, tables
 
@@ -165,3 +166,19 @@ def test_numeric_tables_show_integers_as_floats(spark):
     cols = spark.createDataFrame([("n", 0, "a", "int64"), ("n", 1, "b", "float64"), ("m", 0, "a", "int64"), ("m", 1, "b", "object")], COLUMNS)
     got = {(r.table_id, r.col_idx): r.value for r in corpus.stringify(cells, cols, pandas_compat=True).collect()}
     assert got == {("n", 0): "1.0", ("n", 1): "2.5", ("m", 0): "1", ("m", 1): "nan"}
+
+
+def test_predictions_pair_up_and_resume_tells_errors_apart(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    from cellweft.sources import stores
+
+    rows = [(1, f"p{i}", f"g{i}", "d") for i in (3, 1, 2)] + [(0, "p0", "g0", "d")]
+    stores.write_predictions(spark.createDataFrame(rows, "question_id int, pred string, gold string, db_id string").repartition(3), f"{tmp_path}/p")
+    read = lambda name: [line for f in sorted((tmp_path / "p" / name).glob("part-*")) for line in f.read_text().splitlines()]
+    assert read("pred") == ["p0", "p1", "p2", "p3"] and [g.split("\t")[0] for g in read("gold")] == ["g0", "g1", "g2", "g3"]
+    todo = spark.range(3).withColumnRenamed("id", "k")
+    assert stores.resume_or_compute(todo, f"{tmp_path}/s", "k", lambda x: x).count() == 3
+    assert stores.resume_or_compute(todo, f"{tmp_path}/s", "k", lambda x: x).count() == 3
+    with pytest.raises(AnalysisException):
+        stores.resume_or_compute(todo.withColumnRenamed("k", "other"), f"{tmp_path}/s", "other", lambda x: x)
