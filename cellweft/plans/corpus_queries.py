@@ -95,7 +95,7 @@ def profile_columns(spark, sf):
 @reg.query("infer_primary_key", DB + " SELECT * FROM pk")
 def infer_primary_key(spark, sf):
     cells, columns = _cells_columns(spark, sf)
-    return profile.infer_primary_key(profile.profile_columns(profile.value_groups(cells), columns))
+    return profile.find_primary_key(cells, columns)
 
 
 def _examples_sql(limit: int, float_keep: int, exclude: str = "") -> str:

@@ -182,3 +182,16 @@ def test_predictions_pair_up_and_resume_tells_errors_apart(spark, tmp_path):
     assert stores.resume_or_compute(todo, f"{tmp_path}/s", "k", lambda x: x).count() == 3
     with pytest.raises(AnalysisException):
         stores.resume_or_compute(todo.withColumnRenamed("k", "other"), f"{tmp_path}/s", "other", lambda x: x)
+
+
+def test_primary_keys_by_sketch_equal_full_profiles(spark):
+    cells = [("t", r, 0, str(r % 500)) for r in range(1000)] + [("t", r, 1, str(r)) for r in range(1000)] + [("t", r, 2, None if r == 5 else str(r)) for r in range(1000)]
+    cells += [("u", r, 0, str(max(r, 1))) for r in range(1000)] + [("v", r, 0, "x" * (r + 1)) for r in range(3)]
+    df = spark.createDataFrame(cells, "table_id string, row_id bigint, col_idx int, value string")
+    columns = spark.createDataFrame(
+        [("t", 0, "a", "object"), ("t", 1, "b", "object"), ("t", 2, "c", "object"), ("u", 0, "a", "object"), ("v", 0, "k", "object"), ("w", 0, "empty", "object")],
+        "table_id string, col_idx int, col_name string, dtype string",
+    )
+    got = {tuple(r) for r in profile.find_primary_key(df, columns).collect()}
+    assert got == {("t", "b"), ("u", ""), ("v", "k"), ("w", "empty")}
+    assert got == {tuple(r) for r in profile.infer_primary_key(profile.profile_columns(profile.value_groups(df), columns)).collect()}
