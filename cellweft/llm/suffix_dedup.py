@@ -22,7 +22,7 @@ from cellweft.llm.anchors import LENGTH
 from cellweft.llm.common import grouped, stored
 
 #: Bytes of stretches that share a transform; an anchor's stretches stay together.
-CHUNK = 1 << 15
+CHUNK = 1 << 16
 #: Bits of the sketch that says which anchors occur more than once: 16 per such anchor, from and up to these.
 LEAST_BITS, MOST_BITS = 16, 30
 #: Text bytes per bucket of the count.
@@ -37,7 +37,7 @@ def sorted_suffixes(text: np.ndarray) -> np.ndarray:
         key = key << 9 | np.roll(text, -k)
     span = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if span >= LENGTH:
             return order
         ranks = np.empty(n, np.int64)
@@ -50,33 +50,26 @@ def sorted_suffixes(text: np.ndarray) -> np.ndarray:
 def shared_prefixes(text: np.ndarray, order: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Whether each suffix in order starts a new group of suffixes with length symbols in common.
 
-    Boundaries of value v lead to those of value v + 1: before boundary z stand occ(c, z) suffixes that c
-    precedes, so c's interval is parted at first(c) + occ(c, z).
+    The transform's column holds the symbol before each suffix, and its k-th c stands for the k-th suffix that
+    starts with c.  Extending all intervals of one value backwards by c so parts c's suffixes where their places
+    in the column lie in different intervals: boundaries of value v give those of v + 1.
     """
-    n = len(text)
-    count = np.bincount(text)
-    symbols = np.flatnonzero(count)
-    code = np.zeros(len(count), np.int64)
-    code[symbols] = np.arange(len(symbols))
-    first = np.cumsum(count[symbols]) - count[symbols]
-    occ = np.zeros((n + 1, len(symbols)), np.int32)
-    occ[0] = first
-    occ[np.arange(1, n + 1), code[text[order - 1]]] = 1
-    np.cumsum(occ, axis=0, out=occ)
-    parted = np.zeros(n + 1, bool)
-    parted[first] = parted[n] = True
-    new = np.flatnonzero(parted[:n])
+    column = text[order - 1].astype(np.uint16)
+    place = np.argsort(column, kind="stable").astype(np.int32)
+    parted = np.ones(len(text), bool)
+    first = column[place]
+    np.not_equal(first[1:], first[:-1], out=parted[1:])
+    whole = np.flatnonzero(~parted)
+    before, own = place[whole - 1], place[whole]
     for _ in range(length - 1):
-        # a boundary that every symbol's interval has already adds nothing
-        reached = occ[new].ravel()
-        reached = reached[~parted[reached]]
-        if not len(reached):
+        interval = np.cumsum(parted, dtype=np.int32)
+        new = interval[before] != interval[own]
+        if not new.any():
             break
-        parted[reached] = True
-        fresh = np.zeros(n, bool)
-        fresh[reached] = True
-        new = np.flatnonzero(fresh)
-    return parted[:n]
+        parted[whole[new]] = True
+        np.logical_not(new, out=new)
+        whole, before, own = whole[new], before[new], own[new]
+    return parted
 
 
 def window_minimum(stretches: list[bytes], first_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
