@@ -6,12 +6,17 @@ import sqlite3
 from collections.abc import Iterable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweft.functions.text import path_parts
 
 ROWS_SCHEMA = "db_id string, table_name string, row_id bigint, values array<string>"
+# Words that stand for a missing value.
+NULL_WORDS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
+    "n/a", "nan", "null",
+)
 # one field and the comma after it; every line gets a closing comma first
 _FIELD = '("(?:[^"]|"")*"|[^,]*),'
 
@@ -41,20 +46,45 @@ def discover_tables(spark: SparkSession, root: str, extension: str = "csv") -> D
     return files.select("path", db_id.alias("db_id"), table.alias("table_name"), F.col("length").alias("n_bytes"))
 
 
-def _fields(line: Column) -> Column:
-    """The fields of one CSV line; an empty field is null."""
+def _fields(line: Column, null_words: Iterable[str] = ("",)) -> Column:
+    """The fields of one CSV record; a null word is null."""
     raw = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(_FIELD), F.lit(1))
     quoted = lambda x: F.startswith(x, F.lit('"'))
     bare = lambda x: F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
-    return F.transform(raw, lambda x: F.when(x == "", F.lit(None)).when(quoted(x), bare(x)).otherwise(x))
+    plain = F.transform(raw, lambda x: F.when(quoted(x), bare(x)).otherwise(x))
+    return F.transform(plain, lambda x: F.when(~x.isin(*null_words), x))
 
 
-def read_csv_corpus(spark: SparkSession, root: str, folder_is_table: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _records(lines: DataFrame) -> DataFrame:
+    """Lines put together where a line break stands inside quotes.
+
+    A record goes on while its quotes are open, which only a file's own order can tell, so a file with such
+    lines is the unit of work; all other files keep their splits.
+    """
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    marked = lines.withColumn("odd", odd % 2)
+    broken = marked.groupBy("path").agg(F.max("odd").alias("any")).where("any = 1").select("path")
+    order = Window.partitionBy("path").orderBy("file_start", "line_id")
+    earlier = F.coalesce(F.sum("odd").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fresh = (earlier % 2 == 0).cast("int")
+    within = marked.join(broken, "path", "left_semi").withColumn("fresh", fresh)
+    within = within.withColumn("record", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = within.groupBy("path", "record").agg(F.array_sort(F.collect_list(F.struct("file_start", "line_id", "value"))).alias("l"))
+    joined = joined.select(
+        "path", F.col("l")[0]["file_start"].alias("file_start"), F.col("l")[0]["line_id"].alias("line_id"), F.array_join("l.value", "\n").alias("value")
+    )
+    return marked.drop("odd").join(broken, "path", "left_anti").select(*joined.columns).unionByName(joined)
+
+
+def read_csv_corpus(
+    spark: SparkSession, root: str, folder_is_table: bool = False, null_words: Iterable[str] = NULL_WORDS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All CSV files below a folder, whatever their columns: (rows, columns, rejects).
 
     rows(table_id, file_start, line_id, values) order by (file_start, line_id); columns has the inferred
-    dtypes; a table with a line that does not fit its header is left out and listed in rejects.  Lines are
-    read as text, so a large file is split over many tasks.  With `folder_is_table` all files of a folder
+    dtypes; a table with a record of more fields than its header is left out and listed in rejects.  A short
+    record is filled with nulls, empty lines are skipped, and quotes may hold line breaks.  Lines are read
+    as text, so a large file is split over many tasks.  With `folder_is_table` all files of a folder
     are one table, as Spark writes it, and the table's name is the folder's.
     """
     text = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(root)
@@ -65,6 +95,7 @@ def read_csv_corpus(spark: SparkSession, root: str, folder_is_table: bool = Fals
         F.monotonically_increasing_id().alias("line_id"),
         "value",
     )
+    lines = _records(lines).where("value != ''")
     heads = (
         lines.where("file_start = 0").groupBy("path").agg(F.min("line_id").alias("head_id"), F.min_by("value", "line_id").alias("head"))
     )
@@ -72,11 +103,12 @@ def read_csv_corpus(spark: SparkSession, root: str, folder_is_table: bool = Fals
     body = (
         lines.join(heads, "path")
         .where("NOT (file_start = 0 AND line_id = head_id)")
-        .select(table.alias("table_id"), "file_start", "line_id", _fields(F.col("value")).alias("values"), _fields(F.col("head")).alias("names"))
+        .select(table.alias("table_id"), "file_start", "line_id", _fields(F.col("value"), null_words).alias("values"), F.size(_fields(F.col("head"))).alias("width"))
     )
-    misfit = F.size("values") != F.size("names")
+    misfit = F.size("values") > F.col("width")
+    filled = F.concat("values", F.transform(F.array_repeat(F.lit(0), F.col("width") - F.size("values")), lambda _: F.lit(None).cast("string")))
     rejects = body.where(misfit).groupBy("table_id").agg(F.count(F.lit(1)).alias("n_bad"), F.lit("line does not fit header").alias("reason"))
-    good = body.join(rejects.select("table_id"), "table_id", "left_anti")
+    good = body.join(rejects.select("table_id"), "table_id", "left_anti").withColumn("values", filled)
     named = heads.select(table.alias("table_id"), F.posexplode(_fields(F.col("head"))).alias("col_idx", "col_name")).distinct()
     named = named.join(rejects.select("table_id"), "table_id", "left_anti")
     cells = good.select("table_id", F.posexplode("values").alias("col_idx", "value"))

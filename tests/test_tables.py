@@ -195,3 +195,24 @@ def test_primary_keys_by_sketch_equal_full_profiles(spark):
     got = {tuple(r) for r in profile.find_primary_key(df, columns).collect()}
     assert got == {("t", "b"), ("u", ""), ("v", "k"), ("w", "empty")}
     assert got == {tuple(r) for r in profile.infer_primary_key(profile.profile_columns(profile.value_groups(df), columns)).collect()}
+
+
+def test_csv_as_people_write_it(spark, tmp_path):
+    shop = tmp_path / "shop"
+    shop.mkdir()
+    (shop / "broken.csv").write_text('id,note,n\n1,"two\nlines, ""quoted""\n\nand more",5\n\n2,NA,N/A\n3\n4,"",6\n')
+    (shop / "plain.csv").write_text("a,b\n1,x\n\n2,null\n3\n")
+    (shop / "head.csv").write_text('"two\nlines",b\n1,2\n')
+    (shop / "bad.csv").write_text("a,b\n1,2,3\n")
+    rows, columns, rejects = tables.read_csv_corpus(spark, str(tmp_path))
+    got = {}
+    for r in rows.orderBy("table_id", "file_start", "line_id").collect():
+        got.setdefault(r.table_id, []).append(r["values"])
+    assert got == {
+        "shop/broken": [["1", 'two\nlines, "quoted"\n\nand more', "5"], ["2", None, None], ["3", None, None], ["4", None, "6"]],
+        "shop/plain": [["1", "x"], ["2", None], ["3", None]],
+        "shop/head": [["1", "2"]],
+    }
+    kinds = {(r.table_id, r.col_name): r.dtype for r in columns.collect()}
+    assert kinds[("shop/broken", "n")] == "float64" and kinds[("shop/broken", "id")] == "int64" and ("shop/head", "two\nlines") in kinds
+    assert [(r.table_id, r.n_bad) for r in rejects.collect()] == [("shop/bad", 1)]
