@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cellweft.functions import vectors as vec
 from cellweft.functions.sequences import words
-from cellweft.operators.joins import join_small
+from cellweft.operators.joins import join_hot, join_small
 
 TEMPERATURE = 0.07
 POOL_FLOOR = 1e-9
@@ -149,7 +149,7 @@ def embed_cells(cells: DataFrame, embed: Callable[[Column], Column], distinct: b
     if not distinct:
         return filled.withColumn("vector", embed(F.col("value")))
     vectors = filled.select("value").distinct().withColumn("vector", embed(F.col("value")))
-    return filled.join(vectors, "value")
+    return join_hot(filled, vectors, "value")
 
 
 def model_hook(encode: Callable[[pd.Series], pd.Series]) -> Callable[[Column], Column]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweft.functions import sequences as seq
-from cellweft.operators.joins import join_small
+from cellweft.operators.joins import join_hot, join_small
 from cellweft.operators.ordering import with_position
 from cellweft.session import use_checkpoints
 
@@ -68,7 +68,7 @@ def tokenise_by_vocabulary(texts: DataFrame, key: str, text: str, vocab: DataFra
     """Ids of a text by a vocabulary join.  Each word of a text is joined once, with all its positions."""
     placed = texts.select(key, F.posexplode(seq.words(text)).alias("pos", "word"))
     once = placed.groupBy(key, "word").agg(F.collect_list("pos").alias("at"))
-    found = once.join(vocab.select("word", "id"), "word")
+    found = join_hot(once, vocab.select("word", "id"), "word")
     # the array holds one text's tokens
     back = found.groupBy(key).agg(F.collect_list(F.struct("id", "at")).alias("w"))
     items = F.flatten(F.transform("w", lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("p"), x["id"].alias("i")))))

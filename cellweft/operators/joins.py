@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellweft.operators.ordering import HOT_ROWS, hot_keys
+
 SMALL_ROWS = 50_000
 SMALL_BYTES = 16 << 20
 
@@ -37,3 +39,18 @@ def join_small(df: DataFrame, dim: DataFrame, on: str | list[str], how: str = "i
     partitions.
     """
     return df.join(F.broadcast(dim) if is_small(dim, small_rows) else dim, on, how)
+
+
+def join_hot(df: DataFrame, dim: DataFrame, on: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join with a dimension of unique keys, any of which may stand for a large part of the rows.
+
+    The largest keys, 1023 at most, are joined by a broadcast of their few dimension rows; all other keys by a
+    shuffle, where none of them is large.
+    """
+    hot = hot_keys(df, [on], hot_rows)
+    if hot is None:
+        return df.join(dim, on)
+    hot = F.broadcast(hot)
+    few = F.broadcast(dim.join(hot, on, "left_semi"))
+    rest = df.join(hot, on, "left_anti").join(dim, on)
+    return rest.unionByName(df.join(few, on).select(*rest.columns))

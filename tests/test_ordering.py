@@ -103,3 +103,13 @@ def test_permutation_is_a_bijection(spark):
     cols = spark.createDataFrame([("a", i) for i in range(6)] + [("b", 0)], "table_id string, col_idx int")
     got = sampling.permute_columns(cols, 3).collect()
     assert sorted(r.pos for r in got if r.table_id == "a") == list(range(6)) == sorted(r.src_idx for r in got if r.table_id == "a")
+
+
+def test_hot_keys_are_joined_apart(spark):
+    from cellweft.operators.joins import join_hot
+
+    rows = spark.range(1000).select((F.col("id") % 7).alias("k"), "id").withColumn("k", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("k")))
+    dim = spark.range(6).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    want = sorted(tuple(r) for r in rows.join(dim, "k").collect())
+    assert sorted(tuple(r) for r in join_hot(rows, dim, "k", hot_rows=100).collect()) == want
+    assert sorted(tuple(r) for r in join_hot(rows, dim, "k").collect()) == want
