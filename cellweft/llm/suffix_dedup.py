@@ -24,7 +24,7 @@ from cellweft.llm.common import grouped, stored
 #: Bytes of stretches that share a transform; an anchor's stretches stay together.
 CHUNK = 1 << 16
 #: Bits of the sketch that says which anchors occur more than once: 16 per such anchor, from and up to these.
-LEAST_BITS, MOST_BITS = 16, 30
+LEAST_BITS, MOST_BITS = 16, 29
 #: Text bytes per bucket of the count.
 BUCKET_BYTES = 1 << 21
 

@@ -9,7 +9,7 @@ from cellweft.llm import bpe, decontamination, jaccard_join, language_id, suffix
 from cellweft.llm.common import stored
 
 #: Documents with a lower mean probability for their best language are in none.
-LEAST_LANGUAGE_SCORE = 0.4
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
