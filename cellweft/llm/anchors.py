@@ -7,6 +7,8 @@ has one about every (LENGTH - GRAM) / 2 bytes.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 from cellweft.llm import pretokens as pt
@@ -52,7 +54,7 @@ def find(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 SLICE = 1 << 20
 
 
-def slices(texts: list[bytes]):
+def slices(texts: Iterable[bytes]):
     """(bytes, ends of the pieces, number of each piece's text, offset of each piece in its text)."""
     parts, owners, offsets, size = [], [], [], 0
     for i, text in enumerate(texts):

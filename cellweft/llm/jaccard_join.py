@@ -31,7 +31,7 @@ STEP = 16
 TOLERANCE = 1e-7
 BLOCK = 512
 #: Characters that are hashed in one go.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def multipliers() -> np.ndarray:

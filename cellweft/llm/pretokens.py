@@ -16,7 +16,7 @@ import regex
 
 OTHER, LETTER, DIGIT, SPACE = range(4)
 #: Characters that are split in one go; a longer text is cut where the split is sure to fall.
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: The endings that the public pattern splits off after an apostrophe.
 SHORT_ENDINGS = "stmd"
 LONG_ENDINGS = ("re", "ve", "ll")
@@ -118,16 +118,18 @@ def _split_contractions(points: np.ndarray, start: np.ndarray, first: np.ndarray
         start[after[after < n]] = True
 
 
-@cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of FACTOR and of INVERSE, as many as 2**bits."""
-    with np.errstate(over="ignore"):
-        out = []
-        for base in (FACTOR, INVERSE):
-            p = np.full(1 << bits, base, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_kept_powers: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least n powers of FACTOR and of INVERSE; one table of each is kept, the longest so far."""
+    if len(_kept_powers[0]) < n:
+        with np.errstate(over="ignore"):
+            for i, base in enumerate((FACTOR, INVERSE)):
+                p = np.full(n + n // 4, base, np.uint64)
+                p[0] = 1
+                _kept_powers[i] = np.multiply.accumulate(p)
+    return _kept_powers
 
 
 def token_hashes(data: np.ndarray, marks: np.ndarray) -> np.ndarray:
@@ -137,10 +139,14 @@ def token_hashes(data: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, from one running sum over all bytes."""
-    up, down = _powers(max(20, int(len(data)).bit_length()))
+    up, down = _powers(len(data) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        own = sums[1:]
+        own[:] = data
+        own += np.uint64(1)
+        own *= up[: len(data)]
+        np.cumsum(own, out=own)
         own = (sums[ends] - sums[starts]) * down[starts]
         own ^= own >> np.uint64(32)
         own *= np.uint64(0xD6E8FEB86659FD93)

@@ -95,7 +95,7 @@ def _hash_parts(buckets: int):
     def run(batches):
         for batch in batches:
             found = []
-            for data, ends, _, _ in anchors.slices([t.encode("utf-8") for t in batch.column(0).to_pylist()]):
+            for data, ends, _, _ in anchors.slices(t.as_py().encode("utf-8") for t in batch.column(0)):
                 place, hashes, _, _ = anchors.find(data, ends)
                 found.append(hashes.view(np.uint64))
             hashes = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
@@ -161,7 +161,7 @@ def _stretches(sketch, bits: int):
         words = sketch.value
         for batch in batches:
             doc_ids, own = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for data, ends, owners, offsets in anchors.slices([t.encode("utf-8") for t in batch.column(0).to_pylist()]):
+            for data, ends, owners, offsets in anchors.slices(t.as_py().encode("utf-8") for t in batch.column(0)):
                 _, hashes, first, last = anchors.find(data, ends)
                 a, b = _probes(hashes, bits)
                 one, low = np.uint64(1), np.uint64(63)
