@@ -38,7 +38,7 @@ BLOCK = 4096
 #: A segment closes when it holds so many ids.
 SEGMENT = 1 << 20
 #: Strings whose ids a task remembers; the memory starts anew when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 END_ID = 2
 
 
@@ -146,7 +146,20 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """known: the number of each remembered string, whose ids lie in flat from starts on."""
+        self.known: dict[bytes, int] = {}
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, new: list[bytes]) -> None:
+        got = self.tokenizer.encode([k.decode() for k in new], is_pretokenized=True, add_special_tokens=False)
+        sizes = np.bincount(np.array(got.word_ids, np.int64), minlength=len(new))
+        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.flat = np.append(self.flat, np.array(got.ids, np.uint32))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
 
     def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all parts and the number of ids per part."""
@@ -157,20 +170,15 @@ class LibraryEncoder:
         raw = data.tobytes()
         kinds = [raw[a:b] for a, b in zip(marks[:-1][place].tolist(), marks[1:][place].tolist(), strict=True)]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [k for k in kinds if k not in self.known]
+            self._forget()
+        new = [k for k in dict.fromkeys(kinds) if k not in self.known]
         if new:
-            got = self.tokenizer.encode([k.decode() for k in new], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, np.uint32)
-            sizes = np.bincount(np.array(got.word_ids, np.int64), minlength=len(new))
-            ends = np.cumsum(sizes).tolist()
-            self.known.update(zip(new, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-        found = [self.known[k] for k in kinds]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        per_token = sizes[kind]
+            self._learn(new)
+        row = np.fromiter(map(self.known.__getitem__, kinds), np.int64, len(kinds))
+        per_token = self.sizes[row][kind]
         total = np.concatenate([[0], np.cumsum(per_token)])
         edge = np.concatenate([[0], np.cumsum(counts)])
-        return pt.gather(np.concatenate(found), (np.cumsum(sizes) - sizes)[kind], per_token), np.diff(total[edge])
+        return pt.gather(self.flat, self.starts[row][kind], per_token), np.diff(total[edge])
 
 
 @lru_cache(maxsize=2)
