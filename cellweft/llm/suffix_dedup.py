@@ -5,6 +5,7 @@ doc_id.  Windows of LENGTH bytes meet by their anchor (see anchors.py): anchors
 others send the stretch of text that their windows cover to one task.  A task builds a Burrows-Wheeler
 transform of the different stretches and extends intervals backwards, breadth first, so that common
 prefixes come out by increasing value; it stops at LENGTH, and what is then still together shares LENGTH bytes.
+Anchors that occur very often go no such way: their windows are grouped by their bytes, over all tasks.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from cellweft.llm.common import grouped, stored
 
 #: Bytes of stretches that share a transform; an anchor's stretches stay together.
 CHUNK = 1 << 16
+#: An anchor that occurs so often is not brought to one task.
+HOT = 1 << 14
 #: Bits of the sketch that says which anchors occur more than once: 16 per such anchor, from and up to these.
 LEAST_BITS, MOST_BITS = 16, 29
 #: Text bytes per bucket of the count.
@@ -90,7 +93,7 @@ def window_minimum(stretches: list[bytes], first_doc: np.ndarray) -> tuple[np.nd
 
 
 def _hash_parts(buckets: int):
-    """Per batch and bucket the hashes of all anchors, a hash twice at most."""
+    """Per batch and bucket the hashes of all anchors, a hash twice at most; more has (hash, further times)."""
 
     def run(batches):
         for batch in batches:
@@ -101,33 +104,42 @@ def _hash_parts(buckets: int):
             hashes = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
             third = np.zeros(len(hashes), bool)
             third[2:] = (hashes[2:] == hashes[:-2])
+            again, times = np.unique(hashes[third], return_counts=True)
+            further = np.stack([again, times.astype(np.uint64)], axis=1)
             hashes = hashes[~third]
             bucket = (hashes % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             names, at = np.unique(bucket[order], return_index=True)
             parts = [x.tobytes() for x in np.split(hashes[order], at[1:])] if len(names) else []
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(parts, pa.binary())], ["bucket", "hashes"])
+            own = (further[:, 0] % np.uint64(buckets)).astype(np.int64)
+            further = further[np.argsort(own, kind="stable")]
+            more = [x.tobytes() for x in np.split(further, np.searchsorted(np.sort(own), names[1:]))] if len(names) else []
+            arrays = [pa.array(names, pa.int64()), pa.array(parts, pa.binary()), pa.array(more, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["bucket", "hashes", "more"])
 
     return run
 
 
 def _repeated(batches):
-    """The hashes that occur more than once in a bucket, as places in the sketch's hash space."""
+    """The hashes that occur more than once in a bucket, as places in the sketch's hash space, and how often."""
 
-    def of(parts):
+    def of(parts, more):
         values, counts = np.unique(np.frombuffer(b"".join(parts), np.uint64), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(values[counts > 1].view(np.int64))], ["h"])
+        further = np.frombuffer(b"".join(more), np.uint64).reshape(-1, 2)
+        np.add.at(counts, np.searchsorted(values, further[:, 0]), further[:, 1].astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(values[counts > 1].view(np.int64)), pa.array(counts[counts > 1])], ["h", "times"])
 
-    held, bucket = [], None
+    held, further, bucket = [], [], None
     for batch in batches:
-        for b, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for b, part, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if b != bucket and held:
-                yield of(held)
-                held = []
+                yield of(held, further)
+                held, further = [], []
             bucket = b
             held.append(part)
+            further.append(more)
     if held:
-        yield of(held)
+        yield of(held, further)
 
 
 def _probes(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,15 +166,22 @@ def sketch_of(repeated: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return out, bits
 
 
-def _stretches(sketch, bits: int):
-    """Each different stretch of a batch whose anchor may repeat, with the documents and places it has there."""
+def _stretches(sketch, bits: int, hot, of_hot: bool):
+    """Each different stretch of a batch whose anchor may repeat, with the documents and places it has there.
+
+    hot are the sorted hashes of the anchors that occur very often: only these, or all others.
+    """
 
     def run(batches):
-        words = sketch.value
+        words, often = sketch.value, hot.value
         for batch in batches:
             doc_ids, own = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for data, ends, owners, offsets in anchors.slices(t.as_py().encode("utf-8") for t in batch.column(0)):
                 _, hashes, first, last = anchors.find(data, ends)
+                if len(often):
+                    is_hot = often[np.minimum(np.searchsorted(often, hashes), len(often) - 1)] == hashes
+                    part = np.flatnonzero(is_hot == of_hot)
+                    hashes, first, last = hashes[part], first[part], last[part]
                 a, b = _probes(hashes, bits)
                 one, low = np.uint64(1), np.uint64(63)
                 keep = np.flatnonzero((words[a >> np.uint64(6)] >> (a & low)) & (words[b >> np.uint64(6)] >> (b & low)) & one)
@@ -228,6 +247,57 @@ def _removed(batches):
         yield of(held)
 
 
+def _spans(batches):
+    """stretch, its first and last document in a row of places, and the number of places."""
+    for batch in batches:
+        docs = [np.frombuffer(d, np.int64) for d in batch.column(1).to_pylist()]
+        numbers = ([f(d) for d in docs] for f in (np.min, np.max, len))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(n, pa.int64()) for n in numbers)], ["stretch", "first", "last", "n"])
+
+
+def _marked(batches):
+    """doc_id, crc and runs as of _removed, from rows of places with the windows of their stretch that some document loses."""
+    for batch in batches:
+        found = [np.zeros((0, 3), np.int64)]
+        for stretch, docs, sums, starts, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            docs, sums, starts = (np.frombuffer(x, np.int64) for x in (docs, sums, starts))
+            least = np.full(len(stretch) - LENGTH + 1, np.iinfo(np.int64).max)
+            least[[m["at"] for m in marks]] = [m["least"] for m in marks]
+            gone = np.pad(least < docs[:, None], ((0, 0), (1, 1)))
+            edges = np.diff(gone.astype(np.int8), axis=1)
+            row, head = np.nonzero(edges == 1)
+            tail = np.nonzero(edges == -1)[1]
+            found.append(np.stack([docs[row], sums[row], (starts[row] + head) * 64 + tail - head], axis=1))
+        both = np.concatenate(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in range(3)], ["doc_id", "crc", "run"])
+
+
+def _joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on a key that right has once; keys of HOT or more left rows, as right's n says, are not shuffled."""
+    often, rest = F.broadcast(right.where(F.col("n") >= HOT).drop("n")), right.where(F.col("n") < HOT).drop("n")
+    return left.join(often, key).unionByName(left.join(often.select(key), key, "left_anti").join(rest, key))
+
+
+def hot_runs(places: DataFrame) -> DataFrame:
+    """doc_id, crc and runs of the stretches of anchors that occur very often, with no key in one task.
+
+    The first document of each different stretch, then of each different window; windows that some document
+    loses go back to their stretches and these to their places.  Of what is broadcast there is a row per HOT occurrences.
+    """
+    kinds = places.select("stretch", "docs").mapInArrow(_spans, "stretch binary, first long, last long, n long")
+    kinds = kinds.groupBy("stretch").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    kinds = stored(kinds, "hot_kinds")
+    cut = F.transform(F.sequence(F.lit(1), F.length("stretch") - LENGTH + 1), lambda i: F.substring(F.col("stretch"), i, F.lit(LENGTH)))
+    windows = kinds.select("stretch", "first", "last", F.posexplode(cut).alias("at", "window"))
+    least = windows.groupBy("window").agg(F.min("first").alias("least"), F.max("last").alias("most"), F.count("*").alias("n"))
+    least = stored(least.where("least < most").drop("most"), "hot_windows")
+    lost = _joined(windows.drop("first"), least, "window").where("least < last")
+    marks = lost.groupBy("stretch").agg(F.collect_list(F.struct("at", "least")).alias("marks"))
+    marks = stored(kinds.select("stretch", "n").join(marks, "stretch"), "hot_marks")
+    both = _joined(places.drop("h"), marks, "stretch").select("stretch", "docs", "sums", "starts", "marks")
+    return both.mapInArrow(_marked, "doc_id long, crc long, run long")
+
+
 def _covered(runs: np.ndarray, n: int) -> np.ndarray:
     """Whether each of n bytes is covered by a removed window."""
     edges = np.zeros(n + 1, np.int64)
@@ -262,15 +332,19 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     text = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     total = text.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(16, int(total // BUCKET_BYTES))
-    parts = text.select("text").mapInArrow(_hash_parts(buckets), "bucket long, hashes binary")
+    parts = text.select("text").mapInArrow(_hash_parts(buckets), "bucket long, hashes binary, more binary")
     parts = parts.repartition("bucket").sortWithinPartitions("bucket")
-    repeated = stored(parts.mapInArrow(_repeated, "h long"), "repeated")
-    words, bits = sketch_of(repeated, repeated.count())
-    sketch = spark.sparkContext.broadcast(words)
+    repeated = stored(parts.mapInArrow(_repeated, "h long, times long"), "repeated")
+    words, bits = sketch_of(repeated.select("h"), repeated.count())
+    often = np.sort(repeated.where(F.col("times") >= HOT).select("h").toArrow().column(0).to_numpy())
+    sketch, hot = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(often)
     keyed = text.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.col("text").cast("binary")).alias("crc"))
-    found = keyed.mapInArrow(_stretches(sketch, bits), "h long, stretch binary, docs binary, sums binary, starts binary")
+    schema = "h long, stretch binary, docs binary, sums binary, starts binary"
+    found = keyed.mapInArrow(_stretches(sketch, bits, hot, False), schema)
     found = found.repartition("h").sortWithinPartitions("h")
     runs = found.mapInArrow(_removed, "doc_id long, crc long, run long")
+    if len(often):
+        runs = runs.unionByName(hot_runs(stored(keyed.mapInArrow(_stretches(sketch, bits, hot, True), schema), "hot")))
     return runs.groupBy("doc_id", "crc").agg(F.collect_list("run").alias("runs"))
 
 

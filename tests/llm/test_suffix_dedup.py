@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -89,3 +90,30 @@ def test_text_left(spark):
     rows = [(1, long), (2, "x" + long + "y"), (3, None)]
     left = {r["doc_id"]: r["left"] for r in suffix_dedup.dedup(frame(spark, rows), with_text=True).collect()}
     assert left == {1: long, 2: "xy", 3: None}
+
+
+def test_frequent_anchors_are_not_brought_to_one_task(spark, monkeypatch):
+    rng = random.Random(8)
+    line = "the same forty bytes stand in every text"
+    rows = samples(2) + [(1000 + i, "".join(rng.choices("abc ", k=40)) + line + "".join(rng.choices("ab", k=rng.randint(0, 40)))) for i in range(60)]
+    rows += [(2000 + i, "-" * 70 + line * (i % 3)) for i in range(40)]
+    whole, large = suffix_dedup._removed, spark.sparkContext.accumulator(0)
+    for hot in (30, 2):
+
+        def counted(batches, hot=hot):
+            times = Counter()
+
+            def seen():
+                for batch in batches:
+                    for h, docs in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                        times[h] += len(docs) // 8
+                    yield batch
+
+            yield from whole(seen())
+            large.add(sum(n >= hot for n in times.values()))
+
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        monkeypatch.setattr(suffix_dedup, "_removed", counted)
+        got = suffix_dedup.dedup(frame(spark, rows)).collect()
+        assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert large.value == 0
