@@ -9,6 +9,8 @@ from cellweft.operators.joins import join_small
 
 COL = ["table_id", "col_idx"]
 SHORTEN_AT = 80
+#: Columns of so few rows are not judged by a sketch: one collision is a large share of them.
+FEW_ROWS = 1000
 
 
 def value_groups(cells: DataFrame) -> DataFrame:
@@ -55,12 +57,14 @@ def find_primary_key(cells: DataFrame, columns: DataFrame, error: float = 0.02)
     """The same as infer_primary_key over full profiles, without a shuffle of all values.
 
     A sketch of distinct values, which is merged per task, rules out columns that repeat themselves; five
-    deviations of its error are left for chance.  Only what remains is grouped by value.
+    deviations of its error are left for chance, and columns of up to FEW_ROWS rows are all kept.  Only what
+    remains is grouped by value.
     """
     stats = cells.groupBy(*COL).agg(
         F.count(F.lit(1)).alias("_n"), F.count("value").alias("_full"), F.approx_count_distinct("value", error).alias("_about")
     )
-    likely = columns.join(stats, COL, "left").where(F.col("_n").isNull() | ((F.col("_n") == F.col("_full")) & (F.col("_about") >= F.col("_n") * (1 - 5 * error))))
+    many = (F.col("_n") <= FEW_ROWS) | (F.col("_about") >= F.col("_n") * (1 - 5 * error))
+    likely = columns.join(stats, COL, "left").where(F.col("_n").isNull() | ((F.col("_n") == F.col("_full")) & many))
     repeated = (
         join_small(cells.select(*COL, "value"), likely.select(*COL), COL, "left_semi")
         .groupBy(*COL, "value")

@@ -216,3 +216,9 @@ def test_csv_as_people_write_it(spark, tmp_path):
     kinds = {(r.table_id, r.col_name): r.dtype for r in columns.collect()}
     assert kinds[("shop/broken", "n")] == "float64" and kinds[("shop/broken", "id")] == "int64" and ("shop/head", "two\nlines") in kinds
     assert [(r.table_id, r.n_bad) for r in rejects.collect()] == [("shop/bad", 1)]
+
+
+def test_primary_keys_of_many_small_tables(spark):
+    cells = spark.range(20000 * 9).selectExpr("concat('t', id div 9) AS table_id", "id % 9 AS row_id", "0 AS col_idx", "concat('v', id) AS value")
+    columns = spark.range(20000).selectExpr("concat('t', id) AS table_id", "0 AS col_idx", "'k' AS col_name", "'object' AS dtype")
+    assert profile.find_primary_key(cells, columns).where("primary_key = 'k'").count() == 20000
