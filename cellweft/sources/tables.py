@@ -19,6 +19,10 @@ NULL_WORDS = (
 )
 # one field and the comma after it; every line gets a closing comma first
 _FIELD = '("(?:[^"]|"")*"|[^,]*),'
+# all fields of a line that begins outside quotes, and a last one whose quote stays open
+_OPENS = '^(?:"[^"]*+(?:""[^"]*+)*+",|[^",][^,]*+,|,)*+"[^"]*+(?:""[^"]*+)*+$'
+# the same of a line that begins inside quotes
+_GOES_ON = '^[^"]*+(?:""[^"]*+)*+(?:$|",(?:"[^"]*+(?:""[^"]*+)*+",|[^",][^,]*+,|,)*+"[^"]*+(?:""[^"]*+)*+$)'
 
 
 def extract_tables(tables: Mapping[tuple[str, str], DataFrame], out: str) -> None:
@@ -58,22 +62,29 @@ def _fields(line: Column, null_words: Iterable[str] = ("",)) -> Column:
 def _records(lines: DataFrame) -> DataFrame:
     """Lines put together where a line break stands inside quotes.
 
-    A record goes on while its quotes are open, which only a file's own order can tell, so a file with such
-    lines is the unit of work; all other files keep their splits.
+    A record goes on while a quoted field is open, which only a file's own order can tell, so a file with such
+    lines is the unit of work; all other files keep their splits.  A quote inside an unquoted field is text.
+    Each line says whether it leaves a field open, if it begins outside quotes and if it begins inside; where both
+    agree the state is known whatever came before, and from there lines keep it or turn it round.
     """
-    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    marked = lines.withColumn("odd", odd % 2)
-    broken = marked.groupBy("path").agg(F.max("odd").alias("any")).where("any = 1").select("path")
+    opens, goes_on = F.rlike("value", F.lit(_OPENS)).cast("int"), F.rlike("value", F.lit(_GOES_ON)).cast("int")
+    marked = lines.withColumn("opens", opens).withColumn("goes_on", goes_on)
+    broken = marked.groupBy("path").agg(F.max("opens").alias("any")).where("any = 1").select("path")
     order = Window.partitionBy("path").orderBy("file_start", "line_id")
-    earlier = F.coalesce(F.sum("odd").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    fresh = (earlier % 2 == 0).cast("int")
-    within = marked.join(broken, "path", "left_semi").withColumn("fresh", fresh)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    within = marked.join(broken, "path", "left_semi").withColumn("turns", F.sum((F.col("opens") > F.col("goes_on")).cast("int")).over(so_far))
+    # the last line that settles the state: what it leaves, and the turns until then
+    known = F.last(F.when(F.col("opens") == F.col("goes_on"), F.struct("opens", "turns")), ignorenulls=True).over(so_far)
+    within = within.withColumn("known", known)
+    left_open = (F.coalesce(F.col("known.opens"), F.lit(0)) + F.col("turns") - F.coalesce(F.col("known.turns"), F.lit(0))) % 2
+    within = within.withColumn("left_open", left_open)
+    within = within.withColumn("fresh", (F.coalesce(F.lag("left_open").over(order), F.lit(0)) == 0).cast("int"))
     within = within.withColumn("record", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     joined = within.groupBy("path", "record").agg(F.array_sort(F.collect_list(F.struct("file_start", "line_id", "value"))).alias("l"))
     joined = joined.select(
         "path", F.col("l")[0]["file_start"].alias("file_start"), F.col("l")[0]["line_id"].alias("line_id"), F.array_join("l.value", "\n").alias("value")
     )
-    return marked.drop("odd").join(broken, "path", "left_anti").select(*joined.columns).unionByName(joined)
+    return marked.join(broken, "path", "left_anti").select(*joined.columns).unionByName(joined)
 
 
 def read_csv_corpus(

@@ -222,3 +222,13 @@ def test_primary_keys_of_many_small_tables(spark):
     cells = spark.range(20000 * 9).selectExpr("concat('t', id div 9) AS table_id", "id % 9 AS row_id", "0 AS col_idx", "concat('v', id) AS value")
     columns = spark.range(20000).selectExpr("concat('t', id) AS table_id", "0 AS col_idx", "'k' AS col_name", "'object' AS dtype")
     assert profile.find_primary_key(cells, columns).where("primary_key = 'k'").count() == 20000
+
+
+def test_quotes_inside_unquoted_fields(spark, tmp_path):
+    shop = tmp_path / "shop"
+    shop.mkdir()
+    (shop / "pipes.csv").write_text('id,note\n1,5" pipe\n2,x\n3,"two\nlines, 6"" \n7"" end"\n4,7" pipe\n5,"q"\n6,y\n')
+    rows, _, rejects = tables.read_csv_corpus(spark, str(tmp_path))
+    got = [r["values"] for r in rows.orderBy("file_start", "line_id").collect()]
+    assert got == [["1", '5" pipe'], ["2", "x"], ["3", 'two\nlines, 6" \n7" end'], ["4", '7" pipe'], ["5", "q"], ["6", "y"]]
+    assert rejects.collect() == []
