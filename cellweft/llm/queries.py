@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweft.llm import bpe, chat, decontamination, jaccard_join, language_id, licenses, nearest, sharding, suffix_dedup, token_files
+from cellweft.llm import bpe, chat, decontamination, exact_dedup, jaccard_join, language_id, licenses, nearest, sharding, suffix_dedup, token_files
 from cellweft.llm.common import documents
 from cellweft.plans.registry import Registry
 
@@ -115,3 +115,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @reg.query("op10_jaccard_join")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_texts(documents(spark, sf_dir)).drop("own", "group")
+
+
+@reg.query(
+    "op11_exact_dedup",
+    r"""
+    WITH keyed AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+    SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+      row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
+    FROM keyed WINDOW same AS (PARTITION BY text_sha256)
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(documents(spark, sf_dir))
