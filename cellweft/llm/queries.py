@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweft.llm import bpe, chat, decontamination, exact_dedup, jaccard_join, language_id, licenses, nearest, sharding, suffix_dedup, token_files
+from cellweft.llm import bpe, chat, decontamination, exact_dedup, jaccard_join, language_id, licenses, nearest, repair, sharding, suffix_dedup, token_files
 from cellweft.llm.common import documents
 from cellweft.plans.registry import Registry
 
@@ -128,3 +128,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, sf_dir))
+
+
+@reg.query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.reports(repair.damaged(documents(spark, sf_dir, "conversations")))
