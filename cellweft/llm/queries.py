@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweft.llm import bpe, chat, decontamination, exact_dedup, jaccard_join, language_id, licenses, nearest, repair, sharding, suffix_dedup, token_files
+from cellweft.llm import alignment, bpe, chat, decontamination, exact_dedup, jaccard_join, language_id, licenses, nearest, repair, sharding, suffix_dedup, token_files
 from cellweft.llm.common import documents
 from cellweft.plans.registry import Registry
 
@@ -133,3 +133,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @reg.query("op12_conversation_repair")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.reports(repair.damaged(documents(spark, sf_dir, "conversations")))
+
+
+@reg.query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
