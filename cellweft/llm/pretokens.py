@@ -23,7 +23,9 @@ LONG_ENDINGS = ("re", "ve", "ll")
 #: An odd factor of the rolling hash, and its inverse modulo 2**64.
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
-SURE_CUT = regex.compile(r"(?<=\S)(?= \p{L})")
+#: Where the split is sure to fall: before a word with its space, and after a run of letters or digits where something else than a space comes.
+BEFORE_WORD = regex.compile(r"(?<=\S)(?= \p{L})")
+SURE_CUT = regex.compile(r"(?<=\S)(?= \p{L})|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])")
 
 
 @cache
@@ -38,26 +40,28 @@ def char_classes() -> np.ndarray:
     return table
 
 
-def pieces(texts: Iterable[str]) -> Iterator[tuple[int, str]]:
-    """(number of the text, piece): texts of up to SLICE characters whole, longer ones in pieces."""
+def pieces(texts: Iterable[str], size: int | None = None, cuts: regex.Pattern = SURE_CUT) -> Iterator[tuple[int, str]]:
+    """(number of the text, piece): texts of up to size characters whole, longer ones in pieces."""
+    size = size or SLICE
     for row, text in enumerate(texts):
         at = 0
-        while len(text) - at > SLICE and (cut := SURE_CUT.search(text, at + SLICE)):
+        while len(text) - at > size and (cut := cuts.search(text, at + size)):
             yield row, text[at : cut.start()]
             at = cut.start()
         yield row, text[at:] if at else text
 
 
-def slices(texts: Iterable[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """Pieces gathered until they hold SLICE characters or more."""
-    rows, parts, size = [], [], 0
-    for row, piece in pieces(texts):
+def slices(texts: Iterable[str], size: int | None = None, cuts: regex.Pattern = SURE_CUT) -> Iterator[tuple[list[int], list[str]]]:
+    """Pieces gathered until they hold size characters or more, SLICE where none is given."""
+    size = size or SLICE
+    rows, parts, held = [], [], 0
+    for row, piece in pieces(texts, size, cuts):
         rows.append(row)
         parts.append(piece)
-        size += len(piece)
-        if size >= SLICE:
+        held += len(piece)
+        if held >= size:
             yield rows, parts
-            rows, parts, size = [], [], 0
+            rows, parts, held = [], [], 0
     if rows:
         yield rows, parts
 

@@ -22,11 +22,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweft.llm import pretokens as pt
+from cellweft.llm.remembered import Remembered
 from cellweft.session import work_folder
 
 MAGIC = b"S8B1"
@@ -61,12 +63,16 @@ def pack(ids: np.ndarray) -> bytes:
         fits -= place
         chosen[fits >= COUNTS[selector]] = selector
     step = np.maximum(np.array(COUNTS)[chosen], 1)
-    jumps = (place + step).tolist()
-    heads, at = [], 0
-    while at < n:
-        heads.append(at)
+    jumps = place + step
+    # blocks are independent: the next word of all that have one left
+    ends = np.minimum(np.arange(BLOCK, n + BLOCK, BLOCK), n)
+    at, found = np.arange(0, n, BLOCK), []
+    while len(at):
+        found.append(at)
         at = jumps[at]
-    heads = np.array(heads, np.int64)
+        left = at < ends
+        at, ends = at[left], ends[left]
+    heads = np.sort(np.concatenate(found))
     selector = chosen[heads]
     escapes = selector == 0
     word_at = np.arange(len(heads)) + np.cumsum(escapes) - escapes
@@ -135,50 +141,45 @@ def unpack(segment: bytes, first: int = 0, last: int | None = None) -> np.ndarra
     return _unpack_words(words[offsets[first] : offsets[last]])
 
 
+def pretoken_ids(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(flat ids, ids per text) of pre-tokens, by the tokenizers library."""
+    got = tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+    return np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(texts))
+
+
 class LibraryEncoder:
     """Ids of texts by the tokenizers library.
 
-    Merges never cross pre-tokens, so the library is given each distinct pre-token once instead of each text.
+    Merges never cross pre-tokens, so the library is given each distinct pre-token once instead of each text.  As the
+    library does, a text is first cut at the strings of added tokens, which have ids of their own.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self._forget()
-
-    def _forget(self) -> None:
-        """known: the number of each remembered string, whose ids lie in flat from starts on."""
-        self.known: dict[bytes, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, new: list[bytes]) -> None:
-        got = self.tokenizer.encode([k.decode() for k in new], is_pretokenized=True, add_special_tokens=False)
-        sizes = np.bincount(np.array(got.word_ids, np.int64), minlength=len(new))
-        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
-        self.sizes = np.append(self.sizes, sizes)
-        self.flat = np.append(self.flat, np.array(got.ids, np.uint32))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        tokenizer = Tokenizer.from_file(path)
+        added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.added = added
+        longest_first = sorted(added, key=len, reverse=True)
+        self.cuts = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if added else None
+        tokenizer.encode_special_tokens = True  # pre-tokens hold none whole
+        self.memory = Remembered(lambda texts: pretoken_ids(tokenizer, texts), REMEMBERED)
 
     def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all parts and the number of ids per part."""
-        data, marks, counts = pt.split(parts)
-        if len(marks) == 1:
-            return np.zeros(0, np.uint32), np.zeros(len(parts), np.int64)
-        place, kind = pt.distinct(data, marks, pt.token_hashes(data, marks))
-        raw = data.tobytes()
-        kinds = [raw[a:b] for a, b in zip(marks[:-1][place].tolist(), marks[1:][place].tolist(), strict=True)]
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        new = [k for k in dict.fromkeys(kinds) if k not in self.known]
-        if new:
-            self._learn(new)
-        row = np.fromiter(map(self.known.__getitem__, kinds), np.int64, len(kinds))
-        per_token = self.sizes[row][kind]
-        total = np.concatenate([[0], np.cumsum(per_token)])
-        edge = np.concatenate([[0], np.cumsum(counts)])
-        return pt.gather(self.flat, self.starts[row][kind], per_token), np.diff(total[edge])
+        cut = [i for i, p in enumerate(parts) if self.cuts.search(p)] if self.cuts else []
+        if not cut:
+            ids, counts, _ = self.memory.encode(*pt.split(parts))
+            return ids, counts
+        split = [self.cuts.split(p) if i in set(cut) else [p] for i, p in enumerate(parts)]
+        runs = [run for own in split for run in own]
+        own_id = np.array([self.added.get(run, -1) if n % 2 else -1 for own in split for n, run in enumerate(own)])
+        ids, counts, _ = self.memory.encode(*pt.split(["" if i >= 0 else run for run, i in zip(runs, own_id.tolist(), strict=True)]))
+        at = np.flatnonzero(own_id >= 0)
+        ids = np.insert(ids, (np.cumsum(counts) - counts)[at], own_id[at].astype(np.uint32))
+        counts[at] = 1
+        edge = np.concatenate([[0], np.cumsum([len(own) for own in split])])
+        return ids, np.diff(np.concatenate([[0], np.cumsum(counts)])[edge])
 
 
 @lru_cache(maxsize=2)

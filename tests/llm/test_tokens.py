@@ -12,7 +12,7 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from cellweft.llm import bpe, pretokens, token_files
+from cellweft.llm import bpe, pretokens, remembered, token_files
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,6 +48,9 @@ def test_long_texts_in_pieces(monkeypatch, library):
     monkeypatch.setattr(pretokens, "SLICE", 50)
     long = " word of's \n\n text 123" * 40 + " " * 70 + "x" * 300
     assert len(list(pretokens.pieces([long]))) > 3
+    unbroken = "日本語。" * 30 + "a1b2" * 30 + "--x'll" * 30
+    assert max(len(p) for _, p in pretokens.pieces([unbroken])) <= 56
+    assert np.concatenate([ids for _, ids in bpe.encoded([unbroken], RANKS)]).tolist() == library.encode_ordinary(unbroken)
     got = np.concatenate([ids for _, ids in bpe.encoded([long], RANKS)])
     assert got.tolist() == library.encode_ordinary(long)
 
@@ -101,8 +104,8 @@ def test_pack_round_trip(kind):
 def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(token_files, "SEGMENT", 100)
     rows = [*enumerate(texts(150, 4)), (5000, None), (5000, "b"), (5000, "b"), (6000, "ab " * 3000)]
-    library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
+    rows += [(7000, "<|endoftext|>"), (7001, "a <|endoftext|> b<|endoftext|><|endoftext|>"), (7002, "x " * 90 + "<|endoftext|>" + "y " * 90)]
+    library = Tokenizer.from_file(JSON)  # as it is: the strings of added tokens are tokens
     start, want = 0, []
     for doc_id, text in rows:
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
@@ -111,3 +114,27 @@ def test_token_files(spark, monkeypatch):
     got = token_files.write_and_read(frame(spark, rows), JSON).collect()
     assert sorted(map(tuple, got)) == want
     assert token_files.write_and_read(frame(spark, []), JSON).collect() == []
+
+
+def test_remembered_strings():
+    rng = random.Random(6)
+    words = [b"", b"a", *(bytes(rng.choices(b"abc ", k=rng.randint(1, 9))) for _ in range(300))]
+    sizes = np.array([1] * 256)
+    ids_of = lambda texts: (np.frombuffer("".join(texts).encode(), np.uint8).astype(np.int64), np.array([len(t) for t in texts]))
+    memory = remembered.Remembered(ids_of, 100, sizes, np.arange(256).astype(np.uint8))
+    for _ in range(60):
+        own = [rng.choice(words) for _ in range(rng.randint(1, 200))]
+        data = np.frombuffer(b"".join(own), np.uint8)
+        full = [w for w in own if w]
+        marks = np.append(np.cumsum([0, *map(len, full)])[:-1], len(data))
+        ids, counts, sound = memory.encode(data, marks, np.array([len(full)]))
+        assert bytes(ids.astype(np.uint8)) == b"".join(own) and counts.tolist() == [len(data)] and sound.all()
+
+
+def test_strings_that_share_a_hash(monkeypatch):
+    monkeypatch.setattr(pretokens, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    memory = remembered.Remembered(lambda texts: (np.array([ord(t[0]) for t in texts]), np.ones(len(texts), np.int64)), 100)
+    for text in (b"abcab", b"cba", b"zab", b"abc"):
+        data = np.frombuffer(text, np.uint8)
+        ids, _, _ = memory.encode(data, np.arange(len(data) + 1), np.array([len(data)]))
+        assert bytes(ids.astype(np.uint8)) == text
