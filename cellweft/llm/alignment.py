@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from cellweft.llm import pretokens as pt
 from cellweft.llm.common import stored
-from cellweft.llm.token_files import library_encoder
+from cellweft.llm.remembered import Remembered
+from cellweft.llm.token_files import pretoken_ids
 
 #: Bits of an id of B in the number of an id pair.
 B_BITS = 15
@@ -34,7 +36,9 @@ SLICE_PAIRS = 1 << 20
 #: Products of entries that are made at once.
 AT_ONCE = 1 << 20
 #: Pre-tokens that a task remembers.
-REMEMBERED = 700_000
+REMEMBERED = 1_200_000
+#: Characters that are aligned in one go.
+CHARACTERS = 1 << 19
 
 
 class Csr(NamedTuple):
@@ -57,7 +61,8 @@ def csr(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, height: int,
         first = np.flatnonzero(np.diff(key, prepend=-1))
         key, values = key[first], np.add.reduceat(values, first)
     rows = key // max(width, 1)
-    return Csr(np.searchsorted(rows, np.arange(height + 1)), key - rows * width, values, width)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=height))])
+    return Csr(starts, key - rows * width, values, width)
 
 
 def transposed(m: Csr) -> Csr:
@@ -84,7 +89,8 @@ def products(left: Csr, right: Csr) -> Iterator[Csr]:
             cut = min(max(int(np.searchsorted(upto, upto[first] + AT_ONCE, side="right")) - 1, first + 1), last)
             own = slice(first, cut)
             times, started = calls[own], right.starts[left.columns[own]]
-            entry = pt.gather(np.arange(len(right.columns)), started, times)
+            ends_of = np.cumsum(times)
+            entry = np.arange(int(ends_of[-1]) if len(ends_of) else 0) + np.repeat(started - (ends_of - times), times)
             row = np.repeat(rows[first - left.starts[at] : cut - left.starts[at]], times)
             value = np.repeat(left.values[own], times) * right.values[entry]
             made = csr(row, right.columns[entry], value, to - at, right.width)
@@ -118,8 +124,11 @@ def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> Csr:
 
 def groups_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group of each token of A, of each token of B, end of each group)."""
-    common = ends_a[np.isin(ends_a, ends_b, assume_unique=True)]
-    return np.searchsorted(common, ends_a), np.searchsorted(common, ends_b), common
+    size = int(ends_a[-1]) + 1 if len(ends_a) else 1
+    is_end = np.zeros((2, size), bool)
+    is_end[0, ends_a] = is_end[1, ends_b] = True
+    closes_a, closes_b = is_end[1, ends_a], is_end[0, ends_b]
+    return np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b, ends_a[closes_a]
 
 
 def pair_counts(group_a: np.ndarray, ids_a: np.ndarray, group_b: np.ndarray, ids_b: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,9 +139,13 @@ def pair_counts(group_a: np.ndarray, ids_a: np.ndarray, group_b: np.ndarray, ids
     """
     per_a = csr(group_a, ids_a, np.ones(len(ids_a), np.int64), len(owner), 1 << 16)
     per_b = csr(group_b, ids_b, np.ones(len(ids_b), np.int64), len(owner), 1 << B_BITS)
-    row = owner[_rows(per_a)].astype(np.int64) << 16 | per_a.columns
-    names, at = np.unique(row, return_inverse=True)
-    by_id = csr(at, _rows(per_a), per_a.values, len(names), len(owner))
+    group = _rows(per_a)
+    row = owner[group] << 16 | per_a.columns
+    order = np.argsort(row, kind="stable")  # groups of an id stay in order
+    row = row[order]
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    names = row[starts]
+    by_id = Csr(np.append(starts, len(row)), group[order], per_a.values[order], len(owner))
     keys, links, first = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for block in products(by_id, per_b):
         height = len(block.starts) - 1
@@ -164,8 +177,13 @@ class PieceEncoder:
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         byte = sentencepiece_model_pb2.ModelProto.SentencePiece.BYTE
         tokens = [bytes([int(p.piece[3:-1], 16)]) if p.type == byte else p.piece.replace("▁", " ").encode() for p in model.pieces]
-        self.table = TokenTable(tokens)
-        self.memory = Memory(lambda texts: self.processor.encode(texts, num_threads=1), self.table)
+        self.sizes, flat = token_bytes(tokens)
+        self.memory = Remembered(self._ids, REMEMBERED, self.sizes, flat)
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.processor.encode(texts, num_threads=1)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), sizes
 
     def encode(self, parts: list[str]) -> Encoded:
         data, bounds = _bytes(parts)
@@ -174,46 +192,36 @@ class PieceEncoder:
         cut[1:] |= (space[1:] & ~space[:-1]) | line[:-1]
         cut[bounds[:-1][np.diff(bounds) > 0]] = True
         marks = np.append(np.flatnonzero(cut), len(data))
-        return self.memory.encode(data, marks, np.diff(np.searchsorted(marks[:-1], bounds)))
+        return Encoded(*self.memory.encode(data, marks, np.diff(np.searchsorted(marks[:-1], bounds))))
 
 
 class ByteEncoder:
     """Ids of a byte-level model of the tokenizers library, by its pre-tokens; special strings are ordinary text."""
 
     def __init__(self, path: str) -> None:
-        library = library_encoder(path).tokenizer
-        names = library.get_vocab()
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        names = self.tokenizer.get_vocab()
         points = byte_points()
         tokens = [b""] * (max(names.values()) + 1)
-        special = {t.content for t in library.get_added_tokens_decoder().values()}
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         for name, i in names.items():
             tokens[i] = name.encode() if name in special else bytes(points[ord(c)] for c in name)
-        self.table = TokenTable(tokens)
+        self.sizes, flat = token_bytes(tokens)
+        self.memory = Remembered(self._ids, REMEMBERED, self.sizes, flat)
 
-        def ids(texts: list[str]) -> list[list[int]]:
-            got = library.encode(texts, is_pretokenized=True, add_special_tokens=False)
-            sizes = np.bincount(np.array(got.word_ids, np.int64), minlength=len(texts))
-            return np.split(np.array(got.ids, np.int64), np.cumsum(sizes)[:-1])
-
-        self.memory = Memory(ids, self.table)
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return pretoken_ids(self.tokenizer, texts)
 
     def encode(self, parts: list[str]) -> Encoded:
-        return self.memory.encode(*pt.split(parts))
-
-
-def byte_points() -> dict[int, int]:
-    """The byte of each character of a byte-level vocabulary: printable Latin-1 stands for itself, others from 256 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {**{b: b for b in own}, **{256 + i: b for i, b in enumerate(rest)}}
+        return Encoded(*self.memory.encode(*pt.split(parts)))
 
 
-class TokenTable:
-    """The bytes of each id."""
-
-    def __init__(self, tokens: list[bytes]) -> None:
-        self.tokens = tokens
-        self.sizes = np.array([len(t) for t in tokens], np.int64)
+def token_bytes(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(size of each token, the bytes of all)."""
+    return np.array([len(t) for t in tokens], np.int64), np.frombuffer(b"".join(tokens), np.uint8)
 
 
 class Encoded(NamedTuple):
@@ -222,44 +230,11 @@ class Encoded(NamedTuple):
     sound: np.ndarray  # whether the ids' bytes are those of the part
 
 
-class Memory:
-    """The ids of each different stretch that a task has met lately, and whether their bytes are those of the stretch."""
-
-    def __init__(self, ids_of, table: TokenTable) -> None:
-        self.ids_of, self.table = ids_of, table
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.starts, self.sizes, self.sound = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-
-    def _learn(self, new: list[bytes]) -> None:
-        ids = self.ids_of([k.decode() for k in new])
-        sizes = np.array([len(i) for i in ids], np.int64)
-        sound = [b"".join([self.table.tokens[i] for i in own]) == k for own, k in zip(ids, new, strict=True)]
-        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
-        self.sizes, self.sound = np.append(self.sizes, sizes), np.append(self.sound, sound)
-        self.flat = np.concatenate([self.flat, *[np.asarray(i, np.int32) for i in ids]])
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-
-    def encode(self, data: np.ndarray, marks: np.ndarray, counts: np.ndarray) -> Encoded:
-        """From bytes, the starts of stretches (and the end), and stretches per part."""
-        if len(marks) == 1:
-            return Encoded(np.zeros(0, np.int32), np.zeros(len(counts), np.int64), np.ones(len(counts), bool))
-        place, kind = pt.distinct(data, marks, pt.token_hashes(data, marks))
-        raw = data.tobytes()
-        kinds = [raw[a:b] for a, b in zip(marks[:-1][place].tolist(), marks[1:][place].tolist(), strict=True)]
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        new = [k for k in dict.fromkeys(kinds) if k not in self.known]
-        if new:
-            self._learn(new)
-        row = np.fromiter(map(self.known.__getitem__, kinds), np.int64, len(kinds))
-        own = row[kind]
-        edge = np.concatenate([[0], np.cumsum(counts)])
-        total = np.concatenate([[0], np.cumsum(self.sizes[own])])
-        bad = np.concatenate([[0], np.cumsum(~self.sound[own])])
-        return Encoded(pt.gather(self.flat, self.starts[own], self.sizes[own]), np.diff(total[edge]), np.diff(bad[edge]) == 0)
+def byte_points() -> dict[int, int]:
+    """The byte of each character of a byte-level vocabulary: printable Latin-1 stands for itself, others from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {**{b: b for b in own}, **{256 + i: b for i, b in enumerate(rest)}}
 
 
 def _bytes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -324,14 +299,14 @@ def aligned(texts: list[str | None], path_a: str, path_b: str) -> Iterator[Docum
     """A Document for each text, in order."""
     a, b = encoders(path_a, path_b)
     held, at = Document(), 0
-    for rows, parts in pt.slices([" " + t if t else "" for t in texts]):
+    for rows, parts in pt.slices((" " + t if t else "" for t in texts), CHARACTERS, pt.BEFORE_WORD):
         got_a, got_b = a.encode(parts), b.encode(parts)
         _, bounds = _bytes(parts)
         sound = got_a.sound & got_b.sound
         # parts whose bytes do not agree take no part
         keep_a, keep_b = np.repeat(sound, got_a.counts), np.repeat(sound, got_b.counts)
         ids_a, ids_b = got_a.ids[keep_a].astype(np.int64), got_b.ids[keep_b].astype(np.int64)
-        ends_a, ends_b = np.cumsum(a.table.sizes[ids_a]), np.cumsum(b.table.sizes[ids_b])
+        ends_a, ends_b = np.cumsum(a.sizes[ids_a]), np.cumsum(b.sizes[ids_b])
         group_a, group_b, common = groups_of(ends_a, ends_b)
         edges = np.cumsum(np.where(sound, np.diff(bounds), 0))
         edge = np.searchsorted(common, edges, side="right")  # groups up to the end of each part
