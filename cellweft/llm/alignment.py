@@ -32,7 +32,7 @@ from cellweft.llm.token_files import pretoken_ids
 #: Bits of an id of B in the number of an id pair.
 B_BITS = 15
 #: A slice of documents closes when it holds so many different id pairs of documents.
-SLICE_PAIRS = 1 << 20
+SLICE_PAIRS = 1 << 19
 #: Products of entries that are made at once.
 AT_ONCE = 1 << 20
 #: Pre-tokens that a task remembers.
@@ -331,6 +331,19 @@ def aligned(texts: list[str | None], path_a: str, path_b: str) -> Iterator[Docum
         yield held
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Integers by byte planes, compressed: small ones take little."""
+    raw = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def loosened(data: bytes, dtype: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    raw = pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, len(raw) // width).T).reshape(-1).view(dtype)
+
+
 ROW_SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_overlaps long, groups_sha256 string"
 SLICE_SCHEMA = "slice long, docs array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,n_overlaps:bigint,groups_sha256:string>>, pairs binary, holders binary, sizes binary, entries binary, links binary"
 ROW_NAMES = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_overlaps", "groups_sha256")
@@ -344,7 +357,9 @@ def _slices(path_a: str, path_b: str):
         every = np.concatenate([np.zeros(0, np.int32), *[p for p, _ in held]])
         links = np.concatenate([np.zeros(0, np.int64), *[n for _, n in held]])
         pairs, entries, holders = np.unique(every, return_inverse=True, return_counts=True)
-        row = [number, docs, *(x.tobytes() for x in (pairs, holders.astype(np.int32), sizes, entries.astype(np.int32), links))]
+        # places ascend within a document, so their steps are small
+        steps = np.diff(entries.astype(np.int32), prepend=np.int32(0))
+        row = [number, docs, *map(squeezed, (pairs, holders.astype(np.int32), sizes, steps, links))]
         types = [pa.int64(), pa.list_(ARROW_ROW), *[pa.binary()] * 5]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["slice", "docs", "pairs", "holders", "sizes", "entries", "links"])
 
@@ -387,7 +402,7 @@ def _dealt(buckets: int, with_counts: bool):
 
     def run(batches):
         for batch in batches:
-            rows = [(s, np.frombuffer(p, np.int32), np.frombuffer(n, np.int32)) for s, p, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            rows = [(s, loosened(p, np.int32), loosened(n, np.int32)) for s, p, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             if with_counts and rows:
                 pairs, at = np.unique(np.concatenate([p for _, p, _ in rows]), return_inverse=True)
                 rows = [(0, pairs, np.bincount(at, np.concatenate([n for *_, n in rows]), len(pairs)).astype(np.int64))]
@@ -398,7 +413,7 @@ def _dealt(buckets: int, with_counts: bool):
                 names, at = np.unique(bucket[order], return_index=True)
                 own = np.split(pairs[order], at[1:])
                 sums = np.split(n[order].astype(np.int64), at[1:]) if with_counts else [np.zeros(0, np.int64)] * len(names)
-                out += [(int(b), number, p.tobytes(), c.tobytes()) for b, p, c in zip(names, own, sums, strict=False)]
+                out += [(int(b), number, squeezed(p), squeezed(c)) for b, p, c in zip(names, own, sums, strict=False)]
             columns = zip(*out, strict=True) if out else [[]] * 4
             arrays = [pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, ["bucket", "slice", "pairs", "n"])
@@ -414,7 +429,7 @@ def _added(batches):
         first = np.flatnonzero(np.diff(ids, prepend=-1))
         best = np.repeat(np.maximum.reduceat(counts, first), np.diff(np.append(first, len(ids))))
         counts = np.where(counts == best, -counts, counts)
-        arrays = [pa.array([bucket], pa.int64()), pa.array([pairs.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())]
+        arrays = [pa.array([bucket], pa.int64()), pa.array([squeezed(pairs)], pa.binary()), pa.array([squeezed(counts)], pa.binary())]
         return pa.RecordBatch.from_arrays(arrays, ["bucket", "pairs", "counts"])
 
     def merged(parts):
@@ -428,7 +443,7 @@ def _added(batches):
                 yield closed(bucket, *merged(held))
                 held, waiting = [], 0
             bucket = b
-            held.append((np.frombuffer(pairs, np.int32), np.frombuffer(n, np.int64)))
+            held.append((loosened(pairs, np.int32), loosened(n, np.int64)))
             waiting += len(held[-1][0])
             if waiting > 2 * len(held[0][0]) + AT_ONCE:  # what is held stays near what is different
                 held = [merged(held)]
@@ -438,37 +453,46 @@ def _added(batches):
 
 
 def _answered(batches):
-    """slice, pairs, counts from rows of (bucket, slice, pairs, counts), where the bucket's own row, without slice, comes first."""
+    """slice, bucket, counts of the slice's pairs in the bucket, from rows of (bucket, slice, pairs, counts), where the bucket's own row, without slice, comes first."""
     every = sums = None
     for batch in batches:
         out = []
-        for _, number, pairs, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for bucket, number, pairs, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if number is None:
-                every, sums = np.frombuffer(pairs, np.int32), np.frombuffer(counts, np.int64)
+                every, sums = loosened(pairs, np.int32), loosened(counts, np.int64)
             else:
-                out.append((number, pairs, sums[np.searchsorted(every, np.frombuffer(pairs, np.int32))].tobytes()))
+                out.append((number, bucket, squeezed(sums[np.searchsorted(every, loosened(pairs, np.int32))])))
         columns = zip(*out, strict=True) if out else [[]] * 3
-        arrays = [pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)]
-        yield pa.RecordBatch.from_arrays(arrays, ["slice", "pairs", "counts"])
+        arrays = [pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, ["slice", "bucket", "counts"])
 
 
-def _scored(batches):
+def _scored(buckets: int):
     """The documents of each slice with n_best and count_sum."""
-    for batch in batches:
-        out = []
-        for docs, sizes, entries, links, answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            pairs = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(x["pairs"], np.int32) for x in answers or ()]])
-            counts = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x["counts"], np.int64) for x in answers or ()]])
-            counts = counts[np.argsort(pairs)]
-            sizes, entries, links = np.frombuffer(sizes, np.int32), np.frombuffer(entries, np.int32), np.frombuffer(links, np.int64)
-            own = counts[entries]
-            edges = np.concatenate([[0], np.cumsum(sizes)])
-            best = np.concatenate([[0], np.cumsum(links * (own < 0))])[edges]
-            total = np.concatenate([[0], np.cumsum(links * np.abs(own))])[edges]
-            for doc, n_best, count_sum in zip(docs, np.diff(best).tolist(), np.diff(total).tolist(), strict=True):
-                out.append({**doc, "n_best": n_best, "count_sum": count_sum})
-        names = [*ROW_NAMES, "n_best", "count_sum"]
-        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], pa.string() if n == "groups_sha256" else pa.int64()) for n in names], names)
+
+    def of(docs, pairs, sizes, steps, links, answers):
+        pairs, sizes, links = loosened(pairs, np.int32), loosened(sizes, np.int32), loosened(links, np.int64)
+        counts = np.zeros(len(pairs), np.int64)
+        told = [loosened(x["counts"], np.int64) for x in sorted(answers or (), key=lambda x: x["bucket"])]
+        if told:
+            counts[np.argsort(_bucket_of(pairs, buckets), kind="stable")] = np.concatenate(told)
+        own = counts[np.cumsum(loosened(steps, np.int32), dtype=np.int32)]
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        best = np.concatenate([[0], np.cumsum(links * (own < 0))])[edges]
+        total = np.concatenate([[0], np.cumsum(links * np.abs(own))])[edges]
+        for doc, n_best, count_sum in zip(docs, np.diff(best).tolist(), np.diff(total).tolist(), strict=True):
+            yield {**doc, "n_best": n_best, "count_sum": count_sum}
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                out = list(of(*(c[i].as_py() for c in batch.columns)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], pa.string() if n == "groups_sha256" else pa.int64()) for n in SCORED], list(SCORED))
+
+    return run
+
+
+SCORED = (*ROW_NAMES, "n_best", "count_sum")
 
 
 def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -490,7 +514,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     asked = parts.mapInArrow(_dealt(buckets, False), schema).select("bucket", "slice", "pairs", F.lit(None).cast("binary").alias("counts"))
     told = counts.select("bucket", F.lit(None).cast("long").alias("slice"), "pairs", "counts")
     both = told.unionByName(asked).repartition(buckets, "bucket").sortWithinPartitions("bucket", "slice")
-    answers = both.mapInArrow(_answered, "slice long, pairs binary, counts binary")
-    answers = answers.groupBy("slice").agg(F.collect_list(F.struct("pairs", "counts")).alias("answers"))
-    rows = slices.join(answers, "slice", "left").select("docs", "sizes", "entries", "links", "answers")
-    return rows.mapInArrow(_scored, f"{ROW_SCHEMA}, n_best long, count_sum long")
+    answers = both.mapInArrow(_answered, "slice long, bucket long, counts binary")
+    answers = answers.groupBy("slice").agg(F.collect_list(F.struct("bucket", "counts")).alias("answers"))
+    rows = slices.join(answers, "slice", "left").select("docs", "pairs", "sizes", "entries", "links", "answers")
+    return rows.mapInArrow(_scored(buckets), f"{ROW_SCHEMA}, n_best long, count_sum long")
