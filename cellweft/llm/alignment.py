@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from cellweft.llm import pretokens as pt
 from cellweft.llm.common import stored
 from cellweft.llm.remembered import Remembered
-from cellweft.llm.token_files import pretoken_ids
+from cellweft.llm.token_files import Library
 
 #: Bits of an id of B in the number of an id pair.
 B_BITS = 15
@@ -180,7 +180,7 @@ class PieceEncoder:
         self.sizes, flat = token_bytes(tokens)
         self.memory = Remembered(self._ids, REMEMBERED, self.sizes, flat)
 
-    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, texts: list[str], _) -> tuple[np.ndarray, np.ndarray]:
         found = self.processor.encode(texts, num_threads=1)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), sizes
@@ -199,21 +199,9 @@ class ByteEncoder:
     """Ids of a byte-level model of the tokenizers library, by its pre-tokens; special strings are ordinary text."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        names = self.tokenizer.get_vocab()
-        points = byte_points()
-        tokens = [b""] * (max(names.values()) + 1)
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        for name, i in names.items():
-            tokens[i] = name.encode() if name in special else bytes(points[ord(c)] for c in name)
-        self.sizes, flat = token_bytes(tokens)
-        self.memory = Remembered(self._ids, REMEMBERED, self.sizes, flat)
-
-    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return pretoken_ids(self.tokenizer, texts)
+        library = Library(path)
+        self.sizes, flat = token_bytes(library.tokens)
+        self.memory = Remembered(library.ids, REMEMBERED, self.sizes, flat)
 
     def encode(self, parts: list[str]) -> Encoded:
         return Encoded(*self.memory.encode(*pt.split(parts)))
@@ -230,13 +218,6 @@ class Encoded(NamedTuple):
     sound: np.ndarray  # whether the ids' bytes are those of the part
 
 
-def byte_points() -> dict[int, int]:
-    """The byte of each character of a byte-level vocabulary: printable Latin-1 stands for itself, others from 256 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {**{b: b for b in own}, **{256 + i: b for i, b in enumerate(rest)}}
-
-
 def _bytes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [p.encode("utf-8") for p in parts]
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)

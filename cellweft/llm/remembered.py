@@ -10,8 +10,8 @@ from cellweft.llm import pretokens as pt
 
 #: Bytes of strings that are held at most, but for those of one call.
 TEXT_LIMIT = 1 << 26
-#: (flat ids, ids per string) of strings.
-Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+#: (flat ids, ids per string) of strings of so many bytes.
+Encode = Callable[[list[str], np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 class Growing:
@@ -52,7 +52,7 @@ class Remembered:
         """The numbers that new strings get."""
         text = pt.gather(data, starts, sizes)
         raw, ends = text.tobytes(), np.cumsum(sizes)
-        ids, per = self.ids_of([raw[a:b].decode() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)])
+        ids, per = self.ids_of([raw[a:b].decode() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], sizes)
         number = np.arange(self.n, self.n + len(sizes), dtype=np.int32)
         self.n += len(sizes)
         self.sound.append(self._spelled(ids, per, text, sizes))

@@ -52,16 +52,17 @@ def pack(ids: np.ndarray) -> bytes:
     if not n:
         return MAGIC + struct.pack("<3I", 0, 0, 0)
     place = np.arange(n, dtype=np.int32)
-    block_end = np.minimum((place // BLOCK + 1) * BLOCK, n).astype(np.int32)
-    bits = _bit_lengths(ids)
+    bits = np.append(_bit_lengths(ids), np.full(max(COUNTS), 255, np.uint8))  # nothing fits past the end
     chosen = np.zeros(n, np.uint8)
-    for selector in range(15, 0, -1):  # the one that packs most comes last
-        too_wide = np.flatnonzero(bits > WIDTHS[selector])
-        if len(too_wide) == n:
-            break
-        fits = np.minimum(_next(too_wide, n), block_end)
-        fits -= place
-        chosen[fits >= COUNTS[selector]] = selector
+    # where a selector fits, all that pack less fit, too; the one that packs most comes last
+    at, widest, taken = place, bits[:n], 1
+    for selector in range(15, 0, -1):
+        for k in range(taken, COUNTS[selector]):
+            widest = np.maximum(widest, bits[at + k])
+        taken = COUNTS[selector]
+        fits = (widest <= WIDTHS[selector]) & (at % BLOCK + taken <= BLOCK)
+        at, widest = at[fits], widest[fits]
+        chosen[at] = selector
     step = np.maximum(np.array(COUNTS)[chosen], 1)
     jumps = place + step
     # blocks are independent: the next word of all that have one left
@@ -97,13 +98,6 @@ def _bit_lengths(ids: np.ndarray) -> np.ndarray:
     return bits
 
 
-def _next(marks: np.ndarray, n: int) -> np.ndarray:
-    """For each place below n the first mark at or after it, else n."""
-    out = np.full(n, n, np.int32)
-    out[marks] = marks
-    return np.minimum.accumulate(out[::-1])[::-1]
-
-
 def _unpack_words(words: np.ndarray) -> np.ndarray:
     selector = (words >> np.uint64(60)).astype(np.int64)
     # an escape's second word may look like anything, another escape too: walk the escapes only
@@ -141,10 +135,39 @@ def unpack(segment: bytes, first: int = 0, last: int | None = None) -> np.ndarra
     return _unpack_words(words[offsets[first] : offsets[last]])
 
 
-def pretoken_ids(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(flat ids, ids per text) of pre-tokens, by the tokenizers library."""
-    got = tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
-    return np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(texts))
+def byte_points() -> dict[int, int]:
+    """The byte of each character of a byte-level vocabulary: printable Latin-1 stands for itself, others from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {**{b: b for b in own}, **{256 + i: b for i, b in enumerate(rest)}}
+
+
+class Library:
+    """A byte-level model of the tokenizers library, for pre-tokens; special strings in them are ordinary text."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        points = byte_points()
+        self.tokens = [b""] * self.tokenizer.get_vocab_size()
+        for name, i in self.tokenizer.get_vocab().items():
+            self.tokens[i] = name.encode() if name in self.added else bytes(points[ord(c)] for c in name)
+        self.token_sizes = np.array([len(t) for t in self.tokens], np.int64)
+        self.tokenizer.encode_special_tokens = True
+        # what comes is split already
+        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def ids(self, texts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, ids per text) of pre-tokens of so many bytes; no id spans two."""
+        (got,) = self.tokenizer.encode_batch_fast([texts], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(got.ids, np.int64)
+        upto = np.concatenate([[0], np.cumsum(self.token_sizes[ids])])
+        edges = np.searchsorted(upto, np.concatenate([[0], np.cumsum(sizes)]))
+        if upto[-1] != sizes.sum() or (upto[edges[1:]] != np.cumsum(sizes)).any():
+            raise ValueError("the ids do not spell the text: not a byte-level vocabulary")
+        return ids, np.diff(edges)
 
 
 class LibraryEncoder:
@@ -155,15 +178,11 @@ class LibraryEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-        self.added = added
-        longest_first = sorted(added, key=len, reverse=True)
-        self.cuts = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if added else None
-        tokenizer.encode_special_tokens = True  # pre-tokens hold none whole
-        self.memory = Remembered(lambda texts: pretoken_ids(tokenizer, texts), REMEMBERED)
+        library = Library(path)
+        self.added = library.added
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cuts = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.added else None
+        self.memory = Remembered(library.ids, REMEMBERED)
 
     def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all parts and the number of ids per part."""

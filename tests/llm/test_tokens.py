@@ -120,7 +120,7 @@ def test_remembered_strings():
     rng = random.Random(6)
     words = [b"", b"a", *(bytes(rng.choices(b"abc ", k=rng.randint(1, 9))) for _ in range(300))]
     sizes = np.array([1] * 256)
-    ids_of = lambda texts: (np.frombuffer("".join(texts).encode(), np.uint8).astype(np.int64), np.array([len(t) for t in texts]))
+    ids_of = lambda texts, _: (np.frombuffer("".join(texts).encode(), np.uint8).astype(np.int64), np.array([len(t) for t in texts]))
     memory = remembered.Remembered(ids_of, 100, sizes, np.arange(256).astype(np.uint8))
     for _ in range(60):
         own = [rng.choice(words) for _ in range(rng.randint(1, 200))]
@@ -133,7 +133,7 @@ def test_remembered_strings():
 
 def test_strings_that_share_a_hash(monkeypatch):
     monkeypatch.setattr(pretokens, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
-    memory = remembered.Remembered(lambda texts: (np.array([ord(t[0]) for t in texts]), np.ones(len(texts), np.int64)), 100)
+    memory = remembered.Remembered(lambda texts, _: (np.array([ord(t[0]) for t in texts]), np.ones(len(texts), np.int64)), 100)
     for text in (b"abcab", b"cba", b"zab", b"abc"):
         data = np.frombuffer(text, np.uint8)
         ids, _, _ = memory.encode(data, np.arange(len(data) + 1), np.array([len(data)]))
