@@ -5,37 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweft.operators.column_states import COL, column_states
 from cellweft.operators.joins import join_small
+from cellweft.session import evaluated_once
 
-COL = ["table_id", "col_idx"]
 SHORTEN_AT = 80
-#: Columns of so few rows are not judged by a sketch: one collision is a large share of them.
-FEW_ROWS = 1000
+EXAMPLES = 3
 
 
 def value_groups(cells: DataFrame) -> DataFrame:
-    """One row per distinct value of a column, with its count and first row.
+    """One row per distinct value of a column, with its count and first row: all values are shuffled.
 
-    Grouping by the value spreads even one huge column over all tasks, where a distinct count per column
-    would not; profiles and example values both start here.
+    column_states tells what profiles and examples need without that; this is for those who need the values.
     """
     return cells.groupBy(*COL, "value").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"))
 
 
-def profile_columns(groups: DataFrame, columns: DataFrame) -> DataFrame:
-    """Null and distinct counts per column.  A column without rows counts as unique and non-null."""
-    stats = groups.groupBy(*COL).agg(
-        F.sum("n").alias("n_rows"),
-        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_nulls"),
-        F.count("value").alias("n_distinct"),
-    )
+def profile_columns(found: DataFrame, columns: DataFrame) -> DataFrame:
+    """Null and distinct counts per column, from column_states or value_groups.  A column without rows counts as unique and non-null."""
+    stats = found
+    if "value" in found.columns:
+        stats = found.groupBy(*COL).agg(
+            F.sum("n").alias("n_rows"),
+            F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_nulls"),
+            F.count("value").alias("n_distinct"),
+        )
     zero = F.lit(0).cast("bigint")
+    counts = ("n_rows", "n_nulls", "n_distinct")
     return (
-        columns.join(stats, COL, "left")
-        .select(
-            *columns.columns,
-            *[F.coalesce(c, zero).alias(c) for c in ("n_rows", "n_nulls", "n_distinct")],
-        )
+        columns.join(stats.select(*COL, *counts), COL, "left")
+        .select(*columns.columns, *[F.coalesce(c, zero).alias(c) for c in counts])
         .withColumn("contains_null", F.col("n_nulls") > 0)
         .withColumn("is_unique", F.col("n_distinct") == F.col("n_rows"))
         .withColumn(
@@ -53,52 +52,47 @@ def infer_primary_key(profiles: DataFrame) -> DataFrame:
     )
 
 
-def find_primary_key(cells: DataFrame, columns: DataFrame, error: float = 0.02) -> DataFrame:
-    """The same as infer_primary_key over full profiles, without a shuffle of all values.
+def find_primary_key(cells: DataFrame, columns: DataFrame) -> DataFrame:
+    """The same as infer_primary_key over full profiles, by a search for witnesses against each column.
 
-    A sketch of distinct values, which is merged per task, rules out columns that repeat themselves; five
-    deviations of its error are left for chance, and columns of up to FEW_ROWS rows are all kept.  Only what
-    remains is grouped by value.
+    One scan: a task that meets a null or a value for the second time drops the column, so only columns that no task
+    could refute by itself have their keys compared over all tasks.
     """
-    stats = cells.groupBy(*COL).agg(
-        F.count(F.lit(1)).alias("_n"), F.count("value").alias("_full"), F.approx_count_distinct("value", error).alias("_about")
-    )
-    many = (F.col("_n") <= FEW_ROWS) | (F.col("_about") >= F.col("_n") * (1 - 5 * error))
-    likely = columns.join(stats, COL, "left").where(F.col("_n").isNull() | ((F.col("_n") == F.col("_full")) & many))
-    repeated = (
-        join_small(cells.select(*COL, "value"), likely.select(*COL), COL, "left_semi")
-        .groupBy(*COL, "value")
-        .agg(F.count(F.lit(1)).alias("_times"))
-        .where("_times > 1")
-        .select(*COL)
-        .distinct()
-    )
-    unique = likely.join(repeated, COL, "left_anti").select("table_id", "col_idx", F.lit(True).alias("is_unique"))
-    marked = columns.join(unique, COL, "left").withColumn("contains_null", F.lit(False))
-    return infer_primary_key(marked.withColumn("is_unique", F.coalesce("is_unique", F.lit(False))))
+    marked = columns.join(column_states(cells, keys="unrepeated").select(*COL, "repeated"), COL, "left")
+    whole = marked.withColumn("is_unique", ~F.coalesce("repeated", F.lit(False))).withColumn("contains_null", F.lit(False))
+    return infer_primary_key(whole)
 
 
 def shorten(text):
     return F.when(F.length(text) > SHORTEN_AT, F.concat(F.substring(text, 1, SHORTEN_AT), F.lit("...."))).otherwise(text)
 
 
+def firsts_needed(valuecount: int | None = None, exclude: bool = False) -> int:
+    """How many first values example_values reads: one more than it shows, to know that there are more, and the excluded one."""
+    return (EXAMPLES if valuecount is None else valuecount) + 1 + exclude
+
+
 def example_values(
-    groups: DataFrame, columns: DataFrame, exclude: DataFrame | None = None, valuecount: int | None = None
+    found: DataFrame, columns: DataFrame, exclude: DataFrame | None = None, valuecount: int | None = None
 ) -> DataFrame:
     """First distinct non-null values of each column in order of appearance, as array<string>.
 
-    More than three values: three are kept (two for floats) and `...` is added.  With `valuecount` both
-    limits are that number.  `exclude(table_id, col_idx, value)` leaves out one value of a column.
+    found are column_states with firsts_needed first values, or value_groups.  More than three values: three are kept (two for
+    floats) and `...` is added.  With `valuecount` both limits are that number.  `exclude(table_id, col_idx, value)` leaves
+    out one value of a column.
     """
-    limit = 3 if valuecount is None else valuecount
-    values = groups.where("value is not null")
+    limit = EXAMPLES if valuecount is None else valuecount
+    if "value" in found.columns:
+        # one more than the limit, and the value that is left out, is enough to know that there are more
+        order = Window.partitionBy(*COL).orderBy("first_row", "value")
+        few = found.where("value is not null").withColumn("pos", F.row_number().over(order))
+        few = few.where(F.col("pos") <= firsts_needed(valuecount, exclude is not None))
+        found = few.groupBy(*COL).agg(F.array_sort(F.collect_list(F.struct("first_row", "value"))).alias("firsts"))
+    lists = found.select(*COL, F.transform("firsts", lambda x: x["value"]).alias("v"))
     if exclude is not None:
-        values = values.join(exclude, [*COL, "value"], "left_anti")
-    order = Window.partitionBy(*COL).orderBy("first_row", "value")
-    # one more than the limit is enough to know that there are more
-    few = values.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit + 1)
-    lists = few.groupBy(*COL).agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("v"))
-    texts = F.transform("v", lambda x: shorten(x["value"]))
+        one = exclude.select(*COL, F.col("value").alias("_out"))
+        lists = lists.join(one, COL, "left").withColumn("v", F.filter("v", lambda x: ~x.eqNullSafe(F.col("_out")))).drop("_out")
+    texts = F.transform("v", shorten)
     keep = F.when((F.col("dtype") == "float64") & F.lit(valuecount is None), 2).otherwise(limit)
     return columns.join(lists, COL, "left").select(
         *columns.columns,
@@ -122,10 +116,11 @@ def impute_mean(cells: DataFrame, columns: DataFrame, bounded: bool = False) ->
     a window, which keeps the partitioning by table and needs no join.
     """
     numeric = columns.where(F.col("dtype").isin("int64", "float64")).select(*COL)
-    numbers = cells.join(numeric, COL, "left_semi").withColumn("_d", F.col("value").try_cast("decimal(38,10)"))
+    numbers = join_small(cells, numeric, COL, "left_semi").withColumn("_d", F.col("value").try_cast("decimal(38,10)"))
     if bounded:
         numbers = numbers.withColumn("_mean", F.avg("_d").over(Window.partitionBy(*COL)))
     else:
+        numbers = evaluated_once(numbers)
         numbers = join_small(numbers, numbers.groupBy(*COL).agg(F.avg("_d").alias("_mean")), COL)
     number = F.coalesce(F.col("value").try_cast("double"), F.col("_mean").cast("double"), F.lit(0.0))
     return numbers.withColumn("number", number).drop("_d", "_mean")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellweft.operators import corpus, describe, ordering, profile
+from cellweft.operators.column_states import column_states
 from cellweft.operators.joins import join_small
 from cellweft.plans import fixtures as fx
 from cellweft.plans.registry import Registry
+from cellweft.session import kept
 
 reg = Registry()
 DB = "WITH " + fx.DATABASE_SQL
@@ -89,7 +91,7 @@ def convertible_columns(spark, sf):
 )
 def profile_columns(spark, sf):
     cells, columns = _cells_columns(spark, sf)
-    return profile.profile_columns(profile.value_groups(cells), columns)
+    return profile.profile_columns(column_states(cells), columns)
 
 
 @reg.query("infer_primary_key", DB + " SELECT * FROM pk")
@@ -116,14 +118,14 @@ _EX_OUT = " SELECT table_id, col_name, array_to_string(examples, ' ; ') AS examp
 @reg.query("example_values", f"{DB}, {_examples_sql(3, 2)} {_EX_OUT}")
 def example_values(spark, sf):
     cells, columns = _cells_columns(spark, sf)
-    found = profile.example_values(profile.value_groups(cells), columns)
+    found = profile.example_values(column_states(cells, profile.firsts_needed(), keys=None), columns)
     return found.select("table_id", "col_name", F.array_join("examples", " ; ").alias("examples"))
 
 
 @reg.query("example_values_counted", f"{DB}, {_examples_sql(5, 5)} {_EX_OUT}")
 def example_values_counted(spark, sf):
     cells, columns = _cells_columns(spark, sf)
-    found = profile.example_values(profile.value_groups(cells), columns, valuecount=5)
+    found = profile.example_values(column_states(cells, profile.firsts_needed(5), keys=None), columns, valuecount=5)
     return found.select("table_id", "col_name", F.array_join("examples", " ; ").alias("examples"))
 
 
@@ -135,9 +137,9 @@ def example_values_counted(spark, sf):
 )
 def example_values_excluding(spark, sf):
     cells, columns = _cells_columns(spark, sf)
-    groups = profile.value_groups(cells)
-    top = groups.groupBy("table_id", "col_idx").agg(F.max("value").alias("value")).where("value is not null")
-    found = profile.example_values(groups, columns, exclude=top)
+    top = cells.groupBy("table_id", "col_idx").agg(F.max("value").alias("value")).where("value is not null")
+    states = column_states(cells, profile.firsts_needed(exclude=True), keys=None)
+    found = profile.example_values(states, columns, exclude=top)
     return found.select("table_id", "col_name", F.array_join("examples", " ; ").alias("examples"))
 
 
@@ -157,7 +159,7 @@ def shorten_value(spark, sf):
 )
 def attach_comments(spark, sf):
     cells, columns = _cells_columns(spark, sf)
-    profiles = profile.profile_columns(profile.value_groups(cells), columns)
+    profiles = profile.profile_columns(kept(column_states(cells), "states"), columns)
     comments = profiles.where("contains_null").select("table_id", "col_name", F.lit("has gaps").alias("comment"))
     return profile.attach_comments(profiles, comments).select("table_id", "col_name", "n_distinct", "comment")
 
@@ -184,9 +186,10 @@ _LINES = {
 def schema_lines(spark, sf, mode="novalue", valuecount=None):
     """Cells to one schema line per table."""
     cells, columns = _cells_columns(spark, sf)
-    groups = profile.value_groups(cells)
-    profiles = profile.profile_columns(groups, columns)
-    examples = None if mode == "novalue" else profile.example_values(groups, columns, valuecount=valuecount)
+    first = 0 if mode == "novalue" else profile.firsts_needed(valuecount)
+    states = kept(column_states(cells, first), "states")  # a row per column
+    profiles = profile.profile_columns(states, columns)
+    examples = None if mode == "novalue" else profile.example_values(states, columns, valuecount=valuecount)
     return describe.describe_table(profiles, profile.infer_primary_key(profiles), examples, mode)
 
 
@@ -212,7 +215,7 @@ def describe_table_valuecount(spark, sf):
 )
 def zip_tables_keys(spark, sf):
     cells, columns = _cells_columns(spark, sf)
-    profiles = profile.profile_columns(profile.value_groups(cells), columns)
+    profiles = profile.profile_columns(kept(column_states(cells), "states"), columns)
     keys = profile.infer_primary_key(profiles)
     lines = describe.describe_table(profiles, keys)
     return describe.zip_tables_keys(fx.database_tables(spark), keys, lines)
@@ -251,7 +254,7 @@ def describe_database(spark, sf):
 )
 def quote_identifier(spark, sf):
     cells, columns = _cells_columns(spark, sf)
-    profiles = profile.profile_columns(profile.value_groups(cells), columns)
+    profiles = profile.profile_columns(column_states(cells), columns)
     return profiles.select("table_id", describe.quote_identifier(F.lower("col_name")).alias("shown"), "n_distinct")
 
 

@@ -57,3 +57,32 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def work_folder(spark: SparkSession) -> str:
     """A new folder for written tables, in the shared folder."""
     return f"{shared_folder(spark)}/cellweft-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, part: str) -> DataFrame:
+    """The frame, written to the shared folder and read again: what stands before it is evaluated once, however often it is used."""
+    path = f"{work_folder(df.sparkSession)}/{part}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Plan nodes that cost no more than reading the columns that are asked for.
+PLAIN = {"Project", "Filter", "Union", "SubqueryAlias", "LocalRelation", "LogicalRelation", "DataSourceV2Relation", "DataSourceV2ScanRelation", "LogicalRDD", "Range"}
+
+
+def is_plain(df: DataFrame) -> bool:
+    """Whether a frame only reads, projects and filters, so that reading it again costs just the columns that are used."""
+    plans = [df._jdf.queryExecution().optimizedPlan()]
+    while plans:
+        plan = plans.pop()
+        # the name may be followed by what is read
+        if plan.nodeName().split(" ")[0] not in PLAIN:
+            return False
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    return True
+
+
+def evaluated_once(df: DataFrame, part: str = "input") -> DataFrame:
+    """The frame to use several times: itself if it is plain, else written and read again."""
+    return df if is_plain(df) else kept(df, part)
