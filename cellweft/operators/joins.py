@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweft.operators.ordering import HOT_ROWS, hot_keys
+from cellweft.session import evaluated_once
 
 SMALL_ROWS = 50_000
 SMALL_BYTES = 16 << 20
@@ -36,8 +37,9 @@ def join_small(df: DataFrame, dim: DataFrame, on: str | list[str], how: str = "i
 
     Few dimension keys mean few, very large groups on the other side, which a shuffle by that key would
     put into few tasks.  A larger dimension is joined by a shuffle, where adaptive execution splits skewed
-    partitions.
+    partitions.  The dimension is evaluated once, to measure and to join it.
     """
+    dim = evaluated_once(dim, "dimension")
     return df.join(F.broadcast(dim) if is_small(dim, small_rows) else dim, on, how)
 
 
@@ -47,6 +49,7 @@ def join_hot(df: DataFrame, dim: DataFrame, on: str, hot_rows: int = HOT_ROWS) -
     The largest keys, 1023 at most, are joined by a broadcast of their few dimension rows; all other keys by a
     shuffle, where none of them is large.
     """
+    df = evaluated_once(df)
     hot = hot_keys(df, [on], hot_rows)
     if hot is None:
         return df.join(dim, on)

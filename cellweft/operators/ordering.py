@@ -3,7 +3,8 @@
 Spark has no distributed ROW_NUMBER over a whole table: a window without partition keys, or with one
 very large partition, sorts everything in one task.  These helpers cut the order into ranges whose
 bounds come from a hash sample of the keys.  The sample only balances the work; results are exact and
-do not depend on it.  Everything stays lazy, and the bounds are a scalar subquery.
+do not depend on it.  Bounds are a scalar subquery.  Inputs that cost more than reading are written once, and then read
+for each step with the columns that it needs.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellweft.session import evaluated_once
+
 SAMPLE_PER_BUCKET = 20
 HOT_SHARE = 1024  # fewer than this many groups can each hold 1/1024 of a table
 HOT_ROWS = 1_000_000
@@ -68,6 +71,7 @@ def with_position(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), n
     A group may be any size: it is numbered range by range, and the ranges' starts are added back.
     """
     by = list(by)
+    df = evaluated_once(df)
     cut = with_range_bucket(df, [*by, *order])
     counts = cut.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -95,7 +99,8 @@ def key_at(df: DataFrame, order: Sequence[str], rank: Callable[[Column], Column]
     Only the keys are read.  Counting per range finds the one range that holds the position, and only
     that range is sorted.
     """
-    keys = with_range_bucket(df.select(*order), order)
+    df = evaluated_once(df.select(*order))
+    keys = with_range_bucket(df, order)
     counts = keys.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     cut = (
@@ -144,6 +149,7 @@ def first_rows(
         ranked = rows.withColumn(name, F.row_number().over(whole).cast("bigint"))
         return ranked.where(F.col(name) <= n).select(*df.columns, name)
 
+    df = df if bounded else evaluated_once(df)
     hot = None if bounded else hot_keys(df, by, hot_rows)
     if hot is None:
         return cut(df)

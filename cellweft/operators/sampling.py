@@ -20,16 +20,17 @@ def sample_rows(
 ) -> DataFrame:
     """Tables over n rows keep n random rows in random order, others keep theirs; adds `sample_pos`.
 
-    After a bounded scan (`bounded`) counting and ranking share one partitioning by table.
+    The n + 1 rows of least random key say both which rows a table over n keeps and whether it is one, so no
+    table is counted.
     """
     by = list(by)
-    over = F.count(F.lit(1)) > n
-    if bounded:
-        keyed = rows.withColumn("_over", (F.count(F.lit(1)).over(Window.partitionBy(*by)) > n))
-    else:
-        keyed = join_small(rows, rows.groupBy(*by).agg(over.alias("_over")), by)
-    keyed = keyed.withColumn("_rnd", F.when(F.col("_over"), hash_key(seed, *by, pos)).otherwise(""))
-    return first_rows(keyed, by, ["_rnd", pos], n, name="sample_pos", bounded=bounded, **kw).drop("_over", "_rnd")
+    keyed = rows.withColumn("_rnd", hash_key(seed, *by, pos))
+    few = first_rows(keyed, by, ["_rnd", pos], n + 1, name="_least", bounded=bounded, **kw)
+    table = Window.partitionBy(*by)  # at most n + 1 rows each
+    over = F.max("_least").over(table) > n
+    kept = few.withColumn("_over", over).where(~F.col("_over") | (F.col("_least") <= n))
+    place = F.row_number().over(table.orderBy(F.when(F.col("_over"), F.col("_least")).otherwise(0), pos))
+    return kept.withColumn("sample_pos", place.cast("bigint")).select(*rows.columns, "sample_pos")
 
 
 def _ranked_columns(columns: DataFrame, seed: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cellweft.functions import text as tx
@@ -96,6 +97,17 @@ def manifest(spark, sf):
     return stores.read_manifest(spark, out, "semantic", idx).select("table_id", "n_cols", "position")
 
 
+def _listed(batches):
+    """JSON texts as the lines of one list."""
+    mark = "["
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        if texts:
+            yield pa.RecordBatch.from_pydict({"value": [mark + texts[0], *("," + t for t in texts[1:])]})
+            mark = ","
+    yield pa.RecordBatch.from_pydict({"value": ["]" if mark == "," else "[]"]})
+
+
 @reg.query(
     "read_examples",
     f"""WITH {tq.QA_SQL} SELECT question AS instruction, answer, db_id, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS question_id FROM qa""",
@@ -106,8 +118,20 @@ def read_examples(spark, sf):
     rows = qa.select(
         F.col("question").alias("instruction"), "answer", F.array(F.lit("a.csv")).alias("path_csvs"), "db_id", F.concat_ws("-", "conv_id", "turn").alias("question_id")
     )
+    # every file is one JSON list
+    rows.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(_listed, "value string").write.mode("overwrite").text(out)
+    return stores.read_examples(spark, out).select("instruction", "answer", "db_id", "question_id")
+
+
+@reg.query(
+    "read_json_lines",
+    f"""WITH {tq.QA_SQL} SELECT question AS instruction, db_id, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS question_id FROM qa""",
+)
+def read_json_lines(spark, sf):
+    out = work_folder(spark)
+    rows = tq.question_answers(spark, sf).select(F.col("question").alias("instruction"), "db_id", F.concat_ws("-", "conv_id", "turn").alias("question_id"))
     rows.write.mode("overwrite").json(out)
-    return stores.read_examples(spark, out, json_list=False).select("instruction", "answer", "db_id", "question_id")
+    return stores.read_examples(spark, out, json_list=False).select("instruction", "db_id", "question_id")
 
 
 @reg.query(

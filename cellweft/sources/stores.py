@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cellweft.functions.text import format_gold_line, one_line
 from cellweft.operators.ordering import with_position
+from cellweft.sources.splits import json_objects
 
 EXAMPLE_SCHEMA = "instruction string, answer string, path_csvs array<string>, db_id string, question_id string"
 
@@ -32,9 +33,14 @@ def read_manifest(spark: SparkSession, path: str, cls: str | None = None, idx: D
 
 
 def read_examples(spark: SparkSession, path: str, json_list: bool = True, schema: str = EXAMPLE_SCHEMA) -> DataFrame:
-    """Examples from JSON with a declared schema.  A file with one JSON list is read by one task, so many
-    files or JSON lines (`json_list=False`) suit large sets."""
-    return spark.read.schema(schema).option("multiLine", json_list).json(path)
+    """Examples from JSON with a declared schema.
+
+    Files with a JSON list are cut into their objects by as many tasks as they have splits; JSON lines
+    (`json_list=False`) need no such search.
+    """
+    if not json_list:
+        return spark.read.schema(schema).json(path)
+    return json_objects(spark, path).select(F.from_json("value", schema).alias("x")).select("x.*")
 
 
 def write_vectors(vectors: DataFrame, out: str) -> None:

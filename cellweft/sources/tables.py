@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import sqlite3
 from collections.abc import Iterable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweft.functions.text import path_parts
+from cellweft.sources.splits import csv_records, read_pieces
 
+WRITES_AT_ONCE = 8
 ROWS_SCHEMA = "db_id string, table_name string, row_id bigint, values array<string>"
 # Words that stand for a missing value.
 NULL_WORDS = (
@@ -19,17 +22,18 @@ NULL_WORDS = (
 )
 # one field and the comma after it; every line gets a closing comma first
 _FIELD = '("(?:[^"]|"")*"|[^,]*),'
-# all fields of a line that begins outside quotes, and a last one whose quote stays open
-_OPENS = '^(?:"[^"]*+(?:""[^"]*+)*+",|[^",][^,]*+,|,)*+"[^"]*+(?:""[^"]*+)*+$'
-# the same of a line that begins inside quotes
-_GOES_ON = '^[^"]*+(?:""[^"]*+)*+(?:$|",(?:"[^"]*+(?:""[^"]*+)*+",|[^",][^,]*+,|,)*+"[^"]*+(?:""[^"]*+)*+$)'
 
 
 def extract_tables(tables: Mapping[tuple[str, str], DataFrame], out: str) -> None:
-    """Write each named table as CSV with a header under <out>/<db_id>/<table>."""
-    for (db_id, name), df in tables.items():
+    """Write each named table as CSV with a header under <out>/<db_id>/<table>; tables are written side by side."""
+
+    def write(item) -> None:
+        (db_id, name), df = item
         df.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{out}/{db_id}/{name}")
 
+    with ThreadPoolExecutor(WRITES_AT_ONCE) as pool:
+        list(pool.map(write, tables.items()))
+
 
 def catalogue_tables(spark: SparkSession, databases: Iterable[str]) -> dict[tuple[str, str], DataFrame]:
     """All tables of catalogue databases, as input of extract_tables."""
@@ -59,54 +63,20 @@ def _fields(line: Column, null_words: Iterable[str] = ("",)) -> Column:
     return F.transform(plain, lambda x: F.when(~x.isin(*null_words), x))
 
 
-def _records(lines: DataFrame) -> DataFrame:
-    """Lines put together where a line break stands inside quotes.
-
-    A record goes on while a quoted field is open, which only a file's own order can tell, so a file with such
-    lines is the unit of work; all other files keep their splits.  A quote inside an unquoted field is text.
-    Each line says whether it leaves a field open, if it begins outside quotes and if it begins inside; where both
-    agree the state is known whatever came before, and from there lines keep it or turn it round.
-    """
-    opens, goes_on = F.rlike("value", F.lit(_OPENS)).cast("int"), F.rlike("value", F.lit(_GOES_ON)).cast("int")
-    marked = lines.withColumn("opens", opens).withColumn("goes_on", goes_on)
-    broken = marked.groupBy("path").agg(F.max("opens").alias("any")).where("any = 1").select("path")
-    order = Window.partitionBy("path").orderBy("file_start", "line_id")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    within = marked.join(broken, "path", "left_semi").withColumn("turns", F.sum((F.col("opens") > F.col("goes_on")).cast("int")).over(so_far))
-    # the last line that settles the state: what it leaves, and the turns until then
-    known = F.last(F.when(F.col("opens") == F.col("goes_on"), F.struct("opens", "turns")), ignorenulls=True).over(so_far)
-    within = within.withColumn("known", known)
-    left_open = (F.coalesce(F.col("known.opens"), F.lit(0)) + F.col("turns") - F.coalesce(F.col("known.turns"), F.lit(0))) % 2
-    within = within.withColumn("left_open", left_open)
-    within = within.withColumn("fresh", (F.coalesce(F.lag("left_open").over(order), F.lit(0)) == 0).cast("int"))
-    within = within.withColumn("record", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = within.groupBy("path", "record").agg(F.array_sort(F.collect_list(F.struct("file_start", "line_id", "value"))).alias("l"))
-    joined = joined.select(
-        "path", F.col("l")[0]["file_start"].alias("file_start"), F.col("l")[0]["line_id"].alias("line_id"), F.array_join("l.value", "\n").alias("value")
-    )
-    return marked.join(broken, "path", "left_anti").select(*joined.columns).unionByName(joined)
-
-
 def read_csv_corpus(
     spark: SparkSession, root: str, folder_is_table: bool = False, null_words: Iterable[str] = NULL_WORDS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All CSV files below a folder, whatever their columns: (rows, columns, rejects).
 
     rows(table_id, file_start, line_id, values) order by (file_start, line_id); columns has the inferred
-    dtypes; a table with a record of more fields than its header is left out and listed in rejects.  A short
-    record is filled with nulls, empty lines are skipped, and quotes may hold line breaks.  Lines are read
-    as text, so a large file is split over many tasks.  With `folder_is_table` all files of a folder
+    dtypes; a table with a record of more fields than its header, or with a quote that is never closed, is left out and
+    listed in rejects.  A short record is filled with nulls, empty lines are skipped, and quotes may hold line breaks.  Lines
+    are read as text, so a large file is split over many tasks.  With `folder_is_table` all files of a folder
     are one table, as Spark writes it, and the table's name is the folder's.
     """
-    text = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(root)
-    # a reader numbers the lines of a split in file order, and a file's header is the first of its first split
-    lines = text.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("file_start"),
-        F.monotonically_increasing_id().alias("line_id"),
-        "value",
-    )
-    lines = _records(lines).where("value != ''")
+    # a file's header is the first record of its first split
+    lines, open_files = csv_records(read_pieces(spark, root, "*.csv"))
+    lines = lines.where("value != ''")
     heads = (
         lines.where("file_start = 0").groupBy("path").agg(F.min("line_id").alias("head_id"), F.min_by("value", "line_id").alias("head"))
     )
@@ -118,7 +88,9 @@ def read_csv_corpus(
     )
     misfit = F.size("values") > F.col("width")
     filled = F.concat("values", F.transform(F.array_repeat(F.lit(0), F.col("width") - F.size("values")), lambda _: F.lit(None).cast("string")))
-    rejects = body.where(misfit).groupBy("table_id").agg(F.count(F.lit(1)).alias("n_bad"), F.lit("line does not fit header").alias("reason"))
+    bad = body.where(misfit).select("table_id", F.lit("line does not fit header").alias("reason"))
+    bad = bad.unionByName(open_files.select(table.alias("table_id"), F.lit("quote left open").alias("reason")))
+    rejects = bad.groupBy("table_id").agg(F.count(F.lit(1)).alias("n_bad"), F.max("reason").alias("reason"))
     good = body.join(rejects.select("table_id"), "table_id", "left_anti").withColumn("values", filled)
     named = heads.select(table.alias("table_id"), F.posexplode(_fields(F.col("head"))).alias("col_idx", "col_name")).distinct()
     named = named.join(rejects.select("table_id"), "table_id", "left_anti")
