@@ -15,6 +15,7 @@ all little-endian, beside the doc_id and the length of each document in it.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -146,6 +147,7 @@ class Library:
     """A byte-level model of the tokenizers library, for pre-tokens; special strings in them are ordinary text."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
