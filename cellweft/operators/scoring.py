@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cellweft.operators.joins import join_small
 from cellweft.operators.ordering import with_position
+from cellweft.session import evaluated_once
 
 _U = "struct<agg:string,col:string,distinct:boolean>"
 _V = f"struct<op:string,u1:{_U},u2:{_U}>"
@@ -52,34 +53,32 @@ def paired_nodes(items: DataFrame, gold: str = "gold", pred: str = "pred") -> Da
     """One row per place in the tree of set operations of an item: path, `linked` (may the item have more than
     one place), and both parsed queries.
 
-    Children are found on the text, level by level until there are none; each query is then parsed once.
-    The children of a pair are the pairs under the same link, so nothing is joined.  `gold_from` and `pred_from`
-    are the tables of the outermost queries: they decide about foreign keys in the nested ones, too.
+    The walk is one expression over a row: a list of places to which each adds its children, the pairs under the same
+    link.  A text has no more places than names of links, so that many steps reach any depth.  Each query is parsed once.
+    `gold_from` and `pred_from` are the tables of the outermost queries: they decide about foreign keys in the
+    nested ones, too.
     """
     keep = [c for c in items.columns if c not in (gold, pred)]
-    maybe = "\"(" + "|".join(SET_LINKS) + ")\"\\s*:\\s*\\{"
-    linked = reduce(lambda a, b: a | b, [F.get_json_object(c, f"$.{k}").isNotNull() for c in (gold, pred) for k in SET_LINKS])
-    root = [table_ids(parse_query(c)).alias(f"{side}_from") for c, side in ((gold, "gold"), (pred, "pred"))]
-    level = items.select(*keep, linked.alias("linked"), F.lit("").alias("path"), F.col(gold).alias("_g"), F.col(pred).alias("_p"), *root)
-    keep = [*keep, "gold_from", "pred_from"]
-    # one job counts the links of a text, which bounds the depth; only for long texts each level is tried
-    most = items.agg(F.max(F.greatest(*[F.coalesce(F.regexp_count(c, F.lit(maybe)), F.lit(0)) for c in (gold, pred)]))).first()[0] or 0
-    nodes = level
-    for depth in range(1, most + 1):
-        links = [
-            F.struct(F.lit(k).alias("k"), F.get_json_object("_g", f"$.{k}").alias("g"), F.get_json_object("_p", f"$.{k}").alias("p"))
-            for k in SET_LINKS
-        ]
-        children = F.filter(F.array(*links), lambda x: x["g"].isNotNull() | x["p"].isNotNull())
-        level = (
-            level.where("linked")
-            .select(*keep, "linked", "path", F.explode(children).alias("c"))
-            .select(*keep, "linked", F.concat("path", F.lit("/"), "c.k").alias("path"), F.col("c.g").alias("_g"), F.col("c.p").alias("_p"))
-        )
-        if depth > 3 and level.isEmpty():
-            break
-        nodes = nodes.unionByName(level)
-    return nodes.select(*keep, "linked", "path", parse_query("_g").alias("gold"), parse_query("_p").alias("pred"))
+    sides = (gold, pred)
+    linked = reduce(lambda a, b: a | b, [F.get_json_object(c, f"$.{k}").isNotNull() for c in sides for k in SET_LINKS])
+    name = "\"(" + "|".join(SET_LINKS) + ")\"\\s*:\\s*\\{"
+    most = sum((F.coalesce(F.regexp_count(c, F.lit(name)), F.lit(0)) for c in sides), F.lit(0))
+
+    def child(place: Column, link: str) -> Column:
+        path = F.concat(place["path"], F.lit(f"/{link}"))
+        return F.struct(path.alias("path"), *[F.get_json_object(place[side], f"$.{link}").alias(side) for side in ("g", "p")])
+
+    def walked(places: Column, i: Column) -> Column:
+        children = F.array(*[child(F.get(places, i), link) for link in SET_LINKS])
+        return F.concat(places, F.filter(children, lambda c: c["g"].isNotNull() | c["p"].isNotNull()))
+
+    # either side of a place may be missing, whatever the root's columns are
+    root = F.array(F.struct(F.lit("").alias("path"), F.col(gold).alias("g"), F.col(pred).alias("p"))).cast("array<struct<path:string,g:string,p:string>>")
+    places = F.when(linked, F.aggregate(F.sequence(F.lit(0), most), root, walked)).otherwise(root)
+    nodes = items.select(*keep, linked.alias("linked"), F.col(gold).alias("_g"), F.col(pred).alias("_p"), F.explode(places).alias("n"))
+    parsed = nodes.select(*keep, "linked", "_g", "_p", "n.path", parse_query("n.g").alias("gold"), parse_query("n.p").alias("pred"))
+    outer = [F.when(F.col("path") == "", table_ids(side)).otherwise(table_ids(parse_query(text))) for side, text in (("gold", "_g"), ("pred", "_p"))]
+    return parsed.select(*keep, outer[0].alias("gold_from"), outer[1].alias("pred_from"), "linked", "path", "gold", "pred")
 
 
 def _conds(q: Column, clause: str) -> Column:
@@ -139,16 +138,19 @@ def nested_queries(q: str) -> Column:
 # --- normal form -----------------------------------------------------------------------------------
 
 _LITERAL = r'"val[12]":(?:"(?:\\.|[^"\\])*"|-?[0-9][0-9.eE+-]*|true|false)'
-_NOTHING = r'"[a-z_0-9]+":null'
+_NOTHING = r'"[a-z_0-9]+":(?:null|\[\]|\{\})'
+# a clause holds lists in a list: what is empty in them makes them empty
+_LEVELS = 3
 
 
 def normal_text(query: Column) -> Column:
     """A nested query as canonical JSON: fields in one order, no spaces, no literals, no empty fields.
 
-    Equal text means an equal query.  Inside a text value a quote is escaped, so the patterns meet fields only.
+    Equal text means an equal query; an empty list or object counts as a missing field.  Inside a text value a quote is
+    escaped, so the patterns meet fields only.
     """
     text = F.to_json(F.try_parse_json(query))
-    for field in (_LITERAL, _NOTHING):
+    for field in (_LITERAL, *[_NOTHING] * _LEVELS):
         text = F.regexp_replace(F.regexp_replace(text, "," + field, ""), field + ",?", "")
     return F.coalesce(text, query)
 
@@ -439,18 +441,20 @@ def node_components(nodes: DataFrame) -> DataFrame:
     return out.withColumn("parts_ok", F.col("both") & all_one)
 
 
-def item_scores(nodes: DataFrame, item: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def item_scores(nodes: DataFrame, item: str, keep: tuple[str, ...] = (), top: tuple[str, ...] = ()) -> DataFrame:
     """One row per item: `exact`, and `parts` with the totals of all ten components.
 
+    The columns of `keep` are the same at all places of an item; those of `top` are taken from its outermost query.
+
     A nested pair is an exact match when it and all pairs below it are, so one AND over the tree replaces
     the recursion.  Only items with set operations are grouped; all others stay where they are.
     """
     scored = node_components(with_presence(nodes))
     keys = [item, *keep]
     counts = {"lt": F.lit(0), "pt": F.lit(0), "n": F.lit(0)}
-    flat = scored.where("NOT linked").select(*keys, "parts", "tables_ok", *[c.alias(k) for k, c in counts.items()])
+    flat = scored.where("NOT linked").select(*keys, *top, "parts", "tables_ok", *[c.alias(k) for k, c in counts.items()])
 
-    top = F.col("path") == ""
+    outermost = F.col("path") == ""
     branch = F.regexp_extract("path", "^/([a-z]+)", 1)
     good = F.col("parts_ok") & F.col("tables_ok")
 
@@ -465,8 +469,9 @@ def item_scores(nodes: DataFrame, item: str, keep: tuple[str, ...] = ()) -> Data
         scored.where("linked")
         .groupBy(*keys)
         .agg(
-            F.max(F.when(top, F.col("parts"))).alias("parts"),
-            F.bool_and(F.when(top, F.col("tables_ok"))).alias("tables_ok"),
+            *[F.max(F.when(outermost, F.col(c))).alias(c) for c in top],
+            F.max(F.when(outermost, F.col("parts"))).alias("parts"),
+            F.bool_and(F.when(outermost, F.col("tables_ok"))).alias("tables_ok"),
             present("gold_here").alias("lt"),
             present("pred_here").alias("pt"),
             reduce(lambda a, b: a + b, [branch_and(k) for k in SET_LINKS]).alias("n"),
@@ -475,7 +480,7 @@ def item_scores(nodes: DataFrame, item: str, keep: tuple[str, ...] = ()) -> Data
     iuen = F.struct(F.lit("IUEN").alias("component"), F.col("lt").alias("label_total"), F.col("pt").alias("pred_total"), F.col("n").alias("cnt"))
     full = flat.unionByName(grouped).withColumn("parts", F.concat("parts", F.array(iuen)))
     exact = F.forall("parts", lambda x: component_score(x["cnt"], x["pred_total"], x["label_total"]) == 1) & F.col("tables_ok")
-    return full.select(*keys, exact.cast("int").alias("exact"), "parts")
+    return full.select(*keys, *top, exact.cast("int").alias("exact"), "parts")
 
 
 def component_suite(scores: DataFrame) -> DataFrame:
@@ -612,23 +617,102 @@ def score_report(counts: DataFrame, partials: DataFrame) -> DataFrame:
     )
 
 
-def result_set_match(pred: DataFrame, gold: DataFrame, keep_distinct: bool = True, order: list[str] | None = None) -> DataFrame:
+def result_set_match(
+    pred: DataFrame, gold: DataFrame, keep_distinct: bool = True, order: list[str] | None = None, any_column_order: bool = False
+) -> DataFrame:
     """One row (n_pred, n_gold, matches): do two query results hold the same bag of rows?
 
     Rows are counted per value on each side; `keep_distinct=False` compares sets, and with `order` the
-    position of a row counts too.
+    position of a row counts too.  Columns are compared by place, under pred's names, or with `any_column_order` in
+    any order, each side under its own names; results with another number of columns never match.
     """
-    names = pred.columns
-    sides = []
-    for df, p in ((pred, 1), (gold, 0)):
-        df = df.toDF(*names)
+    same_width = len(pred.columns) == len(gold.columns)
+    if same_width and not any_column_order:
+        gold = gold.toDF(*pred.columns)
+    sides, names = [], []
+    for df in (pred, gold):
         df = df if keep_distinct else df.distinct()
-        df = with_position(df, order, name="_at") if order else df
-        sides.append(df.withColumn("_p", F.lit(p)))
-    keys = [*names, "_at"] if order else names
-    counts = sides[0].unionByName(sides[1]).groupBy(*keys).agg(F.sum("_p").alias("p"), F.sum(1 - F.col("_p")).alias("g"))
+        own = [f"_v{i}" for i in range(len(df.columns))]
+        df = with_position(df, order, name="_at").toDF(*own, "_at") if order else df.toDF(*own)
+        sides.append(df)
+        names.append(own)
+    if not same_width:
+        return _counts_of(*sides).withColumn("matches", F.lit(False))
+    if not any_column_order:
+        return _compared(*sides, *names)
+    sides = [evaluated_once(df, "result") for df in sides]
+    *others, last = column_assignments(*sides, *names) or [None]
+    for columns in others:
+        found = _compared(*sides, columns, names[1])
+        if found.first()["matches"]:
+            return found
+    return _counts_of(*sides).withColumn("matches", F.lit(False)) if last is None else _compared(*sides, last, names[1])
+
+
+def _counts_of(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row (n_pred, n_gold)."""
+    both = pred.select(F.lit(1).alias("_p")).unionByName(gold.select(F.lit(0).alias("_p")))
+    return both.agg(F.coalesce(F.sum("_p"), F.lit(0)).alias("n_pred"), F.coalesce(F.sum(1 - F.col("_p")), F.lit(0)).alias("n_gold"))
+
+
+def _compared(pred: DataFrame, gold: DataFrame, pred_columns: list[str], gold_columns: list[str]) -> DataFrame:
+    place = ["_at"] if "_at" in gold.columns else []
+    keys = [f"_c{i}" for i in range(len(gold_columns))]
+    sides = [
+        df.select(*place, *[F.col(f"`{c}`").alias(k) for c, k in zip(columns, keys, strict=True)], F.lit(p).alias("_p"))
+        for df, columns, p in ((pred, pred_columns, 1), (gold, gold_columns, 0))
+    ]
+    counts = sides[0].unionByName(sides[1]).groupBy(*place, *keys).agg(F.sum("_p").alias("p"), F.sum(1 - F.col("_p")).alias("g"))
     return counts.agg(
         F.coalesce(F.sum("p"), F.lit(0)).alias("n_pred"),
         F.coalesce(F.sum("g"), F.lit(0)).alias("n_gold"),
         F.coalesce(F.bool_and(F.col("p") == F.col("g")), F.lit(True)).alias("matches"),
     )
+
+
+def _fingerprints(df: DataFrame, lists: list[list[str]]) -> list[tuple]:
+    """For each list of columns a fingerprint of the bag of its rows, in one scan; positions count where there are any.
+
+    Values are compared as text, with a mark that tells null from a text.
+    """
+    place = [F.col("_at")] if "_at" in df.columns else []
+
+    def hashed(columns: list[str], seed: int) -> Column:
+        cells = [x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`").cast("string"))]
+        return F.xxhash64(F.lit(seed), *place, *cells).cast("decimal(20,0)")
+
+    sums = [F.sum(hashed(columns, seed)) for columns in lists for seed in (0, 1)]
+    row = df.agg(F.count(F.lit(1)), *sums).first()
+    return [(row[0], row[1 + 2 * i], row[2 + 2 * i]) for i in range(len(lists))]
+
+
+def column_assignments(pred: DataFrame, gold: DataFrame, pred_names: list[str], gold_names: list[str]) -> list[list[str]]:
+    """The orders of pred's columns in which both results may hold the same rows, most often none or one.
+
+    Each gold column can only be a pred column whose bag of values has the same fingerprint.  Columns are settled one by
+    one, and a beginning is kept only if the bag of its rows has the fingerprint of gold's; columns of pred that are equal in
+    every row need no more than one order.
+    """
+    single = dict(zip(pred_names, _fingerprints(pred, [[c] for c in pred_names]), strict=True))
+    wanted = _fingerprints(gold, [[c] for c in gold_names])
+    fits = [[c for c in pred_names if single[c] == w] for w in wanted]
+    if not all(fits) or sorted(single.values(), key=str) != sorted(wanted, key=str):
+        return []
+    alike = [(a, b) for i, a in enumerate(pred_names) for b in pred_names[i + 1 :] if single[a] == single[b]]
+    twins: set[tuple[str, str]] = set()
+    if alike:
+        same = pred.agg(*[F.bool_and(F.col(f"`{a}`").eqNullSafe(F.col(f"`{b}`"))) for a, b in alike]).first()
+        twins = {pair for pair, equal in zip(alike, same, strict=True) if equal is not False}
+    begun: list[list[str]] = [[]]
+    for i, candidates in enumerate(fits):
+        longer = [
+            [*own, c]
+            for own in begun
+            for c in candidates
+            if c not in own and not any(b == c and a not in own for a, b in twins)  # of equal columns the first goes first
+        ]
+        if len(candidates) > 1 and len(longer) > 1:
+            (want,) = _fingerprints(gold, [gold_names[: i + 1]])
+            longer = [own for own, found in zip(longer, _fingerprints(pred, longer), strict=True) if found == want]
+        begun = longer
+    return begun

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cellweft.operators import sampling, scoring
 from cellweft.plans import fixtures as fx
 from cellweft.plans.registry import Registry
-from cellweft.session import spread
+from cellweft.session import kept, spread
 
 reg = Registry()
 
@@ -105,12 +105,12 @@ PRED_JSON = f"CASE WHEN NOT lost THEN {_json_query('kp', 'al', 'p', 'plink', Tru
 
 
 def items(spark, sf):
-    """The items, kept once made: their JSON costs more to make than to score."""
+    """The items, with both queries as JSON."""
     orders = spread(fx.load(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     base = spark.sql(BASE.replace("FROM orders", "FROM {orders}"), orders=orders)
     return base.select(
         ITEM, "session", "db_id", F.expr(GOLD_JSON).alias("gold"), F.expr(PRED_JSON).alias("pred"), (F.col(ITEM) % 4 != 0).cast("int").alias("exec")
-    ).persist()
+    )
 
 
 def kmaps(spark):
@@ -132,10 +132,10 @@ def scores(spark, sf):
 
 
 def leveled_scores(spark, sf):
-    """Item scores with difficulty and turn.  Turns are numbered on narrow rows, without the queries."""
-    rows = items(spark, sf).select(ITEM, "session", "exec", scoring.parse_query("gold").alias("q"))
-    hard = rows.select(ITEM, "session", "exec", scoring.hardness_level("q").alias("hardness"))
-    return sampling.label_turns(hard, ["session"], [ITEM]).join(scores(spark, sf), ITEM)
+    """Item scores with difficulty and turn: each query is made and parsed once, and no items are joined."""
+    places = nodes(spark, sf, items(spark, sf)).withColumn("hardness", F.when(F.col("path") == "", scoring.hardness_level("gold")))
+    scored = scoring.item_scores(places, ITEM, ("session", "exec"), ("hardness",))
+    return sampling.label_turns(scored, ["session"], [ITEM])
 
 
 # --- the same in SQL -------------------------------------------------------------------------------
@@ -285,11 +285,13 @@ def sorted_list_equality(spark, sf):
     "condition_flags",
     SC
     + f""" SELECT question_id, list_contains(list_concat(g_lnk, g_havl), 'or') AS has_or,
-    list_contains({_list(False, _n("kg")["where"], _op("kg"))}, 'like') AS has_like, kg % 7 = 0 AND kg % 4 > 0 AS has_sql, false AS has_op,
+    list_contains({_list(False, _n("kg")["where"], _op("kg"))}, 'like') AS has_like, kg % 7 = 0 AND kg % 4 > 0 AS has_sql, kg % 9 = 0 AS has_op,
     len(list_filter({_list(False, _n("kg")["select"], _agg("kg"))}, lambda x: x <> 'none')) > 0 AS has_agg FROM sides JOIN base USING (question_id)""",
 )
 def condition_flags(spark, sf):
-    q = items(spark, sf).select(ITEM, scoring.parse_query("gold").alias("q"))
+    # every ninth gold query has arithmetic where its values stand
+    sums = F.when(F.col(ITEM) % 9 == 0, F.replace("gold", F.lit('"val":{"op":"none"'), F.lit('"val":{"op":"-"'))).otherwise(F.col("gold"))
+    q = items(spark, sf).withColumn("gold", sums).select(ITEM, scoring.parse_query("gold").alias("q"))
     return q.select(ITEM, *[c.alias(k) for k, c in scoring.condition_flags("q").items()])
 
 
@@ -327,13 +329,19 @@ def json_example_parse(spark, sf):
 
 @reg.query(
     "blank_values",
-    f"""WITH base AS ({BASE}) SELECT question_id, CAST(0 AS INTEGER) AS n_literals, CASE WHEN kg % 7 = 0 AND kg % 4 > 0 THEN '{{"where":{{"conds":[{{"op":"="}}]}}}}' ELSE '' END AS sub FROM base""",
+    f"""WITH base AS ({BASE}) SELECT question_id, CAST(kg % 4 + CASE WHEN kg % 3 > 0 AND kg % 5 = 0 THEN 2 ELSE 0 END - CASE WHEN kg % 7 = 0 AND kg % 4 > 0 THEN 1 ELSE 0 END AS INTEGER) AS n_before,
+    CAST(0 AS INTEGER) AS n_literals, CASE WHEN kg % 7 = 0 AND kg % 4 > 0 THEN '{{"where":{{"conds":[{{"op":"="}}]}}}}' ELSE '' END AS sub FROM base""",
 )
 def blank_values(spark, sf):
-    q = items(spark, sf).select(ITEM, scoring.blank_values(scoring.parse_query("gold")).alias("q"))
-    literals = F.filter(F.concat("q.where.conds", "q.having.conds"), lambda c: c["val1"].isNotNull() | c["val2"].isNotNull())
+    parsed = items(spark, sf).select(ITEM, scoring.parse_query("gold").alias("raw"))
+    q = parsed.withColumn("q", scoring.blank_values("raw"))
+
+    def literals(side):
+        conds = F.concat(f"{side}.where.conds", f"{side}.having.conds")
+        return F.size(F.filter(conds, lambda c: c["val1"].isNotNull() | c["val2"].isNotNull()))
+
     subs = F.array_join(F.transform("q.where.conds", lambda c: F.coalesce(c["sub1"], F.lit(""))), "")
-    return q.select(ITEM, F.size(literals).alias("n_literals"), subs.alias("sub"))
+    return q.select(ITEM, literals("raw").alias("n_before"), literals("q").alias("n_literals"), subs.alias("sub"))
 
 
 @reg.query(
@@ -357,14 +365,22 @@ def canonicalise_keys(spark, sf):
     return top.select(ITEM, F.array_join(cols, " ").alias("pred_columns"))
 
 
+# a catalogue of three columns per item; only tables in FROM count
+_CATALOGUE = [
+    "'__orders.c' || CAST(question_id % 5 AS STRING) || '__'",
+    "'__customer.c' || CAST(question_id % 7 AS STRING) || '__'",
+    "CASE WHEN question_id % 3 = 0 THEN '__all__' ELSE '__nation.c1__' END",
+]
+
+
 @reg.query(
     "valid_columns",
-    f"""WITH base AS ({BASE}) SELECT question_id, CASE WHEN kg % 2 = 0 THEN '__orders.c0__ __orders.c2__' ELSE '__customer.c2__ __orders.c0__ __orders.c2__' END AS valid FROM base""",
+    f"""WITH base AS ({BASE}) SELECT question_id, {_CATALOGUE[0]} || CASE WHEN kg % 2 = 1 THEN ' ' || {_CATALOGUE[1]} ELSE '' END AS valid FROM base""",
 )
 def valid_columns(spark, sf):
-    catalogue = F.array(*[F.lit(c) for c in ("__all__", "__customer.c2__", "__orders.c0__", "__orders.c2__", "__nation.c1__")])
-    q = items(spark, sf).select(ITEM, scoring.parse_query("gold").alias("q"))
-    return q.select(ITEM, F.array_join(scoring.valid_columns(catalogue, scoring.table_ids("q")), " ").alias("valid"))
+    catalogue = F.array(*[F.expr(c) for c in _CATALOGUE])
+    q = items(spark, sf).select(ITEM, catalogue.alias("keys"), scoring.parse_query("gold").alias("q"))
+    return q.select(ITEM, F.array_join(scoring.valid_columns("keys", scoring.table_ids("q")), " ").alias("valid"))
 
 
 # catalogue entries made from orders: 12 columns of 3 tables and 6 foreign keys in file order
@@ -462,7 +478,7 @@ PARTIAL_SQL = """means AS (SELECT coalesce(l.hardness, 'all') AS level, componen
 
 def _counts(spark, sf):
     # levels and sessions are two summaries of the item scores
-    return scoring.score_counts(leveled_scores(spark, sf).persist())
+    return scoring.score_counts(kept(leveled_scores(spark, sf).drop("parts"), "scores"))
 
 
 def _partials(spark, sf):
@@ -497,7 +513,7 @@ _LONG = """long AS (SELECT level, 'count' AS metric, CAST(n AS DOUBLE) AS value
 )
 def score_report(spark, sf):
     # two summaries read the item scores
-    scored = leveled_scores(spark, sf).persist()
+    scored = kept(leveled_scores(spark, sf), "scores")
     report = scoring.score_report(scoring.score_counts(scored), scoring.partial_averages(scoring.component_suite(scored)))
     return report.select("metric", *[F.round(f"`{c}`", 6).alias(c) for c in (*scoring.LEVELS, *scoring.TURNS)])
 
@@ -511,7 +527,10 @@ _GOLD_Q = "SELECT o_custkey, o_orderpriority FROM orders"
       NOT EXISTS ((SELECT o_custkey, o_orderpriority FROM orders EXCEPT ALL SELECT o_custkey, o_orderpriority FROM orders WHERE o_totalprice > 0)) AS matches
     UNION ALL SELECT 'set', (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders)), (SELECT count(*) FROM (SELECT DISTINCT c_custkey FROM customer)),
       (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders)) = (SELECT count(*) FROM customer)
-    UNION ALL SELECT 'list', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders), false""",
+    UNION ALL SELECT 'list', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders), false
+    UNION ALL SELECT 'shuffled', count(*), count(*), true FROM lineitem
+    UNION ALL SELECT 'near miss', count(*), count(*), false FROM lineitem
+    UNION ALL SELECT 'swapped values', count(*), count(*), false FROM lineitem""",
 )
 def result_set_match(spark, sf):
     orders = fx.load(spark, sf, "orders")
@@ -521,8 +540,18 @@ def result_set_match(spark, sf):
     one = orders.select("o_orderkey", "o_orderstatus")
     other = orders.select("o_orderkey", F.when(F.col("o_orderkey") == 0, "?").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
     listed = scoring.result_set_match(one, other, order=["o_orderkey"])
+    lines = fx.load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus", "l_quantity", F.col("l_quantity").alias("again"))
+    turned = lines.select("again", "l_linestatus", "l_partkey", "l_quantity", "l_orderkey", "l_returnflag")
+    last = F.col("l_orderkey") == lines.agg(F.max("l_orderkey")).scalar()
+    one_off = F.when(last, F.lower("l_linestatus")).otherwise(F.col("l_linestatus"))
+    # every column keeps its values, but two of them part from each other
+    parted = turned.select(*[F.when(F.col("l_orderkey") % 2 == 0, -F.col(c)).otherwise(F.col(c)).alias(c) if c == "again" else F.col(c) for c in turned.columns])
+    own = lines.select(*[F.when(F.col("l_partkey") % 2 == 0, -F.col(c)).otherwise(F.col(c)).alias(c) if c == "again" else F.col(c) for c in lines.columns])
+    shuffled = scoring.result_set_match(turned, lines, any_column_order=True)
+    near = scoring.result_set_match(turned.withColumn("l_linestatus", one_off), lines, any_column_order=True)
+    swapped = scoring.result_set_match(parted, own, any_column_order=True)
     out = None
-    for rule, df in (("bag", bag), ("set", sets), ("list", listed)):
+    for rule, df in (("bag", bag), ("set", sets), ("list", listed), ("shuffled", shuffled), ("near miss", near), ("swapped values", swapped)):
         row = df.select(F.lit(rule).alias("rule"), "n_pred", "n_gold", "matches")
         out = row if out is None else out.unionByName(row)
     return out

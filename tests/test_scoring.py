@@ -1,4 +1,6 @@
+import itertools
 import json
+import random
 from collections import Counter
 
 import numpy as np
@@ -145,6 +147,54 @@ def test_result_sets(spark):
     assert scoring.result_set_match(a.limit(0), b.limit(0)).first().matches
 
 
+def test_result_sets_in_any_column_order(spark):
+    match = lambda p, g, **kw: scoring.result_set_match(p, g, any_column_order=True, **kw).first()
+    rng = random.Random(8)
+    for trial in range(12):
+        width, n = rng.randint(1, 4), rng.randint(0, 7)
+        gold = [tuple(rng.choice([1, 2, None]) for _ in range(width)) for _ in range(n)]
+        if trial % 3 == 0:
+            order = rng.sample(range(width), width)
+            pred = [tuple(r[i] for i in order) for r in gold]
+            rng.shuffle(pred)
+        else:
+            pred = [tuple(rng.choice([1, 2, None]) for _ in range(width)) for _ in range(n)]
+        schema = ", ".join(f"c{i} int" for i in range(width))
+        found = match(spark.createDataFrame(pred, schema), spark.createDataFrame(gold, schema))
+        want = any(Counter(tuple(r[i] for i in order) for r in pred) == Counter(gold) for order in itertools.permutations(range(width)))
+        assert (found.n_pred, found.n_gold, found.matches) == (n, n, want)
+    a = spark.createDataFrame([(1, "x", None), (2, "y", None)], "k int, t string, n string")
+    assert not match(a, a.drop("n")).matches
+    turned = a.select("n", "t", "k")
+    assert match(turned, a, order=["k"]).matches
+    assert not match(turned.withColumn("k", 3 - F.col("k")), a, order=["k"]).matches
+    same = a.select("k", F.col("k").alias("k2"), F.col("k").alias("k3"), "t")
+    assert match(same.select("t", "k3", "k", "k2"), same).matches
+    assert len(scoring.column_assignments(same, same, same.columns, same.columns)) == 1
+
+
+def test_trees_of_any_depth(spark):
+    deep = json.dumps({"limit_rows": 0})
+    for i in range(1, 40):
+        deep = json.dumps({"limit_rows": i, ("union", "except", "intersect")[i % 3]: json.loads(deep)})
+    rows = spark.createDataFrame([(1, deep, deep), (2, deep, "{}"), (3, "{}", None)], "q int, gold string, pred string")
+    nodes = scoring.paired_nodes(rows)
+    found = {(r.q, r.path.count("/")): (r.gold.limit_rows, r.pred.limit_rows if r.pred else None) for r in nodes.collect()}
+    assert found == {**{(1, d): (39 - d, 39 - d) for d in range(40)}, **{(2, d): (39 - d, None) for d in range(40)}, (3, 0): (None, None)}
+
+
+def test_empty_lists_equal_missing_fields(spark):
+    def exact(gold, pred):
+        nodes = scoring.paired_nodes(spark.createDataFrame([(1, json.dumps(gold), json.dumps(pred))], "q int, gold string, pred string"))
+        return scoring.item_scores(nodes, "q").first()["exact"]
+
+    value = {"op": "none", "u1": {"agg": "none", "col": "c", "distinct": False}}
+    nested = lambda x: {"where": {"conds": [{"neg": False, "op": "=", "val": value, "sub1": x}], "links": []}}
+    assert exact(nested({"group_by": []}), nested({})) == 1
+    assert exact(nested({"where": {"conds": [], "links": []}, "select": []}), nested({"select": None})) == 1
+    assert exact(nested({"group_by": [{"agg": "none", "col": "c"}]}), nested({})) == 0
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<float>, z array<float>")
     row = df.select(vec.l2_normalize("a").alias("u"), vec.l2_normalize("z").alias("z"), vec.cosine_similarity("a", "z").alias("c"), vec.cosine_similarity("a", "a").alias("s")).first()
