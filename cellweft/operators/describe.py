@@ -63,8 +63,12 @@ def describe_database(lines: DataFrame, foreign_keys: DataFrame | None = None) -
     text = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
     if foreign_keys is None:
         return texts.select("db_id", text.alias("schema_text"))
-    keys = foreign_keys.groupBy("db_id").agg(F.array_sort(F.collect_list("fk")).alias("k"))
-    suffix = F.concat(F.lit("\nForeign keys: ["), F.array_join("k", ", "), F.lit("]\n"))
-    return texts.join(keys, "db_id", "left").select(
-        "db_id", F.concat(text, F.coalesce(suffix, F.lit(""))).alias("schema_text")
+    return texts.join(key_suffix(foreign_keys), "db_id", "left").select(
+        "db_id", F.concat(text, F.coalesce("suffix", F.lit(""))).alias("schema_text")
     )
+
+
+def key_suffix(foreign_keys: DataFrame) -> DataFrame:
+    """The foreign keys(db_id, fk) of each database as the end of its schema text: (db_id, suffix)."""
+    keys = foreign_keys.groupBy("db_id").agg(F.array_sort(F.collect_list("fk")).alias("k"))
+    return keys.select("db_id", F.concat(F.lit("\nForeign keys: ["), F.array_join("k", ", "), F.lit("]\n")).alias("suffix"))

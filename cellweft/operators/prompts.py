@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweft.functions.text import pick, strip_answer_fence
+from cellweft.operators.describe import key_suffix
 from cellweft.operators.joins import join_small
+from cellweft.operators.ordering import with_position
 
 HEADER = "Database schema:\n{schema}\n"
 
@@ -85,6 +87,24 @@ def choose_template(
     return out
 
 
+def schema_texts(examples: DataFrame, lines: DataFrame, foreign_keys: DataFrame | None = None, paths: str = "path_csvs") -> DataFrame:
+    """Schema text of the tables that examples name, in their order: (db_id, path_csvs, schema_text), a row per different list.
+
+    lines(table_id, line) are the schema lines of all tables; a name without a line is left out.  The foreign keys(db_id, fk)
+    of the example's database follow, if it has any.
+    """
+    lists = examples.select("db_id", paths).distinct()
+    named = lists.select("db_id", paths, F.posexplode_outer(paths).alias("pos", "table_id"))
+    found = named.join(lines.select("table_id", "line"), "table_id", "left")
+    # an example names few tables, so its lines are few
+    texts = found.groupBy("db_id", paths).agg(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("pos", "line")))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    if foreign_keys is None:
+        return texts.select("db_id", paths, text.alias("schema_text"))
+    with_keys = texts.join(key_suffix(foreign_keys), "db_id", "left")
+    return with_keys.select("db_id", paths, F.concat(text, F.coalesce("suffix", F.lit(""))).alias("schema_text"))
+
+
 def build_prompt(
     examples: DataFrame,
     task: str,
@@ -94,23 +114,42 @@ def build_prompt(
     schema: DataFrame | None = None,
     templates: Mapping = TEMPLATES,
 ) -> DataFrame:
-    """Add `instruction` to examples.  `schema(db_id, schema_text)` is joined by db_id where it is given."""
-    df = examples if schema is None else join_small(examples, schema, "db_id")
+    """Add `instruction` to examples.  A schema is (db_id, schema_text), or that of schema_texts for the tables each example names."""
+    df = examples if schema is None else _with_schema(examples, schema)
     filled = {name: F.col(c) for name, c in fields.items()}
     filled["schema"] = F.col("schema_text")
     return df.withColumn("instruction", choose_template(task, filled, keys, seed, templates))
 
 
+def _with_schema(examples: DataFrame, schema: DataFrame) -> DataFrame:
+    return join_small(examples, schema, [c for c in schema.columns if c != "schema_text"])
+
+
 def build_text2sql(examples: DataFrame, schema: DataFrame, keys: Sequence[str], seed: int | None = None) -> DataFrame:
-    """(instruction, answer) from question, answer and the schema text of the database."""
+    """(instruction, answer) from question, answer and the schema text, whose lines may show values or not."""
     out = build_prompt(examples, "text2sql", {"question": "question"}, keys, seed, schema)
     return out.withColumn("answer", strip_answer_fence("answer"))
 
 
 def build_recall(examples: DataFrame, schema: DataFrame, keys: Sequence[str], seed: int | None = None) -> DataFrame:
     """Tables and columns a question needs; an example with one table gets the wording for one table."""
-    df = join_small(examples, schema, "db_id")
+    df = _with_schema(examples, schema)
     fields = {"question": F.col("question"), "schema": F.col("schema_text")}
     one = choose_template("recall_one_table", fields, keys, seed)
     many = choose_template("recall", fields, keys, seed)
     return df.withColumn("instruction", F.when(F.size("path_csvs") == 1, one).otherwise(many))
+
+
+def build_row_summaries(
+    rows: DataFrame, by: Sequence[str], order: Sequence[str], text: str, n: int, seed: int | None = None, schema: Column | None = None, templates: Mapping = TEMPLATES
+) -> DataFrame:
+    """(by, part, instruction): a prompt for every n consecutive rows of a table, so that none grows with its table.
+
+    Rows are in a unique order; the last part of a table may be shorter.
+    """
+    placed = with_position(rows, order, by=by, name="_at").withColumn("part", F.floor((F.col("_at") - 1) / n))
+    lists = placed.groupBy(*by, "part").agg(F.array_sort(F.collect_list(F.struct("_at", F.col(text).alias("t")))).alias("l"))
+    fields = {"rows": F.array_join(F.transform("l", lambda x: x["t"]), "; ")}
+    if schema is not None:
+        fields["schema"] = schema
+    return lists.select(*by, "part", choose_template("row_summary", fields, [*by, "part"], seed, templates).alias("instruction"))

@@ -235,10 +235,13 @@ DATABASE_TEXT_SQL = f"""{_examples_sql(3, 2)}, {_LINES["novalue"]}, {_FK_SQL},
      FROM fk GROUP BY 1) f USING (db_id) GROUP BY 1)"""
 
 
+def foreign_keys(spark):
+    return spark.createDataFrame(FOREIGN_KEYS, "db_id string, fk string")
+
+
 def database_text(spark, sf):
     """Cells to one schema text per database."""
-    keys = spark.createDataFrame(FOREIGN_KEYS, "db_id string, fk string")
-    return describe.describe_database(schema_lines(spark, sf).join(fx.database_tables(spark), "table_id"), keys)
+    return describe.describe_database(schema_lines(spark, sf).join(fx.database_tables(spark), "table_id"), foreign_keys(spark))
 
 
 @reg.query("describe_database", f"{DB}, {DATABASE_TEXT_SQL} SELECT * FROM described")

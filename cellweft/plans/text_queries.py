@@ -268,14 +268,43 @@ _qa_query("build_code_generation", "code_generation", {"question": "question"})
 _BARE = "regexp_replace(regexp_replace(answer, '^```sql', ''), '```$', '')"
 
 
-@reg.query(
-    "build_text2sql",
-    f"""{_DESC} SELECT conv_id, turn, {_template_sql("text2sql", {"question": "question"}, _KEY, 21)} AS instruction, {_TRIM.format(_BARE)} AS answer
-    FROM qa JOIN described USING (db_id)""",
-)
+# the tables an example names, in its own order
+_NAMED = """CASE conv_id % 4 WHEN 0 THEN {a}'customer', 'orders'{b} WHEN 2 THEN {a}'orders', 'nation', 'customer'{b}
+  WHEN 1 THEN {a}'events'{b} ELSE {a}'events', 'events'{b} END"""
+
+
+def named_examples(spark, sf):
+    return question_answers(spark, sf).withColumn("path_csvs", F.expr(_NAMED.format(a="array(", b=")")))
+
+
+def _named_sql(examples: str, lines: str) -> str:
+    """Schema texts of the tables that examples name, as `named`, a row per example."""
+    return f"""WITH {fx.DATABASE_SQL}, {examples}, {lines}, {cq._FK_SQL}, {QA_SQL}, asked AS (SELECT *, {_NAMED.format(a="[", b="]")} AS path_csvs FROM qa),
+    keys AS (SELECT db_id, chr(10) || 'Foreign keys: [' || string_agg(fk, ', ' ORDER BY fk) || ']' || chr(10) AS t FROM fk GROUP BY 1),
+    texts AS (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY pos) AS text FROM (
+      SELECT conv_id, turn, unnest(path_csvs) AS table_id, unnest(range(len(path_csvs))) AS pos FROM asked) JOIN lines USING (table_id) GROUP BY 1, 2),
+    named AS (SELECT asked.*, text || coalesce(t, '') AS schema_text FROM asked JOIN texts USING (conv_id, turn) LEFT JOIN keys USING (db_id))"""
+
+
+_PLAIN_NAMED = _named_sql(cq._examples_sql(3, 2), cq._LINES["novalue"])
+_COUNTED_NAMED = _named_sql(cq._examples_sql(2, 2), cq._LINES["valuecount"])
+_TEXT2SQL = f"""SELECT conv_id, turn, {_template_sql("text2sql", {"question": "question"}, _KEY, 21)} AS instruction, {_TRIM.format(_BARE)} AS answer FROM named"""
+
+
+def _text2sql(spark, sf, *lines):
+    named = named_examples(spark, sf)
+    schema = prompts.schema_texts(named, cq.schema_lines(spark, sf, *lines), cq.foreign_keys(spark))
+    return prompts.build_text2sql(named, schema, KEYS, 21).select(*KEYS, "instruction", "answer")
+
+
+@reg.query("build_text2sql", f"{_PLAIN_NAMED} {_TEXT2SQL}")
 def build_text2sql(spark, sf):
-    out = prompts.build_text2sql(question_answers(spark, sf), cq.database_text(spark, sf), KEYS, 21)
-    return out.select(*KEYS, "instruction", "answer")
+    return _text2sql(spark, sf)
+
+
+@reg.query("build_text2sql_valuecount", f"{_COUNTED_NAMED} {_TEXT2SQL}")
+def build_text2sql_valuecount(spark, sf):
+    return _text2sql(spark, sf, "valuecount", 2)
 
 
 @reg.query(
@@ -296,12 +325,13 @@ _PATHS = "CASE WHEN conv_id % 2 = 0 THEN {a}'customer', 'orders'{b} ELSE {a}'eve
 
 @reg.query(
     "build_recall",
-    f"""{_DESC} SELECT conv_id, turn, CASE WHEN conv_id % 2 = 1 THEN {_template_sql("recall_one_table", {"question": "question"}, _KEY, 8)}
-    ELSE {_template_sql("recall", {"question": "question"}, _KEY, 8)} END AS instruction FROM qa JOIN described USING (db_id)""",
+    f"""{_PLAIN_NAMED} SELECT conv_id, turn, CASE WHEN len(path_csvs) = 1 THEN {_template_sql("recall_one_table", {"question": "question"}, _KEY, 8)}
+    ELSE {_template_sql("recall", {"question": "question"}, _KEY, 8)} END AS instruction FROM named""",
 )
 def build_recall(spark, sf):
-    qa = question_answers(spark, sf).withColumn("path_csvs", F.expr(_PATHS.format(a="array(", b=")")))
-    return prompts.build_recall(qa, cq.database_text(spark, sf), KEYS, 8).select(*KEYS, "instruction")
+    named = named_examples(spark, sf)
+    schema = prompts.schema_texts(named, cq.schema_lines(spark, sf), cq.foreign_keys(spark))
+    return prompts.build_recall(named, schema, KEYS, 8).select(*KEYS, "instruction")
 
 
 @reg.query(
@@ -370,21 +400,19 @@ def build_cell_prediction(spark, sf):
 _ROW = "CAST(o_orderkey AS STRING) || ', ' || o_orderstatus || ', ' || o_orderpriority"
 
 
+_SUMMED = 5
+
+
 @reg.query(
     "build_row_summary",
-    f"""WITH r AS (SELECT o_custkey, string_agg({_ROW}, '; ' ORDER BY o_orderkey) AS rows_text, 'table customer_' || CAST(o_custkey AS STRING) AS schema_text
-      FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) GROUP BY 1)
-    SELECT o_custkey, {_template_sql("row_summary", {"rows": "rows_text"}, "CAST(o_custkey AS STRING)", 12)} AS instruction FROM r""",
+    f"""WITH r AS (SELECT o_custkey, (k - 1) // {_SUMMED} AS part, string_agg({_ROW}, '; ' ORDER BY o_orderkey) AS rows_text, 'table customer_' || CAST(o_custkey AS STRING) AS schema_text
+      FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) GROUP BY 1, 2)
+    SELECT o_custkey, part, {_template_sql("row_summary", {"rows": "rows_text"}, "CAST(o_custkey AS STRING) || '|' || CAST(part AS STRING)", 12)} AS instruction FROM r""",
 )
 def build_row_summary(spark, sf):
     orders = fx.load(spark, sf, "orders").select("o_custkey", "o_orderkey", F.expr(_ROW).alias("t"))
-    lists = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "t"))).alias("r"))
-    texts = lists.select(
-        "o_custkey",
-        F.array_join(F.transform("r", lambda x: x["t"]), "; ").alias("rows_text"),
-        F.concat(F.lit("table customer_"), F.col("o_custkey").cast("string")).alias("schema_text"),
-    )
-    return prompts.build_prompt(texts, "row_summary", {"rows": "rows_text"}, ["o_custkey"], 12).select("o_custkey", "instruction")
+    schema = F.concat(F.lit("table customer_"), F.col("o_custkey").cast("string"))
+    return prompts.build_row_summaries(orders, ["o_custkey"], ["o_orderkey"], "t", _SUMMED, 12, schema)
 
 
 @reg.query(

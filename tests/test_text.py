@@ -89,3 +89,25 @@ def test_token_stats(spark):
 def test_batches_are_bounded(spark):
     sizes = examples.batched_map(spark.range(0, 25, 1, 1), lambda f: f.assign(n=len(f)), "id bigint, n bigint", 10)
     assert sorted({r.n for r in sizes.collect()}) == [5, 10]
+
+
+def test_schema_of_the_tables_an_example_names(spark):
+    lines = spark.createDataFrame([("a", "line a"), ("b", "line b"), ("c", "line c")], "table_id string, line string")
+    rows = [(1, "d", ["b", "a"]), (2, "d", ["b", "a"]), (3, "e", ["c"]), (4, "e", ["c", "gone", "c"]), (5, "d", []), (6, "d", None), (7, None, ["a"])]
+    examples = spark.createDataFrame(rows, "k int, db_id string, path_csvs array<string>")
+    keys = spark.createDataFrame([("d", "a.x = b.y"), ("d", "a.z = b.y")], "db_id string, fk string")
+    got = {(r.db_id, tuple(r.path_csvs or ["?"])): r.schema_text for r in prompts.schema_texts(examples, lines, keys).collect()}
+    suffix = "\nForeign keys: [a.x = b.y, a.z = b.y]\n"
+    assert got == {
+        ("d", ("b", "a")): "line b\nline a" + suffix, ("e", ("c",)): "line c", ("e", ("c", "gone", "c")): "line c\nline c", ("d", ("?",)): suffix, (None, ("a",)): "line a",
+    }
+    named = examples.where("k < 5").selectExpr("*", "'why' AS question", "'```sql x ```' AS answer")
+    built = {r.k: (r.instruction, r.answer) for r in prompts.build_text2sql(named, prompts.schema_texts(named, lines), ["k"]).collect()}
+    assert built[4] == ("Database schema:\nline c\nline c\n" + prompts.TEMPLATES["text2sql"][0].format(question="why"), "x") and len(built) == 4
+
+
+def test_row_summaries_cover_all_rows(spark):
+    rows = spark.createDataFrame([(i % 2, i, f"r{i}") for i in range(9)], "t int, i int, x string")
+    got = {(r.t, r.part): r.instruction for r in prompts.build_row_summaries(rows, ["t"], ["i"], "x", 2).collect()}
+    first = prompts.TEMPLATES["row_summary"][0]
+    assert got == {(i % 2, p): first.format(rows=t) for (i, p), t in {(0, 0): "r0; r2", (0, 1): "r4; r6", (0, 2): "r8", (1, 0): "r1; r3", (1, 1): "r5; r7"}.items()}
