@@ -4,18 +4,20 @@ Each task reads its cells once and keeps, per column, only what can still matter
 order, and the distinct keys of the values, packed by parts of the key space.  States of tasks are merged by
 part, so no column of any size lies in one task, and no text is shuffled but the first values.
 
-A key is two longs: a whole number in its usual spelling is its own key, other texts have two hashes; the second
-is compared where the first is equal.
+A key is two longs: a whole number in its usual spelling, of up to 18 places, is its own key, other texts have two
+hashes; the second is compared where the first is equal.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 COL = ["table_id", "col_idx"]
 #: Keys that a task holds before it gives them out, and columns.
@@ -23,18 +25,21 @@ HELD_KEYS = 1 << 21
 HELD_COLUMNS = 1 << 16
 #: An odd factor that spreads blocks of 2**16 neighbouring keys over the parts.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
+WHOLE = "^(0|-?[1-9][0-9]*)$"
 STATE = "table_id string, col_idx int, part int, n_rows long, n_nulls long, repeated boolean, keys binary, firsts array<struct<first_row:bigint,value:string>>"
 MERGED = "table_id string, col_idx int, n_rows long, n_nulls long, repeated boolean, n_distinct long, firsts array<struct<first_row:bigint,value:string>>"
 FIRSTS = pa.list_(pa.struct([("first_row", pa.int64()), ("value", pa.string())]))
 LAST_ROW = np.iinfo(np.int64).max
 
 
-def value_key(value: str | Column) -> tuple[Column, Column]:
-    """Two longs that are equal for equal texts and differ for others; null for null."""
-    text = F.col(value) if isinstance(value, str) else value
-    number = text.try_cast("bigint")
-    whole = number.cast("string").eqNullSafe(text)
-    return F.when(whole, number).when(text.isNotNull(), F.xxhash64(text)), F.when(whole, F.lit(0)).otherwise(F.xxhash64(F.lit(1), text))
+def with_key(cells: DataFrame) -> DataFrame:
+    """Adds _k1 and _k2, two longs that are equal for equal values and differ for others; null for null."""
+    value = F.col("value")
+    cells = cells.withColumn("_whole", (F.length(value) <= 18) & F.rlike(value, F.lit(WHOLE)))
+    # the test keeps the cast from texts that are no number
+    first = F.when(F.col("_whole"), value.cast("bigint")).otherwise(F.xxhash64(value))
+    second = F.when(F.col("_whole"), F.lit(0)).otherwise(F.xxhash64(F.lit(1), value))
+    return cells.withColumns({"_k1": F.when(value.isNotNull(), first), "_k2": second}).drop("_whole")
 
 
 def pack(first: np.ndarray, second: np.ndarray) -> bytes:
@@ -91,40 +96,54 @@ class TaskState:
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.n_held = 0
 
-    def _columns(self, tables: pa.Array, numbers: np.ndarray) -> np.ndarray:
-        """The code of each cell's column."""
-        names = tables.dictionary_encode()
-        width = int(numbers.max()) + 1
-        both, at = np.unique(names.indices.to_numpy(zero_copy_only=False).astype(np.int64) * width + numbers, return_inverse=True)
-        texts = names.dictionary.to_pylist()
-        own = [self.codes.setdefault((texts[b // width], b % width), len(self.codes)) for b in both.tolist()]
-        more = len(self.codes) - len(self.n_rows)
-        if more:
-            zeros = np.zeros(more, np.int64)
-            self.n_rows, self.n_nulls = np.append(self.n_rows, zeros), np.append(self.n_nulls, zeros)
-            self.limit = np.append(self.limit, zeros + LAST_ROW)
-            self.repeated = np.append(self.repeated, zeros.astype(bool))
-            self.firsts += [{} for _ in range(more)]
-        return np.array(own, np.int64)[at]
-
-    def add(self, batch: pa.RecordBatch) -> None:
+    def _code(self, table: str, number: int) -> int:
+        """The code of a column; new ones begin with no cells."""
+        code = self.codes.setdefault((table, number), len(self.codes))
+        if code == len(self.firsts):
+            self.firsts.append({})
+            if code >= len(self.n_rows):
+                more = np.zeros(max(64, code), np.int64)
+                self.n_rows, self.n_nulls = np.append(self.n_rows, more), np.append(self.n_nulls, more)
+                self.limit = np.append(self.limit, more + LAST_ROW)
+                self.repeated = np.append(self.repeated, more.astype(bool))
+        return code
+
+    def add_cells(self, batch: pa.RecordBatch) -> None:
         """Rows of table_id, col_idx, row_id, value and, where keys are wanted, the two parts of the key."""
         if not batch.num_rows:
             return
-        code = self._columns(batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64))
-        null = batch.column(3).is_null().to_numpy(zero_copy_only=False)
-        size = len(self.codes)
+        numbers = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        names = batch.column(0).dictionary_encode()
+        width = int(numbers.max()) + 1
+        both, at = np.unique(names.indices.to_numpy(zero_copy_only=False).astype(np.int64) * width + numbers, return_inverse=True)
+        texts = names.dictionary.to_pylist()
+        code = np.array([self._code(texts[b // width], b % width) for b in both.tolist()], np.int64)[at]
+        self._add(code, *(batch.column(i) for i in range(2, batch.num_columns)))
+
+    def add_column(self, table: str, number: int, rows: pa.Array, values: pa.Array, *keys: pa.Array) -> None:
+        """The cells of one column; a second part of the key that is left out is 0."""
+        code = self._code(table, number)
+        if self.keys == "unrepeated" and self.repeated[code] and not self.first:
+            self.n_rows[code] += len(rows)  # nothing else is told of it
+        else:
+            self._add(np.full(len(rows), code), rows, values, *keys)
+
+    def _add(self, code: np.ndarray, rows: pa.Array, values: pa.Array, *keys: pa.Array) -> None:
+        null = values.is_null().to_numpy(zero_copy_only=False)
+        size = len(self.n_rows)
         self.n_rows += np.bincount(code, minlength=size)
         self.n_nulls += np.bincount(code[null], minlength=size)
         if self.first:
-            rows = batch.column(2).fill_null(LAST_ROW).to_numpy(zero_copy_only=False)
-            self._add_firsts(code, rows, batch.column(3), np.flatnonzero(~null & (rows <= self.limit[code])))
+            at = rows.fill_null(LAST_ROW).to_numpy(zero_copy_only=False)
+            self._add_firsts(code, at, values, np.flatnonzero(~null & (at <= self.limit[code])))
         if self.keys == "unrepeated":
             self.repeated |= self.n_nulls > 0
-            null |= self.repeated[code]
+            null = null | self.repeated[code]
         if self.keys:
             at = np.flatnonzero(~null)
-            self._add_keys(code[at], *(batch.column(i).fill_null(0).to_numpy(zero_copy_only=False)[at] for i in (4, 5)))
+            first = keys[0].fill_null(0).to_numpy(zero_copy_only=False)[at]
+            second = keys[1].fill_null(0).to_numpy(zero_copy_only=False)[at] if len(keys) > 1 else np.zeros(len(at), np.int64)
+            self._add_keys(code[at], first, second)
 
     def _add_firsts(self, code: np.ndarray, rows: np.ndarray, values: pa.Array, at: np.ndarray) -> None:
         if not len(at):
@@ -204,10 +223,27 @@ class TaskState:
 
 
 def _states(first: int, keys: str | None, parts: int):
+    """The states of cells."""
+
+    def run(batches):
+        state = TaskState(first, keys, parts)
+        for batch in batches:
+            state.add_cells(batch)
+            if state.full():
+                yield state.give()
+        yield state.give()
+
+    return run
+
+
+def _table_states(table: str, layout: list[tuple[int, list[int]]], first: int, keys: str | None, parts: int):
+    """The states of a table's columns; layout says at which places of a batch a column's value and keys are."""
+
     def run(batches):
         state = TaskState(first, keys, parts)
         for batch in batches:
-            state.add(batch)
+            for number, places in layout:
+                state.add_column(table, number, batch.column(0), *(batch.column(i) for i in places))
             if state.full():
                 yield state.give()
         yield state.give()
@@ -266,19 +302,49 @@ def _merged_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], fields)
 
 
+def typed_key(value: Column, data_type: T.DataType) -> list[Column]:
+    """One long where a type's values fit one, else two hashes of the text."""
+    if isinstance(data_type, (T.IntegralType, T.BooleanType)):
+        return [value.cast("bigint")]
+    if isinstance(data_type, T.DecimalType) and data_type.precision <= 18:
+        return [(value * F.lit(10**data_type.scale)).cast("bigint")]
+    text = value.cast("string")
+    return [F.when(text.isNotNull(), F.xxhash64(text)), F.xxhash64(F.lit(1), text)]
+
+
+def table_states(df: DataFrame, table_id: str, row_id: Column, values: Mapping[int, Column], first: int = 0, keys: str | None = "all") -> DataFrame:
+    """The states of one wide table's columns, by col_idx, for merged_states: its rows are read as they are, without an unpivot."""
+    fields, layout = [row_id.cast("bigint").alias("_row")], []
+    types = [f.dataType for f in df.select(*[v.alias(f"_{i}") for i, v in values.items()]).schema]
+    for (number, value), data_type in zip(values.items(), types, strict=True):
+        own = typed_key(value, data_type) if keys else []
+        shown = [value.cast("string")] if first or not keys else []
+        at = list(range(len(fields), len(fields) + len(shown) + len(own)))
+        fields += [place.alias(f"_f{i}") for i, place in zip(at, [*shown, *own], strict=True)]
+        # the text is sent for first values only, else the key tells what is null
+        layout.append((number, at if shown else [at[0], *at]))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(*fields).mapInArrow(_table_states(table_id, layout, first, keys, parts), STATE)
+
+
 def column_states(cells: DataFrame, first: int = 0, keys: str | None = "all") -> DataFrame:
+    """merged_states of cells(table_id, row_id, col_idx, value)."""
+    read = cells.select(F.col("table_id").cast("string"), F.col("col_idx").cast("int"), F.col("row_id").cast("bigint"), F.col("value").cast("string"))
+    read = with_key(read) if keys else read
+    if not first:  # the text itself is not sent, only whether it is null
+        read = read.withColumn("value", F.when(F.col("value").isNotNull(), F.lit("")))
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return merged_states(read.mapInArrow(_states(first, keys, parts), STATE), first)
+
+
+def merged_states(states: DataFrame, first: int = 0) -> DataFrame:
     """table_id, col_idx, n_rows, n_nulls, repeated, n_distinct, firsts of each column that has cells.
 
     firsts are its first distinct values, `first` of them, by the first row they are in, then by text.  With keys "all"
     n_distinct counts the distinct values.  With "unrepeated" only `repeated` is told, whether the column has a null or a value twice;
     a task that finds either forgets the column's keys.  Without keys neither is told (n_distinct is 0).
     """
-    value = F.col("value").cast("string")
-    # without firsts the text itself is not sent, only whether it is null
-    shown = value if first else F.when(value.isNotNull(), F.lit(""))
-    read = cells.select(F.col("table_id").cast("string"), F.col("col_idx").cast("int"), F.col("row_id").cast("bigint"), shown, *(value_key(value) if keys else ()))
-    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    states = read.mapInArrow(_states(first, keys, parts), STATE)
+    parts = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     name = [*COL, "part"]
     merged = states.repartition(parts, *name).sortWithinPartitions(*name).mapInArrow(_merged(first), MERGED)
     return merged.groupBy(*COL).agg(

@@ -58,7 +58,12 @@ def find_primary_key(cells: DataFrame, columns: DataFrame) -> DataFrame:
     One scan: a task that meets a null or a value for the second time drops the column, so only columns that no task
     could refute by itself have their keys compared over all tasks.
     """
-    marked = columns.join(column_states(cells, keys="unrepeated").select(*COL, "repeated"), COL, "left")
+    return primary_key_of(column_states(cells, keys="unrepeated"), columns)
+
+
+def primary_key_of(states: DataFrame, columns: DataFrame) -> DataFrame:
+    """The key by states that were made with keys "unrepeated"."""
+    marked = columns.join(states.select(*COL, "repeated"), COL, "left")
     whole = marked.withColumn("is_unique", ~F.coalesce("repeated", F.lit(False))).withColumn("contains_null", F.lit(False))
     return infer_primary_key(whole)
 

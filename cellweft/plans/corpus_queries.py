@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellweft.operators import corpus, describe, ordering, profile
-from cellweft.operators.column_states import column_states
 from cellweft.operators.joins import join_small
 from cellweft.plans import fixtures as fx
 from cellweft.plans.registry import Registry
@@ -91,13 +90,13 @@ def convertible_columns(spark, sf):
 )
 def profile_columns(spark, sf):
     cells, columns = _cells_columns(spark, sf)
-    return profile.profile_columns(column_states(cells), columns)
+    return profile.profile_columns(fx.database_states(spark, sf), columns)
 
 
 @reg.query("infer_primary_key", DB + " SELECT * FROM pk")
 def infer_primary_key(spark, sf):
     cells, columns = _cells_columns(spark, sf)
-    return profile.find_primary_key(cells, columns)
+    return profile.primary_key_of(fx.database_states(spark, sf, keys="unrepeated"), columns)
 
 
 def _examples_sql(limit: int, float_keep: int, exclude: str = "") -> str:
@@ -118,14 +117,14 @@ _EX_OUT = " SELECT table_id, col_name, array_to_string(examples, ' ; ') AS examp
 @reg.query("example_values", f"{DB}, {_examples_sql(3, 2)} {_EX_OUT}")
 def example_values(spark, sf):
     cells, columns = _cells_columns(spark, sf)
-    found = profile.example_values(column_states(cells, profile.firsts_needed(), keys=None), columns)
+    found = profile.example_values(fx.database_states(spark, sf, profile.firsts_needed(), None), columns)
     return found.select("table_id", "col_name", F.array_join("examples", " ; ").alias("examples"))
 
 
 @reg.query("example_values_counted", f"{DB}, {_examples_sql(5, 5)} {_EX_OUT}")
 def example_values_counted(spark, sf):
     cells, columns = _cells_columns(spark, sf)
-    found = profile.example_values(column_states(cells, profile.firsts_needed(5), keys=None), columns, valuecount=5)
+    found = profile.example_values(fx.database_states(spark, sf, profile.firsts_needed(5), None), columns, valuecount=5)
     return found.select("table_id", "col_name", F.array_join("examples", " ; ").alias("examples"))
 
 
@@ -138,7 +137,7 @@ def example_values_counted(spark, sf):
 def example_values_excluding(spark, sf):
     cells, columns = _cells_columns(spark, sf)
     top = cells.groupBy("table_id", "col_idx").agg(F.max("value").alias("value")).where("value is not null")
-    states = column_states(cells, profile.firsts_needed(exclude=True), keys=None)
+    states = fx.database_states(spark, sf, profile.firsts_needed(exclude=True), None)
     found = profile.example_values(states, columns, exclude=top)
     return found.select("table_id", "col_name", F.array_join("examples", " ; ").alias("examples"))
 
@@ -159,7 +158,7 @@ def shorten_value(spark, sf):
 )
 def attach_comments(spark, sf):
     cells, columns = _cells_columns(spark, sf)
-    profiles = profile.profile_columns(kept(column_states(cells), "states"), columns)
+    profiles = profile.profile_columns(kept(fx.database_states(spark, sf), "states"), columns)
     comments = profiles.where("contains_null").select("table_id", "col_name", F.lit("has gaps").alias("comment"))
     return profile.attach_comments(profiles, comments).select("table_id", "col_name", "n_distinct", "comment")
 
@@ -187,7 +186,7 @@ def schema_lines(spark, sf, mode="novalue", valuecount=None):
     """Cells to one schema line per table."""
     cells, columns = _cells_columns(spark, sf)
     first = 0 if mode == "novalue" else profile.firsts_needed(valuecount)
-    states = kept(column_states(cells, first), "states")  # a row per column
+    states = kept(fx.database_states(spark, sf, first), "states")  # a row per column
     profiles = profile.profile_columns(states, columns)
     examples = None if mode == "novalue" else profile.example_values(states, columns, valuecount=valuecount)
     return describe.describe_table(profiles, profile.infer_primary_key(profiles), examples, mode)
@@ -215,7 +214,7 @@ def describe_table_valuecount(spark, sf):
 )
 def zip_tables_keys(spark, sf):
     cells, columns = _cells_columns(spark, sf)
-    profiles = profile.profile_columns(kept(column_states(cells), "states"), columns)
+    profiles = profile.profile_columns(kept(fx.database_states(spark, sf), "states"), columns)
     keys = profile.infer_primary_key(profiles)
     lines = describe.describe_table(profiles, keys)
     return describe.zip_tables_keys(fx.database_tables(spark), keys, lines)
@@ -257,7 +256,7 @@ def describe_database(spark, sf):
 )
 def quote_identifier(spark, sf):
     cells, columns = _cells_columns(spark, sf)
-    profiles = profile.profile_columns(column_states(cells), columns)
+    profiles = profile.profile_columns(fx.database_states(spark, sf), columns)
     return profiles.select("table_id", describe.quote_identifier(F.lower("col_name")).alias("shown"), "n_distinct")
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweft.operators.column_states import merged_states, table_states
 from cellweft.operators.corpus import COLUMNS_SCHEMA, row_counts, to_cells, union_cells
 from cellweft.operators.ordering import with_position
 from cellweft.session import spread
@@ -115,12 +116,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
-def _spark_text(name: str, kind: str, blank: str | None) -> Column:
+def _spark_value(name: str, kind: str, blank: str | None) -> Column:
     col = F.col(name)
     if kind == "float":
         col = col.cast("decimal(18,2)")
-    text = F.date_format(col, "yyyy-MM-dd HH:mm:ss") if kind == "time" else col.cast("string")
-    return F.when(~F.expr(blank), text) if blank else text
+    elif kind == "time":
+        col = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
+    return F.when(~F.expr(blank), col) if blank else col
+
+
+def _spark_text(name: str, kind: str, blank: str | None) -> Column:
+    return _spark_value(name, kind, blank).cast("string")
 
 
 def _sql_text(name: str, kind: str, blank: str | None) -> str:
@@ -156,6 +162,16 @@ def database_cells(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = tu
     return union_cells(parts)
 
 
+def database_states(spark: SparkSession, sf_dir: str, first: int = 0, keys: str | None = "all") -> DataFrame:
+    """States of all columns, from the wide tables; values are those of database_cells."""
+    parts = []
+    for t, (_, row, cols) in DATABASE.items():
+        rows = lines(spark, sf_dir) if t == "lineitem" else load(spark, sf_dir, t)
+        values = {i: _spark_value(n, k, b) for i, (n, k, _, b) in enumerate(cols)}
+        parts.append(table_states(rows, t, F.expr(row), values, first, keys))
+    return merged_states(union_cells(parts), first)
+
+
 def database_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_counts({t: load(spark, sf_dir, t) for t in DATABASE})
 

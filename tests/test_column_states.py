@@ -98,7 +98,7 @@ def test_packed_keys():
 
 def test_no_value_is_shuffled_beyond_the_first_ones(spark):
     cells = spark.range(20_000).select(F.lit("t").alias("table_id"), F.col("id").alias("row_id"), F.lit(0).alias("col_idx"), F.col("id").cast("string").alias("value")).repartition(4)
-    read = cells.select("table_id", "col_idx", "row_id", "value", *cs.value_key("value"))
+    read = cs.with_key(cells.select("table_id", "col_idx", "row_id", "value"))
     rows = read.mapInArrow(cs._states(4, "all", 8), cs.STATE).collect()
     assert max(len(r["firsts"] or ()) for r in rows) <= 4
     assert sum(len(r["keys"] or b"") for r in rows) < 20_000 * 4
@@ -107,7 +107,7 @@ def test_no_value_is_shuffled_beyond_the_first_ones(spark):
 def test_empty_table_and_keys_of_hash_pairs(spark):
     assert cs.column_states(spark.createDataFrame([], CELLS), 3).collect() == []
     texts = spark.createDataFrame([("12",), ("012",), ("1.0",), ("",), (None,), ("x" * 100_000,)], "value string")
-    keys = [tuple(r) for r in texts.select(*cs.value_key("value")).collect()]
+    keys = [tuple(r) for r in cs.with_key(texts).select("_k1", "_k2").collect()]
     assert keys[0] == (12, 0) and len(set(keys)) == 6 and keys[4][0] is None
 
 
@@ -117,3 +117,18 @@ def test_key_search_equals_full_profiles(spark):
     frame, dim = spark.createDataFrame(cells, CELLS).repartition(5), spark.createDataFrame(columns, COLUMNS)
     want = {tuple(r) for r in profile.infer_primary_key(profile.profile_columns(profile.value_groups(frame), dim)).collect()}
     assert {tuple(r) for r in profile.find_primary_key(frame, dim).collect()} == want
+
+
+def test_states_of_a_wide_table_equal_those_of_its_cells(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice([None, 1, 2, -5]), rng.choice([None, "a", "", "7"]), rng.randrange(10**6), rng.random() < 0.5, rng.randrange(400) / 4, f"u{i}") for i in range(300)]
+    wide = spark.createDataFrame(rows, "r bigint, a int, b string, c bigint, d boolean, e double, f string").repartition(5)
+    wide = wide.withColumn("g", F.col("e").cast("decimal(12,2)")).withColumn("h", F.lit(None).cast("string"))
+    values = {i: F.col(c) for i, c in enumerate("abcdefgh")}
+    cells = wide.select(F.lit("t").alias("table_id"), F.col("r").alias("row_id"), F.explode(F.array(*[F.struct(F.lit(i).alias("col_idx"), v.cast("string").alias("value")) for i, v in values.items()])).alias("x")).select("table_id", "row_id", "x.*")
+    for first, keys in ((3, "all"), (0, "all"), (2, None), (0, "unrepeated"), (2, "unrepeated")):
+        got = cs.merged_states(cs.table_states(wide, "t", F.col("r"), values, first, keys), first).drop("n_nulls", *(["n_distinct"] if keys == "unrepeated" else []))
+        want = cs.column_states(cells, first, keys).select(*got.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    whole = cs.merged_states(cs.table_states(wide, "t", F.col("r"), values, 0, "all")).collect()
+    assert {r.col_idx: r.n_nulls for r in whole} == {r.col_idx: r.n_nulls for r in cs.column_states(cells).collect()}
