@@ -10,6 +10,7 @@ for each step with the columns that it needs.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,13 +66,31 @@ def with_range_bucket(df: DataFrame, keys: Sequence[str], name: str = "_bucket")
     )
 
 
-def with_position(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "position") -> DataFrame:
+def with_position(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "position", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exact 1-based row number within `by` (the whole table when empty) in a unique `order`.
 
-    A group may be any size: it is numbered range by range, and the ranges' starts are added back.
+    Groups are numbered by a window each, but for those of more than `hot_rows` rows, and the whole table, which are
+    numbered range by range.
     """
     by = list(by)
     df = evaluated_once(df)
+    if not by:
+        return _position_by_range(df, order, by, name)
+    hot = hot_keys(df, by, hot_rows)
+    if hot is None:
+        return _position_by_group(df, order, by, name)
+    hot = F.broadcast(hot.withColumnsRenamed({c: f"_h_{c}" for c in by}))
+    is_hot = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in by])
+    large = _position_by_range(df.join(hot, is_hot, "left_semi"), order, by, name)
+    return large.unionByName(_position_by_group(df.join(hot, is_hot, "left_anti"), order, by, name))
+
+
+def _position_by_group(df: DataFrame, order: Sequence[str], by: list[str], name: str) -> DataFrame:
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
+
+
+def _position_by_range(df: DataFrame, order: Sequence[str], by: list[str], name: str) -> DataFrame:
+    """A group may be any size: it is numbered range by range, and the ranges' starts are added back."""
     cut = with_range_bucket(df, [*by, *order])
     counts = cut.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -153,12 +172,13 @@ def first_rows(
     hot = None if bounded else hot_keys(df, by, hot_rows)
     if hot is None:
         return cut(df)
-    hot = F.broadcast(hot)
+    hot = F.broadcast(hot.withColumnsRenamed({c: f"_h_{c}" for c in by}))
+    is_hot = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in by])
     part = Window.partitionBy(*by, "_salt").orderBy(*order)
     salted = (
-        df.join(hot, by, "left_semi")
+        df.join(hot, is_hot, "left_semi")
         .withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
         .withColumn("_part_pos", F.row_number().over(part))
         .where(F.col("_part_pos") <= n)
     )
-    return cut(df.join(hot, by, "left_anti")).unionByName(cut(salted))
+    return cut(df.join(hot, is_hot, "left_anti")).unionByName(cut(salted))

@@ -21,16 +21,40 @@ def test_position_over_the_whole_table(spark, n):
     assert got == want
 
 
-def test_position_in_one_huge_group_and_small_ones(spark):
+@pytest.mark.parametrize("hot_rows", [1, 100, 10**6])
+def test_position_in_one_huge_group_and_small_ones(spark, hot_rows):
     df = spark.range(2000).select("id", F.when(F.col("id") < 1900, 0).otherwise(F.col("id")).alias("g"))
-    got = ordering.with_position(df, ["id"], by=["g"]).collect()
+    got = ordering.with_position(df, ["id"], by=["g"], hot_rows=hot_rows).collect()
     assert {r.id: r.position for r in got} == {i: (i + 1 if i < 1900 else 1) for i in range(2000)}
 
 
-def test_position_keeps_null_groups_together(spark):
+@pytest.mark.parametrize("hot_rows", [10, 10**6])
+def test_position_keeps_null_groups_together(spark, hot_rows):
     df = spark.createDataFrame([(i, None if i % 2 else 1) for i in range(50)], "id bigint, g int")
-    got = ordering.with_position(df, ["id"], by=["g"]).where("g is null").collect()
+    got = ordering.with_position(df, ["id"], by=["g"], hot_rows=hot_rows).where("g is null").collect()
     assert sorted(r.position for r in got) == list(range(1, 26))
+    first = ordering.first_rows(df, ["g"], ["id"], 3, hot_rows=hot_rows, salts=4).where("g is null").collect()
+    assert sorted(r.id for r in first) == [1, 3, 5]
+
+
+def test_a_costly_input_is_evaluated_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    costly = spark.range(400).selectExpr("id", "id % 3 AS g").mapInArrow(count, "id bigint, g bigint")
+    for run in (
+        lambda: ordering.with_position(costly, ["id"]),
+        lambda: ordering.with_position(costly, ["id"], by=["g"], hot_rows=50),
+        lambda: ordering.first_rows(costly, ["g"], ["id"], 5, hot_rows=50),
+        lambda: sampling.sample_rows(costly.withColumnsRenamed({"g": "table_id", "id": "row_pos"}), 5, 1),
+    ):
+        seen.value = 0
+        run().collect()
+        assert seen.value == 400
 
 
 def test_key_at(spark):
