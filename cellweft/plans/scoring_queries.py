@@ -122,9 +122,10 @@ def kmaps(spark):
     return entry.select("db_id", scoring.foreign_key_map("tables", "columns", "keys").alias("kmap"))
 
 
-def nodes(spark, sf, rows=None):
-    rows = items(spark, sf).select(ITEM, "db_id", "gold", "pred") if rows is None else rows
-    return scoring.with_key_map(scoring.paired_nodes(scoring.empty_query_default(rows, "pred")), kmaps(spark))
+def nodes(spark, sf):
+    """All places of all items.  Items are written once: their JSON costs more to make than to score, and is read for each link."""
+    rows = scoring.empty_query_default(kept(items(spark, sf), "items"), "pred")
+    return scoring.with_key_map(scoring.paired_nodes(rows), kmaps(spark))
 
 
 def scores(spark, sf):
@@ -133,7 +134,7 @@ def scores(spark, sf):
 
 def leveled_scores(spark, sf):
     """Item scores with difficulty and turn: each query is made and parsed once, and no items are joined."""
-    places = nodes(spark, sf, items(spark, sf)).withColumn("hardness", F.when(F.col("path") == "", scoring.hardness_level("gold")))
+    places = nodes(spark, sf).withColumn("hardness", F.when(F.col("path") == "", scoring.hardness_level("gold")))
     scored = scoring.item_scores(places, ITEM, ("session", "exec"), ("hardness",))
     return sampling.label_turns(scored, ["session"], [ITEM])
 
