@@ -11,6 +11,7 @@ Anchors that occur very often go no such way: their windows are grouped by their
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -210,8 +211,31 @@ def _stretches(sketch, bits: int, hot, of_hot: bool):
     return run
 
 
+#: A text is shorter than this.
+LONGEST = 1 << 40
+RUNS = "doc_id long, crc long, runs binary"
+
+
+def _packed(docs: np.ndarray, sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    """A row per document: its runs of removed window starts, first to last (not included), joined where they touch."""
+    order = np.lexsort((first, sums, docs))
+    docs, sums, first, last = docs[order], sums[order], first[order], last[order]
+    new_doc = np.ones(len(docs), bool)
+    new_doc[1:] = (docs[1:] != docs[:-1]) | (sums[1:] != sums[:-1])
+    shift = np.cumsum(new_doc) * LONGEST
+    reach = np.maximum.accumulate(last + shift)
+    new_run = new_doc.copy()
+    new_run[1:] |= (first + shift)[1:] > reach[:-1]
+    at = np.flatnonzero(new_run)
+    runs = np.stack([first[at], np.maximum.reduceat(last, at) if len(at) else last], axis=1).astype(np.int64)
+    whole = runs.tobytes()
+    cut = [*(np.flatnonzero(new_doc[at]) * 16).tolist(), len(whole)]
+    rows = [docs[new_doc], sums[new_doc], pa.array([whole[a:b] for a, b in itertools.pairwise(cut)], pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["doc_id", "crc", "runs"])
+
+
 def _removed(batches):
-    """doc_id, crc and runs of removed window starts (start * 64 + length) of each document."""
+    """doc_id, crc and runs of the windows that go, a row per document and transform."""
 
     def of(rows):
         number: dict[bytes, int] = {}
@@ -230,8 +254,8 @@ def _removed(batches):
         head, tail = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after)
         edge = np.cumsum(per) - per
         row = np.searchsorted(edge, head, side="right") - 1
-        runs = (starts[row] + head - edge[row]) * 64 + tail - head + 1
-        return pa.RecordBatch.from_arrays([pa.array(docs[row]), pa.array(sums[row]), pa.array(runs)], ["doc_id", "crc", "run"])
+        first = starts[row] + head - edge[row]
+        return _packed(docs[row], sums[row], first, first + tail - head + 1)
 
     held, size = [], 0
     for rows in grouped(batches, 1):
@@ -256,9 +280,12 @@ def _spans(batches):
 
 
 def _marked(batches):
-    """doc_id, crc and runs as of _removed, from rows of places with the windows of their stretch that some document loses."""
+    """doc_id, crc and runs as of _removed, from rows of places with the windows of their stretch that some document loses.
+
+    The stretches of a document come one after the other, where they are not shuffled, so it is one row of a batch.
+    """
     for batch in batches:
-        found = [np.zeros((0, 3), np.int64)]
+        found = [np.zeros((0, 4), np.int64)]
         for stretch, docs, sums, starts, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             docs, sums, starts = (np.frombuffer(x, np.int64) for x in (docs, sums, starts))
             least = np.full(len(stretch) - LENGTH + 1, np.iinfo(np.int64).max)
@@ -267,9 +294,8 @@ def _marked(batches):
             edges = np.diff(gone.astype(np.int8), axis=1)
             row, head = np.nonzero(edges == 1)
             tail = np.nonzero(edges == -1)[1]
-            found.append(np.stack([docs[row], sums[row], (starts[row] + head) * 64 + tail - head], axis=1))
-        both = np.concatenate(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in range(3)], ["doc_id", "crc", "run"])
+            found.append(np.stack([docs[row], sums[row], starts[row] + head, starts[row] + tail], axis=1))
+        yield _packed(*np.concatenate(found).T)
 
 
 def _joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -295,15 +321,15 @@ def hot_runs(places: DataFrame) -> DataFrame:
     marks = lost.groupBy("stretch").agg(F.collect_list(F.struct("at", "least")).alias("marks"))
     marks = stored(kinds.select("stretch", "n").join(marks, "stretch"), "hot_marks")
     both = _joined(places.drop("h"), marks, "stretch").select("stretch", "docs", "sums", "starts", "marks")
-    return both.mapInArrow(_marked, "doc_id long, crc long, run long")
+    return both.mapInArrow(_marked, RUNS)
 
 
-def _covered(runs: np.ndarray, n: int) -> np.ndarray:
+def _covered(runs: list[bytes] | None, n: int) -> np.ndarray:
     """Whether each of n bytes is covered by a removed window."""
     edges = np.zeros(n + 1, np.int64)
-    if len(runs):
-        np.add.at(edges, runs >> 6, 1)
-        np.add.at(edges, (runs >> 6) + (runs & 63) - 1 + LENGTH, -1)
+    first, last = np.frombuffer(b"".join(runs or ()), np.int64).reshape(-1, 2).T
+    np.add.at(edges, first, 1)
+    np.add.at(edges, last - 1 + LENGTH, -1)
     return np.cumsum(edges[:n]) > 0
 
 
@@ -313,7 +339,7 @@ def _texts_left(with_text: bool):
             out = []
             for text, runs in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = np.frombuffer((text or "").encode("utf-8"), np.uint8)
-                gone = _covered(runs.values.to_numpy() if runs.is_valid else np.zeros(0, np.int64), len(data))
+                gone = _covered(runs.as_py(), len(data))
                 kept = data[~gone].tobytes()
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
                 # a cut inside a character leaves bytes that are no text
@@ -327,7 +353,7 @@ def _texts_left(with_text: bool):
 
 
 def removed_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, crc and runs: the window starts that go, of documents that lose any."""
+    """doc_id, crc and lists of runs: the window starts that go, of documents that lose any."""
     spark = docs.sparkSession
     text = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     total = text.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -342,10 +368,10 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     schema = "h long, stretch binary, docs binary, sums binary, starts binary"
     found = keyed.mapInArrow(_stretches(sketch, bits, hot, False), schema)
     found = found.repartition("h").sortWithinPartitions("h")
-    runs = found.mapInArrow(_removed, "doc_id long, crc long, run long")
+    runs = found.mapInArrow(_removed, RUNS)
     if len(often):
         runs = runs.unionByName(hot_runs(stored(keyed.mapInArrow(_stretches(sketch, bits, hot, True), schema), "hot")))
-    return runs.groupBy("doc_id", "crc").agg(F.collect_list("run").alias("runs"))
+    return runs.groupBy("doc_id", "crc").agg(F.collect_list("runs").alias("runs"))
 
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -377,7 +403,7 @@ def cut_documents(docs: DataFrame) -> DataFrame:
             for text, own in zip(batch.column(at).to_pylist(), every, strict=True):
                 if own.is_valid:
                     data = np.frombuffer(text.encode("utf-8"), np.uint8)
-                    text = data[~_covered(own.values.to_numpy(), len(data))].tobytes().decode("utf-8", "ignore")
+                    text = data[~_covered(own.as_py(), len(data))].tobytes().decode("utf-8", "ignore")
                 texts.append(text)
             columns = [pa.array(texts, batch.schema.field(i).type) if i == at else batch.column(i) for i in range(len(names))]
             left = pa.RecordBatch.from_arrays([*columns], names)
