@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cellweft.functions import vectors as vec
 from cellweft.functions.sequences import words
 from cellweft.operators.joins import join_hot, join_small
+from cellweft.session import evaluated_once
 
 TEMPERATURE = 0.07
 POOL_FLOOR = 1e-9
@@ -126,6 +127,58 @@ def contrastive_loss(batches: DataFrame, temperature: float = TEMPERATURE) -> Da
     return batches.groupBy("batch_id").applyInPandas(run, "batch_id bigint, n_items bigint, loss double")
 
 
+def contrastive_loss_tiled(batches: DataFrame, temperature: float = TEMPERATURE, tile: int = 1024) -> DataFrame:
+    """contrastive_loss for batches of any size: (batch_id, n_items, loss).
+
+    A batch is dealt into tiles of about `tile` items, and each tile of anchors meets each tile of keys by itself.  What such a
+    product leaves of an anchor is the largest logit and the sum of exponents beside it; these states are merged, so a
+    task holds two tiles, never a batch, and no similarity becomes a row.
+    """
+    sizes = batches.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = join_small(batches, sizes.withColumn("_tiles", F.ceil(F.col("_n") / tile)), "batch_id")
+    dealt = dealt.withColumn("_tile", F.pmod(F.xxhash64("item"), F.col("_tiles")))
+    packed = "batch_id bigint, _tiles bigint, _tile bigint, items binary, anchors binary, shuffled binary"
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("item")
+        data = [np.stack(rows[c].to_numpy()).astype(np.float64).tobytes() for c in ("anchor", "shuffled")]
+        row = [*(int(rows[c].iloc[0]) for c in ("batch_id", "_tiles", "_tile")), rows["item"].to_numpy(np.int64).tobytes(), *data]
+        return pd.DataFrame([row], columns=["batch_id", "_tiles", "_tile", "items", "anchors", "shuffled"])
+
+    tiles = evaluated_once(dealt.groupBy("batch_id", "_tile").applyInPandas(pack, packed), "tiles")
+    # a tile of anchors goes to each tile of keys of its batch
+    asked = tiles.select("batch_id", F.col("_tile").alias("tile"), "items", "anchors", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_other"))
+    keys = tiles.select("batch_id", F.col("_tile").alias("_other"), F.col("items").alias("key_items"), F.col("anchors").alias("key_anchors"), "shuffled")
+    state = "batch_id bigint, tile bigint, items binary, top binary, total binary, own binary"
+
+    def product(frames):
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                items, others = np.frombuffer(row.items, np.int64), np.frombuffer(row.key_items, np.int64)
+                a, b, s = (np.frombuffer(x, np.float64) for x in (row.anchors, row.key_anchors, row.shuffled))
+                a, b, s = a.reshape(len(items), -1), b.reshape(len(others), -1), s.reshape(len(others), -1)
+                same = items[:, None] == others[None, :]
+                cross, inner = a @ s.T / temperature, np.where(same, -np.inf, a @ b.T / temperature)
+                top = np.maximum(cross.max(axis=1), inner.max(axis=1))
+                total = np.exp(cross - top[:, None]).sum(axis=1) + np.exp(inner - top[:, None]).sum(axis=1)
+                own = np.where(same, cross, 0.0).sum(axis=1)
+                out.append((row.batch_id, row.tile, row.items, top.tobytes(), total.tobytes(), own.tobytes()))
+            yield pd.DataFrame(out, columns=["batch_id", "tile", "items", "top", "total", "own"])
+
+    both = asked.join(keys, ["batch_id", "_other"]).select("batch_id", "tile", "items", "anchors", "key_items", "key_anchors", "shuffled")
+    partial = both.mapInPandas(product, state)
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        top, total, own = (np.stack([np.frombuffer(x, np.float64) for x in rows[c]]) for c in ("top", "total", "own"))
+        best = top.max(axis=0)
+        losses = best + np.log((total * np.exp(top - best)).sum(axis=0)) - own.sum(axis=0)
+        return pd.DataFrame({"batch_id": [rows["batch_id"].iloc[0]], "n": [len(losses)], "loss": [float(losses.sum())]})
+
+    summed = partial.groupBy("batch_id", "tile").applyInPandas(merge, "batch_id bigint, n bigint, loss double")
+    return summed.groupBy("batch_id").agg(F.sum("n").alias("n_items"), (F.sum("loss") / F.sum("n")).alias("loss"))
+
+
 def running_loss_mean(metrics: DataFrame, step: str, value: str, log_interval: int) -> DataFrame:
     """Mean of a metric over each block of `log_interval` steps; steps count from 1.
 

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweft.operators.joins import join_small
-from cellweft.operators.ordering import with_position
-from cellweft.session import evaluated_once
+from cellweft.operators.ordering import with_position, with_range_bucket
+from cellweft.session import evaluated_once, kept
 
 _U = "struct<agg:string,col:string,distinct:boolean>"
 _V = f"struct<op:string,u1:{_U},u2:{_U}>"
@@ -219,6 +219,37 @@ def foreign_key_map(tables: str, columns: str, keys: str) -> Column:
     )
 
 
+def foreign_key_groups(pairs: DataFrame) -> DataFrame:
+    """foreign_key_map for catalogues of any size, with key pairs as rows: (db_id, col, representative).
+
+    pairs(db_id, pos, a, b) are taken in the order of pos, unique in a database.  The group that a pair joins is named by its
+    first pair: the least pos that can be reached by steps to an earlier pair with a common end.  Rounds take the least
+    name of all earlier pairs at either end, then the name of the pair so named, until nothing changes; steps double, so
+    rounds are few.  A column of any number of pairs is searched range by range.
+    """
+    pairs = kept(pairs.select("db_id", "pos", "a", "b", F.col("pos").alias("grp")), "pairs")
+    ends = F.explode(F.array_distinct(F.array("a", "b"))).alias("col")
+    while True:
+        cut = with_range_bucket(pairs, ["pos"]).select("db_id", "pos", "grp", "_bucket", ends)
+        within = Window.partitionBy("db_id", "col", "_bucket").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        least = cut.groupBy("db_id", "col", "_bucket").agg(F.min("grp").alias("_least"))
+        earlier = Window.partitionBy("db_id", "col").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        before = least.withColumn("_before", F.min("_least").over(earlier)).where("_before IS NOT NULL").drop("_least")
+        seen = cut.withColumn("_own", F.min("grp").over(within)).join(before, ["db_id", "col", "_bucket"], "left")
+        named = seen.groupBy("db_id", "pos").agg(F.min(F.least("_own", "_before")).alias("_new"))
+        named = pairs.join(named, ["db_id", "pos"])
+        target = pairs.select("db_id", F.col("pos").alias("_new"), F.col("grp").alias("_next"))
+        moved = named.join(target, ["db_id", "_new"]).select("db_id", "pos", "a", "b", F.least("_new", "_next").alias("grp"), F.col("grp").alias("_old"))
+        moved = kept(moved, "pairs")
+        if moved.where("grp <> _old").isEmpty():
+            break
+        pairs = moved.drop("_old")
+    members = pairs.select("db_id", "grp", ends).distinct()
+    lowest = members.groupBy("db_id", "grp").agg(F.min("col").alias("representative"))
+    # a column in several groups follows the last one
+    return members.join(lowest, ["db_id", "grp"]).groupBy("db_id", "col").agg(F.max_by("representative", "grp").alias("representative"))
+
+
 def valid_columns(col_keys: str | Column, table_ids: Column) -> Column:
     """Those of a catalogue's column keys whose table is in FROM."""
     keys = F.col(col_keys) if isinstance(col_keys, str) else col_keys

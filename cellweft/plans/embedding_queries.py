@@ -131,10 +131,10 @@ _BATCHED = f"""{BASE}, b AS MATERIALIZED (SELECT *, (row_number() OVER (ORDER BY
  c AS MATERIALIZED (SELECT *, list_transform(anchor, lambda x, i: x + ((i - 1) % 2) * 0.02) AS shuffled FROM b)"""
 
 
-def _batches(spark, sf):
+def _batches(spark, sf, size=16):
     unit = vectors(spark, sf).select(F.col("vec_id").alias("item"), vec.l2_normalize("vector").alias("anchor"))
     both = unit.withColumn("shuffled", F.transform("anchor", lambda x, i: x + (i % 2) * 0.02))
-    return sampling.assign_batch(both, ["item"], 16)
+    return sampling.assign_batch(both, ["item"], size)
 
 
 @reg.query(
@@ -158,6 +158,20 @@ def contrastive_loss(spark, sf):
     return emb.contrastive_loss(_batches(spark, sf)).withColumn("loss", F.round("loss", 6))
 
 
+_LARGE = 512
+
+
+@reg.query(
+    "contrastive_loss_tiled",
+    f"""WITH {_BATCHED.replace("// 16", f"// {_LARGE}")}, s AS (SELECT q.batch_id, q.vec_id AS q, k.vec_id AS k, list_inner_product(q.anchor, k.shuffled) / 0.07 AS cross_sim,
+      list_inner_product(q.anchor, k.anchor) / 0.07 AS self_sim FROM c q JOIN c k USING (batch_id)),
+    l AS (SELECT batch_id, q, ln(sum(exp(cross_sim) + CASE WHEN q = k THEN 0 ELSE exp(self_sim) END)) - max(CASE WHEN q = k THEN cross_sim END) AS loss FROM s GROUP BY 1, 2)
+    SELECT batch_id, count(*) AS n_items, round(avg(loss), 6) AS loss FROM l GROUP BY 1""",
+)
+def contrastive_loss_tiled(spark, sf):
+    return emb.contrastive_loss_tiled(_batches(spark, sf, _LARGE), tile=100).withColumn("loss", F.round("loss", 6))
+
+
 @reg.query(
     "running_loss_mean",
     """SELECT event_id // 50 AS block, round(CAST(avg(CAST(value AS DECIMAL(18,2))) AS DOUBLE), 4) AS mean_value FROM events GROUP BY 1 HAVING count(*) = 50""",

@@ -425,6 +425,27 @@ def foreign_key_map(spark, sf):
     return mapped.groupBy("o_orderkey", F.col("e.k").alias("col_key"), F.col("e.v").alias("representative")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# databases of some hundred key pairs, one to a row
+_PAIRS = """SELECT o_custkey % 40 AS db_id, o_orderkey AS pos, (o_orderkey * 7 + o_custkey) % 90 AS a, (o_custkey * 5 + o_orderkey * 3) % 97 AS b
+  FROM orders WHERE o_orderkey % 4 = 1"""
+
+
+@reg.query(
+    "foreign_key_groups",
+    f"""WITH RECURSIVE pairs AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY db_id ORDER BY pos) AS i FROM ({_PAIRS})),
+    walk AS (SELECT DISTINCT db_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[][]) AS gs FROM pairs
+      UNION ALL SELECT db_id, i, CASE WHEN spot > 0 THEN list_transform(gs, lambda g, j: CASE WHEN j = spot THEN list_distinct(list_concat(g, pr)) ELSE g END) ELSE list_append(gs, pr) END
+      FROM (SELECT w.db_id, p.i, gs, [p.a, p.b] AS pr, coalesce(list_position(list_transform(gs, lambda g: list_has_any(g, [p.a, p.b])), true), 0) AS spot
+        FROM walk w JOIN pairs p ON p.db_id = w.db_id AND p.i = w.i + 1)),
+    done AS (SELECT db_id, arg_max(gs, i) AS gs FROM walk GROUP BY 1),
+    grp AS (SELECT db_id, unnest(gs) AS g, unnest(range(len(gs))) AS k FROM done),
+    m AS (SELECT db_id, k, unnest(list_distinct(g)) AS col, list_min(g) AS representative FROM grp)
+    SELECT db_id, col, arg_max(representative, k) AS representative FROM m GROUP BY 1, 2""",
+)
+def foreign_key_groups(spark, sf):
+    return scoring.foreign_key_groups(spark.sql(_PAIRS.replace("FROM orders", "FROM {orders}"), orders=fx.load(spark, sf, "orders")))
+
+
 # --- units in rows: items of any size --------------------------------------------------------------
 
 UNIT = "l_returnflag || '|' || l_linestatus"

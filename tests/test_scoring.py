@@ -275,3 +275,53 @@ def test_arithmetic_and_aggregates_outside_select(spark):
     row = spark.createDataFrame([(query,)], "q string").select(scoring.parse_query("q").alias("q"))
     flags = row.select(*[c.alias(k) for k, c in scoring.condition_flags("q").items()]).first().asDict()
     assert flags == {"has_or": False, "has_like": False, "has_sql": False, "has_op": True, "has_agg": True}
+
+
+def test_block_means_by_steps_are_those_of_the_batch(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(run, step, rng.choice([None, rng.random()])) for run, n in (("a", 230), ("b", 100), ("c", 7)) for step in range(1, n + 1) if rng.random() < 0.9 or step == n]
+    rows += [("d", 57, 1.0), ("a", None, 5.0)]
+    schema = "run string, step bigint, value double"
+    for i, at in enumerate(range(0, len(rows), 61)):  # several micro batches
+        spark.createDataFrame(rows[at : at + 61], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    means = metric_blocks.step_means(stream, "run", "step", "value", 10)
+    out = means.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert out.awaitTermination(180)
+    got = {(r.run, r.block): r.mean_value for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {}
+    for run in "abcd":
+        metrics = spark.createDataFrame([r for r in rows if r[0] == run], schema)
+        want.update({(run, r.block): r.mean_value for r in emb.running_loss_mean(metrics, "step", "value", 10).collect()})
+    assert got.keys() == want.keys() and ("a", 22) in got and ("d", 5) not in got
+    assert all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_large_batches_in_tiles(spark):
+    rng = np.random.default_rng(3)
+    rows = [(b, i, *(rng.normal(size=6).tolist() for _ in range(2))) for b, n in ((0, 90), (1, 1), (2, 7)) for i in range(n)]
+    batches = spark.createDataFrame(rows, "batch_id bigint, item bigint, anchor array<double>, shuffled array<double>")
+    want = {r.batch_id: (r.n_items, r.loss) for r in emb.contrastive_loss(batches).collect()}
+    for tile in (1000, 8):
+        got = {r.batch_id: (r.n_items, r.loss) for r in emb.contrastive_loss_tiled(batches, tile=tile).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[b][0] == want[b][0] and abs(got[b][1] - want[b][1]) < 1e-9 for b in want)
+
+
+def test_key_groups_of_rows_follow_the_order_rule(spark):
+    rng = random.Random(9)
+    rows = [(d, t, rng.randrange(30), rng.randrange(30)) for d in range(6) for t in range(rng.choice([1, 5, 40]))]
+    rows += [(7, t, t + 1, t) for t in range(60)] + [(8, t, 60 - t, 59 - t) for t in range(60)] + [(9, 0, 4, 4)]
+    rows += [(10, t, 0, t) for t in range(50)]
+    want = {}
+    for d in {r[0] for r in rows}:
+        groups = []
+        for _, _, a, b in sorted(r for r in rows if r[0] == d):
+            own = next((g for g in groups if a in g or b in g), None)
+            if own is None:
+                groups.append(own := set())
+            own |= {a, b}
+        want.update({(d, c): min(g) for g in groups for c in g})
+    pairs = spark.createDataFrame(rows, "db_id bigint, pos bigint, a bigint, b bigint").repartition(4)
+    assert {(r.db_id, r.col): r.representative for r in scoring.foreign_key_groups(pairs).collect()} == want
+    assert scoring.foreign_key_groups(pairs.where("false")).collect() == []
