@@ -53,34 +53,28 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    def values(rows: tuple, first: int, is_base: str) -> str:
-        return ", ".join(f"({first + i}, '{phrase}', '{label}', {is_base})" for i, (phrase, label) in enumerate(rows))
-
-    listed = values(licenses.BASE, 0, "true") + ", " + values(licenses.TEMPLATES, len(licenses.BASE), "false")
+    """Base phrases and notices looked up word by word; a notice may be off by its edits, counted over all windows of its length and one word more or less."""
+    base = ", ".join(f"({i}, '{phrase}', '{label}')" for i, (phrase, label) in enumerate(licenses.BASE))
+    notices = ", ".join(f"({i}, '{phrase}', '{label}', '{core}')" for i, (phrase, label, core) in enumerate(licenses.TEMPLATES))
     return rf"""
-    WITH list(template, phrase, label, is_base) AS (VALUES {listed}),
-    parts AS (SELECT *, string_split(phrase, ' ') AS p FROM list),
-    known AS (SELECT template, label, is_base, len(p) - 1 AS total, i - 1 AS tpos, p[i] || ' ' || p[i + 1] AS gram
-              FROM parts, unnest(range(1, len(p))) AS t(i)),
+    WITH base(number, phrase, label) AS (VALUES {base}), notices(number, phrase, label, core) AS (VALUES {notices}),
     w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-    hits AS (SELECT doc_id, k.*, pos - 1 AS pos, pos - 1 - k.tpos AS diagonal
-             FROM (SELECT doc_id, i AS pos, w[i] || ' ' || w[i + 1] AS gram FROM w, unnest(range(1, len(w))) AS t(i)) g JOIN known k USING (gram)),
-    places AS (SELECT doc_id, template, label, diagonal FROM hits WHERE is_base
-               GROUP BY ALL HAVING count(DISTINCT tpos) = any_value(total)),
-    base AS (SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, list(DISTINCT label) AS labels
-             FROM places GROUP BY doc_id),
-    steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER l <= {licenses.NEAR} THEN 0 ELSE 1 END AS fresh
-              FROM hits WHERE NOT is_base WINDOW l AS (PARTITION BY doc_id, template ORDER BY diagonal, tpos)),
-    islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal, tpos) AS island FROM steps),
-    spans AS (SELECT doc_id, label, count(DISTINCT tpos) / any_value(total) AS coverage FROM islands
-              GROUP BY doc_id, template, label, island HAVING coverage >= {licenses.ENOUGH}),
-    extra AS (SELECT doc_id, list(DISTINCT label) AS labels, max(coverage) AS coverage FROM spans GROUP BY doc_id)
+    places AS (SELECT doc_id, label, i - 1 AS place FROM w, base, unnest(range(1, len(w) + 1)) AS t(i) WHERE w[i : i + len(string_split(phrase, ' ')) - 1] = string_split(phrase, ' ')),
+    found AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
+    maybe AS (SELECT doc_id, w, number, label, core, string_split(phrase, ' ') AS p, len(string_split(phrase, ' ')) // {licenses.WORDS_PER_EDIT} AS edits
+      FROM w, notices WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || core || ' ')),
+    windows AS (SELECT doc_id, number, label, core, p, edits, i, w[i : i + len(p) + d - 1] AS x FROM maybe, unnest(range(1, len(w) + 1)) AS t(i), unnest([-1, 0, 1]) AS u(d)
+      WHERE abs(d) <= edits AND i + len(p) + d - 1 <= len(w)),
+    off AS (SELECT *, levenshtein(array_to_string(list_transform(x, lambda y: chr(CAST(20000 + coalesce(list_position(list_distinct(list_sort(p)), y), 0) AS INTEGER))), ''),
+        array_to_string(list_transform(p, lambda y: chr(CAST(20000 + list_position(list_distinct(list_sort(p)), y) AS INTEGER))), '')) AS wrong
+      FROM windows WHERE contains(' ' || array_to_string(x, ' ') || ' ', ' ' || core || ' ')),
+    extra AS (SELECT doc_id, list(DISTINCT label) AS labels, max(1 - wrong / len(p)) AS best FROM off WHERE wrong <= edits GROUP BY doc_id)
     SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
-      last_word::BIGINT AS last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
-      array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(extra.labels, [])))), ',') AS labels,
-      CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(coverage, 0.0) END::DOUBLE AS score
-    FROM w LEFT JOIN base USING (doc_id) LEFT JOIN extra USING (doc_id)
+      last_word::BIGINT AS last_word, array_to_string(list_sort(coalesce(found.labels, [])), ',') AS base_labels,
+      array_to_string(list_sort(list_distinct(list_concat(coalesce(found.labels, []), coalesce(extra.labels, [])))), ',') AS labels,
+      CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+    FROM w LEFT JOIN found USING (doc_id) LEFT JOIN extra USING (doc_id)
     """
 
 
