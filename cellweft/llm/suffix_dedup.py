@@ -25,8 +25,8 @@ from cellweft.llm.common import grouped, stored
 
 #: Bytes of stretches that share a transform; an anchor's stretches stay together.
 CHUNK = 1 << 16
-#: An anchor that occurs so often is not brought to one task.
-HOT = 1 << 14
+#: An anchor that occurs so often is not brought to one task: once in so many bytes of text, within these bounds.
+BYTES_PER_HOT, LEAST_HOT, MOST_HOT = 1 << 14, 1 << 12, 1 << 15
 #: Bits of the sketch that says which anchors occur more than once: 16 per such anchor, from and up to these.
 LEAST_BITS, MOST_BITS = 16, 29
 #: Text bytes per bucket of the count.
@@ -197,12 +197,10 @@ def _stretches(sketch, bits: int, hot, of_hot: bool):
                 order = np.argsort(kind, kind="stable")
                 at = np.concatenate([[0], np.flatnonzero(np.diff(kind[order])) + 1])
                 row = owners[piece[order]]
-                docs, sums, starts = doc_ids[row].astype(np.int64), own[row].astype(np.int64), start[order].astype(np.int64)
-                cut = [*(at * 8).tolist(), len(order) * 8]
-                columns = [[x.tobytes() for x in ()] for _ in range(3)]
-                for column, values in zip(columns, (docs, sums, starts), strict=True):
-                    whole = values.tobytes()
-                    column.extend(whole[f:t] for f, t in zip(cut[:-1], cut[1:], strict=True))
+                bounds, columns = [*at.tolist(), len(order)], []
+                for values, kind in zip((doc_ids[row], own[row], start[order]), PLACE, strict=True):
+                    whole, width = values.astype(kind).tobytes(), np.dtype(kind).itemsize
+                    columns.append([whole[f * width : t * width] for f, t in itertools.pairwise(bounds)])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hashes[order[at]]), pa.array(list(number), pa.binary()), *(pa.array(c, pa.binary()) for c in columns)],
                     ["h", "stretch", "docs", "sums", "starts"],
@@ -211,8 +209,12 @@ def _stretches(sketch, bits: int, hot, of_hot: bool):
     return run
 
 
+#: What is sent of a place: its document, the checksum of the text, and where in the text a stretch starts.
+PLACE = (np.int64, np.uint32, np.uint32)
 #: A text is shorter than this.
 LONGEST = 1 << 40
+#: A run is one number, its start and so many bits of its length; a longer one is cut.
+LENGTH_BITS = 16
 RUNS = "doc_id long, crc long, runs binary"
 
 
@@ -227,9 +229,13 @@ def _packed(docs: np.ndarray, sums: np.ndarray, first: np.ndarray, last: np.ndar
     new_run = new_doc.copy()
     new_run[1:] |= (first + shift)[1:] > reach[:-1]
     at = np.flatnonzero(new_run)
-    runs = np.stack([first[at], np.maximum.reduceat(last, at) if len(at) else last], axis=1).astype(np.int64)
-    whole = runs.tobytes()
-    cut = [*(np.flatnonzero(new_doc[at]) * 16).tolist(), len(whole)]
+    size = (np.maximum.reduceat(last, at) if len(at) else last) - first[at]
+    most = (1 << LENGTH_BITS) - 1
+    pieces = -(-size // most)
+    nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = np.repeat(first[at], pieces) + nth * most
+    whole = (start << LENGTH_BITS | np.minimum(np.repeat(size, pieces) - nth * most, most)).astype(np.int64).tobytes()
+    cut = [*((np.cumsum(pieces) - pieces)[new_doc[at]] * 8).tolist(), len(whole)]
     rows = [docs[new_doc], sums[new_doc], pa.array([whole[a:b] for a, b in itertools.pairwise(cut)], pa.binary())]
     return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["doc_id", "crc", "runs"])
 
@@ -240,7 +246,7 @@ def _removed(batches):
     def of(rows):
         number: dict[bytes, int] = {}
         kind = np.repeat([number.setdefault(r[1], len(number)) for r in rows], [len(r[2]) // 8 for r in rows])
-        docs, sums, starts = (np.frombuffer(b"".join(r[c] for r in rows), np.int64) for c in (2, 3, 4))
+        docs, sums, starts = (np.frombuffer(b"".join(r[c] for r in rows), kind).astype(np.int64) for c, kind in zip((2, 3, 4), PLACE, strict=True))
         first_doc = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(first_doc, kind, docs)
         least, counts = window_minimum(list(number), first_doc)
@@ -287,7 +293,7 @@ def _marked(batches):
     for batch in batches:
         found = [np.zeros((0, 4), np.int64)]
         for stretch, docs, sums, starts, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            docs, sums, starts = (np.frombuffer(x, np.int64) for x in (docs, sums, starts))
+            docs, sums, starts = (np.frombuffer(x, kind).astype(np.int64) for x, kind in zip((docs, sums, starts), PLACE, strict=True))
             least = np.full(len(stretch) - LENGTH + 1, np.iinfo(np.int64).max)
             least[[m["at"] for m in marks]] = [m["least"] for m in marks]
             gone = np.pad(least < docs[:, None], ((0, 0), (1, 1)))
@@ -298,17 +304,17 @@ def _marked(batches):
         yield _packed(*np.concatenate(found).T)
 
 
-def _joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Inner join on a key that right has once; keys of HOT or more left rows, as right's n says, are not shuffled."""
-    often, rest = F.broadcast(right.where(F.col("n") >= HOT).drop("n")), right.where(F.col("n") < HOT).drop("n")
+def _joined(left: DataFrame, right: DataFrame, key: str, hot: int) -> DataFrame:
+    """Inner join on a key that right has once; keys of `hot` or more left rows, as right's n says, are not shuffled."""
+    often, rest = F.broadcast(right.where(F.col("n") >= hot).drop("n")), right.where(F.col("n") < hot).drop("n")
     return left.join(often, key).unionByName(left.join(often.select(key), key, "left_anti").join(rest, key))
 
 
-def hot_runs(places: DataFrame) -> DataFrame:
+def hot_runs(places: DataFrame, hot: int) -> DataFrame:
     """doc_id, crc and runs of the stretches of anchors that occur very often, with no key in one task.
 
     The first document of each different stretch, then of each different window; windows that some document
-    loses go back to their stretches and these to their places.  Of what is broadcast there is a row per HOT occurrences.
+    loses go back to their stretches and these to their places.  Of what is broadcast there is a row per `hot` occurrences.
     """
     kinds = places.select("stretch", "docs").mapInArrow(_spans, "stretch binary, first long, last long, n long")
     kinds = kinds.groupBy("stretch").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
@@ -317,19 +323,20 @@ def hot_runs(places: DataFrame) -> DataFrame:
     windows = kinds.select("stretch", "first", "last", F.posexplode(cut).alias("at", "window"))
     least = windows.groupBy("window").agg(F.min("first").alias("least"), F.max("last").alias("most"), F.count("*").alias("n"))
     least = stored(least.where("least < most").drop("most"), "hot_windows")
-    lost = _joined(windows.drop("first"), least, "window").where("least < last")
+    lost = _joined(windows.drop("first"), least, "window", hot).where("least < last")
     marks = lost.groupBy("stretch").agg(F.collect_list(F.struct("at", "least")).alias("marks"))
     marks = stored(kinds.select("stretch", "n").join(marks, "stretch"), "hot_marks")
-    both = _joined(places.drop("h"), marks, "stretch").select("stretch", "docs", "sums", "starts", "marks")
+    both = _joined(places.drop("h"), marks, "stretch", hot).select("stretch", "docs", "sums", "starts", "marks")
     return both.mapInArrow(_marked, RUNS)
 
 
 def _covered(runs: list[bytes] | None, n: int) -> np.ndarray:
     """Whether each of n bytes is covered by a removed window."""
     edges = np.zeros(n + 1, np.int64)
-    first, last = np.frombuffer(b"".join(runs or ()), np.int64).reshape(-1, 2).T
+    every = np.frombuffer(b"".join(runs or ()), np.int64)
+    first, size = every >> LENGTH_BITS, every & ((1 << LENGTH_BITS) - 1)
     np.add.at(edges, first, 1)
-    np.add.at(edges, last - 1 + LENGTH, -1)
+    np.add.at(edges, first + size - 1 + LENGTH, -1)
     return np.cumsum(edges[:n]) > 0
 
 
@@ -362,7 +369,8 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     parts = parts.repartition("bucket").sortWithinPartitions("bucket")
     repeated = stored(parts.mapInArrow(_repeated, "h long, times long"), "repeated")
     words, bits = sketch_of(repeated.select("h"), repeated.count())
-    often = np.sort(repeated.where(F.col("times") >= HOT).select("h").toArrow().column(0).to_numpy())
+    least = min(MOST_HOT, max(LEAST_HOT, total // BYTES_PER_HOT))
+    often = np.sort(repeated.where(F.col("times") >= least).select("h").toArrow().column(0).to_numpy())
     sketch, hot = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(often)
     keyed = text.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.col("text").cast("binary")).alias("crc"))
     schema = "h long, stretch binary, docs binary, sums binary, starts binary"
@@ -370,7 +378,7 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     found = found.repartition("h").sortWithinPartitions("h")
     runs = found.mapInArrow(_removed, RUNS)
     if len(often):
-        runs = runs.unionByName(hot_runs(stored(keyed.mapInArrow(_stretches(sketch, bits, hot, True), schema), "hot")))
+        runs = runs.unionByName(hot_runs(stored(keyed.mapInArrow(_stretches(sketch, bits, hot, True), schema), "hot"), least))
     return runs.groupBy("doc_id", "crc").agg(F.collect_list("runs").alias("runs"))
 
 

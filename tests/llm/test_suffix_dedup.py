@@ -112,8 +112,26 @@ def test_frequent_anchors_are_not_brought_to_one_task(spark, monkeypatch):
             yield from whole(seen())
             large.add(sum(n >= hot for n in times.values()))
 
-        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        monkeypatch.setattr(suffix_dedup, "LEAST_HOT", hot)
+        monkeypatch.setattr(suffix_dedup, "MOST_HOT", hot)
         monkeypatch.setattr(suffix_dedup, "_removed", counted)
         got = suffix_dedup.dedup(frame(spark, rows)).collect()
         assert sorted(map(tuple, got), key=str) == brute(rows)
     assert large.value == 0
+
+
+def test_packed_runs_of_any_length():
+    rng = np.random.default_rng(2)
+    docs, sums = rng.integers(0, 3, 200), rng.integers(0, 2, 200)
+    first = rng.integers(0, 400_000, 200)
+    last = first + rng.integers(1, 150_000, 200)
+    rows = suffix_dedup._packed(docs, sums, first, last).to_pylist()
+    assert len(rows) == len(set(zip(docs.tolist(), sums.tolist(), strict=True)))
+    for row in rows:
+        own = (docs == row["doc_id"]) & (sums == row["crc"])
+        want = np.zeros(700_000, bool)
+        for a, b in zip(first[own], last[own], strict=True):
+            want[a : b - 1 + suffix_dedup.LENGTH] = True
+        assert (suffix_dedup._covered([row["runs"]], len(want)) == want).all()
+    none = np.zeros(0, np.int64)
+    assert suffix_dedup._packed(none, none, none, none).num_rows == 0 and not suffix_dedup._covered(None, 5).any()
