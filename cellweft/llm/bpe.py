@@ -233,14 +233,20 @@ def _ids(path: str, schema: pa.Schema, text_at: int):
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", n: str = "n_tokens") -> DataFrame:
-    """The rows with the number of ids and the ids of a text column, as little-endian 32-bit integers; null stays null."""
+    """The rows with the number of ids and the ids of a text column, as little-endian 32-bit integers; null stays null.
+
+    Columns named like the two new ones are replaced.  Long texts are taken in slices; repeated rows are encoded each.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import BinaryType, LongType, StructType
+    from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-    out = StructType([f for f in docs.schema if f.name not in (n, ids)])
-    kept = docs.select(*(f"`{f.name}`" for f in out))
+    names = [c for c in docs.columns if c not in (n, ids)]
+    kept = docs.select(*(f"`{c}`" for c in names))
+    # by place, as a name may hold a dot
+    places = [f"_{i}" for i in range(len(names))]
+    out = StructType([StructField(place, f.dataType) for place, f in zip(places, kept.schema, strict=True)])
     out = out.add(n, LongType()).add(ids, BinaryType())
-    return kept.mapInArrow(_ids(path, to_arrow_schema(out), kept.columns.index(text)), out)
+    return kept.toDF(*places).mapInArrow(_ids(path, to_arrow_schema(out), names.index(text)), out).toDF(*names, n, ids)
 
 
 def decode_ids(ids: bytes, path: str) -> bytes:

@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweft.llm.common import stored
+from cellweft.operators.joins import is_small
 
 WORDS = 5
 SIMILARITY = 0.8
 #: Fingerprints of a pair at the threshold differ in about 10 of 64 bits, with a deviation of 3.
 RADIUS = 20
 BLOCKS = 8
+#: Shingles that a lane of a fingerprint counts; the top one must not reach the sign.
+PART = (1 << 15) - 1
 #: Item tables of more rows than this are joined without a broadcast; a row has four numbers.
 BROADCAST_ROWS = 1_000_000
 
@@ -37,23 +40,29 @@ def shingles(w: Column, k: int) -> Column:
 def fingerprint(hashes: Column) -> Column:
     """SimHash: a bit is set if more than half of the hashes, counted as often as they occur, have it.
 
-    Sixteen sums of four 16-bit lanes count all 64 bits, for windows of up to 32767 shingles.
+    Sixteen sums of four 16-bit lanes count all 64 bits of up to PART shingles; longer lists are counted part by part.
     """
     lanes = F.lit(0x0001000100010001)
     names = [f"s{k}" for k in range(16)]
     zero = F.struct(*(F.lit(0).cast("long").alias(n) for n in names))
-    sums = F.aggregate(
-        hashes, zero, lambda acc, h: F.struct(*((acc[n] + F.shiftrightunsigned(h, k).bitwiseAND(lanes)).alias(n) for k, n in enumerate(names)))
-    )
-    return F.struct(sums.alias("sums"), F.size(hashes).alias("n"))
+
+    def counted(part: Column) -> Column:
+        return F.aggregate(part, zero, lambda acc, h: F.struct(*((acc[n] + F.shiftrightunsigned(h, k).bitwiseAND(lanes)).alias(n) for k, n in enumerate(names))))
+
+    last = F.floor((F.greatest(F.size(hashes), F.lit(1)) - 1) / PART).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: counted(F.slice(hashes, i * PART + 1, PART)))
+    return F.struct(parts.alias("parts"), F.size(hashes).alias("n"))
 
 
 def bits_of(f: Column) -> Column:
+    def count(k: int, lane: int) -> Column:
+        own = lambda p: F.shiftrightunsigned(p[f"s{k}"], 16 * lane).bitwiseAND(F.lit(0xFFFF))
+        return F.aggregate(f["parts"], F.lit(0).cast("long"), lambda n, p: n + own(p))
+
     out = F.lit(0).cast("long")
     for k in range(16):
         for lane in range(4):
-            count = F.shiftrightunsigned(f["sums"][f"s{k}"], 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            out = out.bitwiseOR(F.when(count * 2 > f["n"], F.shiftleft(F.lit(1).cast("long"), 16 * lane + k)).otherwise(F.lit(0).cast("long")))
+            out = out.bitwiseOR(F.when(count(k, lane) * 2 > f["n"], F.shiftleft(F.lit(1).cast("long"), 16 * lane + k)).otherwise(F.lit(0).cast("long")))
     return out
 
 
@@ -90,7 +99,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A text or item without words holds nothing and is never held; an item of fewer than five words is one
     shingle and must be met whole.  Windows end at the ends of a document.  Equal similarities go to the
-    first place.  Rows that repeat a doc_id and text give one row per item; other columns are not read.
+    first place.  Rows that repeat a doc_id and text give one row per item.  Long texts are taken whole; an empty table on
+    either side gives no rows; other columns are not read.
     """
     items = stored(item_table(benchmark), "items")
     sizes = [r["k"] for r in items.select("k").distinct().collect()]
@@ -135,7 +145,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = found.filter((F.bit_count(apart) <= RADIUS) & (F.col("block") == first)).select("doc_id", "own", "m", "first_word", "item_id", "item_fp")
     a, b = windows.drop("fp").withColumnsRenamed({"doc_id": "d", "own": "o", "m": "wm", "first_word": "wf"}), known.withColumnsRenamed({"item_id": "i", "m": "im", "item_fp": "ifp"})
     pairs = found.join(a, found["doc_id"].eqNullSafe(a["d"]) & (found["own"] == a["o"]) & (found["m"] == a["wm"]) & (found["first_word"] == a["wf"]))
-    pairs = pairs.join(_sized(b, n_at), pairs["item_id"].eqNullSafe(b["i"]) & (pairs["m"] == b["im"]) & (pairs["item_fp"] == b["ifp"]))
+    pairs = pairs.join(F.broadcast(b) if is_small(b, BROADCAST_ROWS) else b, pairs["item_id"].eqNullSafe(b["i"]) & (pairs["m"] == b["im"]) & (pairs["item_fp"] == b["ifp"]))
     sure = pairs.withColumn("similarity", weighted_jaccard(F.col("shingles"), F.col("item_shingles"))).filter(F.col("similarity") >= SIMILARITY)
     best = F.max(F.struct("similarity", (-F.col("first_word")).alias("back")))
     return sure.groupBy("doc_id", "own", "item_id").agg(best.alias("best")).select(

@@ -274,10 +274,13 @@ def join_texts(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each group one with the smallest doc_id, and every null text."""
-    found = join_texts(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")) | F.col("group").isNull())
-    found = found.select(F.col("doc_id").alias("doc_id__"), F.col("own").alias("own__"), F.col("group").alias("group__")).distinct()
-    kept = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["doc_id__"]) & (F.xxhash64(docs["text"]) == found["own__"]))
-    nth = Window.partitionBy("group__", F.when(F.col("group__").isNull(), F.col("doc_id__"))).orderBy("own__")
-    kept = kept.withColumn("nth__", F.row_number().over(nth)).filter("nth__ = 1 or group__ is null")
-    return kept.select(*(kept[c] for c in docs.columns))
+    """The documents, with all their columns, that stay: of each group one with the smallest doc_id, and every null text.
+
+    Of rows of a group that share the smallest doc_id the first by checksum stays.  Other cases as in join_texts.
+    """
+    first = join_texts(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")) | F.col("group").isNull())
+    found = first.select(F.col("doc_id").alias("i"), F.col("own").alias("o"), "group").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("own"))
+    kept = rows.join(found, rows["id"].eqNullSafe(found["i"]) & (rows["own"] == found["o"]))
+    nth = Window.partitionBy("group", F.when(F.col("group").isNull(), F.col("id"))).orderBy("own")
+    return kept.withColumn("nth", F.row_number().over(nth)).filter("nth = 1 OR group IS NULL").select("row.*")

@@ -217,31 +217,40 @@ def _pooled(texts: list[bytes], net: Network) -> np.ndarray:
     return sums / np.maximum(sizes, 1)[:, None]
 
 
+def _predicted(texts: pa.Array, ok: pa.Array, net: Network) -> tuple[list[str], np.ndarray]:
+    """Label and score of each text; what is not ok is unknown."""
+    known = [t.encode("utf-8") if o else b"" for t, o in zip(texts.to_pylist(), ok.to_pylist(), strict=True)]
+    p = _pooled(known, net)
+    best = p.argmax(axis=1)
+    # a mean of float32 values can end a hair above one
+    label = [net.labels[k] if t else UNKNOWN for k, t in zip(best.tolist(), known, strict=True)]
+    return label, np.where([bool(t) for t in known], np.minimum(p[np.arange(len(best)), best], 1.0), 0.0)
+
+
 def _labels(net: Network):
     def run(batches):
         for batch in batches:
-            texts = [t.encode("utf-8") if ok else b"" for t, ok in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            p = _pooled(texts, net)
-            best = p.argmax(axis=1)
-            # a mean of float32 values can end a hair above one
-            label = [net.labels[k] if t else UNKNOWN for k, t in zip(best.tolist(), texts, strict=True)]
-            score = np.where([bool(t) for t in texts], np.minimum(p[np.arange(len(best)), best], 1.0), 0.0)
+            label, score = _predicted(batch.column(1), batch.column(2), net)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(label), pa.array(score, pa.float64())], ["doc_id", "own", "lang_pred", "score"])
 
     return run
 
 
+def _learnt(docs: DataFrame) -> Network | None:
+    learnt = sample(docs)
+    return train(learnt) if learnt else None
+
+
 def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
     """doc_id, own (checksum of the text), lang_pred and score of each document.
 
     A null text, or one without a letter, is 'und' with score 0.  Without labelled rows every text is 'und';
-    with one label it is that label.  Repeated rows get the same answer each; text is the only input of a
+    with one label it is that label; of equally likely labels the first by name counts.  Repeated rows get the same answer
+    each; long texts are read whole, window by window; an empty table gives no rows.  Text is the only input of a
     prediction, and no other column than text, lang and doc_id is read.
     """
     schema = "doc_id long, own long, lang_pred string, score double"
-    if net is None:
-        learnt = sample(docs)
-        net = train(learnt) if learnt else None
+    net = net or _learnt(docs)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text.rlike(r"\p{L}").alias("ok"), F.xxhash64("text").alias("own"))
     if net is None:
@@ -250,7 +259,22 @@ def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float) -> DataFrame:
-    """The documents whose language is known with a score of least or more."""
-    good = identify(docs).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    good = good.select(F.col("doc_id").alias("doc_id__"), F.col("own").alias("own__")).distinct()
-    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(good["doc_id__"]) & (F.xxhash64(docs["text"]) == good["own__"]), "left_semi")
+    """The documents, with all their columns, whose language is known with a score of least or more; cases as in identify.
+
+    Rows pass through as they are, so nothing is joined.
+    """
+    net = _learnt(docs)
+    if net is None:
+        return docs.filter("false")
+    text = F.coalesce("text", F.lit(""))
+    asked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), text.rlike(r"\p{L}").alias("ok"))
+
+    def run(batches):
+        for batch in batches:
+            label, score = _predicted(batch.column(1), batch.column(2), net)
+            good = (np.array(label, object) != UNKNOWN) & (score >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["row"]).filter(pa.array(good, pa.bool_()))
+
+    return asked.mapInArrow(run, asked.select("row").schema).select("row.*")
+
+

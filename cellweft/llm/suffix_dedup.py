@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from cellweft.llm import anchors
 from cellweft.llm import pretokens as pt
@@ -26,7 +27,7 @@ from cellweft.llm.common import grouped, stored
 #: Bytes of stretches that share a transform; an anchor's stretches stay together.
 CHUNK = 1 << 16
 #: An anchor that occurs so often is not brought to one task: once in so many bytes of text, within these bounds.
-BYTES_PER_HOT, LEAST_HOT, MOST_HOT = 1 << 14, 1 << 12, 1 << 15
+BYTES_PER_HOT, LEAST_HOT, MOST_HOT = 1 << 14, 1 << 14, 1 << 15
 #: Bits of the sketch that says which anchors occur more than once: 16 per such anchor, from and up to these.
 LEAST_BITS, MOST_BITS = 16, 29
 #: Text bytes per bucket of the count.
@@ -414,10 +415,13 @@ def cut_documents(docs: DataFrame) -> DataFrame:
                     text = data[~_covered(own.as_py(), len(data))].tobytes().decode("utf-8", "ignore")
                 texts.append(text)
             columns = [pa.array(texts, batch.schema.field(i).type) if i == at else batch.column(i) for i in range(len(names))]
-            left = pa.RecordBatch.from_arrays([*columns], names)
+            left = pa.RecordBatch.from_arrays(columns, places)
             yield left.filter(pa.array([t != "" or not own.is_valid for t, own in zip(texts, every, strict=True)]))
 
-    left = both.mapInArrow(run, docs.schema)
+    # by place, as a name may hold a dot
+    places = [f"_{i}" for i in range(len(names))]
+    schema = StructType([StructField(place, f.dataType) for place, f in zip(places, docs.schema, strict=True)])
+    left = both.toDF(*places, "runs").mapInArrow(run, schema).toDF(*names)
     if "n_chars" in names:
         left = left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return left

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from cellweft.llm import decontamination
 
 
@@ -79,3 +81,19 @@ def test_clean_documents(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
     assert decontamination.leaks(docs.filter("false"), benchmark).collect() == []
     assert decontamination.leaks(docs, benchmark.filter("false")).collect() == []
+
+
+def test_fingerprints_of_very_long_lists(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    lists = [rng.integers(-(2**63), 2**63 - 1, n).tolist() for n in (0, 1, 6, 7, 8, 50)] + [[-1] * 40 + [0] * 39, [0] * 40 + [-1] * 39]
+    monkeypatch.setattr(decontamination, "PART", 7)
+    frame = spark.createDataFrame(list(enumerate(lists)), "k int, h array<long>")
+    got = {r.k: r.f for r in frame.select("k", decontamination.bits_of(decontamination.fingerprint(F.col("h"))).alias("f")).collect()}
+    for k, own in enumerate(lists):
+        want = sum(1 << b for b in range(64) if sum(x >> b & 1 for x in own) * 2 > len(own))
+        assert got[k] % 2**64 == want
+    monkeypatch.undo()
+    many = spark.range(1).select(F.concat(F.array_repeat(F.lit(-1).cast("long"), 70_001), F.array_repeat(F.lit(0).cast("long"), 70_000)).alias("h"))
+    assert many.select(decontamination.bits_of(decontamination.fingerprint(F.col("h"))).alias("f")).first().f == -1
