@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns what it keeps, as Parquet for the next one."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns what it keeps, as Parquet for the next one.
+
+All stages but the last return the columns of docs, whatever others there are and whatever they are called.  Long texts are
+taken whole; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +17,36 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters and those in no known language go."""
+    """Documents without letters, null texts among them, and those in no known language go.
+
+    Rows that repeat stay or go together; without a labelled row all go.
+    """
     return language_id.keep_known(docs, LEAST_LANGUAGE_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest doc_id."""
+    """One document of each group of near copies stays, that with the smallest doc_id.
+
+    Null texts are nobody's copies; of rows that share text and doc_id one stays.
+    """
     return jaccard_join.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out."""
+    """Passages that an earlier document has are cut out; a document that loses all its text goes.
+
+    Null texts stay null; rows that share a doc_id, and rows without one, take nothing from each other.
+    """
     return suffix_dedup.cut_documents(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none, and rows that repeat stay or go together."""
     return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids."""
+    """The documents with n_tokens and ids, in place of columns of these names; null texts have neither."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
