@@ -22,7 +22,7 @@ from pyspark.sql.types import StructField, StructType
 from cellweft.llm import anchors
 from cellweft.llm import pretokens as pt
 from cellweft.llm.anchors import LENGTH
-from cellweft.llm.common import grouped, stored
+from cellweft.llm.common import stored
 
 #: Bytes of stretches that share a transform; an anchor's stretches stay together.
 CHUNK = 1 << 16
@@ -66,17 +66,47 @@ def shared_prefixes(text: np.ndarray, order: np.ndarray, length: int = LENGTH) -
     np.not_equal(first[1:], first[:-1], out=parted[1:])
     whole = np.flatnonzero(~parted)
     before, own = place[whole - 1], place[whole]
+    start, end = _intervals(parted)
     for _ in range(length - 1):
-        interval = np.cumsum(parted, dtype=np.int32)
-        new = interval[before] != interval[own]
-        if not new.any():
+        new = start[before] != start[own]
+        cut = whole[new]
+        if not len(cut):
             break
-        parted[whole[new]] = True
+        parted[cut] = True
+        if len(cut) * 16 > len(text):
+            start, end = _intervals(parted)
+        else:
+            _part(start, end, cut)
         np.logical_not(new, out=new)
         whole, before, own = whole[new], before[new], own[new]
     return parted
 
 
+def _intervals(parted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The start of each place's interval, and at each start the interval's end."""
+    starts = np.flatnonzero(parted).astype(np.int32)
+    sizes = np.diff(np.append(starts, np.int32(len(parted))))
+    end = np.zeros(len(parted), np.int32)
+    end[starts] = starts + sizes
+    return np.repeat(starts, sizes), end
+
+
+def _part(start: np.ndarray, end: np.ndarray, cut: np.ndarray) -> None:
+    """Intervals are parted in place at a few ascending places; only what is right of a cut is written."""
+    cut = cut.astype(np.int32)
+    old = start[cut]
+    first = np.ones(len(cut), bool)
+    first[1:] = old[1:] != old[:-1]
+    upto = end[old]
+    upto[:-1][~first[1:]] = cut[1:][~first[1:]]  # the next cut of the same interval
+    end[old[first]] = cut[first]
+    end[cut] = upto
+    sizes = upto - cut
+    ends = np.cumsum(sizes)
+    at = np.arange(int(ends[-1]), dtype=np.int32) + np.repeat(cut - (ends - sizes).astype(np.int32), sizes)
+    start[at] = np.repeat(cut, sizes)
+
+
 def window_minimum(stretches: list[bytes], first_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(smallest document of each window of each stretch, windows per stretch)."""
     sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
@@ -241,16 +271,49 @@ def _packed(docs: np.ndarray, sums: np.ndarray, first: np.ndarray, last: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["doc_id", "crc", "runs"])
 
 
+def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers of all rows of a binary column, how many each row has), without an object per row."""
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
+    return raw.view(kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def _whole_groups(batches):
+    """Batches of rows sorted by h, cut where h changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h = batch.column(0).to_numpy()
+        last = int(np.searchsorted(h, h[-1]))
+        if held and held[-1].column(0)[-1].as_py() != h[0]:
+            yield _one(held)
+            held = []
+        if last:
+            yield _one([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield _one(held)
+
+
 def _removed(batches):
     """doc_id, crc and runs of the windows that go, a row per document and transform."""
 
-    def of(rows):
-        number: dict[bytes, int] = {}
-        kind = np.repeat([number.setdefault(r[1], len(number)) for r in rows], [len(r[2]) // 8 for r in rows])
-        docs, sums, starts = (np.frombuffer(b"".join(r[c] for r in rows), kind).astype(np.int64) for c, kind in zip((2, 3, 4), PLACE, strict=True))
-        first_doc = np.full(len(number), np.iinfo(np.int64).max)
+    def of(rows: pa.RecordBatch) -> pa.RecordBatch:
+        names = rows.column(1).dictionary_encode()
+        docs, places = _flat(rows.column(2), np.int64)
+        sums, starts = (_flat(rows.column(c), kind)[0].astype(np.int64) for c, kind in zip((3, 4), PLACE[1:], strict=True))
+        kind = np.repeat(names.indices.to_numpy(), places)
+        first_doc = np.full(len(names.dictionary), np.iinfo(np.int64).max)
         np.minimum.at(first_doc, kind, docs)
-        least, counts = window_minimum(list(number), first_doc)
+        least, counts = window_minimum(names.dictionary.to_pylist(), first_doc)
         per = counts[kind]
         at = (np.cumsum(counts) - counts)[kind]
         gone = pt.gather(least, at, per) < np.repeat(docs, per)
@@ -265,17 +328,32 @@ def _removed(batches):
         return _packed(docs[row], sums[row], first, first + tail - head + 1)
 
     held, size = [], 0
-    for rows in grouped(batches, 1):
-        docs = np.frombuffer(b"".join(r[2] for r in rows), np.int64)
-        if (docs == docs[0]).all():
-            continue  # one document repeats itself, or the sketch was wrong
-        held += rows
-        size += sum(len(r[1]) for r in rows)
-        if size >= CHUNK:
-            yield of(held)
-            held, size = [], 0
+    for rows in _whole_groups(batches):
+        h = rows.column(0).to_numpy()
+        docs, places = _flat(rows.column(2), np.int64)
+        group = np.flatnonzero(np.diff(h, prepend=h[0] ^ 1))
+        at = (np.cumsum(places) - places)[group]
+        # one document repeats itself, or the sketch was wrong
+        alone = np.minimum.reduceat(docs, at) == np.maximum.reduceat(docs, at)
+        sizes = np.diff(np.append(group, len(h)))
+        rows = rows.filter(pa.array(np.repeat(~alone, sizes)))
+        ends = np.cumsum(sizes[~alone])
+        if not len(ends):
+            continue
+        upto = np.cumsum(_flat(rows.column(1), np.uint8)[1])[ends - 1]  # bytes of stretches to the end of each group
+        cut, base = 0, 0
+        while cut < rows.num_rows:
+            full = int(np.searchsorted(upto, base + CHUNK - size))
+            last = full >= len(ends)
+            end = rows.num_rows if last else int(ends[full])
+            held.append(rows.slice(cut, end - cut))
+            size += int(upto[-1] if last else upto[full]) - base
+            if not last or size >= CHUNK:
+                yield of(_one(held))
+                held, size = [], 0
+            cut, base = end, int(upto[-1] if last else upto[full])
     if held:
-        yield of(held)
+        yield of(_one(held))
 
 
 def _spans(batches):
