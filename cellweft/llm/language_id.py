@@ -19,6 +19,8 @@ WINDOW = 64
 #: Bound of the labelled sample: texts per label, and windows taken from each.
 SAMPLE_TEXTS = 150
 SAMPLE_WINDOWS = 6
+#: Rows that pass through at once, so that no second copy of a large batch is held.
+ROWS_AT_ONCE = 2048
 STEPS = 260
 BATCH = 256
 RATE = 0.02
@@ -266,14 +268,17 @@ def keep_known(docs: DataFrame, least: float) -> DataFrame:
     net = _learnt(docs)
     if net is None:
         return docs.filter("false")
-    text = F.coalesce("text", F.lit(""))
-    asked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), text.rlike(r"\p{L}").alias("ok"))
+    ok = F.coalesce("text", F.lit("")).rlike(r"\p{L}").alias("ok")
+    asked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ok)
+    place = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            label, score = _predicted(batch.column(1), batch.column(2), net)
-            good = (np.array(label, object) != UNKNOWN) & (score >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0)], ["row"]).filter(pa.array(good, pa.bool_()))
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                label, score = _predicted(part.column(0).field(place), part.column(1), net)
+                good = (np.array(label, object) != UNKNOWN) & (score >= least)
+                yield pa.RecordBatch.from_arrays([part.column(0)], ["row"]).filter(pa.array(good, pa.bool_()))
 
     return asked.mapInArrow(run, asked.select("row").schema).select("row.*")
 

@@ -56,3 +56,13 @@ def test_edge_rows(spark):
     assert language_id.identify(frame.filter("false")).collect() == []
     assert language_id.identify(frame.withColumn("lang", frame["lang"].substr(9, 1)).filter("doc_id = 2")).first()["lang_pred"] == "und"
     assert {r["doc_id"] for r in language_id.keep_known(frame, 0.4).collect()} <= {1, None}
+
+
+def test_rows_pass_through_in_slices(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").coalesce(1)
+    whole = sorted(map(tuple, language_id.keep_known(docs, 0.3).collect()))
+    monkeypatch.setattr(language_id, "ROWS_AT_ONCE", 7)
+    assert sorted(map(tuple, language_id.keep_known(docs, 0.3).collect())) == whole
+    told = {(r.doc_id, r.own) for r in language_id.identify(docs).filter("lang_pred <> 'und' AND score >= 0.3").collect()}
+    known = language_id.keep_known(docs, 0.3).selectExpr("doc_id", "xxhash64(text) AS own").collect()
+    assert {(r.doc_id, r.own) for r in known} == told
