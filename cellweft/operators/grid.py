@@ -63,16 +63,20 @@ def row_padding_mask(n_rows: str | Column, max_row: int) -> Column:
 def _pair_counts(grid: DataFrame, line: str, item: str) -> DataFrame:
     """How many lines of a table hold both of two items.
 
-    Lines with the same set of items are counted first, so pairs are made once per distinct set.
+    Lines with the same set of items are counted first.  The distinct sets of a table, which a padded grid bounds, meet in
+    one row, where the counts of an item's pairs are added up: pairs are only ever given out, and none is grouped.
     """
     lines = select_masked(grid).groupBy("table_id", line).agg(F.array_sort(F.collect_set(item)).alias("items"))
     sets = lines.groupBy("table_id", "items").agg(F.count(F.lit(1)).alias("w"))
-    return (
-        sets.select("table_id", "w", "items", F.explode("items").alias("a"))
-        .select("table_id", "w", "a", F.explode("items").alias("b"))
-        .groupBy("table_id", "a", "b")
-        .agg(F.sum("w").alias("n_joint"))
-    )
+    tables = sets.groupBy("table_id").agg(F.collect_list(F.struct("w", "items")).alias("sets"))
+    tables = tables.select("table_id", "sets", F.array_distinct(F.flatten(F.transform("sets", lambda s: s["items"]))).alias("all"))
+    # per set its number of lines at the place of each of its items, and 0 at those of the others
+    weights = F.transform("sets", lambda s: F.transform("all", lambda x: F.when(F.array_contains(s["items"], x), s["w"]).otherwise(F.lit(0).cast("bigint"))))
+    rows = tables.select("table_id", "all", weights.alias("weights"), F.posexplode("all").alias("at", "a"))
+    own = F.filter("weights", lambda w: F.get(w, F.col("at")) > 0)
+    rows = rows.select("table_id", "all", "a", own.alias("own"))
+    total = F.transform("all", lambda b, k: F.struct(b.alias("b"), F.aggregate("own", F.lit(0).cast("bigint"), lambda n, w: n + F.get(w, k)).alias("n_joint")))
+    return rows.select("table_id", "a", F.inline(total)).where("n_joint > 0")
 
 
 def pair_masks(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
