@@ -201,10 +201,16 @@ def embed_cells(cells: DataFrame, embed: Callable[[Column], Column], distinct: b
     filled = cells.withColumn("value", F.coalesce("value", F.lit("nan")))
     if not distinct:
         return filled.withColumn("vector", embed(F.col("value")))
+    filled = evaluated_once(filled, "cells")
     vectors = filled.select("value").distinct().withColumn("vector", embed(F.col("value")))
     return join_hot(filled, vectors, "value")
 
 
+def counted_cells(cells: DataFrame) -> DataFrame:
+    """Equal cells of a column as one row, with their number `n_cells`: what is summed up by column needs no row per cell."""
+    return cells.groupBy("table_id", "col_idx", "value").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
 def model_hook(encode: Callable[[pd.Series], pd.Series]) -> Callable[[Column], Column]:
     """A user's embedding model as a column function: a series of texts to a series of vectors."""
     udf = F.pandas_udf(encode, "array<float>")

@@ -191,8 +191,8 @@ _EMBED_SQL = f"""WITH {fx.DATABASE_SQL}, d AS (SELECT DISTINCT coalesce(value, '
 
 
 def _embedded(spark, sf, distinct):
-    cells = emb.embed_cells(fx.database_cells(spark, sf), emb.native_vector(8), distinct)
-    return cells.groupBy("table_id", "col_idx", vec.rounded_text("vector").alias("vector")).agg(F.count(F.lit(1)).alias("n_cells"))
+    cells = emb.embed_cells(emb.counted_cells(fx.database_cells(spark, sf)), emb.native_vector(8), distinct)
+    return cells.groupBy("table_id", "col_idx", vec.rounded_text("vector").alias("vector")).agg(F.sum("n_cells").alias("n_cells"))
 
 
 @reg.query("embed_distinct_values", _EMBED_SQL)
@@ -209,8 +209,9 @@ def _length_vector(values):
     f"""WITH {fx.DATABASE_SQL} SELECT table_id, col_idx, CAST(sum(length(coalesce(value, 'nan'))) AS BIGINT) AS total_length FROM cells GROUP BY 1, 2""",
 )
 def embed_cells_hook(spark, sf):
-    cells = emb.embed_cells(fx.database_cells(spark, sf), emb.model_hook(_length_vector), distinct=True)
-    return cells.groupBy("table_id", "col_idx").agg(F.sum(F.get("vector", F.lit(0)).cast("bigint")).alias("total_length"))
+    cells = emb.embed_cells(emb.counted_cells(fx.database_cells(spark, sf)), emb.model_hook(_length_vector), distinct=True)
+    length = F.get("vector", F.lit(0)).cast("bigint") * F.col("n_cells")
+    return cells.groupBy("table_id", "col_idx").agg(F.sum(length).alias("total_length"))
 
 
 @reg.query(

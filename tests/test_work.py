@@ -29,3 +29,11 @@ def test_pairs_of_a_grid_are_not_grouped(spark):
     assert "Aggregate" not in plan_of(pairs).split("Generate")[0]
     want = Counter((t, a, b) for t, a, c, _ in cells for u, b, d, _ in cells if t == u and c == d)
     assert Counter({(r.table_id, r.a, r.b): r.n_joint for r in pairs.collect()}) == want
+
+
+def test_equal_cells_are_embedded_and_joined_as_one_row(spark):
+    rows = [("t", 0, r, v) for r, v in enumerate(["x y", "x y", None, "nan", "x y"])] + [("u", 1, 0, "x y")]
+    counted = emb.counted_cells(spark.createDataFrame(rows, "table_id string, col_idx int, row_id int, value string"))
+    assert counted.count() == 4
+    cells = emb.embed_cells(counted, emb.native_vector(4), distinct=True)
+    assert {(r.table_id, r.value): r.n for r in cells.groupBy("table_id", "value").agg(F.sum("n_cells").alias("n")).collect()} == {("t", "x y"): 3, ("t", "nan"): 2, ("u", "x y"): 1}
