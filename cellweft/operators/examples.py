@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from cellweft.functions import sequences as seq
 from cellweft.operators.joins import join_hot, join_small
 from cellweft.operators.ordering import with_position
-from cellweft.session import use_checkpoints
+from cellweft.session import evaluated_once, use_checkpoints
+
+# ids below this number, of words of no more than so many bytes, are sent to every executor
+COMMON_IDS = 200_000
+COMMON_BYTES = 64
 
 
 def example_columns(examples: DataFrame, columns: DataFrame, key: str, tables: str = "path_csvs") -> DataFrame:
@@ -65,14 +69,20 @@ def vocabulary(texts: DataFrame, text: str) -> DataFrame:
 
 
 def tokenise_by_vocabulary(texts: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
-    """Ids of a text by a vocabulary join.  Each word of a text is joined once, with all its positions."""
+    """Ids of a text by a vocabulary join.
+
+    The words of the lowest ids, which `vocabulary` gives to the most frequent words, meet their ids where they stand; only the
+    others are shuffled by word.  Any ids give the same result.
+    """
     placed = texts.select(key, F.posexplode(seq.words(text)).alias("pos", "word"))
-    once = placed.groupBy(key, "word").agg(F.collect_list("pos").alias("at"))
-    found = join_hot(once, vocab.select("word", "id"), "word")
+    vocab = evaluated_once(vocab.select("word", "id"), "vocabulary")
+    is_common = F.coalesce(F.col("id").between(0, COMMON_IDS - 1) & (F.octet_length("word") <= COMMON_BYTES), F.lit(False))
+    common = F.broadcast(vocab.where(is_common))
+    rare = join_hot(placed.join(common, "word", "left_anti"), vocab.where(~is_common), "word")
+    found = placed.join(common, "word").unionByName(rare)
     # the array holds one text's tokens
-    back = found.groupBy(key).agg(F.collect_list(F.struct("id", "at")).alias("w"))
-    items = F.flatten(F.transform("w", lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("p"), x["id"].alias("i")))))
-    ids = back.select(key, F.transform(F.array_sort(items), lambda x: x["i"]).alias("ids"))
+    back = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("w"))
+    ids = back.select(key, F.col("w.id").alias("ids"))
     return texts.select(key).join(ids, key, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
 
 

@@ -37,3 +37,12 @@ def test_equal_cells_are_embedded_and_joined_as_one_row(spark):
     assert counted.count() == 4
     cells = emb.embed_cells(counted, emb.native_vector(4), distinct=True)
     assert {(r.table_id, r.value): r.n for r in cells.groupBy("table_id", "value").agg(F.sum("n_cells").alias("n")).collect()} == {("t", "x y"): 3, ("t", "nan"): 2, ("u", "x y"): 1}
+
+
+def test_rare_words_alone_are_shuffled(spark, monkeypatch):
+    texts = {1: "a b a", 2: "c a d d", 3: "", 4: None, 5: "e"}
+    docs = spark.createDataFrame([*texts.items(), (2, "a")], "k int, text string")
+    vocab = spark.createDataFrame([("a", 0), ("d", 1), ("b", 2), ("c", -3), ("x", 4)], "word string, id int")
+    monkeypatch.setattr(examples, "COMMON_IDS", 2)
+    got = sorted((r.k, list(r.ids)) for r in examples.tokenise_by_vocabulary(docs, "k", "text", vocab).collect())
+    assert got == [(1, [0, 2, 0]), (2, [-3, 0, 0, 1, 1]), (2, [-3, 0, 0, 1, 1]), (3, []), (4, []), (5, [])]
