@@ -46,3 +46,13 @@ def test_rare_words_alone_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(examples, "COMMON_IDS", 2)
     got = sorted((r.k, list(r.ids)) for r in examples.tokenise_by_vocabulary(docs, "k", "text", vocab).collect())
     assert got == [(1, [0, 2, 0]), (2, [-3, 0, 0, 1, 1]), (2, [-3, 0, 0, 1, 1]), (3, []), (4, []), (5, [])]
+
+
+def test_words_are_counted_without_lists_of_them():
+    frame = pd.DataFrame({"doc_id": range(300), "text": [" ".join(["ab"] * 2000)] * 298 + ["", None]})
+    tracemalloc.start()
+    out = text_queries._lengths(frame)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["n_words"].tolist()[:299] == [2000.0] * 298 + [1.0] and pd.isna(out["n_words"].iloc[299])
+    assert peak < 298 * 6000
