@@ -6,6 +6,8 @@ how the prediction differs.  Spark gets both as parsed-query JSON; the SQL works
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from cellweft.operators import sampling, scoring
@@ -23,9 +25,7 @@ BASE = """SELECT o_orderkey AS question_id, o_custkey AS session, CASE WHEN o_or
  o_orderkey % 13 = 0 AS lost FROM orders"""
 
 
-def _list(spark: bool, n: str, body: str) -> str:
-    if spark:
-        return f"transform(filter(array(0, 1, 2, 3), i -> i < {n}), i -> {body})"
+def _list(n: str, body: str) -> str:
     return f"list_transform(list_filter([0, 1, 2, 3], lambda i: i < {n}), lambda i: {body})"
 
 
@@ -67,8 +67,22 @@ def _json_col(x: str, al: str) -> str:
     return f"(CASE WHEN {x} = 2 AND {al} = 1 THEN '__customer.c2__' ELSE '__orders.c' || {_s(x)} || '__' END)"
 
 
-def _json_list(n: str, body: str) -> str:
-    return f"'[' || array_join({_list(True, n, body)}, ',') || ']'"
+def _at(body: str, i: int) -> str:
+    return re.sub(r"\bi\b", str(i), body)
+
+
+def _json_list(n: str, texts: list[str], start: str = "1", flip: bool = False) -> str:
+    """n of some constant texts, beginning with one of them, as a JSON list.
+
+    What a clause holds depends on small remainders of the key only, so its texts are made once, when the query is planned.
+    """
+    part = f"slice(array({', '.join(texts)}), CAST(coalesce({start}, 1) AS INT), CAST(greatest({n}, 0) AS INT))"
+    return f"'[' || array_join({f'reverse({part})' if flip else part}, ',') || ']'"
+
+
+def _by_alias(al: str, made) -> str:
+    """What `made` makes of the value of `al`, which is 0 or 1."""
+    return made(al) if al.isdigit() else f"CASE WHEN {al} = 1 THEN {made('1')} ELSE {made('0')} END"
 
 
 def _json_val(col: str) -> str:
@@ -78,25 +92,43 @@ def _json_val(col: str) -> str:
 def _json_query(k: str, al: str, lit: str, link: str, flip: bool) -> str:
     n = _n(k)
     col = lambda x: _json_col(x, al)
-    select = _list(True, n["select"], f"""'{{"agg":"' || {_agg(k)} || '","val":' || {_json_val(col(f"({k} + i) % 4"))} || '}}'""")
-    select = f"'[' || array_join({f'reverse({select})' if flip else select}, ',') || ']'"
+
+    # aggregate and column of place i follow from (k + i) % 12; a key below 0 has one column at most
+    def select(a: str) -> str:
+        made = [f"""'{{"agg":"' || {_at(_agg(str(r)), 0)} || '","val":' || {_json_val(_json_col(f"{r} % 4", a))} || '}}'""" for r in range(-11, 15)]
+        return _json_list(n["select"], made, f"{k} % 12 + 12", flip)
+
     # the prediction has another number, another field order and spaces
     inner = '{{"where" : {{"conds":[{{"val1" : 6, "op":"="}}]}}}}' if flip else '{{"where":{{"conds":[{{"op":"=","val1":5}}]}}}}'
     inner = inner.replace("{{", "{").replace("}}", "}")
     colon = " : " if flip else ":"
-    sub = f"""CASE WHEN {k} % 7 = 0 AND i = 0 THEN ',"sub1":{inner}' ELSE ',"val1":"{lit}"' END"""
-    cond = f"""'{{"neg":' || {_s(_neg(k))} || ',"op":"' || {_op(k)} || '","val":' || {_json_val(col("i"))} || {sub} || '}}'"""
-    having = f"""'{{"neg":false,"op":">","val":' || {_json_val(col("i"))} || ',"val1":"{lit}"}}'"""
-    link_text = f"""'"' || {_link(k)} || '"'"""
+
+    def cond(r: int, i: int, a: str, nested: bool) -> str:
+        end = f""",\"sub1\":{inner}""" if nested and i == 0 else f',"val1":"{lit}"'
+        return f"""'{{"neg":' || {_s(_at(_neg(str(r)), i))} || ',"op":"' || {_at(_op(str(r)), i)} || '","val":' || {_json_val(_json_col(str(i), a))} || '{end}}}'"""
+
+    # flag and operator follow from k % 20 and the place, of which there are 3
+    def where(a: str) -> str:
+        made = [_json_list(n["where"], [cond(r, i, a, nested) for r in range(20) for i in range(3)], f"pmod({k}, 20) * 3 + 1") for nested in (True, False)]
+        return f"CASE WHEN {k} % 7 = 0 THEN {made[0]} ELSE {made[1]} END"
+
+    def links(clause: str) -> str:
+        return _json_list(n[clause], [f"""'"' || {_at(_link(str(r)), 0)} || '"'""" for r in range(6)], f"pmod({k}, 3) + 1")
+
+    unit = lambda a: f"""'{{"agg":"none","col":"' || {_json_col("i", a)} || '","distinct":false}}'"""
+    having = lambda a: f"""'{{"neg":false,"op":">","val":' || {_json_val(_json_col("i", a))} || ',"val1":"{lit}"}}'"""
+    lists = lambda clause, body: _by_alias(al, lambda a: _json_list(n[clause], [_at(body(a), i) for i in range(4)]))
     deep = f"""CASE WHEN {k} % 33 = 0 THEN ',"intersect":{{"select":[{{"agg":"none","val":' || {_json_val(f"'__orders.c' || {_s(f'{k} % 3')} || '__'")} || '}}]}}' ELSE '' END"""
     nested = f"""CASE WHEN {k} % 11 = 0 THEN ',"' || {link} || '"{colon}{{"select":[{{"agg":"none","val":' || {_json_val(f"'__orders.c' || {_s(f'{k} % 4')} || '__'")} || '}}],"tables":[{{"kind":"table_unit","id":"__orders__"}}]' || {deep} || '}}' ELSE '' END"""
-    return f"""'{{"distinct":false,"select":' || {select}
-     || ',"tables":' || {_json_list(n["tables"], """'{"kind":"table_unit","id":"' || CASE i WHEN 0 THEN '__orders__' ELSE '__customer__' END || '"}'""")}
-     || ',"where":{{"conds":' || {_json_list(n["where"], cond)} || ',"links":' || {_json_list(n["links"], link_text)} || '}}'
-     || ',"group_by":' || {_json_list(n["group"], f"""'{{"agg":"none","col":"' || {col("i")} || '","distinct":false}}'""")}
-     || ',"having":{{"conds":' || {_json_list(n["having"], having)} || ',"links":' || {_json_list(n["having_links"], link_text)} || '}}'
+    kinds = ["'__orders__'", "'__customer__'", "'__customer__'", "'__customer__'"]
+    tables = _json_list(n["tables"], [f"""'{{"kind":"table_unit","id":"' || {t} || '"}}'""" for t in kinds])
+    return f"""'{{"distinct":false,"select":' || {_by_alias(al, select)}
+     || ',"tables":' || {tables}
+     || ',"where":{{"conds":' || {_by_alias(al, where)} || ',"links":' || {links("links")} || '}}'
+     || ',"group_by":' || {lists("group", unit)}
+     || ',"having":{{"conds":' || {lists("having", having)} || ',"links":' || {links("having_links")} || '}}'
      || CASE WHEN {k} % 4 = 1 THEN ',"order_dir":"' || CASE WHEN {k} % 3 = 0 THEN 'asc' ELSE 'desc' END || '"' ELSE '' END
-     || ',"order_by":' || {_json_list(n["order"], _json_val(col(f"{k} % 3")))}
+     || ',"order_by":' || CASE WHEN {n["order"]} = 1 THEN '[' || {_json_val(col(f"{k} % 3"))} || ']' ELSE '[]' END
      || CASE WHEN {k} % 8 = 1 THEN ',"limit_rows":' || {_s(f"{k} % 9")} ELSE '' END || {nested} || '}}'"""
 
 
@@ -113,6 +145,12 @@ def items(spark, sf):
     )
 
 
+def parsed(spark, sf):
+    """Both queries of the items, parsed once: an expression that stands for a parsed query is evaluated wherever it is used."""
+    rows = scoring.empty_query_default(items(spark, sf), "pred")
+    return rows.select(ITEM, scoring.parse_query("gold").alias("gold"), scoring.parse_query("pred").alias("pred"))
+
+
 def kmaps(spark):
     """Foreign-key map of the sales database, made from its catalogue entry."""
     entry = spark.createDataFrame(
@@ -123,8 +161,8 @@ def kmaps(spark):
 
 
 def nodes(spark, sf):
-    """All places of all items.  Items are written once: their JSON costs more to make than to score, and is read for each link."""
-    rows = scoring.empty_query_default(kept(items(spark, sf), "items"), "pred")
+    """All places of all items."""
+    rows = scoring.empty_query_default(items(spark, sf), "pred")
     return scoring.with_key_map(scoring.paired_nodes(rows), kmaps(spark))
 
 
@@ -133,10 +171,14 @@ def scores(spark, sf):
 
 
 def leveled_scores(spark, sf):
-    """Item scores with difficulty and turn: each query is made and parsed once, and no items are joined."""
+    """Item scores with difficulty: each query is made and parsed once, and no items are joined."""
     places = nodes(spark, sf).withColumn("hardness", F.when(F.col("path") == "", scoring.hardness_level("gold")))
-    scored = scoring.item_scores(places, ITEM, ("session", "exec"), ("hardness",))
-    return sampling.label_turns(scored, ["session"], [ITEM])
+    return scoring.item_scores(places, ITEM, ("session", "exec"), ("hardness",))
+
+
+def turns(scored):
+    """Item scores with the turn; the parts do not go through its shuffle."""
+    return sampling.label_turns(scored.drop("parts"), ["session"], [ITEM])
 
 
 # --- the same in SQL -------------------------------------------------------------------------------
@@ -152,7 +194,7 @@ def _sql_side(p: str, k: str, al: str, link: str) -> str:
     live = "NOT lost" if p == "p" else "true"
 
     def lst(count: str, body: str) -> str:
-        return f"CASE WHEN {live} THEN {_list(False, count, body)} ELSE [] END"
+        return f"CASE WHEN {live} THEN {_list(count, body)} ELSE [] END"
 
     sub = f"CASE WHEN {k} % 7 = 0 AND i = 0 THEN 'sub' ELSE '' END"
     return f"""{lst(n["select"], f"{_agg(k)} || {col(f'({k} + i) % 4')}")} AS {p}_sel, {lst(n["select"], col(f"({k} + i) % 4"))} AS {p}_selp,
@@ -164,10 +206,10 @@ def _sql_side(p: str, k: str, al: str, link: str) -> str:
     list_distinct(list_filter([CASE WHEN {k} % 4 > 0 THEN 'where' END, CASE WHEN {k} % 3 > 0 THEN 'group' END, CASE WHEN {n["having"]} > 0 THEN 'having' END,
       CASE WHEN {k} % 4 = 1 THEN 'order' END, CASE WHEN {k} % 4 = 1 THEN CASE WHEN {k} % 3 = 0 THEN 'asc' ELSE 'desc' END END, CASE WHEN {k} % 8 = 1 THEN 'limit' END,
       CASE WHEN {k} % 11 = 0 THEN {link} END,
-      CASE WHEN list_contains(list_concat({_list(False, n["links"], _link(k))}, {_list(False, n["having_links"], _link(k))}), 'or') THEN 'or' END,
-      CASE WHEN list_contains({_list(False, n["where"], _s(_neg(k)))}, 'true') THEN 'not' END,
-      CASE WHEN list_contains({_list(False, n["where"], _op(k))}, 'in') THEN 'in' END,
-      CASE WHEN list_contains({_list(False, n["where"], _op(k))}, 'like') THEN 'like' END], lambda w: w IS NOT NULL AND ({live}))) AS {p}_key"""
+      CASE WHEN list_contains(list_concat({_list(n["links"], _link(k))}, {_list(n["having_links"], _link(k))}), 'or') THEN 'or' END,
+      CASE WHEN list_contains({_list(n["where"], _s(_neg(k)))}, 'true') THEN 'not' END,
+      CASE WHEN list_contains({_list(n["where"], _op(k))}, 'in') THEN 'in' END,
+      CASE WHEN list_contains({_list(n["where"], _op(k))}, 'like') THEN 'like' END], lambda w: w IS NOT NULL AND ({live}))) AS {p}_key"""
 
 
 def _match_sql(p: str, g: str) -> str:
@@ -204,9 +246,9 @@ graded AS MATERIALIZED (SELECT *, CASE WHEN label_total = pred_total AND cnt = p
 exact AS MATERIALIZED (SELECT g.question_id, CAST(CASE WHEN min(f1) = 1 AND bool_and(p_tab = g_tab) THEN 1 ELSE 0 END AS INTEGER) AS exact FROM graded g JOIN sides s ON g.question_id = s.question_id GROUP BY 1),
 counted AS (SELECT question_id, session, (CASE WHEN kg % 4 > 0 THEN 1 ELSE 0 END) + (CASE WHEN kg % 3 > 0 THEN 1 ELSE 0 END) + (CASE WHEN kg % 4 = 1 THEN 1 ELSE 0 END)
    + (CASE WHEN kg % 8 = 1 THEN 1 ELSE 0 END) + len(g_tab) - 1 + len(list_filter(list_concat(g_lnk, g_havl), lambda x: x = 'or'))
-   + len(list_filter({_list(False, _n("kg")["where"], _op("kg"))}, lambda x: x = 'like')) AS c1,
+   + len(list_filter({_list(_n("kg")["where"], _op("kg"))}, lambda x: x = 'like')) AS c1,
    (CASE WHEN g_set IS NULL THEN 0 ELSE 1 END) + (CASE WHEN kg % 7 = 0 AND kg % 4 > 0 THEN 1 ELSE 0 END) AS c2,
-   (CASE WHEN len(list_filter({_list(False, _n("kg")["select"], _agg("kg"))}, lambda x: x <> 'none')) + len(list_filter({_list(False, _n("kg")["where"], _s(_neg("kg")))}, lambda x: x = 'true'))
+   (CASE WHEN len(list_filter({_list(_n("kg")["select"], _agg("kg"))}, lambda x: x <> 'none')) + len(list_filter({_list(_n("kg")["where"], _s(_neg("kg")))}, lambda x: x = 'true'))
      + len(g_havl) > 1 THEN 1 ELSE 0 END) + (CASE WHEN len(g_sel) > 1 THEN 1 ELSE 0 END) + (CASE WHEN len(g_whr) + len(g_lnk) > 1 THEN 1 ELSE 0 END)
    + (CASE WHEN len(g_grp) > 1 THEN 1 ELSE 0 END) AS o FROM sides JOIN base USING (question_id, session)),
 leveled AS MATERIALIZED (SELECT question_id, session, c1, c2, o, CASE WHEN question_id % 4 <> 0 THEN 1 ELSE 0 END AS exec,
@@ -252,9 +294,7 @@ def keyword_set(spark, sf):
     SC + " SELECT question_id, label_total, pred_total, cnt FROM graded WHERE component = 'keywords'",
 )
 def keyword_overlap(spark, sf):
-    q = scoring.empty_query_default(items(spark, sf), "pred").select(
-        ITEM, scoring.keyword_set(scoring.parse_query("gold")).alias("g"), scoring.keyword_set(scoring.parse_query("pred")).alias("p")
-    )
+    q = parsed(spark, sf).select(ITEM, scoring.keyword_set("gold").alias("g"), scoring.keyword_set("pred").alias("p"))
     lt, pt, n = scoring.keyword_overlap(F.col("p"), F.col("g"))
     return q.select(ITEM, lt.alias("label_total"), pt.alias("pred_total"), n.alias("cnt"))
 
@@ -264,9 +304,7 @@ def keyword_overlap(spark, sf):
     SC + " SELECT question_id, label_total, pred_total, cnt FROM graded WHERE component = 'and/or'",
 )
 def connector_set_equal(spark, sf):
-    q = scoring.empty_query_default(items(spark, sf), "pred").select(
-        ITEM, scoring._links(scoring.parse_query("gold"), "where").alias("g"), scoring._links(scoring.parse_query("pred"), "where").alias("p")
-    )
+    q = parsed(spark, sf).select(ITEM, scoring._links(F.col("gold"), "where").alias("g"), scoring._links(F.col("pred"), "where").alias("p"))
     lt, pt, n = scoring.connector_set_equal(F.col("p"), F.col("g"))
     return q.select(ITEM, lt.alias("label_total"), pt.alias("pred_total"), n.alias("cnt"))
 
@@ -276,9 +314,7 @@ def connector_set_equal(spark, sf):
     SC + " SELECT question_id, list_sort(p_tab) = list_sort(g_tab) AS same_tables FROM sides",
 )
 def sorted_list_equality(spark, sf):
-    q = scoring.empty_query_default(items(spark, sf), "pred").select(
-        ITEM, scoring.table_ids(scoring.parse_query("gold")).alias("g"), scoring.table_ids(scoring.parse_query("pred")).alias("p")
-    )
+    q = parsed(spark, sf).select(ITEM, scoring.table_ids("gold").alias("g"), scoring.table_ids("pred").alias("p"))
     return q.select(ITEM, scoring.sorted_list_equality(F.col("p"), F.col("g")).alias("same_tables"))
 
 
@@ -286,8 +322,8 @@ def sorted_list_equality(spark, sf):
     "condition_flags",
     SC
     + f""" SELECT question_id, list_contains(list_concat(g_lnk, g_havl), 'or') AS has_or,
-    list_contains({_list(False, _n("kg")["where"], _op("kg"))}, 'like') AS has_like, kg % 7 = 0 AND kg % 4 > 0 AS has_sql, kg % 9 = 0 AS has_op,
-    len(list_filter({_list(False, _n("kg")["select"], _agg("kg"))}, lambda x: x <> 'none')) > 0 AS has_agg FROM sides JOIN base USING (question_id)""",
+    list_contains({_list(_n("kg")["where"], _op("kg"))}, 'like') AS has_like, kg % 7 = 0 AND kg % 4 > 0 AS has_sql, kg % 9 = 0 AS has_op,
+    len(list_filter({_list(_n("kg")["select"], _agg("kg"))}, lambda x: x <> 'none')) > 0 AS has_agg FROM sides JOIN base USING (question_id)""",
 )
 def condition_flags(spark, sf):
     # every ninth gold query has arithmetic where its values stand
@@ -500,7 +536,7 @@ PARTIAL_SQL = """means AS (SELECT coalesce(l.hardness, 'all') AS level, componen
 
 def _counts(spark, sf):
     # levels and sessions are two summaries of the item scores
-    return scoring.score_counts(kept(leveled_scores(spark, sf).drop("parts"), "scores"))
+    return scoring.score_counts(kept(turns(leveled_scores(spark, sf)), "scores"))
 
 
 def _partials(spark, sf):
@@ -536,7 +572,7 @@ _LONG = """long AS (SELECT level, 'count' AS metric, CAST(n AS DOUBLE) AS value
 def score_report(spark, sf):
     # two summaries read the item scores
     scored = kept(leveled_scores(spark, sf), "scores")
-    report = scoring.score_report(scoring.score_counts(scored), scoring.partial_averages(scoring.component_suite(scored)))
+    report = scoring.score_report(scoring.score_counts(kept(turns(scored), "turns")), scoring.partial_averages(scoring.component_suite(scored)))
     return report.select("metric", *[F.round(f"`{c}`", 6).alias(c) for c in (*scoring.LEVELS, *scoring.TURNS)])
 
 

@@ -22,6 +22,14 @@ def write_orders(spark, folder):
     return str(folder)
 
 
+def test_each_query_is_parsed_once(spark, tmp_path):
+    sf = write_orders(spark, tmp_path)
+    for query in (scoring_queries.keyword_overlap, scoring_queries.connector_set_equal, scoring_queries.sorted_list_equality):
+        assert plan_of(query(spark, sf)).count("from_json(") == 2
+    # and its text is made without a lambda, which would be interpreted for every row
+    assert "lambda" not in plan_of(scoring_queries.items(spark, sf).select("gold", "pred"))
+
+
 def test_pairs_of_a_grid_are_not_grouped(spark):
     cells = [(t, r, c, 1) for t, rows in (("x", [[0, 1], [0, 1], [1, 2], [2]]), ("y", [[0, 1, 2]]), (None, [[3], [3]])) for c, items in enumerate(rows) for r in items]
     df = spark.createDataFrame([*cells, ("x", 5, 0, 0)], "table_id string, row_pos int, col_pos int, mask int")
@@ -31,14 +39,6 @@ def test_pairs_of_a_grid_are_not_grouped(spark):
     assert Counter({(r.table_id, r.a, r.b): r.n_joint for r in pairs.collect()}) == want
 
 
-def test_equal_cells_are_embedded_and_joined_as_one_row(spark):
-    rows = [("t", 0, r, v) for r, v in enumerate(["x y", "x y", None, "nan", "x y"])] + [("u", 1, 0, "x y")]
-    counted = emb.counted_cells(spark.createDataFrame(rows, "table_id string, col_idx int, row_id int, value string"))
-    assert counted.count() == 4
-    cells = emb.embed_cells(counted, emb.native_vector(4), distinct=True)
-    assert {(r.table_id, r.value): r.n for r in cells.groupBy("table_id", "value").agg(F.sum("n_cells").alias("n")).collect()} == {("t", "x y"): 3, ("t", "nan"): 2, ("u", "x y"): 1}
-
-
 def test_rare_words_alone_are_shuffled(spark, monkeypatch):
     texts = {1: "a b a", 2: "c a d d", 3: "", 4: None, 5: "e"}
     docs = spark.createDataFrame([*texts.items(), (2, "a")], "k int, text string")
@@ -48,6 +48,14 @@ def test_rare_words_alone_are_shuffled(spark, monkeypatch):
     assert got == [(1, [0, 2, 0]), (2, [-3, 0, 0, 1, 1]), (2, [-3, 0, 0, 1, 1]), (3, []), (4, []), (5, [])]
 
 
+def test_equal_cells_are_embedded_and_joined_as_one_row(spark):
+    rows = [("t", 0, r, v) for r, v in enumerate(["x y", "x y", None, "nan", "x y"])] + [("u", 1, 0, "x y")]
+    counted = emb.counted_cells(spark.createDataFrame(rows, "table_id string, col_idx int, row_id int, value string"))
+    assert counted.count() == 4
+    cells = emb.embed_cells(counted, emb.native_vector(4), distinct=True)
+    assert {(r.table_id, r.value): r.n for r in cells.groupBy("table_id", "value").agg(F.sum("n_cells").alias("n")).collect()} == {("t", "x y"): 3, ("t", "nan"): 2, ("u", "x y"): 1}
+
+
 def test_words_are_counted_without_lists_of_them():
     frame = pd.DataFrame({"doc_id": range(300), "text": [" ".join(["ab"] * 2000)] * 298 + ["", None]})
     tracemalloc.start()
