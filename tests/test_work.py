@@ -30,6 +30,25 @@ def test_each_query_is_parsed_once(spark, tmp_path):
     assert "lambda" not in plan_of(scoring_queries.items(spark, sf).select("gold", "pred"))
 
 
+def test_links_are_looked_for_in_texts_that_hold_them(spark):
+    low = {"select": [], "tables": []}
+    texts = ['{"union":{"select":[]}}', '{"\\u0075nion":{"select":[]}}', "{'union':{'select':[]}}", json.dumps({**low, "where": {"conds": [], "links": []}}), "{}", None]
+    df = spark.createDataFrame([(i, t, "{}") for i, t in enumerate(texts)], "q int, gold string, pred string")
+    nodes = scoring.paired_nodes(df)
+    assert "Contains(gold" in plan_of(nodes)
+    assert {r.q for r in nodes.where("linked").collect()} == {0, 1, 2}
+
+
+def test_partial_averages_sums_before_the_roll_up(spark):
+    rows = [("a", "easy", 1, 1, 1), ("a", "hard", 0, 1, 0), ("a", None, 1, 0, 1), ("b", "easy", 0, 0, 0), (None, "easy", 1, 1, 1)]
+    comps = spark.createDataFrame(rows, "component string, hardness string, pred_total int, label_total int, acc int").withColumn("rec", F.col("acc"))
+    means = scoring.partial_averages(comps)
+    plan = plan_of(means)
+    assert "Aggregate" in plan[plan.index("Expand") :]
+    found = {(r.component, r.level, r.acc, r.rec) for r in means.collect()}
+    assert {("a", "easy", 1.0, 1.0), ("a", "hard", 0.0, 0.0), ("b", "all", 0.0, 0.0), ("b", "easy", 0.0, 0.0), ("a", "all", 1.0, 0.5)} <= found
+
+
 def test_pairs_of_a_grid_are_not_grouped(spark):
     cells = [(t, r, c, 1) for t, rows in (("x", [[0, 1], [0, 1], [1, 2], [2]]), ("y", [[0, 1, 2]]), (None, [[3], [3]])) for c, items in enumerate(rows) for r in items]
     df = spark.createDataFrame([*cells, ("x", 5, 0, 0)], "table_id string, row_pos int, col_pos int, mask int")
