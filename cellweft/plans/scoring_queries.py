@@ -160,20 +160,24 @@ def kmaps(spark):
     return entry.select("db_id", scoring.foreign_key_map("tables", "columns", "keys").alias("kmap"))
 
 
-def nodes(spark, sf):
-    """All places of all items."""
-    rows = scoring.empty_query_default(items(spark, sf), "pred")
-    return scoring.with_key_map(scoring.paired_nodes(rows), kmaps(spark))
+def nodes(rows):
+    """All places of rows with both queries."""
+    return scoring.with_key_map(scoring.paired_nodes(rows), kmaps(rows.sparkSession))
+
+
+def leveled_nodes(rows):
+    """All places, with the difficulty of the outermost query."""
+    return nodes(rows).withColumn("hardness", F.when(F.col("path") == "", scoring.hardness_level("gold")))
 
 
 def scores(spark, sf):
-    return scoring.item_scores(nodes(spark, sf), ITEM)
+    return scoring.pair_scores(scoring.empty_query_default(items(spark, sf), "pred"), nodes, ITEM)
 
 
 def leveled_scores(spark, sf):
-    """Item scores with difficulty: each query is made and parsed once, and no items are joined."""
-    places = nodes(spark, sf).withColumn("hardness", F.when(F.col("path") == "", scoring.hardness_level("gold")))
-    return scoring.item_scores(places, ITEM, ("session", "exec"), ("hardness",))
+    """Item scores with difficulty: each different pair of queries is parsed and compared once."""
+    rows = scoring.empty_query_default(items(spark, sf), "pred")
+    return scoring.pair_scores(rows, leveled_nodes, ITEM, ("session", "exec"), ("hardness",))
 
 
 def turns(scored):
@@ -540,7 +544,7 @@ def _counts(spark, sf):
 
 
 def _partials(spark, sf):
-    return scoring.partial_averages(scoring.component_suite(leveled_scores(spark, sf)))
+    return scoring.partial_averages(scoring.component_suite(scoring.alike_scores(leveled_scores(spark, sf))))
 
 
 @reg.query("score_counts", f"{SC}, {COUNTS_SQL} SELECT level, n, round(exec, 6) AS exec, round(exact, 6) AS exact FROM counts")
@@ -572,7 +576,7 @@ _LONG = """long AS (SELECT level, 'count' AS metric, CAST(n AS DOUBLE) AS value
 def score_report(spark, sf):
     # two summaries read the item scores
     scored = kept(leveled_scores(spark, sf), "scores")
-    report = scoring.score_report(scoring.score_counts(kept(turns(scored), "turns")), scoring.partial_averages(scoring.component_suite(scored)))
+    report = scoring.score_report(scoring.score_counts(kept(turns(scored), "turns")), scoring.partial_averages(scoring.component_suite(scoring.alike_scores(scored))))
     return report.select("metric", *[F.round(f"`{c}`", 6).alias(c) for c in (*scoring.LEVELS, *scoring.TURNS)])
 
 

@@ -83,3 +83,30 @@ def test_words_are_counted_without_lists_of_them():
     tracemalloc.stop()
     assert out["n_words"].tolist()[:299] == [2000.0] * 298 + [1.0] and pd.isna(out["n_words"].iloc[299])
     assert peak < 298 * 6000
+
+
+def test_equal_pairs_of_queries_are_parsed_and_compared_once(spark):
+    """Items meet the scores of their pair; repeated, null and nested items get what they get one by one."""
+    select = [{"agg": "none", "val": {"op": "none", "u1": {"agg": "none", "col": "__t.a__", "distinct": False}}}]
+    plain, nested = json.dumps({"select": select}), json.dumps({"select": select, "union": {"select": select}})
+    kinds = [(plain, plain), (plain, "{}"), (nested, nested), (nested, plain), (None, plain)]
+    rows = [(i, i % 3, "d", *kinds[i % 5]) for i in range(60)] + [(2, 2, "d", nested, nested), (None, 1, "d", nested, nested), (None, 1, None, plain, plain)]
+    items = spark.createDataFrame(rows, "q int, session int, db_id string, gold string, pred string")
+    met = []
+
+    def nodes(pairs):
+        met.append(pairs.count())
+        return scoring.paired_nodes(pairs).withColumn("here", F.col("gold").isNotNull())
+
+    once = scoring.pair_scores(items, nodes, "q", ("session",), ("here",))
+    assert met == [6]
+    each = scoring.item_scores(scoring.paired_nodes(items).withColumn("here", F.col("gold").isNotNull()), "q", ("session",), ("here",))
+    assert sorted(map(str, once.collect())) == sorted(map(str, each.collect()))
+
+    def averages(scores):
+        return sorted(map(str, scoring.partial_averages(scoring.component_suite(scores)).collect()))
+
+    leveled = once.withColumn("hardness", F.when(F.col("here"), "easy").otherwise("hard"))
+    alike = scoring.alike_scores(leveled)
+    assert alike.count() < 10 and alike.agg(F.sum("items")).first()[0] == leveled.count()
+    assert averages(alike) == averages(leveled)
