@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from cellweft.llm import licenses
 
 
@@ -97,3 +99,12 @@ def test_against_all_windows(spark):
         base = {label for phrase, label in licenses.BASE if f" {phrase} " in f" {' '.join(words(text))} "}
         assert got[i][0] == labels - base, text
         assert got[i][1] == (1.0 if got[i][2] else best) or abs(got[i][1] - best) < 1e-12, text
+
+
+def test_the_class_of_words_is_named_by_what_it_holds(spark):
+    """Every character on a border of the contract's class, alone and between letters, and no negated class in the plan."""
+    marks = [chr(c) for c in [*range(0x82), 0x85, 0xA0, 0xFF, 0x2028, 0xD7FF, 0xE000, 0xFFFD, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF]]
+    texts = [f"a{m}b {m} {m}{m}C" for m in marks]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", licenses.words(F.col("text")).alias("w"))
+    assert "[^" not in docs._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id: r.w for r in docs.collect()} == dict(enumerate(map(words, texts)))
