@@ -15,6 +15,8 @@ from cellweft.llm import pretokens as pt
 
 LENGTH = 50
 GRAM = 20
+#: Windows whose anchors are found in one go.
+BLOCK = 1 << 14
 
 
 def find(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -27,17 +29,25 @@ def find(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     if n <= 0:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int64),) * 2
     grams = len(data) - GRAM + 1
-    hashes = pt.span_hashes(data, np.arange(grams), np.arange(GRAM, len(data) + 1))
+    sums, down = pt.running_sums(data)
     width = LENGTH - GRAM + 1
     bits = np.uint64(max(1, int(grams).bit_length()))
-    least = (hashes >> bits << bits) | np.arange(grams, dtype=np.uint64)
-    span = 1
-    while span * 2 <= width:
-        least = np.minimum(least[: len(least) - span], least[span:])
-        span *= 2
-    if span < width:
-        least = np.minimum(least[: n], least[width - span : width - span + n])
-    place = (least[:n] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    hashes, place = np.empty(grams, np.uint64), np.empty(n, np.int64)
+    # block by block, so that what is compared stays in the processor's cache
+    for at in range(0, n, BLOCK):
+        end = min(at + BLOCK + width - 1, grams)
+        with np.errstate(over="ignore"):
+            own = pt.mixed((sums[at + GRAM : end + GRAM] - sums[at:end]) * down[at:end])
+        hashes[at:end] = own
+        least = (own >> bits << bits) | np.arange(at, end, dtype=np.uint64)
+        span = 1
+        while span * 2 <= width:
+            least = np.minimum(least[: len(least) - span], least[span:])
+            span *= 2
+        size = min(BLOCK, n - at)
+        if span < width:
+            least = np.minimum(least[:size], least[width - span : width - span + size])
+        place[at : at + size] = least[:size] & ((np.uint64(1) << bits) - np.uint64(1))
     starts = np.concatenate([[0], ends[:-1]])
     inside = np.zeros(len(data) + 1, np.int8)
     long = ends - starts >= LENGTH

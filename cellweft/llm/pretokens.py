@@ -145,6 +145,13 @@ def token_hashes(data: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, from one running sum over all bytes."""
+    sums, down = running_sums(data)
+    with np.errstate(over="ignore"):
+        return mixed((sums[ends] - sums[starts]) * down[starts])
+
+
+def running_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, down): the span a to b, b not included, has the hash mixed((sums[b] - sums[a]) * down[a])."""
     up, down = _powers(len(data) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
@@ -153,7 +160,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         own += np.uint64(1)
         own *= up[: len(data)]
         np.cumsum(own, out=own)
-        own = (sums[ends] - sums[starts]) * down[starts]
+    return sums, down
+
+
+def mixed(own: np.ndarray) -> np.ndarray:
+    """The numbers with their bits mixed, in place."""
+    with np.errstate(over="ignore"):
         own ^= own >> np.uint64(32)
         own *= np.uint64(0xD6E8FEB86659FD93)
         own ^= own >> np.uint64(29)

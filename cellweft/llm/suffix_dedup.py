@@ -36,6 +36,11 @@ BUCKET_BYTES = 1 << 21
 
 def sorted_suffixes(text: np.ndarray) -> np.ndarray:
     """Suffixes in the order of their first 56 symbols or more; symbols are below 512 and wrap around."""
+    return ranked_suffixes(text)[0]
+
+
+def ranked_suffixes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The order of sorted_suffixes, the rank of each suffix by a smaller number of symbols, and that number."""
     n = len(text)
     key = np.zeros(n, np.int64)
     for k in range(7):
@@ -44,7 +49,7 @@ def sorted_suffixes(text: np.ndarray) -> np.ndarray:
     while True:
         order = np.argsort(key)
         if span >= LENGTH:
-            return order
+            return order, ranks, span // 2
         ranks = np.empty(n, np.int64)
         ranked = key[order]
         ranks[order] = np.cumsum(np.concatenate([[0], (ranked[1:] != ranked[:-1]).astype(np.int64)]))
@@ -52,22 +57,24 @@ def sorted_suffixes(text: np.ndarray) -> np.ndarray:
         span *= 2
 
 
-def shared_prefixes(text: np.ndarray, order: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def shared_prefixes(text: np.ndarray, order: np.ndarray, length: int = LENGTH, known: tuple[np.ndarray, int] | None = None) -> np.ndarray:
     """Whether each suffix in order starts a new group of suffixes with length symbols in common.
 
     The transform's column holds the symbol before each suffix, and its k-th c stands for the k-th suffix that
     starts with c.  Extending all intervals of one value backwards by c so parts c's suffixes where their places
-    in the column lie in different intervals: boundaries of value v give those of v + 1.
+    in the column lie in different intervals: boundaries of value v give those of v + 1.  `known` are
+    ranks of the suffixes by a value of symbols, as the sort has them: its intervals are extended from that value on.
     """
+    ranks, value = known or (text, 1)
     column = text[order - 1].astype(np.uint16)
     place = np.argsort(column, kind="stable").astype(np.int32)
     parted = np.ones(len(text), bool)
-    first = column[place]
+    first = ranks[order]
     np.not_equal(first[1:], first[:-1], out=parted[1:])
     whole = np.flatnonzero(~parted)
     before, own = place[whole - 1], place[whole]
     start, end = _intervals(parted)
-    for _ in range(length - 1):
+    for _ in range(length - value):
         new = start[before] != start[own]
         cut = whole[new]
         if not len(cut):
@@ -114,9 +121,9 @@ def window_minimum(stretches: list[bytes], first_doc: np.ndarray) -> tuple[np.nd
     ends = np.cumsum(sizes + 1)
     data[ends - 1] = 0
     starts, counts = ends - sizes - 1, sizes - LENGTH + 1
-    order = sorted_suffixes(data)
+    order, ranks, value = ranked_suffixes(data)
     group_of = np.empty(len(data), np.int64)
-    group_of[order] = np.cumsum(shared_prefixes(data, order)) - 1
+    group_of[order] = np.cumsum(shared_prefixes(data, order, known=(ranks, value))) - 1
     windows = pt.gather(np.arange(len(data)), starts, counts)
     group = group_of[windows]
     least = np.full(int(group_of.max()) + 1, np.iinfo(np.int64).max)

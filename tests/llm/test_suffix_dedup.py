@@ -135,3 +135,22 @@ def test_packed_runs_of_any_length():
         assert (suffix_dedup._covered([row["runs"]], len(want)) == want).all()
     none = np.zeros(0, np.int64)
     assert suffix_dedup._packed(none, none, none, none).num_rows == 0 and not suffix_dedup._covered(None, 5).any()
+
+
+def test_intervals_are_extended_from_what_the_sort_knows():
+    """From the ranks of 28 symbols as from single symbols, in 22 steps; anchors block by block as in one go."""
+    rng = np.random.default_rng(3)
+    passage = rng.integers(1, 5, 400)
+    text = np.concatenate([np.concatenate([passage[a : a + n], [0]]) for a, n in rng.integers(20, 300, (60, 2)) % 350 + 1]).astype(np.int64)
+    order, ranks, value = suffix_dedup.ranked_suffixes(text)
+    assert value == 28
+    whole = suffix_dedup.shared_prefixes(text, order)
+    assert (suffix_dedup.shared_prefixes(text, order, known=(ranks, value)) == whole).all() and 1 < whole.sum() < len(text)
+    data = rng.integers(97, 100, 3 * anchors.BLOCK + 77).astype(np.uint8)
+    place, hashes, first, last = anchors.find(data, np.array([len(data)]))
+    assert first[0] == 0 and last[-1] == len(data) - anchors.LENGTH and (first[1:] == last[:-1] + 1).all()
+    for cut in range(0, len(data) - 5000, 5000):  # windows that lie in a piece have the same anchors there
+        piece = data[cut : cut + 5000]
+        own, h, a, _ = anchors.find(piece, np.array([len(piece)]))
+        assert (h == hashes[np.searchsorted(first, a + cut, side="right") - 1]).mean() > 0.99
+        assert set((own[1:-1] + cut).tolist()) <= set(place.tolist())
