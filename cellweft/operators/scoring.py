@@ -559,13 +559,16 @@ def pair_scores(items: DataFrame, nodes, item: str, keep: tuple[str, ...] = (),
     """item_scores of items(db_id, gold, pred), where each different pair of queries is parsed and compared once.
 
     `nodes` makes places, as paired_nodes does, of rows that keep the column `pair`.  The items themselves meet the scores
-    of their pair by its digest.  A pair may stand for any number of items: the join splits large groups.
+    of their pair by its digest.  A pair may stand for any number of items: the join splits large groups.  Only digests are
+    grouped: a pair's texts are read again from the items that have its least key.
     """
     keys = [item, *keep]
-    pairs = with_pair(items.select("db_id", "gold", "pred").distinct())
-    trees = kept(_trees(_place_scores(nodes(pairs), ["pair"], top), ["pair"], top), "pairs")
-    # digests are written once, as flat and grouped items both need them
-    scored = kept(with_pair(items).select(*keys, "pair"), "items").join(trees, "pair").drop("pair")
+    # flat and grouped items need the digests, and so does the search for one item of each pair
+    digests = kept(with_pair(items).select(*keys, "pair"), "items")
+    first = digests.groupBy("pair").agg(F.min(item).alias("_first")).select("_first").distinct()
+    shown = items.join(first, F.col(item).eqNullSafe(F.col("_first")), "left_semi").select("db_id", "gold", "pred")
+    trees = kept(_trees(_place_scores(nodes(with_pair(shown.distinct())), ["pair"], top), ["pair"], top), "pairs")
+    scored = digests.join(trees, "pair").drop("pair")
     # rows that share item and columns are one tree, as if their places lay in one group
     grouped = (
         scored.where("linked")
