@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cellweft.operators.joins import join_small
 from cellweft.operators.ordering import with_position, with_range_bucket
-from cellweft.session import evaluated_once, kept
+from cellweft.session import evaluated_once, kept, small_methods
 
 _U = "struct<agg:string,col:string,distinct:boolean>"
 _V = f"struct<op:string,u1:{_U},u2:{_U}>"
@@ -551,27 +551,45 @@ def item_scores(nodes: DataFrame, item: str, keep: tuple[str, ...] = (), top: tu
 
 def with_pair(items: DataFrame, columns: tuple[str, ...] = ("db_id", "gold", "pred"), name: str = "pair") -> DataFrame:
     """Add the SHA-256 digest of what decides an item's scores; a null is told from a text, and each text is led by its length."""
-    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in columns]
+    parts = [F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in columns]
     return items.withColumn(name, F.unhex(F.sha2(F.concat(*parts), 256)))
 
 
-def pair_scores(items: DataFrame, nodes, item: str, keep: tuple[str, ...] = (), top: tuple[str, ...] = ()) -> DataFrame:
-    """item_scores of items(db_id, gold, pred), where each different pair of queries is parsed and compared once.
+def paired_trees(
+    items: DataFrame, nodes, item: str, keep: tuple[str, ...] = (), top: tuple[str, ...] = (), lookup=None
+) -> tuple[DataFrame, DataFrame]:
+    """item_scores of items(db_id, gold, pred) in two frames: a row per item with `exact` and the number of its `tree`, and the
+    `parts` of each tree.  Each different pair of queries is parsed, compared and graded once.
 
     `nodes` makes places, as paired_nodes does, of rows that keep the column `pair`.  The items themselves meet the scores
     of their pair by its digest.  A pair may stand for any number of items: the join splits large groups.  Only digests are
-    grouped: a pair's texts are read again from the items that have its least key.
+    grouped: a pair's texts are read again from the items that have its least key.  `lookup` gives the items whose key is in a
+    column of a frame; where texts are not just read, it should make those of these items only.
     """
     keys = [item, *keep]
-    # flat and grouped items need the digests, and so does the search for one item of each pair
-    digests = kept(with_pair(items).select(*keys, "pair"), "items")
-    first = digests.groupBy("pair").agg(F.min(item).alias("_first")).select("_first").distinct()
-    shown = items.join(first, F.col(item).eqNullSafe(F.col("_first")), "left_semi").select("db_id", "gold", "pred")
-    trees = kept(_trees(_place_scores(nodes(with_pair(shown.distinct())), ["pair"], top), ["pair"], top), "pairs")
-    scored = digests.join(trees, "pair").drop("pair")
+    with small_methods(items.sparkSession):
+        # flat and grouped items need the digests, and so does the search for one item of each pair
+        digests = kept(with_pair(items).select(*keys, "pair"), "items")
+        first = digests.groupBy("pair").agg(F.min(item).alias("_first")).select("_first").distinct()
+        shown = lookup(first, "_first") if lookup else items.join(first, F.col(item).eqNullSafe(F.col("_first")), "left_semi")
+        found = _trees(_place_scores(nodes(with_pair(shown.select("db_id", "gold", "pred").distinct())), ["pair"], top), ["pair"], top)
+        trees = kept(found.withColumn("tree", F.monotonically_increasing_id()), "pairs")
+    graded = _graded(trees, ["pair", "linked", "tree"], top)
+    met = digests.join(graded.drop("parts"), "pair").drop("pair")
     # rows that share item and columns are one tree, as if their places lay in one group
+    nested = kept(met.where("linked").groupBy(*keys).agg(F.min("tree").alias("tree"), F.count(F.lit(1)).alias("_rows")), "nested")
+    single = nested.where("_rows = 1").join(graded.select("tree", *top, "exact"), "tree")
+    columns = [*keys, *top, "exact", "tree"]
+    rows, parts = met.where("NOT linked").select(*columns).unionByName(single.select(*columns)), graded.select("tree", "parts")
+    repeated = nested.where("_rows > 1").select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)])
+    if repeated.isEmpty():
+        return rows, parts
+    shared = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
     grouped = (
-        scored.where("linked")
+        met.where("linked")
+        .join(repeated, shared, "left_semi")
+        .select(*keys, "tree")
+        .join(trees, "tree")
         .groupBy(*keys)
         .agg(
             *[F.max(c).alias(c) for c in top],
@@ -582,7 +600,15 @@ def pair_scores(items: DataFrame, nodes, item: str, keep: tuple[str, ...] = (),
             *[F.bool_and(k).alias(k) for k in SET_LINKS],
         )
     )
-    return _graded(scored.where("NOT linked").drop("linked").unionByName(grouped), keys, top)
+    # numbers below 0 are those of no pair
+    merged = kept(_graded(grouped, keys, top).withColumn("tree", -1 - F.monotonically_increasing_id()), "merged")
+    return rows.unionByName(merged.select(*columns)), parts.unionByName(merged.select("tree", "parts"))
+
+
+def pair_scores(items: DataFrame, nodes, item: str, keep: tuple[str, ...] = (), top: tuple[str, ...] = ()) -> DataFrame:
+    """item_scores of items(db_id, gold, pred), where each different pair of queries is parsed and compared once."""
+    rows, parts = paired_trees(items, nodes, item, keep, top)
+    return rows.join(parts, "tree").drop("tree")
 
 
 def component_suite(scores: DataFrame) -> DataFrame:
@@ -599,6 +625,12 @@ def alike_scores(scores: DataFrame) -> DataFrame:
     return scores.groupBy("hardness", "parts").agg(F.count(F.lit(1)).alias("items"))
 
 
+def alike_trees(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """alike_scores of paired_trees: items are counted by tree, so that none carries its parts."""
+    counts = rows.groupBy("hardness", "tree").agg(F.count(F.lit(1)).alias("items"))
+    return counts.join(parts, "tree").groupBy("hardness", "parts").agg(F.sum("items").alias("items"))
+
+
 def with_presence(nodes: DataFrame) -> DataFrame:
     """Remember which side has a query at a place, before any default is put in."""
     return nodes.withColumn("gold_here", F.col("gold").isNotNull()).withColumn("pred_here", F.col("pred").isNotNull())

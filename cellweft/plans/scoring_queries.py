@@ -136,9 +136,11 @@ GOLD_JSON = _json_query("kg", "0", "g", "'union'", False)
 PRED_JSON = f"CASE WHEN NOT lost THEN {_json_query('kp', 'al', 'p', 'plink', True)} END"
 
 
-def items(spark, sf):
-    """The items, with both queries as JSON."""
+def items(spark, sf, keys=None, key=None):
+    """The items, with both queries as JSON; with a frame of keys those of the items named there."""
     orders = spread(fx.load(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    if keys is not None:
+        orders = orders.join(keys, F.col("o_orderkey").eqNullSafe(F.col(key)), "left_semi")
     base = spark.sql(BASE.replace("FROM orders", "FROM {orders}"), orders=orders)
     return base.select(
         ITEM, "session", "db_id", F.expr(GOLD_JSON).alias("gold"), F.expr(PRED_JSON).alias("pred"), (F.col(ITEM) % 4 != 0).cast("int").alias("exec")
@@ -170,19 +172,20 @@ def leveled_nodes(rows):
     return nodes(rows).withColumn("hardness", F.when(F.col("path") == "", scoring.hardness_level("gold")))
 
 
-def scores(spark, sf):
-    return scoring.pair_scores(scoring.empty_query_default(items(spark, sf), "pred"), nodes, ITEM)
+def trees(spark, sf, places=nodes, keep=(), top=()):
+    """Items, and the parts of their trees: each different pair of queries is parsed and compared once."""
+    rows = lambda *keys: scoring.empty_query_default(items(spark, sf, *keys), "pred")
+    return scoring.paired_trees(rows(), places, ITEM, keep, top, rows)
 
 
-def leveled_scores(spark, sf):
-    """Item scores with difficulty: each different pair of queries is parsed and compared once."""
-    rows = scoring.empty_query_default(items(spark, sf), "pred")
-    return scoring.pair_scores(rows, leveled_nodes, ITEM, ("session", "exec"), ("hardness",))
+def leveled_trees(spark, sf):
+    """The same with the difficulty."""
+    return trees(spark, sf, leveled_nodes, ("session", "exec"), ("hardness",))
 
 
 def turns(scored):
-    """Item scores with the turn; the parts do not go through its shuffle."""
-    return sampling.label_turns(scored.drop("parts"), ["session"], [ITEM])
+    """Item scores with the turn; the trees do not go through its shuffle."""
+    return sampling.label_turns(scored.drop("tree"), ["session"], [ITEM])
 
 
 # --- the same in SQL -------------------------------------------------------------------------------
@@ -266,12 +269,13 @@ SC = "WITH " + SCORE_SQL
 
 @reg.query("component_suite", SC + " SELECT question_id, component, label_total, pred_total, cnt, f1 AS acc, f1 AS rec, f1 FROM graded")
 def component_suite(spark, sf):
-    return scoring.component_suite(scores(spark, sf)).drop("exact")
+    rows, parts = trees(spark, sf)
+    return scoring.component_suite(rows.join(parts, "tree").drop("tree", "exact"))
 
 
 @reg.query("exact_match", SC + " SELECT * FROM exact")
 def exact_match(spark, sf):
-    return scores(spark, sf).select(ITEM, "exact")
+    return trees(spark, sf)[0].select(ITEM, "exact")
 
 
 @reg.query("hardness_level", SC + " SELECT question_id, c1 AS clauses, c2 AS nested, o AS others, hardness FROM leveled")
@@ -540,11 +544,11 @@ PARTIAL_SQL = """means AS (SELECT coalesce(l.hardness, 'all') AS level, componen
 
 def _counts(spark, sf):
     # levels and sessions are two summaries of the item scores
-    return scoring.score_counts(kept(turns(leveled_scores(spark, sf)), "scores"))
+    return scoring.score_counts(kept(turns(leveled_trees(spark, sf)[0]), "scores"))
 
 
 def _partials(spark, sf):
-    return scoring.partial_averages(scoring.component_suite(scoring.alike_scores(leveled_scores(spark, sf))))
+    return scoring.partial_averages(scoring.component_suite(scoring.alike_trees(*leveled_trees(spark, sf))))
 
 
 @reg.query("score_counts", f"{SC}, {COUNTS_SQL} SELECT level, n, round(exec, 6) AS exec, round(exact, 6) AS exact FROM counts")
@@ -575,8 +579,9 @@ _LONG = """long AS (SELECT level, 'count' AS metric, CAST(n AS DOUBLE) AS value
 )
 def score_report(spark, sf):
     # two summaries read the item scores
-    scored = kept(leveled_scores(spark, sf), "scores")
-    report = scoring.score_report(scoring.score_counts(kept(turns(scored), "turns")), scoring.partial_averages(scoring.component_suite(scoring.alike_scores(scored))))
+    rows, parts = leveled_trees(spark, sf)
+    rows = kept(rows, "scores")
+    report = scoring.score_report(scoring.score_counts(kept(turns(rows), "turns")), scoring.partial_averages(scoring.component_suite(scoring.alike_trees(rows, parts))))
     return report.select("metric", *[F.round(f"`{c}`", 6).alias(c) for c in (*scoring.LEVELS, *scoring.TURNS)])
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,6 +70,26 @@ def kept(df: DataFrame, part: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The JVM leaves methods of more bytes to its interpreter.
+COMPILED_BYTES = 8000
+
+
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """What is evaluated meanwhile runs in methods that the JVM compiles.
+
+    A stage is one method otherwise, which with long expressions is interpreted for every row; beyond this limit Spark
+    evaluates the stage's projections one by one, in methods that it splits.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), COMPILED_BYTES)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Plan nodes that cost no more than reading the columns that are asked for.
 PLAIN = {"Project", "Filter", "Union", "SubqueryAlias", "LocalRelation", "LogicalRelation", "DataSourceV2Relation", "DataSourceV2ScanRelation", "LogicalRDD", "Range"}
 

@@ -110,3 +110,33 @@ def test_equal_pairs_of_queries_are_parsed_and_compared_once(spark):
     alike = scoring.alike_scores(leveled)
     assert alike.count() < 10 and alike.agg(F.sum("items")).first()[0] == leveled.count()
     assert averages(alike) == averages(leveled)
+
+
+def test_items_carry_the_number_of_their_tree_and_no_parts(spark):
+    """Trees are graded once, in methods that the JVM compiles, from texts of the items asked for; rows that share a key are one tree."""
+    select = [{"agg": "none", "val": {"op": "none", "u1": {"agg": "none", "col": "__t.a__", "distinct": False}}}]
+    plain, nested = json.dumps({"select": select}), json.dumps({"select": select, "union": {"select": select}})
+    kinds = [(plain, plain), (nested, nested), (nested, plain)]
+    rows = [(i, "d", *kinds[i % 3]) for i in range(30)] + [(1, "d", nested, nested), (None, "d", plain, "{}"), (None, None, nested, nested)]
+    items = spark.createDataFrame(rows, "q int, db_id string, gold string, pred string")
+    limit, seen, asked = "spark.sql.codegen.hugeMethodLimit", [], []
+    before = spark.conf.get(limit)
+
+    def leveled(pairs):
+        return scoring.paired_nodes(pairs).withColumn("hardness", F.when(F.col("gold").isNotNull(), "easy").otherwise("hard"))
+
+    def nodes(pairs):
+        seen.append((spark.conf.get(limit), pairs.count()))
+        return leveled(pairs)
+
+    def lookup(keys, key):
+        asked.append({r[0] for r in keys.select(key).collect()})
+        return items.join(keys, F.col("q").eqNullSafe(F.col(key)), "left_semi")
+
+    trees, parts = scoring.paired_trees(items, nodes, "q", top=("hardness",), lookup=lookup)
+    assert seen == [("8000", 5)] and spark.conf.get(limit) == before and asked == [{0, 1, 2, None}]
+    assert trees.columns == ["q", "hardness", "exact", "tree"] and parts.columns == ["tree", "parts"]
+    assert trees.count() == 32 and [r.q for r in trees.where("tree < 0").collect()] == [1]
+    each = scoring.item_scores(leveled(items), "q", top=("hardness",))
+    by_item, by_tree = (sorted(map(str, df.select("hardness", "parts", "items").collect())) for df in (scoring.alike_scores(each), scoring.alike_trees(trees, parts)))
+    assert by_item == by_tree
