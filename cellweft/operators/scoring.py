@@ -710,7 +710,10 @@ def score_counts(items: DataFrame, session: str = "session") -> DataFrame:
         F.sum("exact").cast("double").alias("exact"),
     ]
     level = F.coalesce("hardness", "turn_id", F.lit("all"))
-    by_level = items.groupingSets([["hardness"], ["turn_id"], []], "hardness", "turn_id").agg(*sums).select(level.alias("level"), "n", "exec", "exact")
+    # sums by difficulty and turn first, so that no item is multiplied for the levels
+    both = items.groupBy("hardness", "turn_id").agg(F.count(F.lit(1)).alias("n"), F.sum("exec").alias("exec"), F.sum("exact").alias("exact"))
+    totals = [F.sum("n").alias("n"), *[F.sum(c).cast("double").alias(c) for c in ("exec", "exact")]]
+    by_level = both.groupingSets([["hardness"], ["turn_id"], []], "hardness", "turn_id").agg(*totals).select(level.alias("level"), "n", "exec", "exact")
     whole = items.groupBy(session).agg(
         F.coalesce(F.bool_and(F.col("exec") == 1), F.lit(True)).cast("int").alias("exec"),
         F.coalesce(F.bool_and(F.col("exact") == 1), F.lit(True)).cast("int").alias("exact"),

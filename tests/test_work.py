@@ -140,3 +140,13 @@ def test_items_carry_the_number_of_their_tree_and_no_parts(spark):
     each = scoring.item_scores(leveled(items), "q", top=("hardness",))
     by_item, by_tree = (sorted(map(str, df.select("hardness", "parts", "items").collect())) for df in (scoring.alike_scores(each), scoring.alike_trees(trees, parts)))
     assert by_item == by_tree
+
+
+def test_score_counts_sums_before_the_levels(spark):
+    rows = [(1, "easy", "turn 1", 1, 1), (1, "hard", "turn 2", 0, 1), (2, None, "turn 1", 1, 0), (2, "easy", None, None, 1)]
+    items = spark.createDataFrame(rows, "session int, hardness string, turn_id string, exec int, exact int")
+    counts = scoring.score_counts(items)
+    plan = plan_of(counts)
+    assert plan[plan.index("Expand") :].split("LogicalRDD")[0].count("Aggregate") == 1
+    found = {(r.level, r.n, r["exec"], r.exact) for r in counts.collect()}
+    assert {("easy", 2, 0.5, 1.0), ("hard", 1, 0.0, 1.0), ("turn 1", 2, 1.0, 0.5), ("all", 4, 0.5, 0.75), ("joint_all", 2, 0.5, 0.5)} <= found
